@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import LANES, poisson_cuts
+from ..functions.hashing import DRAW_MODULUS, poisson_cuts
 from ..functions.numbers import REVIEW_ALL
 from ..operators import bootstrap, policy, review
 from . import query
@@ -38,19 +38,23 @@ def wilson_sql(s: str, n: str, end: str) -> str:
     return f"CASE WHEN ({n}) > 0 THEN least(1.0::DOUBLE, ({centre} + {half}) / {scale}) END"
 
 
-def weight_sql(digest: str = "g", lane: str = "lane") -> str:
-    word = f"substr({digest}, 8 * {lane} + 1, 8)"
+def weight_sql(replicate: str = "replicate") -> str:
+    drawn = f"((d_start + {replicate} * d_step) % {DRAW_MODULUS})"
     cuts = poisson_cuts()
-    return "CASE " + " ".join(f"WHEN {word} < '{cut}' THEN {k}" for k, cut in enumerate(cuts)) + f" ELSE {len(cuts)} END"
+    return "CASE " + " ".join(f"WHEN {drawn} < {cut} THEN {k}" for k, cut in enumerate(cuts)) + f" ELSE {len(cuts)} END"
+
+
+def seeds_sql(key: str = "document_id") -> str:
+    word = "('0x' || substr(sha256('42:' || {key}), {at}, 8))::UBIGINT::BIGINT % {m} AS {name}"
+    return ", ".join(word.format(key=key, at=at, m=DRAW_MODULUS, name=name) for at, name in ((1, "d_start"), (9, "d_step")))
 
 
 def drawn_sql(documents: str, sums: list[str], replicates: int = REPLICATES, by: str = "") -> str:
     """``drawn``: weighted sums per replicate of a table with document_id and the summed columns."""
     group = f"{by}, " if by else ""
-    return f"""digests AS (SELECT {documents}.*, block, sha256('42:' || block::VARCHAR || ':' || document_id) AS g
-  FROM {documents}, range({-(-replicates // LANES)}) blocks(block)),
-drawn AS (SELECT {group}block * {LANES} + lane AS replicate, {', '.join(f'sum({s} * ({weight_sql()}))::DOUBLE AS {s}' for s in sums)}
-  FROM digests, range({LANES}) lanes(lane) WHERE block * {LANES} + lane < {replicates} GROUP BY ALL)"""
+    return f"""seeded AS (SELECT *, {seeds_sql()} FROM {documents}),
+drawn AS (SELECT {group}replicate, {', '.join(f'sum({s} * ({weight_sql()}))::DOUBLE AS {s}' for s in sums)}
+  FROM seeded, range({replicates}) replicates(replicate) GROUP BY ALL)"""
 
 
 def ends_sql(value: str, name: str) -> str:
@@ -198,10 +202,8 @@ def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fit_conservative_policy", f"""WITH {ROWS},
 errors AS (SELECT document_id, CASE WHEN usable THEN score END AS score FROM rows WHERE NOT correct),
-digests AS (SELECT errors.*, block, sha256('42:' || block::VARCHAR || ':' || document_id) AS g
-  FROM errors, range({-(-REPLICATES // LANES)}) blocks(block)),
-weighted AS (SELECT block * {LANES} + lane AS replicate, score, sum({weight_sql()}) AS w
-  FROM digests, range({LANES}) lanes(lane) WHERE block * {LANES} + lane < {REPLICATES} GROUP BY ALL),
+seeded AS (SELECT *, {seeds_sql()} FROM errors),
+weighted AS (SELECT replicate, score, sum({weight_sql()}) AS w FROM seeded, range({REPLICATES}) replicates(replicate) GROUP BY ALL),
 keys AS (SELECT -1::DOUBLE AS cut UNION SELECT score FROM rows WHERE usable),
 totals AS (SELECT replicate, sum(w) AS total, sum(w) FILTER (score IS NULL) AS forced FROM weighted GROUP BY replicate),
 grid AS (SELECT cut, replicate, coalesce(w, 0) AS w FROM keys CROSS JOIN (SELECT replicate FROM totals)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
 from ..functions.text import strip
-from ..session import read_table
+from ..session import read_table, spread
 
 
 def word(digest: Column, lane: int) -> Column:
@@ -38,7 +38,8 @@ def computed_once(df: DataFrame) -> DataFrame:
 
 def order_fields(spark: SparkSession, sf_dir: str, system: str = "a") -> DataFrame:
     """One row per order and column: document_id, form, position, field_id, target and four hash words."""
-    orders = read_table(spark, sf_dir, "orders")
+    orders = spread(read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
     form = F.concat(F.lit("f"), F.substring("o_orderpriority", 1, 1))
     keyed = orders.withColumn("form", form).withColumn(
         "document_id", F.concat("form", F.lit("__"), F.col("o_orderkey").cast("string")))

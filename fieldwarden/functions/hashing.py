@@ -32,28 +32,40 @@ def order_key(seed: int | str, key: Column) -> Column:
     return F.sha2(seeded(seed, key), 256)
 
 
-def poisson_cuts(terms: int = 10) -> list[str]:
-    """Cumulative Poisson(1) probabilities as 8-digit hex words.
+#: Prime modulus of the bootstrap draws; a draw is a whole number below it.
+DRAW_MODULUS = 2**31 - 1
 
-    A hex word of a digest that is at least ``cuts[k]`` has weight above ``k``;
-    hex of equal length compares like the number it spells.
+
+def draw_seeds(seed: int, key: Column) -> tuple[Column, Column]:
+    """Two whole numbers below ``DRAW_MODULUS`` from one digest of the key."""
+    digest = F.sha2(seeded(seed, key), 256)
+    first, second = (F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint") % DRAW_MODULUS for at in (1, 9))
+    return first, second
+
+
+def draw(start: Column, step: Column, replicate: Column) -> Column:
+    """Uniform draw of a key in one replicate: ``(start + replicate * step) mod p``.
+
+    Any two replicates draw independently of each other because ``start`` and
+    ``step`` are independent and the modulus is prime; quantiles over the
+    replicates need no more than that. One digest serves all replicates.
     """
+    return (start + replicate * step) % DRAW_MODULUS
+
+
+def poisson_cuts(terms: int = 10) -> list[int]:
+    """Draws below ``cuts[k]`` have a Poisson(1) weight of at most ``k``."""
     total, cuts = 0.0, []
     for k in range(terms):
         total += math.exp(-1) / math.factorial(k)
-        cuts.append(f"{min(int(total * 2**32), 2**32 - 1):08x}")
+        cuts.append(min(int(total * DRAW_MODULUS), DRAW_MODULUS))
     return cuts
 
 
-#: Independent 32-bit words in one SHA-256 digest, so replicates served by one digest.
-LANES = 8
-
-
-def poisson_weight(digest: Column, lane: int) -> Column:
-    """Poisson(1) weight of one lane of a digest."""
-    word = F.substring(digest, 8 * lane + 1, 8)
+def poisson_weight(drawn: Column) -> Column:
+    """Poisson(1) weight of a draw."""
     cuts = poisson_cuts()
-    weight = F.when(word < cuts[0], 0)
+    weight = F.when(drawn < cuts[0], 0)
     for k, cut in enumerate(cuts[1:], 1):
-        weight = weight.when(word < cut, k)
+        weight = weight.when(drawn < cut, k)
     return weight.otherwise(len(cuts))

@@ -2,8 +2,8 @@
 
 The weight is a function of (seed, replicate, document), so a replicate is the
 same however the documents are partitioned and a lost task repeats it exactly.
-One digest serves ``LANES`` replicates, and the weighted sums are combined
-before they are shuffled: a task sends one row per digest number.
+One digest per document serves all replicates, and the weighted sums are
+combined before they are shuffled: a task sends one row per replicate.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import LANES, poisson_weight
+from ..functions.hashing import draw, draw_seeds, poisson_weight
 from ..functions.numbers import count_if, ratio
+from ..session import task_count
 
 QUANTILES = (0.025, 0.975)
 
@@ -31,18 +32,13 @@ def replicate_sums(documents: DataFrame, key: str, sums: Mapping[str, Column], r
         seed: Changes every weight.
         by: Further grouping of the documents, of bounded size.
     """
-    blocks = -(-replicates // LANES)
-    named = documents.select(*by, F.col(key).alias("__doc"), *[e.alias(n) for n, e in sums.items()])
-    drawn = (named.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
-             .withColumn("__digest", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("__block").cast("string"),
-                                                        F.col("__doc").cast("string")), 256)))
-    for lane in range(LANES):
-        drawn = drawn.withColumn(f"__w{lane}", poisson_weight(F.col("__digest"), lane))
-    summed = drawn.groupBy(*by, "__block").agg(*[
-        F.sum(F.col(name) * F.col(f"__w{lane}")).alias(f"{name}_{lane}") for lane in range(LANES) for name in sums])
-    lanes = F.array(*[F.struct((F.col("__block") * LANES + lane).alias("replicate"),
-                               *[F.col(f"{name}_{lane}").alias(name) for name in sums]) for lane in range(LANES)])
-    return summed.select(*by, F.inline(lanes)).filter(F.col("replicate") < replicates)
+    start, step = draw_seeds(seed, F.col(key))
+    named = documents.select(*by, start.alias("__start"), step.alias("__step"), *[e.alias(n) for n, e in sums.items()])
+    # Few bytes but many draws: cut into as many tasks as the cluster runs, whatever the size of the table.
+    named = named.repartition(task_count(documents.sparkSession), "__start", "__step")
+    drawn = (named.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+             .withColumn("__w", poisson_weight(draw(F.col("__start"), F.col("__step"), F.col("replicate")))))
+    return drawn.groupBy(*by, "replicate").agg(*[F.sum(F.col(name) * F.col("__w")).alias(name) for name in sums])
 
 
 def interval(value: Column, name: str) -> list[Column]:

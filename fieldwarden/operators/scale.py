@@ -12,6 +12,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+
+#: Most rows an ordered window may hold in one task.
+ONE_TASK_ROWS = 1_000_000
 #: Depth of the binary search over split points: 2**STEPS ordered slices.
 STEPS = 7
 #: Rows of the sample the split points are read from.
@@ -50,7 +54,7 @@ def sliced(df: DataFrame, order: Sequence[Column], by: Sequence[str] = ()) -> Da
 
 
 def running_totals(df: DataFrame, order: Sequence[str], totals: Mapping[str, Column], by: Sequence[str] = (),
-                   descending: bool = False) -> DataFrame:
+                   descending: bool = False, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """Inclusive running sums in the order of ``order`` (unique within ``by``).
 
     Args:
@@ -59,17 +63,24 @@ def running_totals(df: DataFrame, order: Sequence[str], totals: Mapping[str, Col
         totals: New column name -> summed expression.
         by: Independent groups; a hot group is spread over the slices too.
         descending: Accumulate from the largest key down.
+        one_task_rows: Up to this many rows in all, one plain window is used.
 
-    The rows are cut into ordered slices. Slice totals (at most ``2**STEPS``
-    rows per group) give each slice its offset, and the sums inside a slice
-    run in the slice's own task.
+    The rows are written once and counted. Beyond ``one_task_rows`` they are
+    cut into ordered slices: slice totals (at most ``2**STEPS`` rows per
+    group) give each slice its offset, and the sums inside a slice run in the
+    slice's own task.
     """
     names = list(totals)
+    sign = F.desc if descending else F.asc
+    df = staged(df, "ordered")
+    if df.count() <= one_task_rows:
+        whole = (Window.partitionBy(*by).orderBy(*[sign(c) for c in order])
+                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return df.select("*", *[F.sum(totals[n]).over(whole).alias(n) for n in names])
     cut = sliced(df, [F.col(c) for c in order], by)
     for name in names:
         cut = cut.withColumn(f"__v_{name}", totals[name])
     keys = [*by, "__slice"]
-    sign = F.desc if descending else F.asc
     before = Window.partitionBy(*by).orderBy(sign("__slice")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (cut.groupBy(*keys).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in names])
                .select(*keys, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in names]))
@@ -80,9 +91,10 @@ def running_totals(df: DataFrame, order: Sequence[str], totals: Mapping[str, Col
     return joined.select(*df.columns, *[(F.col(n) + F.col(f"__o_{n}")).alias(n) for n in names])
 
 
-def numbered(df: DataFrame, order: Sequence[str], name: str, by: Sequence[str] = ()) -> DataFrame:
-    """Exact row numbers (from 1) in the order of ``order``, per ``by`` group, without one-task windows."""
-    return running_totals(df, order, {name: F.lit(1).cast("bigint")}, by)
+def numbered(df: DataFrame, order: Sequence[str], name: str, by: Sequence[str] = (),
+             one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """Exact row numbers (from 1) in the order of ``order``, per ``by`` group, without large one-task windows."""
+    return running_totals(df, order, {name: F.lit(1).cast("bigint")}, by, one_task_rows=one_task_rows)
 
 
 def first_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str], count: Column | int,

@@ -59,6 +59,28 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it back.
+
+    For results that later steps read several times: the work behind them runs
+    once, survives lost executors, and the scan of the table prunes columns.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def task_count(spark: SparkSession) -> int:
+    """How many tasks CPU-heavy work on few bytes is cut into."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as there are cores; only a scan of few splits is reshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table_path(sf_dir: str, name: str) -> str:
     """Path of one driver table."""
     return os.path.join(sf_dir, f"{name}.parquet")
