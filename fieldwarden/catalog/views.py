@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
-from ..functions.text import strip
+from ..functions.text import strip, to_json_string
 from ..session import read_table, spread
 
 
@@ -109,3 +109,102 @@ def review_rows_sql(name: str = "rows", system: str = "a") -> str:
   ln(least(greatest(score, 0.001::DOUBLE), 0.999::DOUBLE) / (1 - least(greatest(score, 0.001::DOUBLE), 0.999::DOUBLE)))
   END AS logit, status = 'ok' AND NOT shape_violation AND score IS NOT NULL AND NOT isnan(score) AS usable
   FROM {name}_scored)"""
+
+
+# ------------------------------------------------------------------ text predictions: lines of the documents
+
+# Accented letters and the letters a careless reader writes for them.
+ACCENTED, BARE = "éèêëàâäáçñóòôöíìîïúùûüÉÈÊÀÂÄÁÇÑÓÖÍÚÜ", "eeeeaaaacnooooiiiiuuuuEEEAAAACNOOIUU"
+
+
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every non-blank line of every document: document_id, form (language), position, line."""
+    documents = spread(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    lines = documents.select(F.col("doc_id").cast("string").alias("document_id"), F.col("lang").alias("form"),
+                             F.posexplode(F.split("text", "\n")).alias("position", "line"))
+    return lines.filter(strip(F.col("line")) != "")
+
+
+LINES_SQL = r"""lines AS (SELECT doc_id::VARCHAR AS document_id, lang AS form, (unnest(range(len(string_split(text, chr(10)))))) AS position,
+  unnest(string_split(text, chr(10))) AS line FROM documents),
+doc_lines AS (SELECT * FROM lines WHERE regexp_replace(line, '^[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', '') <> '')"""
+
+
+def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction rows over document lines: JSON values, each kind of error occurring."""
+    rows = document_lines(spark, sf_dir).withColumn(
+        "__d", F.sha2(F.concat_ws(":", F.lit("t"), "document_id", F.col("position").cast("string")), 256))
+    rows = computed_once(rows.withColumn("h", word(F.col("__d"), 0) % 1000).drop("__d"))
+    h, line = F.col("h"), F.col("line")
+    value = (F.when(h < 60, F.lower(line)).when(h < 120, F.translate(line, ACCENTED, BARE))
+             .when(h < 180, F.replace(line, F.lit(" "), F.lit("  ")))
+             .when(h < 240, F.translate(line, "0123456789", "1234567890")).when(h < 270, F.lit(""))
+             .when(h < 300, F.lit("(1,2),(3,4)")).when(h < 330, F.concat(line, F.lit("x")))
+             .when(h < 420, F.concat(F.lit(" \t"), line)).otherwise(line))
+    status = F.when((h >= 900) & (h < 930), "truncated").when((h >= 930) & (h < 940), "invalid_array").otherwise("ok")
+    rows = computed_once(rows.withColumn("text", value).withColumn("status", status))
+    prediction = (F.when(F.col("status") != "ok", F.lit(None).cast("string")).when((h >= 330) & (h < 350), "17")
+                  .when((h >= 350) & (h < 360), '["x"]').otherwise(to_json_string(F.col("text"))))
+    target = F.when((h >= 880) & (h < 890), '""').when((h >= 870) & (h < 880), '["a", "b"]').otherwise(
+        to_json_string(line))
+    return computed_once(rows.select(
+        "document_id", "form", F.concat(F.lit("/line/"), F.col("position").cast("string")).alias("field_id"),
+        target.alias("target"), prediction.alias("prediction"), "text", "status"))
+
+
+_STRIP = "trim({}, (SELECT spaces FROM spaces))"
+TEXT_ROWS_SQL = LINES_SQL + f""",
+spaces AS (SELECT list_aggregate(list_transform([9,10,11,12,13,28,29,30,31,32,133,160,5760,8192,8193,8194,8195,8196,8197,8198,8199,8200,8201,8202,8232,8233,8239,8287,12288], lambda x: chr(x)), 'string_agg', '') AS spaces),
+hashed AS (SELECT *, ('0x' || substr(sha256('t:' || document_id || ':' || position::VARCHAR), 1, 8))::UBIGINT::BIGINT % 1000 AS h FROM doc_lines),
+valued AS (SELECT *, CASE WHEN h < 60 THEN lower(line) WHEN h < 120 THEN translate(line, '{ACCENTED}', '{BARE}')
+  WHEN h < 180 THEN replace(line, ' ', '  ') WHEN h < 240 THEN translate(line, '0123456789', '1234567890') WHEN h < 270 THEN ''
+  WHEN h < 300 THEN '(1,2),(3,4)' WHEN h < 330 THEN line || 'x' WHEN h < 420 THEN ' ' || chr(9) || line ELSE line END AS text,
+  CASE WHEN h >= 900 AND h < 930 THEN 'truncated' WHEN h >= 930 AND h < 940 THEN 'invalid_array' ELSE 'ok' END AS status FROM hashed),
+typed AS (SELECT *, CASE WHEN status <> 'ok' THEN 'null' WHEN h >= 330 AND h < 350 THEN 'int' WHEN h >= 350 AND h < 360 THEN 'array' ELSE 'string' END AS pt,
+  CASE WHEN h >= 870 AND h < 880 THEN 'array' ELSE 'string' END AS tt, CASE WHEN h >= 330 AND h < 350 THEN '17' ELSE text END AS p,
+  CASE WHEN h >= 880 AND h < 890 THEN '' ELSE line END AS t FROM valued),
+text_rows AS (SELECT *, '/line/' || position AS field_id, {_STRIP.format('nfc_normalize(p)')} AS b, {_STRIP.format('nfc_normalize(t)')} AS a FROM typed),
+judged AS (SELECT *, status = 'ok' AND tt = 'string' AND pt <> 'array' AND a = b AS correct,
+  status = 'ok' AND tt = 'string' AND pt = 'string' AND a = b AS strict FROM text_rows)"""
+
+
+# ------------------------------------------------------------------ array predictions: lines of orders
+
+def array_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One array field per order line: three cells, some rows dropped, swapped, changed or cut."""
+    lines = spread(read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_returnflag"))
+    key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey")
+    cells = {"qty": F.col("l_quantity").cast("int").cast("string"),
+             "tax": F.round(F.col("l_tax") * 100).cast("int").cast("string"), "flag": F.col("l_returnflag")}
+    rows = lines.select(key.alias("document_id"), *[v.alias(k) for k, v in cells.items()])
+    rows = computed_once(rows.withColumn("h", word(F.sha2(F.concat(F.lit("l:"), F.col("document_id")), 256), 0) % 1000))
+
+    def item(name: str, value: Column | None = None) -> Column:
+        text = F.col(name) if value is None else value
+        return F.concat(F.lit(f'{{"k":"{name}","v":"'), text, F.lit('"}'))
+
+    def array(*items: Column) -> Column:
+        return F.concat(F.lit("["), F.concat_ws(",", *items), F.lit("]"))
+
+    h = F.col("h")
+    prediction = (F.when(h < 100, array(item("qty"), item("tax"))).when(h < 200, array(item("tax"), item("qty"), item("flag")))
+                  .when(h < 300, array(item("qty", F.lit("99")), item("tax"), item("flag")))
+                  .when(h < 330, F.concat(F.lit('[{"v":'), F.col("qty"), F.lit(',"k":"qty"},'), item("tax"), F.lit(","),
+                                          item("flag"), F.lit("]")))
+                  .when(h < 350, F.concat(F.lit('[{"k":"qty","v":null},null,'), item("flag"), F.lit("]")))
+                  .when(h < 380, F.lit(None).cast("string")).otherwise(array(item("qty"), item("tax"), item("flag"))))
+    return computed_once(rows.select(
+        "document_id", F.lit("/cells").alias("field_id"), F.lit("array").alias("kind"), F.lit("line").alias("form"),
+        array(item("qty"), item("tax"), item("flag")).alias("target"), prediction.alias("prediction"),
+        prediction.alias("text"), F.when((h >= 350) & (h < 380), "truncated").otherwise("ok").alias("status")))
+
+
+ARRAY_ROWS_SQL = """cells AS (SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey AS document_id, l_quantity::INT::VARCHAR AS qty,
+  round(l_tax * 100)::INT::VARCHAR AS tax, l_returnflag AS flag FROM lineitem),
+hashed AS (SELECT *, ('0x' || substr(sha256('l:' || document_id), 1, 8))::UBIGINT::BIGINT % 1000 AS h FROM cells),
+arrays AS (SELECT *, ['qty=' || qty, 'tax=' || tax, 'flag=' || flag] AS t,
+  CASE WHEN h < 100 THEN ['qty=' || qty, 'tax=' || tax] WHEN h < 200 THEN ['tax=' || tax, 'qty=' || qty, 'flag=' || flag]
+    WHEN h < 300 THEN ['qty=99', 'tax=' || tax, 'flag=' || flag] WHEN h < 330 THEN ['qty=' || qty, 'tax=' || tax, 'flag=' || flag]
+    WHEN h < 350 THEN ['qty=', '', 'flag=' || flag] WHEN h < 380 THEN []::VARCHAR[] ELSE ['qty=' || qty, 'tax=' || tax, 'flag=' || flag] END AS p
+  FROM hashed)"""

@@ -174,12 +174,12 @@ def _canonical_json(value: str, as_text: bool) -> str:
 
 
 @F.pandas_udf(StringType())
-def _text_form_batch(value: pd.Series) -> pd.Series:
+def text_form(value: pd.Series) -> pd.Series:
     return value.map(lambda v: _canonical_json(v, True), na_action="ignore")
 
 
 @F.pandas_udf(StringType())
-def _json_form_batch(value: pd.Series) -> pd.Series:
+def json_form(value: pd.Series) -> pd.Series:
     return value.map(lambda v: _canonical_json(v, False), na_action="ignore")
 
 
@@ -193,7 +193,7 @@ def canonical_text(value: Column) -> Column:
     kind = json_type(value)
     plain = (F.when(kind == "string", strip(nfc(json_string(value)))).when(kind == "null", "")
              .when(kind.isin("bool", "int"), strip(value)))
-    deep = _text_form_batch(F.when(kind.isin("array", "object", "float"), value))
+    deep = text_form(F.when(kind.isin("array", "object", "float"), value))
     return (F.when(kind.isin("array", "object"), F.concat(F.lit("j"), deep))
             .when(kind == "float", F.concat(F.lit("s"), F.btrim(deep, F.lit('"')))).otherwise(
                 F.concat(F.lit("s"), plain)))
@@ -202,7 +202,7 @@ def canonical_text(value: Column) -> Column:
 def canonical_json(value: Column) -> Column:
     """Comparison key of a JSON value whose types must match."""
     kind = json_type(value)
-    deep = _json_form_batch(F.when(kind.isin("array", "object", "float"), value))
+    deep = json_form(F.when(kind.isin("array", "object", "float"), value))
     return (F.when(kind == "string", F.concat(F.lit("s"), strip(nfc(json_string(value)))))
             .when(kind.isin("bool", "int", "null"), F.concat(F.lit("v"), strip(value)))
             .otherwise(F.concat(F.lit("j"), deep)))
