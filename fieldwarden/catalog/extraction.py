@@ -79,11 +79,11 @@ def monitor_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("array_metrics", f"""WITH {ARRAY_ROWS_SQL},
 items AS (SELECT document_id, unnest(t) AS item, 1 AS t, 0 AS p FROM arrays UNION ALL SELECT document_id, unnest(p), 0, 1 FROM arrays),
 matched AS (SELECT sum(least(t, p)) AS m FROM (SELECT sum(t) AS t, sum(p) AS p FROM items GROUP BY document_id, item)),
-cells AS (SELECT sum(CASE WHEN h < 100 THEN 4 WHEN h < 200 THEN 2 + CASE WHEN qty = tax THEN 2 ELSE 0 END
+scored AS (SELECT sum(CASE WHEN h < 100 THEN 4 WHEN h < 200 THEN 2 + CASE WHEN qty = tax THEN 2 ELSE 0 END
     WHEN h < 300 THEN 5 + (qty = '99')::INT WHEN h < 330 THEN 6 WHEN h < 350 THEN 3 WHEN h < 380 THEN 0 ELSE 6 END) AS ok, count(*) * 6 AS n FROM arrays)
 SELECT count(*) AS fields, {r('avg((len(t) = len(p))::INT)', 'length_match')}, {r('any_value(m) / sum(len(p))', 'row_precision')},
   {r('any_value(m) / sum(len(t))', 'row_recall')}, {r('2 * any_value(m) / (sum(len(t)) + sum(len(p)))', 'row_f1')},
-  {r('any_value(ok) / any_value(n)', 'cell_accuracy')} FROM arrays, matched, cells""")
+  {r('any_value(ok) / any_value(n)', 'cell_accuracy')} FROM arrays, matched, scored""")
 def array_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(extraction.array_metrics(array_rows(spark, sf_dir)))
 

@@ -208,3 +208,67 @@ arrays AS (SELECT *, ['qty=' || qty, 'tax=' || tax, 'flag=' || flag] AS t,
     WHEN h < 300 THEN ['qty=99', 'tax=' || tax, 'flag=' || flag] WHEN h < 330 THEN ['qty=' || qty, 'tax=' || tax, 'flag=' || flag]
     WHEN h < 350 THEN ['qty=', '', 'flag=' || flag] WHEN h < 380 THEN []::VARCHAR[] ELSE ['qty=' || qty, 'tax=' || tax, 'flag=' || flag] END AS p
   FROM hashed)"""
+
+
+# ------------------------------------------------------------------ prepared documents: orders grouped by customer
+
+def prepared_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per order; orders of one customer form a group: document_id, group_id, form, split."""
+    from ..operators.dataset import split_of
+
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    form = F.concat(F.lit("f"), F.substring("o_orderpriority", 1, 1))
+    docs = orders.select(F.concat(form, F.lit("__"), F.col("o_orderkey").cast("string")).alias("document_id"),
+                         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("group_id"), form.alias("form"))
+    return docs.withColumn("split", split_of(F.col("group_id")))
+
+
+BUCKET = "(('0x' || substr(sha256({}), 1, 8))::UBIGINT::BIGINT % 100)"
+SPLIT_CASE = "CASE WHEN {b} < 80 THEN 'train' WHEN {b} < 87 THEN 'dev' WHEN {b} < 94 THEN 'calibration' ELSE 'test' END"
+PREPARED_SQL = f"""docs_raw AS (SELECT 'f' || substr(o_orderpriority, 1, 1) || '__' || o_orderkey AS document_id, 'c' || o_custkey AS group_id,
+  'f' || substr(o_orderpriority, 1, 1) AS form FROM orders),
+docs AS (SELECT *, {SPLIT_CASE.format(b=BUCKET.format("'42:' || group_id"))} AS split, {BUCKET.format('group_id')} AS bucket FROM docs_raw)"""
+
+
+# ------------------------------------------------------------------ nested labels: one per part
+
+def part_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One manifest row per part: nested label, description tree, unprinted list; some are broken or empty."""
+    parts = read_table(spark, sf_dir, "part")
+    number = F.col("p_partkey")
+    tags = F.split("p_name", " ")
+    label = F.to_json(F.struct(
+        F.struct(F.col("p_name").alias("name"), F.col("p_brand").alias("br/and~x")).alias("part"),
+        F.col("p_size").cast("string").alias("size"), (F.col("p_size") > 25).alias("large"), tags.alias("tags"),
+        F.array(F.struct(F.lit("size").alias("k"), F.col("p_size").cast("string").alias("v"))).alias("dims"),
+        F.struct(F.struct(F.col("p_type").alias("c")).alias("b")).alias("a")))
+    label = F.when(number % 41 == 0, F.substring(label, 1, 20)).when(number % 43 == 0, F.lit("{}")).otherwise(label)
+    description = F.lit('{"part": {"name": "Part name"}, "tags": ["One tag"], "dims": [{"__desc": "Measures", "k": "x"}], '
+                        '"size": "Size in cm", "large": ["x"]}')
+    unprinted = F.when(number % 10 == 0, '["/size", "/part/name"]').when(number % 10 == 1, '{"not": "a list"}')
+    form = F.lower(F.split_part("p_type", F.lit(" "), F.lit(1)))
+    group = F.concat(F.lit("b"), F.col("p_brand"))
+    from ..operators.dataset import split_of
+
+    return parts.select(
+        F.concat(form, F.lit("__"), number.cast("string")).alias("document_id"), form.alias("form"),
+        group.alias("group_id"), split_of(group).alias("split"), label.alias("label"), description.alias("description"),
+        unprinted.alias("unprinted"), (number % 47 != 0).alias("pages_found"),
+        F.slice(tags, 1, 1).alias("pages"))
+
+
+MANIFEST_SQL = f"""manifest AS (SELECT lower(split_part(p_type, ' ', 1)) || '__' || p_partkey AS document_id, lower(split_part(p_type, ' ', 1)) AS form,
+  'b' || p_brand AS group_id, {SPLIT_CASE.format(b=BUCKET.format("'42:' || 'b' || p_brand"))} AS split, * FROM part),
+leaves AS (
+  SELECT document_id, 0 AS ord, '/part/name' AS field_id, 'Part name' AS description, '"' || p_name || '"' AS value, 'scalar' AS kind, 'string' AS value_type FROM manifest
+  UNION ALL SELECT document_id, 1, '/part/br~1and~0x', '/part/br~1and~0x', '"' || p_brand || '"', 'scalar', 'string' FROM manifest
+  UNION ALL SELECT document_id, 2, '/size', 'Size in cm', '"' || p_size || '"', 'scalar', 'string' FROM manifest
+  UNION ALL SELECT document_id, 3, '/large', '/large', (p_size > 25)::VARCHAR, 'scalar', 'bool' FROM manifest
+  UNION ALL SELECT document_id, 4, '/tags', 'One tag', '["' || replace(p_name, ' ', '","') || '"]', 'array', 'array_of_scalars' FROM manifest
+  UNION ALL SELECT document_id, 5, '/dims', 'Measures', '[{{"k":"size","v":"' || p_size || '"}}]', 'array', 'array_of_objects' FROM manifest
+  UNION ALL SELECT document_id, 6, '/a/b/c', '/a/b/c', '"' || p_type || '"', 'scalar', 'string' FROM manifest),
+reasons AS (SELECT *, CASE WHEN p_partkey % 47 = 0 THEN 'Missing image' WHEN p_partkey % 41 = 0 THEN 'Malformed label'
+  WHEN p_partkey % 43 = 0 THEN 'No usable fields' END AS reason FROM manifest),
+fields AS (SELECT r.document_id, r.form, r.split, r.group_id, r.reason, row_number() OVER (PARTITION BY r.document_id ORDER BY ord) - 1 AS position,
+  field_id, leaves.description, value, kind, value_type FROM reasons r JOIN leaves USING (document_id)
+  WHERE p_partkey % 41 <> 0 AND p_partkey % 43 <> 0 AND NOT (p_partkey % 10 = 0 AND field_id IN ('/size', '/part/name')))"""

@@ -30,10 +30,21 @@ def unescape_pointer(segment: Column) -> Column:
 
 
 def _members(value: Column) -> Column:
-    """Members of a JSON object in source order: ``array<struct<key, value>>`` with JSON text values."""
+    """Members of a JSON object in source order: ``array<struct<key, value>>`` with JSON text values.
+
+    The typed map tells strings from structures; the text map keeps key order
+    and number spelling inside them.
+    """
     typed = F.from_json(value, "map<string,variant>")
-    return F.transform(F.map_entries(typed), lambda e: F.struct(
-        e["key"].alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value")))
+    text = F.from_json(value, "map<string,string>")
+    return F.zip_with(F.map_entries(typed), F.map_values(text), lambda e, t: F.struct(
+        e["key"].alias("key"), F.when(F.schema_of_variant(e["value"]) == "STRING", F.to_json(e["value"]))
+        .otherwise(F.coalesce(t, F.lit("null"))).alias("value")))
+
+
+def compact(value: Column) -> Column:
+    """A JSON structure without spaces, in its own key order."""
+    return F.element_at(F.from_json(F.concat(F.lit('{"x":'), value, F.lit("}")), "map<string,string>"), "x")
 
 
 def _child(description: Column, key: Column) -> Column:
@@ -98,7 +109,7 @@ def to_text(value: Column) -> Column:
     """Plain text of a label value; null where a value has none (numbers, null, objects)."""
     kind = json_type(value)
     return (F.when(kind == "string", json_string(value)).when(kind == "bool", strip(value))
-            .when(kind == "array", F.to_json(F.from_json(value, "array<variant>"))))
+            .when(kind == "array", compact(value)))
 
 
 def text_reject(value: Column) -> Column:
@@ -118,7 +129,7 @@ def from_text(text: Column, kind: Column, closed: Column | None = None) -> Colum
     is_array = (kind == "array")
     parses = F.coalesce(json_type(text) == "array", F.lit(False))
     status = (F.when(~closed, "truncated").when(is_array & ~parses, "invalid_array").otherwise("ok"))
-    value = F.when(is_array, F.to_json(F.from_json(text, "array<variant>"))).when(
+    value = F.when(is_array, compact(text)).when(
         text.isin("true", "false"), text).otherwise(to_json_string(text))
     return F.struct(F.when(status == "ok", value).alias("value"), status.alias("status"))
 

@@ -115,7 +115,7 @@ def first_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str], coun
 
 
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, spread: Sequence[str],
-           heavy_parts: int = 512) -> DataFrame:
+           heavy_parts: int = 512, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """Left join to a table with one row per key when some keys are hot on the left.
 
     Args:
@@ -126,11 +126,16 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str,
         spread: Columns of ``left`` that differ within a key.
         heavy_parts: A key is hot above ``1 / heavy_parts`` of all rows, so
             fewer than ``heavy_parts`` keys are hot: the only side broadcast.
+        one_task_rows: A plain join when no key has more rows than this.
 
     Rows of hot keys take their values from the broadcast rows and are sent
     on under a random-like second key, so no task gets a whole hot key.
     """
     values = [c for c in right.columns if c not in (*keys, weight)]
+    right = staged(right, "keys")
+    hottest = right.agg(F.max(weight)).first()[0]
+    if (hottest or 0) <= one_task_rows:
+        return left.join(right.drop(weight), list(keys), "left").select(*left.columns, *values)
     total = right.agg(F.coalesce(F.sum(weight), F.lit(0))).scalar()
     marked = right.withColumn("__hot", F.col(weight) * heavy_parts > total)
     heavy = marked.filter("__hot").select(*keys, F.struct(*values).alias("__heavy"))
