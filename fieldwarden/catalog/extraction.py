@@ -139,7 +139,8 @@ pairs AS (SELECT a.status = b.status AS st, a.status = b.status AND a.prediction
   CASE WHEN NOT isnan(a.score) AND NOT isnan(b.score) THEN abs(a.score - b.score) END AS gap
   FROM rows a JOIN rows_b b ON a.document_id = b.document_id AND a.field_id = b.field_id)
 SELECT count(*) AS fields, {r('avg(st::INT)', 'same_status')}, {r('avg(tx::INT)', 'same_text')}, count(*) FILTER (flip) AS review_flips,
-  {r('quantile_cont(gap, 0.5)', 'gap_median')}, {r('quantile_cont(gap, 0.99)', 'gap_p99')}, {r('max(gap)', 'gap_max')} FROM pairs""")
+  {r("list_sort(list(gap) FILTER (gap IS NOT NULL))[floor(count(gap) * 0.5)::INT + 1]", 'gap_median')},
+  {r("list_sort(list(gap) FILTER (gap IS NOT NULL))[floor(count(gap) * 0.99::DOUBLE)::INT + 1]", 'gap_p99')}, {r('max(gap)', 'gap_max')} FROM pairs""")
 def run_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.policy import usable
 

@@ -272,3 +272,81 @@ reasons AS (SELECT *, CASE WHEN p_partkey % 47 = 0 THEN 'Missing image' WHEN p_p
 fields AS (SELECT r.document_id, r.form, r.split, r.group_id, r.reason, row_number() OVER (PARTITION BY r.document_id ORDER BY ord) - 1 AS position,
   field_id, leaves.description, value, kind, value_type FROM reasons r JOIN leaves USING (document_id)
   WHERE p_partkey % 41 <> 0 AND p_partkey % 43 <> 0 AND NOT (p_partkey % 10 = 0 AND field_id IN ('/size', '/part/name')))"""
+
+
+# ------------------------------------------------------------------ trace records: lines as values, words as tokens
+
+def trace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record per document line: words as token pieces with five statistics each, and a close decision."""
+    lines = document_lines(spark, sf_dir)
+    h = word(F.sha2(F.concat_ws(":", F.lit("k"), "document_id", F.col("position").cast("string")), 256), 0) % 1000
+    rows = computed_once(lines.select("document_id", "form", "position", F.col("line").alias("text"), h.alias("h"),
+                                      F.when(h % 10 == 0, "array").otherwise("scalar").alias("kind"),
+                                      F.split("line", " ").alias("pieces")))
+
+    def stats(length: Column, at: Column) -> Column:
+        h = F.col("h")
+        return F.struct(
+            (-((length * 7 + at * 13 + h) % 1000) / 100.0).alias("log_probability"),
+            (((at * 31 + h) % 997) / 997.0).alias("normalized_entropy"),
+            (((at * 17 + length + h) % 991) / 991.0).alias("probability_margin"),
+            (((at * 11 + h) % 500) / 50.0).alias("logit_margin"),
+            (-((at * 29 + h) % 800) / 50.0).alias("close_log_probability"))
+
+    return computed_once(rows.select(
+        "document_id", "form", F.concat(F.lit("/line/"), F.col("position").cast("string")).alias("field_id"), "text", "kind",
+        "pieces", "h", F.transform("pieces", lambda p, i: stats(F.length(p), i)).alias("stats"),
+        stats(F.lit(0), F.lit(7)).alias("close")))
+
+
+TRACES_SQL = LINES_SQL + """,
+traces AS (SELECT *, ('0x' || substr(sha256('k:' || document_id || ':' || position), 1, 8))::UBIGINT::BIGINT % 1000 AS h FROM doc_lines),
+pieces AS (SELECT document_id, position, form, line, h, unnest(string_split(line, ' ')) AS piece, unnest(range(len(string_split(line, ' ')))) AS i FROM traces),
+tokens AS (SELECT *, -((length(piece) * 7 + i * 13 + h) % 1000) / 100.0::DOUBLE AS logp, ((i * 31 + h) % 997) / 997.0::DOUBLE AS ent,
+  ((i * 17 + length(piece) + h) % 991) / 991.0::DOUBLE AS pm, ((i * 11 + h) % 500) / 50.0::DOUBLE AS lm, -((i * 29 + h) % 800) / 50.0::DOUBLE AS cl,
+  length(trim(piece, CASE WHEN h % 10 = 0 THEN ' "{}[],:' || chr(9) || chr(13) || chr(10) ELSE ' ' || chr(9) || chr(13) || chr(10) END)) > 0 AS content FROM pieces),
+closing AS (SELECT *, -((91 + h) % 1000) / 100.0::DOUBLE AS c_logp FROM traces)"""
+
+
+# ------------------------------------------------------------------ the request log: one request per event
+
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Serving log: every event is a request, its value the seconds, its type the model."""
+    return as_requests(read_table(spark, sf_dir, "events"))
+
+
+def as_requests(events: DataFrame) -> DataFrame:
+    """Events (batch or stream) as request records."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    failed = F.col("event_type") == "error"
+    return events.select(
+        F.col("event_id").alias("id"), F.col("ts").alias("time"), "user_id", F.col("event_type").alias("model"),
+        (F.col("user_id") % 2 == 0).alias("merge"), (1 + k % 20).alias("fields"), (k * 3).alias("generated_tokens"),
+        F.when(~failed, F.col("value")).alias("infer"), F.when(~failed, F.col("value") * 0.75).alias("decode"),
+        F.when(~failed, F.col("value") * 0.125).alias("prefix"),
+        F.when(failed, F.concat(F.when(k % 2 == 0, "ValueError").otherwise("OSError"), F.lit(": item "),
+                                k.cast("string"))).alias("error"))
+
+
+REQUESTS_SQL = """requests AS (SELECT event_id AS id, ts AS time, user_id, event_type AS model, user_id % 2 = 0 AS merge,
+  json_extract_string(props, '$.k')::BIGINT AS k, 1 + json_extract_string(props, '$.k')::BIGINT % 20 AS fields,
+  json_extract_string(props, '$.k')::BIGINT * 3 AS generated_tokens, CASE WHEN event_type <> 'error' THEN value END AS infer,
+  CASE WHEN event_type <> 'error' THEN value * 0.75::DOUBLE END AS decode, CASE WHEN event_type <> 'error' THEN value * 0.125::DOUBLE END AS prefix,
+  CASE WHEN event_type = 'error' THEN CASE WHEN json_extract_string(props, '$.k')::BIGINT % 2 = 0 THEN 'ValueError' ELSE 'OSError' END END AS error_type FROM events)"""
+
+
+# ------------------------------------------------------------------ branches: the fields of an order with token counts
+
+def order_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order: prefix tokens and an array of branches (id, prompt and target tokens)."""
+    orders = read_table(spark, sf_dir, "orders")
+    branches = F.array(*[F.struct(F.lit(name).alias("id"), F.lit(3 + len(name)).cast("bigint").alias("prompt"),
+                                  (F.length(F.expr(sql)) + 1).cast("bigint").alias("target"))
+                         for name, sql in ORDER_FIELDS.items()])
+    return orders.select(F.col("o_orderkey").alias("document_id"), (10 + F.col("o_custkey") % 90).alias("prefix"),
+                         branches.alias("branches"))
+
+
+BRANCHES_SQL = "branches AS (" + " UNION ALL ".join(
+    f"SELECT o_orderkey AS document_id, 10 + o_custkey % 90 AS prefix, {i} AS position, '{name}' AS id, {3 + len(name)} AS prompt, "
+    f"length({sql.replace('STRING', 'VARCHAR')}) + 1 AS target FROM orders" for i, (name, sql) in enumerate(ORDER_FIELDS.items())) + ")"

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import count_if
 from ..functions.text import is_correct, json_type
+from ..session import staged
+from .bootstrap import side_by_side
+from .scale import quantiles
 
 KEY = ("document_id", "field_id")
 
@@ -86,13 +89,12 @@ def paired_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     both = left.join(right, list(KEY))
     same = F.col("a_status") == F.col("b_status")
     gap = F.abs(F.col("a_score") - F.col("b_score"))
-    both = both.withColumn("gap", F.when(~F.isnan(gap), gap))
-    return both.agg(
+    both = staged(both.withColumn("gap", F.when(~F.isnan(gap), gap)), "pairs")
+    shares = both.agg(
         F.count("*").alias("fields"), F.avg(same.cast("double")).alias("same_status"),
         F.avg((same & F.col("a_text").eqNullSafe(F.col("b_text"))).cast("double")).alias("same_text"),
-        count_if(F.col("a_needs_review") != F.col("b_needs_review")).alias("review_flips"),
-        F.percentile("gap", 0.5).alias("gap_median"),
-        F.percentile("gap", 0.99).alias("gap_p99"), F.max("gap").alias("gap_max"))
+        count_if(F.col("a_needs_review") != F.col("b_needs_review")).alias("review_flips"), F.max("gap").alias("gap_max"))
+    return side_by_side(shares, quantiles(both, "gap", {"gap_median": .5, "gap_p99": .99}, linear=False))
 
 
 def agreement_features(candidates: DataFrame, rows: DataFrame) -> DataFrame:

@@ -146,3 +146,34 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str,
     joined = probed.withColumn("__salt", salt.cast("bigint")).join(light, [*keys, "__salt"], "left")
     return joined.select(*left.columns, *[F.coalesce(F.col(f"__heavy.{v}"), F.col(f"__light.{v}")).alias(v)
                                           for v in values])
+
+
+def quantiles(df: DataFrame, value: str, points: Mapping[str, float], by: Sequence[str] = (), linear: bool = True,
+              one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """Exact quantiles per group: one row per ``by`` with a column per entry of ``points``.
+
+    Equal values are counted first and the counts accumulated in order, so no
+    task ever holds all values of a group. ``linear`` interpolates between
+    neighbours; otherwise the value at sorted index ``floor(q * n)`` is taken.
+    """
+    counted = (df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__x"))
+               .agg(F.count("*").alias("__c")))
+    placed = running_totals(counted, ["__x"], {"__end": F.col("__c")}, by, one_task_rows=one_task_rows)
+    totals = placed.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    both = placed.join(totals, list(by)) if by else placed.withColumn("__n", totals.scalar())
+
+    def at(index: Column) -> Column:
+        # The value whose run of equal values holds the sorted position ``index``.
+        return F.max(F.when((F.col("__end") - F.col("__c") <= index) & (index < F.col("__end")), F.col("__x")))
+
+    found = []
+    for name, q in points.items():
+        place = F.lit(float(q)) * (F.col("__n") - 1) if linear else F.least(
+            F.floor(F.lit(float(q)) * F.col("__n")), F.col("__n") - 1)
+        low = F.floor(place)
+        found += [at(low).alias(f"__low_{name}"), at(F.least(low + 1, F.col("__n") - 1)).alias(f"__high_{name}"),
+                  F.max(place - low).alias(f"__part_{name}")]
+    result = both.groupBy(*by).agg(*found)
+    return result.select(*by, *[
+        (F.col(f"__low_{n}") + (F.col(f"__high_{n}") - F.col(f"__low_{n}")) * F.col(f"__part_{n}")).alias(n)
+        if linear else F.col(f"__low_{n}").alias(n) for n in points])
