@@ -27,9 +27,9 @@ NUMERIC = "[\\p{Nd}\\s.,/:%+\\-()]*\\p{Nd}[\\p{Nd}\\s.,/:%+\\-()]*"
   FROM masked GROUP BY document_id, position)
 SELECT document_id, '/line/' || position AS field_id, {', '.join(f'round(mean_{s}, 7) AS mean_{s}, round(std_{s}, 7) AS std_{s}' for s in K.TOKEN_STATS)},
   {', '.join(f'round({c}, 7) AS {c}' for c in ('min_log_probability', 'q10_log_probability', 'max_normalized_entropy', 'min_probability_margin', 'max_close_log_probability', 'log1p_tokens', 'content_share'))},
-  round(-((91 + h) % 1000) / 100.0::DOUBLE, 7) AS close_log_probability, round(((7 * 31 + h) % 997) / 997.0::DOUBLE, 7) AS close_normalized_entropy,
-  round(((7 * 17 + h) % 991) / 991.0::DOUBLE, 7) AS close_probability_margin, round(((77 + h) % 500) / 50.0::DOUBLE, 7) AS close_logit_margin,
-  round(-((203 + h) % 800) / 50.0::DOUBLE, 7) AS close_close_log_probability,
+  round(-((91 + h) % 1000) / 97.0::DOUBLE, 7) AS close_log_probability, round(((7 * 31 + h) % 997) / 997.0::DOUBLE, 7) AS close_normalized_entropy,
+  round(((7 * 17 + h) % 991) / 991.0::DOUBLE, 7) AS close_probability_margin, round(((77 + h) % 500) / 53.0::DOUBLE, 7) AS close_logit_margin,
+  round(-((203 + h) % 800) / 53.0::DOUBLE, 7) AS close_close_log_probability,
   round((length(line) - length(regexp_replace(line, '\\p{{Nd}}', '', 'g')))::DOUBLE / length(line), 7) AS digit_share, 0.0::DOUBLE AS kind_empty,
   (h % 10 <> 0 AND regexp_full_match(line, '{NUMERIC}'))::INT::DOUBLE AS kind_numeric, (h % 10 <> 0 AND NOT regexp_full_match(line, '{NUMERIC}'))::INT::DOUBLE AS kind_text,
   (h % 10 = 0)::INT::DOUBLE AS kind_array FROM s""")
@@ -37,7 +37,7 @@ def value_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.summaries(trace_records(spark, sf_dir), "document_id", "field_id"), 7)
 
 
-@query("heuristic_heads", f"""WITH {TRACES_SQL}, s AS (SELECT document_id, position, count(*) AS n, min(logp) AS lo, avg(logp) AS m, -((91 + any_value(h)) % 1000) / 100.0::DOUBLE AS c
+@query("heuristic_heads", f"""WITH {TRACES_SQL}, s AS (SELECT document_id, position, count(*) AS n, min(logp) AS lo, avg(logp) AS m, -((91 + any_value(h)) % 1000) / 97.0::DOUBLE AS c
   FROM tokens GROUP BY document_id, position)
 SELECT document_id, '/line/' || position AS field_id, round(least(lo, c), 7) AS min_log_probability_score, round((m * n + c) / (n + 1), 7) AS mean_log_probability_score FROM s""")
 def heuristic_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def heuristic_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("uncertain_tokens", f"""WITH {TRACES_SQL}, {MASKED}, r AS (SELECT *, row_number() OVER (PARTITION BY document_id, position ORDER BY NOT keep, logp, i) AS rank FROM masked)
 SELECT document_id, '/line/' || position AS field_id, string_agg(piece, ' ' ORDER BY i) AS kept FROM r WHERE rank <= 8 GROUP BY document_id, position""")
 def uncertain_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = trace_records(spark, sf_dir).withColumn("mask", K.content_mask(F.col("pieces"), F.col("kind")))
+    records = computed_once(trace_records(spark, sf_dir).withColumn("mask", K.content_mask(F.col("pieces"), F.col("kind"))))
     tokens = F.transform("pieces", lambda p, i: F.struct(
         p.alias("piece"), F.get("mask", i).alias("content"), F.get("stats", i)["log_probability"].alias("log_probability")))
     kept = K.uncertain_tokens(tokens, 8)

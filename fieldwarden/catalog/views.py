@@ -287,11 +287,11 @@ def trace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     def stats(length: Column, at: Column) -> Column:
         h = F.col("h")
         return F.struct(
-            (-((length * 7 + at * 13 + h) % 1000) / 100.0).alias("log_probability"),
+            (-((length * 7 + at * 13 + h) % 1000) / 97.0).alias("log_probability"),
             (((at * 31 + h) % 997) / 997.0).alias("normalized_entropy"),
             (((at * 17 + length + h) % 991) / 991.0).alias("probability_margin"),
-            (((at * 11 + h) % 500) / 50.0).alias("logit_margin"),
-            (-((at * 29 + h) % 800) / 50.0).alias("close_log_probability"))
+            (((at * 11 + h) % 500) / 53.0).alias("logit_margin"),
+            (-((at * 29 + h) % 800) / 53.0).alias("close_log_probability"))
 
     return computed_once(rows.select(
         "document_id", "form", F.concat(F.lit("/line/"), F.col("position").cast("string")).alias("field_id"), "text", "kind",
@@ -302,10 +302,10 @@ def trace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRACES_SQL = LINES_SQL + """,
 traces AS (SELECT *, ('0x' || substr(sha256('k:' || document_id || ':' || position), 1, 8))::UBIGINT::BIGINT % 1000 AS h FROM doc_lines),
 pieces AS (SELECT document_id, position, form, line, h, unnest(string_split(line, ' ')) AS piece, unnest(range(len(string_split(line, ' ')))) AS i FROM traces),
-tokens AS (SELECT *, -((length(piece) * 7 + i * 13 + h) % 1000) / 100.0::DOUBLE AS logp, ((i * 31 + h) % 997) / 997.0::DOUBLE AS ent,
-  ((i * 17 + length(piece) + h) % 991) / 991.0::DOUBLE AS pm, ((i * 11 + h) % 500) / 50.0::DOUBLE AS lm, -((i * 29 + h) % 800) / 50.0::DOUBLE AS cl,
+tokens AS (SELECT *, -((length(piece) * 7 + i * 13 + h) % 1000) / 97.0::DOUBLE AS logp, ((i * 31 + h) % 997) / 997.0::DOUBLE AS ent,
+  ((i * 17 + length(piece) + h) % 991) / 991.0::DOUBLE AS pm, ((i * 11 + h) % 500) / 53.0::DOUBLE AS lm, -((i * 29 + h) % 800) / 53.0::DOUBLE AS cl,
   length(trim(piece, CASE WHEN h % 10 = 0 THEN ' "{}[],:' || chr(9) || chr(13) || chr(10) ELSE ' ' || chr(9) || chr(13) || chr(10) END)) > 0 AS content FROM pieces),
-closing AS (SELECT *, -((91 + h) % 1000) / 100.0::DOUBLE AS c_logp FROM traces)"""
+closing AS (SELECT *, -((91 + h) % 1000) / 97.0::DOUBLE AS c_logp FROM traces)"""
 
 
 # ------------------------------------------------------------------ the request log: one request per event
@@ -320,7 +320,7 @@ def as_requests(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("bigint")
     failed = F.col("event_type") == "error"
     return events.select(
-        F.col("event_id").alias("id"), F.col("ts").alias("time"), "user_id", F.col("event_type").alias("model"),
+        F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("time"), "user_id", F.col("event_type").alias("model"),
         (F.col("user_id") % 2 == 0).alias("merge"), (1 + k % 20).alias("fields"), (k * 3).alias("generated_tokens"),
         F.when(~failed, F.col("value")).alias("infer"), F.when(~failed, F.col("value") * 0.75).alias("decode"),
         F.when(~failed, F.col("value") * 0.125).alias("prefix"),

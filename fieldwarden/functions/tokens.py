@@ -50,16 +50,23 @@ def summary_columns(stats: Column, close: Column, mask: Column, text: Column, ki
     """
     n = F.size(stats)
     filled = n > 0
-    series = {s: F.transform(stats, lambda t, s=s: t[s]) for s in TOKEN_STATS}
-    means = {s: _total(v) / n for s, v in series.items()}
-    columns = {f"mean_{s}": F.when(filled, means[s]).otherwise(0.0) for s in TOKEN_STATS}
-    for s, v in series.items():
-        spread = F.aggregate(v, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0).alias("k")),
-                             lambda acc, x: F.struct(
-                                 (acc["a"] + (x - acc["a"]) / (acc["k"] + 1)).alias("a"),
-                                 (acc["b"] + (x - acc["a"]) * (x - (acc["a"] + (x - acc["a"]) / (acc["k"] + 1)))).alias("b"),
-                                 (acc["k"] + 1).alias("k")), lambda acc: acc["b"])
-        columns[f"std_{s}"] = F.when(filled, F.sqrt(spread / n)).otherwise(0.0)
+
+    def values_of(name: str) -> Column:
+        return F.transform(stats, lambda t: t[name])
+
+    def squares(values: Column) -> Column:
+        """Sum of squared deviations, updated value by value."""
+        def add(acc: Column, x: Column) -> Column:
+            mean = acc["mean"] + (x - acc["mean"]) / (acc["k"] + 1)
+            return F.struct(mean.alias("mean"), (acc["sum"] + (x - acc["mean"]) * (x - mean)).alias("sum"),
+                            (acc["k"] + 1).alias("k"))
+
+        start = F.struct(F.lit(0.0).alias("mean"), F.lit(0.0).alias("sum"), F.lit(0).alias("k"))
+        return F.aggregate(values, start, add, lambda acc: acc["sum"])
+
+    series = {s: values_of(s) for s in TOKEN_STATS}
+    columns = {f"mean_{s}": F.when(filled, _total(v) / n).otherwise(0.0) for s, v in series.items()}
+    columns.update({f"std_{s}": F.when(filled, F.sqrt(squares(v) / n)).otherwise(0.0) for s, v in series.items()})
     logp = series["log_probability"]
     extremes = {
         "min_log_probability": F.array_min(logp), "q10_log_probability": array_quantile(logp, .1),
