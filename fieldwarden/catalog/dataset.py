@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..functions.hashing import hash_word, seeded
 from ..operators import cohorts, dataset
-from ..session import read_table
+from ..session import computed_once, read_table
 from . import query
-from .views import (LINES_SQL, MANIFEST_SQL, PREPARED_SQL, computed_once, document_lines, part_manifest,
+from .views import (LINES_SQL, MANIFEST_SQL, PREPARED_SQL, document_lines, part_manifest,
                     prepared_documents)
 
 
@@ -113,7 +113,7 @@ def first_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM reasons WHERE reason IS NULL""")
 def assemble_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = manifest_fields(spark, sf_dir).filter("reason is null")
-    return docs.select("document_id", V.assemble(F.col("fields")).alias("label"))
+    return V.assembled(docs.select("document_id", "fields")).select("document_id", "label")
 
 
 @query("rejected_documents", f"WITH {MANIFEST_SQL} SELECT document_id, reason FROM reasons WHERE reason IS NOT NULL")

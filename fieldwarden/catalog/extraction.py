@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import extraction, rows, shapes
-from ..session import read_table
+from ..session import computed_once, read_table
 from . import query
 from .review import ROWS, r, rounded
-from .views import (ARRAY_ROWS_SQL, LINES_SQL, TEXT_ROWS_SQL, array_rows, computed_once, document_lines, order_fields,
+from .views import (ARRAY_ROWS_SQL, LINES_SQL, TEXT_ROWS_SQL, array_rows, document_lines, order_fields,
                     review_rows, text_rows)
 
 

@@ -62,6 +62,9 @@ def ends_sql(value: str, name: str) -> str:
             f"round(quantile_cont({value}, 0.975), 9) AS {name}_high")
 
 
+SUBSET_INTERVALS = f"""d AS (SELECT subset, document_id, n, reviewed, errors, caught FROM per_document),
+{drawn_sql('d', ['n', 'reviewed', 'errors', 'caught'], 500, 'subset')},
+ends AS (SELECT subset, {ends_sql('reviewed / n', 'review_rate')}, {ends_sql('caught / nullif(errors, 0)', 'error_recall')} FROM drawn GROUP BY subset)"""
 GROUPS = """groups AS (SELECT score, count(*) AS n, count(*) FILTER (NOT correct) AS errors FROM rows WHERE usable GROUP BY score)"""
 FIT = f"""{GROUPS},
 totals AS (SELECT count(*) FILTER (NOT correct) AS errors, count(*) FILTER (NOT correct AND NOT usable) AS forced FROM rows),
@@ -90,11 +93,11 @@ summed AS (SELECT {head}count(*) AS documents, count(*) FILTER (reviewed > 0) AS
   sum(hc)::BIGINT AS hc FROM per_document{group}),
 evaluation AS (SELECT {head}n AS fields, documents, errors, reviewed AS reviewed_fields, {r('reviewed / n', 'review_rate')},
   n - reviewed AS accepted_fields, {r('ok / nullif(n - reviewed, 0)', 'accepted_precision')},
-  {r(wilson_sql('ok', 'n - reviewed', 'low'), 'accepted_precision_low')},
-  {r(wilson_sql('ok', 'n - reviewed', 'high'), 'accepted_precision_high')},
+  {r(wilson_sql('ok', 'n - reviewed', 'low'), 'accepted_precision_wilson_low')},
+  {r(wilson_sql('ok', 'n - reviewed', 'high'), 'accepted_precision_wilson_high')},
   caught AS caught_errors, errors - caught AS missed_errors, {r('caught / nullif(errors, 0)', 'error_recall')},
-  {r(wilson_sql('caught', 'errors', 'low'), 'error_recall_low')},
-  {r(wilson_sql('caught', 'errors', 'high'), 'error_recall_high')},
+  {r(wilson_sql('caught', 'errors', 'low'), 'error_recall_wilson_low')},
+  {r(wilson_sql('caught', 'errors', 'high'), 'error_recall_wilson_high')},
   {r('caught / nullif(reviewed, 0)', 'review_precision')}, rd AS reviewed_documents,
   {r('rd / documents', 'document_review_rate')}, forced AS mandatory_review, n - forced AS head_fields, he AS head_errors,
   {r('hr / nullif(n - forced, 0)', 'head_review_rate')}, {r('hc / nullif(he, 0)', 'head_error_recall')} FROM summed)"""

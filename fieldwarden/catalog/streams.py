@@ -51,7 +51,12 @@ def stream_ingest_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.agg(F.count("*").alias("rows"), F.count_distinct("document_id", "field_id").alias("keys"))
 
 
-@query("stream_completion")
+@query("stream_completion", f"""WITH {REQUESTS_SQL}, g AS (SELECT *, CASE WHEN time - lag(time) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM requests WINDOW w AS (PARTITION BY user_id ORDER BY time)),
+s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY time ROWS UNBOUNDED PRECEDING) AS sid FROM g),
+z AS (SELECT user_id, max(time) + INTERVAL 30 MINUTE AS stop, count(*) AS arrived FROM s GROUP BY user_id, sid),
+c AS (SELECT arrived, CASE WHEN c_custkey IS NULL THEN 'unexpected' WHEN arrived >= 1 + c_custkey % 3 THEN 'complete' ELSE 'incomplete' END AS state
+  FROM z LEFT JOIN customer ON user_id = c_custkey WHERE stop <= (SELECT max(time) - INTERVAL 1 HOUR FROM requests))
+SELECT state, count(*) AS documents, sum(arrived)::BIGINT AS fields FROM c GROUP BY state""")
 def stream_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = as_requests(event_stream(spark, sf_dir)).select(
         F.col("user_id").alias("document_id"), F.col("id").alias("field_id"), "time")

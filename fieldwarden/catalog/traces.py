@@ -9,10 +9,10 @@ from ..functions import tokens as K
 from ..functions.hashing import order_key
 from ..operators import extraction, features, logs
 from ..operators.scale import numbered
-from ..session import read_table
+from ..session import computed_once, read_table
 from . import query
 from .review import ROWS, r, rounded
-from .views import (BRANCHES_SQL, REQUESTS_SQL, TRACES_SQL, computed_once, document_lines, order_branches, request_log,
+from .views import (BRANCHES_SQL, REQUESTS_SQL, TRACES_SQL, document_lines, order_branches, request_log,
                     review_rows, trace_records)
 
 STAT_COLUMNS = dict(zip(K.TOKEN_STATS, ("logp", "ent", "pm", "lm", "cl"), strict=True))

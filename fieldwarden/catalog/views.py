@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
 from ..functions.text import strip, to_json_string
-from ..session import read_table, spread
+from ..session import computed_once, read_table, spread
 
 
 def word(digest: Column, lane: int) -> Column:
@@ -27,15 +27,6 @@ ORDER_FIELDS = {
 }
 
 
-def computed_once(df: DataFrame) -> DataFrame:
-    """Keeps derived columns from being copied into every filter above them.
-
-    Filters are not pushed through a generator, so the long expressions behind
-    a view are evaluated once per row.
-    """
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
-
-
 def order_fields(spark: SparkSession, sf_dir: str, system: str = "a") -> DataFrame:
     """One row per order and column: document_id, form, position, field_id, target and four hash words."""
     orders = spread(read_table(spark, sf_dir, "orders").select(

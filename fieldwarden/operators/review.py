@@ -42,10 +42,10 @@ def evaluate_decisions(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         *by, c("n").alias("fields"), "documents", "errors", c("reviewed").alias("reviewed_fields"),
         F.coalesce(ratio(c("reviewed"), c("n")), F.lit(0.0)).alias("review_rate"), accepted.alias("accepted_fields"),
         ratio(c("accepted_correct"), accepted).alias("accepted_precision"),
-        precision[0].alias("accepted_precision_low"), precision[1].alias("accepted_precision_high"),
+        precision[0].alias("accepted_precision_wilson_low"), precision[1].alias("accepted_precision_wilson_high"),
         c("caught").alias("caught_errors"), (c("errors") - c("caught")).alias("missed_errors"),
-        ratio(c("caught"), c("errors")).alias("error_recall"), recall[0].alias("error_recall_low"),
-        recall[1].alias("error_recall_high"), ratio(c("caught"), c("reviewed")).alias("review_precision"),
+        ratio(c("caught"), c("errors")).alias("error_recall"), recall[0].alias("error_recall_wilson_low"),
+        recall[1].alias("error_recall_wilson_high"), ratio(c("caught"), c("reviewed")).alias("review_precision"),
         "reviewed_documents",
         F.coalesce(ratio(c("reviewed_documents"), c("documents")), F.lit(0.0)).alias("document_review_rate"),
         c("forced").alias("mandatory_review"), (c("n") - c("forced")).alias("head_fields"), "head_errors",

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(name: str = "fieldwarden", master: str | None = None, **conf: str) -> SparkSession:
@@ -70,6 +71,15 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def computed_once(df: DataFrame) -> DataFrame:
+    """Keeps derived columns from being copied into the filters and batch functions above them.
+
+    Neither filters nor projections are merged through a generator, so the
+    expressions below it run once per row.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def task_count(spark: SparkSession) -> int:
     """How many tasks CPU-heavy work on few bytes is cut into."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
