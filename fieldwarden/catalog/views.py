@@ -225,7 +225,7 @@ docs AS (SELECT *, {SPLIT_CASE.format(b=BUCKET.format("'42:' || group_id"))} AS
 
 def part_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One manifest row per part: nested label, description tree, unprinted list; some are broken or empty."""
-    parts = read_table(spark, sf_dir, "part")
+    parts = spread(read_table(spark, sf_dir, "part"))
     number = F.col("p_partkey")
     tags = F.split("p_name", " ")
     label = F.to_json(F.struct(
@@ -330,7 +330,8 @@ REQUESTS_SQL = """requests AS (SELECT event_id AS id, ts AS time, user_id, event
 
 def order_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: prefix tokens and an array of branches (id, prompt and target tokens)."""
-    orders = read_table(spark, sf_dir, "orders")
+    orders = spread(read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
     branches = F.array(*[F.struct(F.lit(name).alias("id"), F.lit(3 + len(name)).cast("bigint").alias("prompt"),
                                   (F.length(F.expr(sql)) + 1).cast("bigint").alias("target"))
                          for name, sql in ORDER_FIELDS.items()])

@@ -7,6 +7,7 @@ flattening nor assembling shuffles anything.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,11 @@ from .text import SPACE_CLASS, json_string, json_type, strip, to_json_string
 MAX_DEPTH = 8
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def escape_pointer(key: Column) -> Column:
     """One object key as a pointer segment (``~`` before ``/``)."""
     return F.replace(F.replace(key, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
@@ -74,24 +80,32 @@ def flatten_label(value: Column, description: Column | None = None, describe_arr
     nodes = F.when(json_type(value).isNotNull(), F.array(F.struct(
         F.lit("").alias("id"), value.alias("value"), description.alias("hint"))))
 
-    def opened(node: Column) -> Column:
-        children = F.transform(_members(node["value"]), lambda m: F.struct(
+    def children(node: Column, hints: Column) -> Column:
+        return F.transform(_members(node["value"]), lambda m: F.struct(
             F.concat(node["id"], F.lit("/"), escape_pointer(m["key"])).alias("id"), m["value"].alias("value"),
-            _child(node["hint"], m["key"]).alias("hint")))
-        return F.when(node["value"].startswith("{"), children).otherwise(F.array(node))
+            F.to_json(F.try_element_at(hints, m["key"])).alias("hint")))
+
+    def opened(node: Column) -> Column:
+        # The description of an object is parsed once for all its members.
+        hints = F.when(node["hint"].startswith("{"), F.from_json(node["hint"], "map<string,variant>"))
+        return F.when(node["value"].startswith("{"), bound(hints, lambda h: children(node, h))).otherwise(F.array(node))
+
+    def open_all(nodes: Column) -> Column:
+        """One more level, only where an object is left."""
+        return bound(nodes, lambda n: F.when(F.exists(n, lambda x: x["value"].startswith("{")),
+                                             F.flatten(F.transform(n, opened))).otherwise(n))
 
     for _ in range(depth):
-        nodes = F.flatten(F.transform(nodes, opened))
-    deep = F.exists(nodes, lambda n: n["value"].startswith("{"))
+        nodes = open_all(nodes)
 
     def leaf(node: Column) -> Column:
         is_array = node["value"].startswith("[")
-        told = F.coalesce(json_string(node["hint"]),
-                          F.when(is_array & F.lit(describe_arrays), array_description(node["hint"])))
+        told = F.when(node["hint"].startswith('"'), json_string(node["hint"])).when(
+            is_array & F.lit(describe_arrays), array_description(node["hint"]))
         return F.struct(node["id"].alias("id"), F.coalesce(told, node["id"]).alias("description"),
                         node["value"].alias("value"), F.when(is_array, "array").otherwise("scalar").alias("kind"))
 
-    return F.when(~deep, F.transform(nodes, leaf))
+    return bound(nodes, lambda n: F.when(~F.exists(n, lambda x: x["value"].startswith("{")), F.transform(n, leaf)))
 
 
 def value_type(value: Column) -> Column:

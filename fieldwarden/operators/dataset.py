@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..functions import values as V
 from ..functions.hashing import hash_bucket, order_key, seeded
 from ..functions.numbers import count_if
-from ..session import staged
+from ..session import computed_once, staged
 from .scale import attach, numbered
 
 # Upper bucket bounds of the splits, out of 100.
@@ -142,8 +142,10 @@ def labelled(manifest: DataFrame, describe_arrays: bool = True) -> DataFrame:
     """
     names = F.from_json(F.when(T.json_type(F.col("unprinted")) == "array", F.col("unprinted")), "array<string>")
     leaves = V.flatten_label(F.col("label"), F.col("description"), describe_arrays)
-    staged_rows = manifest.withColumn("__leaves", leaves).withColumn("__names", F.coalesce(names, F.array().cast("array<string>")))
-    kept = staged_rows.withColumn("fields", F.filter("__leaves", lambda f: ~F.array_contains(F.col("__names"), f["id"])))
+    opened = computed_once(manifest.withColumn("__leaves", leaves).withColumn(
+        "__names", F.coalesce(names, F.array().cast("array<string>"))))
+    kept = computed_once(opened.withColumn("fields", F.filter(
+        "__leaves", lambda f: ~F.array_contains(F.col("__names"), f["id"]))))
     reason = (F.when(~F.col("pages_found"), "Missing image").when(F.col("__leaves").isNull(), "Malformed label")
               .when(F.size("fields") == 0, "No usable fields"))
     return kept.withColumn("reason", reason).drop("__leaves", "__names")

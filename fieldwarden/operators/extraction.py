@@ -7,22 +7,36 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.numbers import count_if, ratio
+from ..functions.values import bound
+from ..session import staged
 from .bootstrap import side_by_side
 
 
 def exact_match(rows: DataFrame) -> DataFrame:
-    """Headline metrics of judged rows in one row: rows are summed per document and form, then once more."""
-    y = F.col("correct").cast("double")
-    scalar, array = F.col("kind") == "scalar", F.col("kind") == "array"
-    documents = rows.groupBy("document_id").agg(F.min(y).alias("all_right")).agg(
+    """Headline metrics of judged rows in one row.
+
+    Rows are read once: they are summed per document, form and kind into a
+    small table, and every metric is a further sum over that.
+    """
+    summed = staged(rows.groupBy("document_id", "form", "kind").agg(
+        F.count("*").alias("n"), count_if(F.col("correct")).alias("y"),
+        count_if(T.is_coordinates(T.generated_text(F.col("text")))).alias("boxes"),
+        count_if(F.col("status") == "truncated").alias("cut")), "summed")
+    documents = summed.groupBy("document_id").agg((F.sum("y") == F.sum("n")).cast("double").alias("all_right")).agg(
         F.count("*").alias("documents"), F.avg("all_right").alias("complete_document_rate"))
-    forms = rows.groupBy("form").agg(F.avg(y).alias("em")).agg(
+    forms = summed.groupBy("form").agg(ratio(F.sum("y"), F.sum("n")).alias("em")).agg(
         F.count("*").alias("forms"), F.avg("em").alias("macro_form_exact_match"))
-    total = rows.agg(
-        F.count("*").alias("fields"), F.avg(y).alias("exact_match"),
-        F.avg(F.when(scalar, y)).alias("scalar_exact_match"), F.avg(F.when(array, y)).alias("array_exact_match"),
-        F.avg(T.is_coordinates(T.generated_text(F.col("text"))).cast("double")).alias("coordinate_rate"),
-        F.avg((F.col("status") == "truncated").cast("double")).alias("truncated_rate"))
+
+    def share(part: str, condition: Column | None = None) -> Column:
+        if condition is None:
+            return ratio(F.sum(part), F.sum("n"))
+        return ratio(F.sum(F.when(condition, F.col(part))), F.sum(F.when(condition, F.col("n"))))
+
+    total = summed.agg(
+        F.sum("n").alias("fields"), share("y").alias("exact_match"),
+        share("y", F.col("kind") == "scalar").alias("scalar_exact_match"),
+        share("y", F.col("kind") == "array").alias("array_exact_match"),
+        share("boxes").alias("coordinate_rate"), share("cut").alias("truncated_rate"))
     return side_by_side(total, documents, forms)
 
 
@@ -67,23 +81,28 @@ def array_metrics(rows: DataFrame) -> DataFrame:
     usable = (F.col("status") == "ok") & (T.json_type(F.col("prediction")) == "array")
     prepared = rows.select("document_id", "field_id", F.col("target").alias("t"),
                            F.when(F.coalesce(usable, F.lit(False)), F.col("prediction")).otherwise("[]").alias("p"))
-    prepared = prepared.withColumn("ct", _texts(T.text_form("t"))) \
-        .withColumn("cp", _texts(T.text_form("p"))) \
-        .withColumn("raw", _texts(F.col("p")))
+    prepared = staged(prepared.select("document_id", "field_id", _texts(T.text_form("t")).alias("ct"),
+                                      _texts(T.text_form("p")).alias("cp"), _texts(F.col("p")).alias("raw")), "arrays")
+
+    def right_keys(mine: Column, theirs: Column, raw: Column) -> Column:
+        return F.size(F.filter(F.map_keys(mine), lambda k: ~F.is_variant_null(F.try_element_at(raw, k)) & (
+            F.to_json(F.try_element_at(theirs, k)) == F.to_json(F.try_element_at(mine, k)))))
+
+    def as_map(text: Column) -> Column:
+        return F.from_json(F.when(text.startswith("{"), text), "map<string,variant>")
 
     def cells(text: Column, at: Column) -> Column:
-        """(cells, right cells) of one target row."""
-        mine = F.from_json(text, "map<string,variant>")
-        theirs = F.from_json(F.get(F.col("cp"), at), "map<string,variant>")
-        theirs_raw = F.from_json(F.get(F.col("raw"), at), "map<string,variant>")
-        is_object, other_object = text.startswith("{"), F.get(F.col("cp"), at).startswith("{")
-        right_keys = F.filter(F.map_keys(mine), lambda k: other_object & ~F.is_variant_null(
-            F.try_element_at(theirs_raw, k)) & (F.to_json(F.try_element_at(theirs, k)) == F.to_json(
-                F.try_element_at(mine, k))))
-        scalar_right = (F.get(F.col("raw"), at) != "null") & (F.get(F.col("cp"), at) == text)
-        return F.struct(F.when(is_object, F.size(F.map_keys(mine))).otherwise(1).cast("bigint").alias("n"),
-                        F.when(is_object, F.size(right_keys)).otherwise(
-                            F.coalesce(scalar_right.cast("int"), F.lit(0))).cast("bigint").alias("right"))
+        """(cells, right cells) of one target row; the maps are parsed once."""
+        other, raw = F.get(F.col("cp"), at), F.get(F.col("raw"), at)
+        in_object = bound(F.struct(as_map(text).alias("m"), as_map(other).alias("t"), as_map(raw).alias("r")), lambda x: F.struct(
+            F.size(F.map_keys(x["m"])).cast("bigint").alias("n"),
+            F.when(x["t"].isNotNull(), right_keys(x["m"], x["t"], x["r"])).otherwise(0).cast("bigint").alias("right")))
+        same = (raw != "null") & (other == text)
+        scalar = F.struct(F.lit(1).cast("bigint").alias("n"), F.coalesce(same.cast("bigint"), F.lit(0).cast("bigint")).alias("right"))
+        return F.when(text.startswith("{") & (other == text) & (raw == text), bound(as_map(text), lambda m: F.struct(
+            F.size(F.map_keys(m)).cast("bigint").alias("n"),
+            F.size(F.filter(F.map_values(m), lambda v: ~F.is_variant_null(v))).cast("bigint").alias("right")))).when(
+                text.startswith("{"), in_object).otherwise(scalar)
 
     per_row = prepared.withColumn("cells", F.transform("ct", cells))
     zero = F.lit(0).cast("bigint")
