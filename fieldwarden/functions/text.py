@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 from typing import Any
 
@@ -159,18 +160,24 @@ def to_json_string(text: Column) -> Column:
     return F.to_json(text.cast("variant"))
 
 
+_encode = json.JSONEncoder(ensure_ascii=False, sort_keys=True).encode
+
+
 def _canonical_json(value: str, as_text: bool) -> str:
     """Order-free serialisation: strings normalised and stripped, scalars as text when asked."""
-    def leaf(item: Any) -> Any:
-        if as_text and not isinstance(item, str):
-            item = "" if item is None else json.dumps(item)
-        return unicodedata.normalize("NFC", item).strip() if isinstance(item, str) else item
+    def tidy(text: str) -> str:
+        return (text if text.isascii() else unicodedata.normalize("NFC", text)).strip()
 
     def walk(item: Any) -> Any:
-        inner = {list: lambda: list(map(walk, item)), dict: lambda: {k: walk(v) for k, v in item.items()}}
-        return inner.get(type(item), lambda: leaf(item))()
+        if isinstance(item, str):
+            return tidy(item)
+        if isinstance(item, dict):
+            return {key: walk(inner) for key, inner in item.items()}
+        if isinstance(item, list):
+            return [walk(inner) for inner in item]
+        return ("" if item is None else json.dumps(item)) if as_text else item
 
-    return json.dumps(walk(json.loads(value)), ensure_ascii=False, sort_keys=True)
+    return _encode(walk(json.loads(value)))
 
 
 @F.pandas_udf(StringType())
@@ -208,14 +215,21 @@ def canonical_json(value: Column) -> Column:
             .otherwise(F.concat(F.lit("j"), deep)))
 
 
+def _equal(canonical: Callable[[Column], Column], prediction: Column, target: Column) -> Column:
+    """Equality of canonical forms, which are only built where the spellings differ."""
+    differs = prediction != target
+    forms = [canonical(F.when(differs, c)) for c in (prediction, target)]
+    return F.coalesce(~differs | (forms[0] == forms[1]), F.lit(False))
+
+
 def equal_as_text(prediction: Column, target: Column) -> Column:
     """Equal when scalars are compared by their text; an array only equals an array."""
-    return F.coalesce(canonical_text(prediction) == canonical_text(target), F.lit(False))
+    return _equal(canonical_text, prediction, target)
 
 
 def equal_as_json(prediction: Column, target: Column) -> Column:
     """Equal with equal JSON types."""
-    return F.coalesce(canonical_json(prediction) == canonical_json(target), F.lit(False))
+    return _equal(canonical_json, prediction, target)
 
 
 #: Comparators by name; add a function of (prediction, target) columns to plug in another one.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import REVIEW_ALL, count_if, finite, wilson
-from ..session import materialize
+from ..session import materialize, staged
 from .bootstrap import replicate_sums
 from .scale import running_totals
 
@@ -19,8 +19,8 @@ def usable() -> Column:
 
 
 def supported_fields(rows: DataFrame) -> DataFrame:
-    """Field ids seen when a policy is fitted, with their row counts."""
-    return rows.groupBy("field_id").agg(F.count("*").alias("field_rows"))
+    """Field ids seen when a policy is fitted, with their row counts; written once, as they belong to the policy."""
+    return staged(rows.groupBy("field_id").agg(F.count("*").alias("field_rows")), "supported")
 
 
 def with_support(rows: DataFrame, supported: DataFrame | None) -> DataFrame:
