@@ -203,7 +203,7 @@ def drop_longest_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_branches(spark, sf_dir).select("document_id", F.array_join(K.drop_longest(sized, 40, 2), ",").alias("kept"))
 
 
-@query("field_groups", f"""WITH {BRANCHES_SQL} SELECT document_id, position // 4 AS "group", string_agg(id, ',' ORDER BY position) AS ids FROM branches GROUP BY ALL""")
+@query("field_groups", f"""WITH {BRANCHES_SQL} SELECT document_id, (position // 4)::BIGINT AS "group", string_agg(id, ',' ORDER BY position) AS ids FROM branches GROUP BY ALL""")
 def field_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.transform("branches", lambda b: b["id"])
     starts = F.sequence(F.lit(0), F.floor((F.size(ids) - 1) / 4).cast("int"))
@@ -290,7 +290,7 @@ def newest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
   count(*) FILTER (status = 'ok') AS status_ok, count(*) FILTER (status = 'truncated') AS status_truncated, count(*) FILTER (status = 'invalid_array') AS status_invalid_array,
   count(*) FILTER (status = 'ok') AS scored_fields, {r("avg(correct::INT) FILTER (status = 'ok')", 'exact_match')} FROM rows GROUP BY document_id""")
 def request_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = review_rows(spark, sf_dir).select(F.col("document_id").alias("request_id"), "status", (F.length("target") + 1).alias("tokens"),
+    rows = review_rows(spark, sf_dir).select(F.col("document_id").alias("request_id"), "status", (F.length("target") + 1).cast("bigint").alias("tokens"),
                                              F.when(F.col("status") == "ok", F.col("correct")).alias("correct"))
     return rounded(logs.request_records(rows))
 

@@ -154,7 +154,7 @@ def labelled(manifest: DataFrame, describe_arrays: bool = True) -> DataFrame:
 def exploded(documents: DataFrame, *keep: str) -> DataFrame:
     """One row per field: the kept columns, then position, field_id, description, value, kind."""
     return documents.select(*keep, F.posexplode("fields").alias("position", "f")).select(
-        *keep, "position", F.col("f.id").alias("field_id"), F.col("f.description").alias("description"),
+        *keep, F.col("position").cast("bigint").alias("position"), F.col("f.id").alias("field_id"), F.col("f.description").alias("description"),
         F.col("f.value").alias("value"), F.col("f.kind").alias("kind"))
 
 

@@ -34,7 +34,7 @@ def heuristic_heads(summary: DataFrame, *keep: str) -> DataFrame:
 
 def normalizers(vectors: DataFrame, column: str, floor: float = VECTOR_FLOOR) -> DataFrame:
     """Mean and sample deviation of every dimension: ``(dim, mean, std)``, deviations not below ``floor``."""
-    return (vectors.select(F.posexplode(column).alias("dim", "x")).groupBy("dim")
+    return (vectors.select(F.posexplode(column).alias("dim", "x")).groupBy(F.col("dim").cast("bigint").alias("dim"))
             .agg(F.avg(F.col("x").cast("double")).alias("mean"),
                  F.greatest(F.lit(floor), F.stddev_samp(F.col("x").cast("double"))).alias("std")))
 

@@ -110,7 +110,7 @@ def first_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str], coun
     local = Window.partitionBy(*by, "__shard").orderBy(*order)
     kept = (df.withColumn("__shard", shard).withColumn(name, F.row_number().over(local))
             .filter(F.col(name) <= limit).drop(name, "__shard"))
-    ranked = kept.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    ranked = kept.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint"))
     return ranked.filter(F.col(name) <= count)
 
 
