@@ -33,8 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder.
 
     ``spark.checkpoint.dir`` (or a folder already set on the context) is used
-    as it is. Only a session without either, as in tests, gets a folder of its
-    own.
+    as it is. A session without either gets a folder of its own only when its
+    executors run on this machine, as in tests; a cluster must name one.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured.rstrip("/")
     if current is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-fieldwarden-"))
         current = context.getCheckpointDir()
     return current.rstrip("/")
