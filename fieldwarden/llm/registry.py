@@ -1,0 +1,34 @@
+"""Registered queries of the corpus operators."""
+
+from __future__ import annotations
+
+import importlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+MODULES = ("toxicity", "quality", "urls", "archives", "packing")
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, with the SQL that must give the same rows where SQL can say it."""
+    def register(function: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered twice")
+        QUERIES[name] = function
+        if sql is not None:
+            SQL[name] = sql
+        return function
+
+    return register
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    for module in MODULES:
+        importlib.import_module(f"fieldwarden.llm.{module}")
