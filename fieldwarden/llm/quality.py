@@ -21,7 +21,7 @@ DELTA = 0.05
 #: Strata with their own cutoffs: those with the most labels. Documents elsewhere are judged by the base rule alone.
 MAX_STRATA = 64
 #: Good labels lost that one bad label caught must outweigh, on the part of the labels that choose among certified cutoffs.
-GOOD_WEIGHT = 10
+GOOD_WEIGHT = 100
 
 #: Rule -> (feature, cutoffs from the loosest to the strictest). Values at or beyond a cutoff are rejected.
 RULES: dict[str, tuple[str, tuple[float, ...]]] = {
