@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ("toxicity", "quality", "urls", "archives", "packing")
+MODULES = ("toxicity", "quality", "substrings", "urls", "archives", "packing")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
