@@ -20,7 +20,7 @@ from .registry import query
 SIZES = (3, 4, 5)
 #: N-grams are hashed to ``2**BITS`` features.
 BITS = 18
-#: Most labelled rows the fit reads (expected size of a sample by text hash): the documented bound of the training set.
+#: Most labelled documents that the fit reads: the documented bound of the training set.
 SAMPLE_ROWS = 40_000
 #: Features with the largest class difference that the linear model sees.
 FEATURES = 4096
@@ -89,18 +89,17 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``text, toxic`` of labelled documents, about ``sample_rows`` of them chosen by a hash of the text.
+    """``text, toxic`` of at most ``sample_rows`` labelled documents, those with the smallest hashes of their ids.
 
     Null texts are empty; null labels are no labels; of repeated labels of a
-    document the larger counts.
+    document the larger counts. The sample is small by its limit, so it is
+    broadcast and no text is shuffled.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    share = min(1.0, sample_rows / max(1, known.count()))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    if share < 1:
-        texts = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return texts.join(known, "doc_id").select("text", "toxic")
+    return texts.join(F.broadcast(sample), "doc_id").select("text", "toxic")
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> ToxicityModel:
