@@ -1,7 +1,84 @@
-"""Corpus pipeline: reject toxic and poor documents, keep one of each group of near copies, cut repeats, pack."""
+"""Corpus pipeline: reject toxic and poor documents, keep one of each group of near copies, cut repeats, pack.
+
+Every stage takes ``(spark, docs, sf_dir)`` and works on all rows that its
+predecessor kept; its result is written as Parquet and read again as the next
+one's ``docs``. All but the last return the columns of ``documents``. Labels
+come from the tables in ``sf_dir``. Rows without an id are kept by the
+filters that need none, and repeated rows are decided alike.
+"""
 
 from __future__ import annotations
-STAGES = []
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldwarden.llm import jaccard, packing, quality, substrings, toxicity
+from fieldwarden.session import read_table, staged
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score below the cutoff; the model learns from the labels of documents still there."""
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.select("doc_id", "text"), labels.filter(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.scored(docs, model).filter(~F.col("toxic")).select(*docs.columns)
+
+
+def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and the certified cutoffs of their language."""
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    counted = quality.with_counts(docs.withColumn("identity", F.md5(F.coalesce("text", F.lit("")))))
+    counted = staged(counted, "counted")
+    cutoffs = quality.certified_cutoffs(quality.labelled_counts(counted, labels))
+    return quality.judged(counted, cutoffs).filter("kept").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at a similarity of 0.8: that with the least id.
+
+    Of rows that repeat an id within their group one is kept; rows whose group
+    has no id at all are kept. Texts without a word are no copies of each other.
+    """
+    classes = jaccard.near_duplicates(docs.select("doc_id", "text"), jaccard.Similarity(5, 80))
+    gone = classes.filter(F.col("component_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") != F.col("component_id"))))
+    gone = gone.select("doc_id").distinct()
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    repeated = (docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 words and more that an earlier one has.
+
+    A text that loses words becomes its kept words joined by one space and
+    ``n_chars`` its length; all others stay as they are.
+    """
+    cut = substrings.cut_repeats(docs.select("doc_id", "text"), with_text=True).filter("n_removed > 0")
+    cut = cut.select("doc_id", F.col("words_sha256").alias("__words"), F.col("kept").alias("__kept")).dropDuplicates(["doc_id", "__words"])
+    cut = staged(cut, "kept")
+    marked = docs.withColumn("__words", substrings.word_digest(F.col("text"))["sha256"])
+    joined = marked.join(cut, ["doc_id", "__words"], "left")
+    new = {"text": F.coalesce("__kept", "text"),
+           "n_chars": F.when(F.col("__kept").isNotNull(), F.length("__kept")).otherwise(F.col("n_chars"))}
+    return joined.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(c)).alias(c) for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents left, packed into sequences of 2048 ids."""
+    pieces = packing.cut_pieces(docs.select("doc_id", "text"), packing.default_encoder(), with_ids=False)
+    return packing.pack(staged(pieces.drop("ids"), "pieces"))
+
+
+STAGES = [("toxicity", reject_toxic), ("quality_rules", reject_poor), ("near_copies", drop_near_copies),
+          ("substring_dedup", cut_repeats), ("packing", pack)]
+
+#: Model fits and segmentations have no SQL; tests/llm compares the stages with plain searches.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.range(1)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,8 +22,10 @@ SIZES = (3, 4, 5)
 BITS = 18
 #: Most labelled documents that the fit reads: the documented bound of the training set.
 SAMPLE_ROWS = 40_000
-#: Features with the largest class difference that the linear model sees.
+#: Most features that the linear model sees: those with the largest class difference ...
 FEATURES = 4096
+#: ... if it is beyond this chi-square value, which few n-grams of a small training set reach by chance.
+CHI_SQUARE = 20.0
 #: A document is toxic from this score on.
 CUTOFF = 0.3
 
@@ -123,7 +125,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     ratio = np.log(rate["toxic"] / rate["toxic"].sum()) - np.log(rate["clean"] / rate["clean"].sum())
     pooled = (counts["clean"] + counts["toxic"] + 1.0).to_numpy() / (totals.sum() + 2.0)
     spread = (rate["toxic"] - rate["clean"]) ** 2 / (pooled * (1 - np.minimum(pooled, 1 - 1e-9)))
-    chosen = np.sort(np.argsort(-spread, kind="stable")[:features])
+    chi_square = spread / (1 / totals["toxic"] + 1 / totals["clean"])
+    chosen = np.argsort(-spread, kind="stable")[:features]
+    chosen = np.sort(chosen[chi_square[chosen] >= min(CHI_SQUARE, chi_square.max())])
     buckets, scale = counts["bucket"].to_numpy()[chosen], ratio[chosen]
     place = np.full(1 << BITS, -1)
     place[buckets] = np.arange(len(buckets))
@@ -135,7 +139,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
         return Vectors.sparse(len(scale), at.tolist(), scale[at].tolist())
 
     inputs = rows.select(vector("text").alias("features"), F.col("toxic").cast("double").alias("label"))
-    model = LogisticRegression(maxIter=60, regParam=1e-5, standardization=False).fit(staged(inputs, "grams"))
+    model = LogisticRegression(maxIter=60, regParam=1e-4, standardization=False).fit(staged(inputs, "grams"))
     weights[buckets] = model.coefficients.toArray() * scale
     return ToxicityModel(float(model.intercept), weights)
 
