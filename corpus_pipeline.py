@@ -35,13 +35,13 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8: that with the least id.
 
-    Of rows that repeat an id within their group one is kept; rows whose group
-    has no id at all are kept. Texts without a word are no copies of each other.
+    Rows that repeat an id stand or fall together, and equal ones are kept
+    once. Rows without an id are kept. Texts without a word are no copies of
+    each other.
     """
     classes = jaccard.near_duplicates(docs.select("doc_id", "text"), jaccard.Similarity(5, 80))
-    gone = classes.filter(F.col("component_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") != F.col("component_id"))))
-    gone = gone.select("doc_id").distinct()
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    gone = classes.filter("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
     repeated = (docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
