@@ -218,10 +218,11 @@ def interleaved_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.run_order(prepared_documents(spark, sf_dir), balanced=True).select("document_id", "form", "run_position")
 
 
-@query("strided_sample", f"""WITH {PREPARED_SQL}, n AS (SELECT document_id, row_number() OVER (ORDER BY document_id) AS r FROM docs)
-SELECT document_id FROM n WHERE (r - 1) % 7 = 0 AND r <= 7 * 1000""")
+@query("strided_sample", f"""WITH {PREPARED_SQL}, n AS (SELECT document_id, row_number() OVER (ORDER BY document_id) - 1 AS r,
+  greatest(1, count(*) OVER () // 1000) AS stride FROM docs)
+SELECT document_id FROM n WHERE r % stride = 0 AND r < stride * 1000""")
 def strided_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cohorts.strided(prepared_documents(spark, sf_dir).select("document_id"), 7, 1000)
+    return cohorts.strided(prepared_documents(spark, sf_dir).select("document_id"), 1000)
 
 
 @query("document_folds", f"""WITH {PREPARED_SQL}, g AS (SELECT DISTINCT group_id FROM docs),

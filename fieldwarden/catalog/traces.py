@@ -286,13 +286,17 @@ def newest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.newest(request_log(spark, sf_dir), 200).select("id", "model", "fields")
 
 
-@query("request_records", f"""WITH {ROWS} SELECT document_id AS request_id, count(*) AS fields, sum(length(target) + 1)::BIGINT AS generated_tokens, max(length(target) + 1) AS longest_field_tokens,
-  count(*) FILTER (status = 'ok') AS status_ok, count(*) FILTER (status = 'truncated') AS status_truncated, count(*) FILTER (status = 'invalid_array') AS status_invalid_array,
-  count(*) FILTER (status = 'ok') AS scored_fields, {r("avg(correct::INT) FILTER (status = 'ok')", 'exact_match')} FROM rows GROUP BY document_id""")
+@query("request_records", f"""WITH {ROWS}, s AS (SELECT document_id, status || '=' || count(*) AS named FROM rows GROUP BY document_id, status),
+n AS (SELECT document_id, string_agg(named, ',' ORDER BY named) AS statuses FROM s GROUP BY document_id)
+SELECT document_id AS request_id, count(*) AS fields, sum(length(target) + 1)::BIGINT AS generated_tokens, max(length(target) + 1) AS longest_field_tokens,
+  any_value(statuses) AS statuses, count(*) FILTER (status = 'ok') AS scored_fields, {r("avg(correct::INT) FILTER (status = 'ok')", 'exact_match')},
+  {r('sum(length(target) + 1) / (nullif(count(*) % 5, 0) / 4.0)', 'tokens_per_s')}, {r('count(*) / (count(*) / 2.0 + 1)', 'fields_per_s')}
+FROM rows JOIN n USING (document_id) GROUP BY document_id""")
 def request_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = review_rows(spark, sf_dir).select(F.col("document_id").alias("request_id"), "status", (F.length("target") + 1).cast("bigint").alias("tokens"),
                                              F.when(F.col("status") == "ok", F.col("correct")).alias("correct"))
-    return rounded(logs.request_records(rows))
+    timings = rows.groupBy("request_id").agg((F.count("*") % 5 / 4).alias("decode"), (F.count("*") / 2 + 1).alias("infer"))
+    return rounded(logs.request_records(rows, timings))
 
 
 @query("stage_shares", """WITH s AS (SELECT sum(l_extendedprice) AS total, sum(l_quantity) AS encode, sum(l_extendedprice * 0.25::DOUBLE) AS steps,

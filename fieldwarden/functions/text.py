@@ -138,21 +138,29 @@ def string_features(text: Column) -> Column:
 
 # ------------------------------------------------------------------ JSON values
 
+def json_strip(value: Column) -> Column:
+    """JSON text without the white space JSON allows around a value."""
+    return F.btrim(value, F.lit(" \t\n\r"))
+
+
 def json_type(value: Column) -> Column:
     """JSON type of a JSON text: string, bool, null, int, float, array, object (null for broken JSON).
 
     The first character decides the type once the text is known to parse.
+    White space around the value does not matter.
     """
-    first = F.substring(F.ltrim(value), 1, 1)
-    whole = value.rlike(r"\A\s*-?[0-9]+\s*\z")
-    return F.when(F.try_parse_json(value).isNotNull(), (
+    bare = json_strip(value)
+    first = F.substring(bare, 1, 1)
+    whole = bare.rlike(r"\A-?[0-9]+\z")
+    return F.when(F.try_parse_json(bare).isNotNull(), (
         F.when(first == '"', "string").when(first == "{", "object").when(first == "[", "array")
         .when(first.isin("t", "f"), "bool").when(first == "n", "null").when(whole, "int").otherwise("float")))
 
 
 def json_string(value: Column) -> Column:
     """The string of a JSON string, null for anything else."""
-    return F.when(F.ltrim(value).startswith('"'), F.try_variant_get(F.try_parse_json(value), "$", "string"))
+    bare = json_strip(value)
+    return F.when(bare.startswith('"'), F.try_variant_get(F.try_parse_json(bare), "$", "string"))
 
 
 def to_json_string(text: Column) -> Column:

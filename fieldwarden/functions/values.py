@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..session import computed_once
-from .text import SPACE_CLASS, json_string, json_type, strip, to_json_string
+from .text import SPACE_CLASS, json_string, json_strip, json_type, strip, to_json_string
 
-#: Deepest nesting of objects a label may have; deeper labels are reported, not cut.
-MAX_DEPTH = 8
+#: A JSON string; possessive, so that long strings cost no stack.
+JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -40,14 +40,32 @@ def _members(value: Column) -> Column:
     """Members of a JSON object in source order: ``array<struct<key, value>>`` with JSON text values.
 
     The typed map tells strings from structures; the text map keeps key order
-    and number spelling inside them.
+    and number spelling inside them. Of a repeated key the last value counts,
+    in the place of the first.
     """
     typed = F.from_json(value, "map<string,variant>")
     text = F.from_json(value, "map<string,string>")
-    return F.zip_with(F.map_entries(typed), F.map_values(text), lambda e, t: F.struct(
+    members = F.zip_with(F.map_entries(typed), F.map_values(text), lambda e, t: F.struct(
         e["key"].alias("key"), F.when(F.schema_of_variant(e["value"]) == "STRING", F.to_json(e["value"]))
         .otherwise(F.coalesce(t, F.lit("null"))).alias("value")))
 
+    def last_wins(m: Column) -> Column:
+        keys = F.transform(m, lambda x: x["key"])
+        firsts = bound(keys, lambda k: F.filter(m, lambda x, i: F.array_position(k, x["key"]) == i + 1))
+        return F.transform(firsts, lambda x: F.element_at(F.filter(m, lambda y: y["key"] == x["key"]), -1))
+
+    return bound(members, lambda m: F.when(
+        F.size(F.array_distinct(F.transform(m, lambda x: x["key"]))) < F.size(m), last_wins(m)).otherwise(m))
+
+
+def nesting(value: Column) -> Column:
+    """How deep the objects of a JSON text are nested: the most braces open at once outside strings."""
+    braces = F.split(F.regexp_replace(value, JSON_STRING + r"|[^{}\"]", ""), "")
+    steps = F.transform(F.array_remove(braces, ""), lambda b: F.when(b == "{", 1).otherwise(-1))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(steps, start, lambda acc, x: F.struct((acc["now"] + x).alias("now"), F.greatest(
+        acc["most"], acc["now"] + x).alias("most")), lambda acc: acc["most"])
+
 
 def compact(value: Column) -> Column:
     """A JSON structure without spaces, in its own key order."""
@@ -67,17 +85,17 @@ def array_description(description: Column) -> Column:
     return F.coalesce(json_string(only), json_string(_child(only, F.lit("__desc"))))
 
 
-def flatten_label(value: Column, description: Column | None = None, describe_arrays: bool = True,
-                  depth: int = MAX_DEPTH) -> Column:
+def flatten_label(value: Column, description: Column | None = None, describe_arrays: bool = True) -> Column:
     """Leaves of a label: ``array<struct<id, description, value, kind>>`` in key order.
 
     Objects are opened, arrays stay whole (their row count is unknown when a
     field is requested). ``description`` is a tree with the same keys; a leaf
-    without its own text is described by its id. Null for broken JSON or a
-    label nested deeper than ``depth``.
+    without its own text is described by its id. Objects are opened until none
+    is left. Null for broken JSON.
     """
-    description = F.lit(None).cast("string") if description is None else description
-    nodes = F.when(json_type(value).isNotNull(), F.array(F.struct(
+    description = F.lit(None).cast("string") if description is None else json_strip(description)
+    value = json_strip(value)
+    root = F.when(json_type(value).isNotNull(), F.array(F.struct(
         F.lit("").alias("id"), value.alias("value"), description.alias("hint"))))
 
     def children(node: Column, hints: Column) -> Column:
@@ -95,8 +113,8 @@ def flatten_label(value: Column, description: Column | None = None, describe_arr
         return bound(nodes, lambda n: F.when(F.exists(n, lambda x: x["value"].startswith("{")),
                                              F.flatten(F.transform(n, opened))).otherwise(n))
 
-    for _ in range(depth):
-        nodes = open_all(nodes)
+    levels = bound(nesting(value), lambda d: F.when(d > 0, F.sequence(F.lit(1), d)))
+    nodes = F.aggregate(F.coalesce(levels, F.array().cast("array<int>")), root, lambda nodes, _: open_all(nodes))
 
     def leaf(node: Column) -> Column:
         is_array = node["value"].startswith("[")
@@ -105,7 +123,7 @@ def flatten_label(value: Column, description: Column | None = None, describe_arr
         return F.struct(node["id"].alias("id"), F.coalesce(told, node["id"]).alias("description"),
                         node["value"].alias("value"), F.when(is_array, "array").otherwise("scalar").alias("kind"))
 
-    return bound(nodes, lambda n: F.when(~F.exists(n, lambda x: x["value"].startswith("{")), F.transform(n, leaf)))
+    return F.transform(nodes, leaf)
 
 
 def value_type(value: Column) -> Column:
@@ -150,10 +168,11 @@ def from_text(text: Column, kind: Column, closed: Column | None = None) -> Colum
 
 
 def plain_value(value: Column) -> Column:
-    """A scalar label value with null as ``""`` and numbers as text (JSON text in and out)."""
-    kind = json_type(value)
-    return (F.when(kind == "null", '""').when(kind.isin("int", "float"), F.concat(F.lit('"'), strip(value), F.lit('"')))
-            .otherwise(value))
+    """A label value with every null in it as ``""`` and every number as its text (JSON text in and out)."""
+    tokens = F.regexp_extract_all(value, F.lit(JSON_STRING + r"|-?[0-9][0-9.eE+\-]*|true|false|null|[\[\]{},:]"), F.lit(0))
+    plain = F.transform(tokens, lambda t: F.when(t == "null", '""').when(
+        t.rlike(r"\A[-0-9]"), F.concat(F.lit('"'), t, F.lit('"'))).otherwise(t))
+    return F.array_join(plain, "")
 
 
 def key_text(field_id: Column, description: Column) -> Column:
@@ -254,9 +273,9 @@ def prompt_fields(prompt: Column) -> Column:
         F.when(n["node"].startswith("array"), "array").otherwise("scalar").alias("kind")))
 
 
-def skeleton(tree: Column, depth: int = MAX_DEPTH) -> Column:
+def skeleton(tree: Column) -> Column:
     """Field requests of a description tree: objects are opened, ``__desc`` is left out."""
-    fields = flatten_label(tree, tree, depth=depth)
+    fields = flatten_label(tree, tree)
     kept = F.filter(fields, lambda f: ~f["id"].endswith("/__desc"))
     return F.transform(kept, lambda f: F.struct(f["id"].alias("id"), f["description"].alias("description"),
                                                 f["kind"].alias("kind")))

@@ -136,10 +136,12 @@ def resolved(plan: DataFrame, documents: DataFrame) -> DataFrame:
     return plan.join(known, "document_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def strided(documents: DataFrame, stride: int, limit: int) -> DataFrame:
-    """Every ``stride``-th document in id order, at most ``limit`` of them (an even sample over sorted ids)."""
-    ranked = numbered(documents, ["document_id"], "__n")
-    return ranked.filter(((F.col("__n") - 1) % stride == 0) & (F.col("__n") <= stride * limit)).drop("__n")
+def strided(documents: DataFrame, count: int) -> DataFrame:
+    """An even sample of at most ``count`` documents over the sorted ids: every ``n // count``-th of all ``n``."""
+    stride = F.greatest(F.lit(1), F.floor(documents.agg(F.count("*")).scalar() / F.lit(count)))
+    ranked = numbered(documents, ["document_id"], "__n").withColumn("__stride", stride)
+    at = F.col("__n") - 1
+    return ranked.filter((at % F.col("__stride") == 0) & (at < F.col("__stride") * count)).drop("__n", "__stride")
 
 
 def folds(rows: DataFrame, count: int = 4, seed: int = 42) -> DataFrame:

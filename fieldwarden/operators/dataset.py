@@ -251,13 +251,18 @@ def chat_turns(conversations: DataFrame) -> DataFrame:
 def chat_fields(labels: DataFrame) -> DataFrame:
     """Fields of chat labels ``(document_id, prompt, answer)``; an answer that is no JSON object gets a reason.
 
-    Descriptions come from the field list of the prompt; null answers read as
-    empty text and numbers as their text.
+    Descriptions come from the field list of the prompt, of a key listed twice
+    from its last line; null answers read as empty text and numbers as their
+    text.
     """
-    told = F.map_from_entries(F.array_distinct(F.transform(V.prompt_fields(F.col("prompt")), lambda f: F.struct(
-        f["id"].alias("key"), f["description"].alias("value")))))
+    told = V.prompt_fields(F.col("prompt"))
+
+    def description(f: Column) -> Column:
+        lines = F.filter(F.col("__told"), lambda t: t["id"] == f["id"])
+        return F.coalesce(F.try_element_at(lines, F.lit(-1))["description"], f["id"])
+
     fields = F.transform(V.flatten_label(F.col("answer")), lambda f: F.struct(
-        f["id"].alias("id"), F.coalesce(F.try_element_at(F.col("__told"), f["id"]), f["id"]).alias("description"),
+        f["id"].alias("id"), description(f).alias("description"),
         V.plain_value(f["value"]).alias("value"), f["kind"].alias("kind")))
     is_object = F.coalesce(T.json_type(F.col("answer")) == "object", F.lit(False))
     return (labels.withColumn("__told", told).withColumn("fields", F.when(is_object, fields))

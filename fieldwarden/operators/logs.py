@@ -36,13 +36,26 @@ def newest(records: DataFrame, limit: int, time: str = "time", tie: str = "id")
     return records.orderBy(F.desc(time), F.desc(tie)).limit(limit)
 
 
-def request_records(fields: DataFrame, statuses: Sequence[str] = ("ok", "truncated", "invalid_array")) -> DataFrame:
-    """Per request: fields, tokens, longest field, count of every status and exact match of the scored fields."""
-    return fields.groupBy("request_id").agg(
-        F.count("*").alias("fields"), F.sum("tokens").alias("generated_tokens"),
-        F.max("tokens").alias("longest_field_tokens"),
-        *[count_if(F.col("status") == s).alias(f"status_{s}") for s in statuses],
-        F.count("correct").alias("scored_fields"), F.avg(F.col("correct").cast("double")).alias("exact_match"))
+def request_records(fields: DataFrame, timings: DataFrame | None = None) -> DataFrame:
+    """Per request: fields, tokens, longest field, the count of every status and exact match of the scored fields.
+
+    ``statuses`` lists ``status=count`` in the order of the names, whatever
+    statuses there are. With ``timings`` (``request_id, decode, infer``
+    seconds) tokens and fields per second are added; no seconds give null.
+    """
+    per_status = fields.groupBy("request_id", "status").agg(
+        F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("longest"),
+        F.count("correct").alias("scored"), F.sum(F.col("correct").cast("double")).alias("right"))
+    named = F.concat(F.coalesce("status", F.lit("none")), F.lit("="), F.col("n").cast("string"))
+    records = per_status.groupBy("request_id").agg(
+        F.sum("n").alias("fields"), F.sum("tokens").alias("generated_tokens"), F.max("longest").alias("longest_field_tokens"),
+        F.array_join(F.sort_array(F.collect_list(named)), ",").alias("statuses"),
+        F.sum("scored").alias("scored_fields"), F.try_divide(F.sum("right"), F.sum("scored")).alias("exact_match"))
+    if timings is None:
+        return records
+    return records.join(timings, "request_id", "left").withColumns({
+        "tokens_per_s": F.try_divide("generated_tokens", "decode"), "fields_per_s": F.try_divide("fields", "infer")}).drop(
+            "decode", "infer")
 
 
 def stage_shares(profile: DataFrame, stages: Sequence[str]) -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Lets a JSON label repeat a key; the last value counts.
+REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
+
 def build_session(name: str = "fieldwarden", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, skew-join handling and UTC timestamps."""
     builder = SparkSession.builder.appName(name)
@@ -21,6 +25,7 @@ def build_session(name: str = "fieldwarden", master: str | None = None, **conf:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        REPEATED_KEYS: "true",
         "spark.ui.showConsoleProgress": "false",
         **conf,
     }
@@ -100,4 +105,5 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; filters and columns chosen later reach this Parquet scan."""
+    spark.conf.set(REPEATED_KEYS, "true")
     return spark.read.parquet(table_path(sf_dir, name))
