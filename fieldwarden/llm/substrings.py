@@ -40,11 +40,12 @@ def _runs(symbol, low, high, text):
     last = np.append(first[1:], len(symbol)) - 1
     length = (last - first + 1).astype(np.uint64)
     named = np.where(length > 1, mix(symbol[first] + mix(length)), symbol[first])
-    text, low, high = text[first], low[first], high[last]
-    low, high = low.copy(), high.copy()
-    before, after = np.append(True, text[1:] != text[:-1]), np.append(text[1:] != text[:-1], True)
-    left, right = np.append(low[:1], low[:-1]), np.append(high[1:], high[-1:])
-    return named, np.where(before, low - 1, left), np.where(after, high + 1, right), text
+    before = np.append(True, text[1:] != text[:-1])[first]
+    after = np.append(text[1:] != text[:-1], True)[last]
+    # The run ends where its neighbours differ: it depends on those two symbols, not on the runs they stand in.
+    left = np.where(before, low[first] - 1, low[first - 1])
+    right = np.where(after, high[last] + 1, high[np.minimum(last + 1, len(high) - 1)])
+    return named, left, right, text[first]
 
 
 def _pairs(symbol, low, high, text, salt):

@@ -80,6 +80,19 @@ def test_kept_text(spark):
     assert kept == {1: None, 2: "three four", 3: None}
 
 
+@pytest.mark.parametrize("seed,window,vocabulary", [(2, 10, 3), (4, 20, 2), (5, 50, 5), (6, 12, 400)])
+def test_a_pick_depends_on_the_window_alone(seed, window, vocabulary):
+    picked = {}
+    for _, text in corpus(seed, 150, vocabulary):
+        words = WORD.findall(text or "")
+        if len(words) < window:
+            continue
+        (names,) = word_names(text.encode())
+        _, start, count, symbol = substrings.window_picks(names, np.array([0]), np.array([len(names)]), window)
+        for at, name in enumerate(np.repeat(symbol, count)):
+            assert picked.setdefault(tuple(words[at:at + window]), name) == name
+
+
 def test_equal_windows_pick_equal_symbols():
     draw = random.Random(5)
     passage = [f"p{draw.randrange(500)}" for _ in range(80)]
