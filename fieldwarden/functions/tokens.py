@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import JSON_SYNTAX, PIECE_SPACE, value_kind
+from .text import JSON_SYNTAX, PIECE_SPACE, digit_class, value_kind
 
 # Per-token statistics, value kinds, and the names of a summary's columns.
 TOKEN_STATS = ("log_probability", "normalized_entropy", "probability_margin", "logit_margin", "close_log_probability")
@@ -77,7 +77,7 @@ def summary_columns(stats: Column, close: Column, mask: Column, text: Column, ki
     columns.update({f"close_{s}": close[s] for s in TOKEN_STATS})
     columns["log1p_tokens"] = F.log1p(n)
     columns["content_share"] = F.when(F.size(mask) > 0, F.size(F.filter(mask, lambda m: m)) / F.size(mask)).otherwise(0.0)
-    digits = F.length(text) - F.length(F.regexp_replace(text, r"\p{Nd}", ""))
+    digits = F.length(text) - F.length(F.regexp_replace(text, digit_class(), ""))
     columns["digit_share"] = digits / F.greatest(F.lit(1), F.length(text))
     found = value_kind(text, kind)
     columns.update({f"kind_{k}": (found == k).cast("double") for k in VALUE_KINDS})

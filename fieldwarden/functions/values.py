@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from ..session import computed_once
 from .text import SPACE_CLASS, json_string, json_strip, json_type, strip, to_json_string
 
 #: A JSON string; possessive, so that long strings cost no stack.
@@ -49,13 +48,18 @@ def _members(value: Column) -> Column:
         e["key"].alias("key"), F.when(F.schema_of_variant(e["value"]) == "STRING", F.to_json(e["value"]))
         .otherwise(F.coalesce(t, F.lit("null"))).alias("value")))
 
-    def last_wins(m: Column) -> Column:
+    return bound(members, last_wins)
+
+
+def last_wins(members: Column) -> Column:
+    """``array<struct<key, value>>`` with one entry per key: the last value, in the place of the first."""
+    def chosen(m: Column) -> Column:
         keys = F.transform(m, lambda x: x["key"])
         firsts = bound(keys, lambda k: F.filter(m, lambda x, i: F.array_position(k, x["key"]) == i + 1))
         return F.transform(firsts, lambda x: F.element_at(F.filter(m, lambda y: y["key"] == x["key"]), -1))
 
-    return bound(members, lambda m: F.when(
-        F.size(F.array_distinct(F.transform(m, lambda x: x["key"]))) < F.size(m), last_wins(m)).otherwise(m))
+    distinct = F.array_distinct(F.transform(members, lambda x: x["key"]))
+    return F.when(F.size(distinct) < F.size(members), chosen(members)).otherwise(members)
 
 
 def nesting(value: Column) -> Column:
@@ -192,29 +196,46 @@ def target_text(fields: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
 
 
-@F.pandas_udf(StringType())
-def _assemble_batch(fields: pd.Series) -> pd.Series:
-    def nest(pairs: list[dict]) -> str | None:
-        if pairs is None:
-            return None
-        tree: dict = {}
-        for pair in pairs:
-            path = [s.replace("~1", "/").replace("~0", "~") for s in pair["id"].lstrip("/").split("/")]
-            branch = tree
-            for segment in path[:-1]:
-                branch = branch.setdefault(segment, {})
-            branch[path[-1]] = json.loads(pair["value"])
-        return json.dumps(tree, ensure_ascii=False, separators=(",", ":"))
-
-    return fields.map(nest)
+def _value_text(value: Column) -> Column:
+    """A JSON value written compactly."""
+    kind = json_type(value)
+    return (F.when(kind == "string", to_json_string(json_string(value)))
+            .when(kind.isin("array", "object"), compact(value)).otherwise(json_strip(value)))
 
 
 def assembled(documents: DataFrame, fields: str = "fields", name: str = "label") -> DataFrame:
-    """Adds the nested JSON of each row's ``array<struct<id, value, ..>>`` (pointer ids, JSON text values)."""
-    pairs = F.transform(fields, lambda f: F.struct(f["id"].alias("id"), f["value"].alias("value")))
-    # The batch function takes a finished column: Spark does not recognise it around nested lambdas.
-    ready = computed_once(documents.withColumn("__pairs", pairs))
-    return ready.withColumn(name, _assemble_batch(F.col("__pairs"))).drop("__pairs")
+    """Adds the nested JSON of each row's ``array<struct<id, value, ..>>`` (pointer ids, JSON text values).
+
+    The deepest members are written as the object of their parent, which takes
+    the place of the first of them; level by level up to the root. Of an id
+    listed twice the last value counts.
+    """
+    def start(f: Column) -> Column:
+        segments = F.split(F.regexp_replace(f["id"], r"\A/+", ""), "/", -1)
+        return F.struct(F.transform(segments, unescape_pointer).alias("path"), _value_text(f["value"]).alias("value"))
+
+    def raised(nodes: Column, level: Column) -> Column:
+        parents = F.transform(nodes, lambda n: F.when(F.size(n["path"]) == level, F.slice(n["path"], 1, level - 1)))
+
+        def whole(parent: Column, above: Column) -> Column:
+            inside = F.transform(F.filter(nodes, lambda n, i: F.get(above, i).eqNullSafe(parent)), lambda n: F.struct(
+                F.element_at(n["path"], -1).alias("key"), n["value"].alias("value")))
+            texts = bound(inside, lambda m: F.transform(last_wins(m), lambda x: F.concat(
+                to_json_string(x["key"]), F.lit(":"), x["value"])))
+            return F.struct(parent.alias("path"), F.concat(F.lit("{"), F.array_join(texts, ","), F.lit("}")).alias("value"))
+
+        def moved(above: Column) -> Column:
+            kept = F.filter(F.transform(nodes, lambda n, i: F.struct(n.alias("node"), F.get(above, i).alias("parent"), i.alias("at"))),
+                            lambda x: x["parent"].isNull() | (F.array_position(above, x["parent"]) == x["at"] + 1))
+            return F.transform(kept, lambda x: F.when(x["parent"].isNull(), x["node"]).otherwise(whole(x["parent"], above)))
+
+        return bound(parents, moved)
+
+    nodes = F.transform(fields, start)
+    depth = F.array_max(F.transform(fields, lambda f: F.size(F.split(F.regexp_replace(f["id"], r"\A/+", ""), "/", -1))))
+    levels = F.when(F.size(fields) > 0, F.sequence(depth, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    root = F.aggregate(levels, nodes, raised, lambda done: F.get(done, F.lit(0))["value"])
+    return documents.withColumn(name, F.when(F.col(fields).isNotNull(), F.coalesce(root, F.lit("{}"))))
 
 
 # ------------------------------------------------------------------ field-list prompts

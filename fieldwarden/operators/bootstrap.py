@@ -51,14 +51,17 @@ def paired_delta(a: DataFrame, b: DataFrame, replicates: int = 10_000, seed: int
                  kinds: Sequence[str] | None = None) -> DataFrame:
     """Exact match of ``a`` minus ``b`` on the same fields, with a document-bootstrap interval.
 
-    Inputs have document_id, field_id, kind and correct, one row per field.
+    Inputs have document_id, field_id, kind and correct, one row per field; a
+    repeated field fails the job, as it would count more than once.
     ``only_a`` and ``only_b`` count fields of one side alone; a report is only
     valid when both are 0.
     """
     if kinds is not None:
         a, b = a.filter(F.col("kind").isin(*kinds)), b.filter(F.col("kind").isin(*kinds))
     key = ["document_id", "field_id"]
-    left, right = (d.select(*key, F.col("correct").cast("int").alias(n)) for d, n in ((a, "a"), (b, "b")))
+    repeated = F.raise_error(F.concat(F.lit("repeated field: "), "document_id", F.lit(" "), "field_id"))
+    left, right = (d.groupBy(*key).agg(F.max(F.col("correct").cast("int")).alias(n), F.count("*").alias("__n"))
+                   .select(*key, F.when(F.col("__n") > 1, repeated).otherwise(F.col(n)).alias(n)) for d, n in ((a, "a"), (b, "b")))
     pairs = left.join(right, key, "full_outer")
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     documents = pairs.groupBy("document_id").agg(

@@ -178,15 +178,16 @@ def document_stats(documents: DataFrame, by: str = "split") -> DataFrame:
     """Documents, pages and fields per split and in total."""
     return documents.rollup(by).agg(F.count("*").alias("documents"), F.sum(F.size("pages")).alias("pages"),
                                     F.sum(F.size("fields")).alias("fields"),
-                                    F.count_distinct("form").alias("forms")).select(
-        F.coalesce(by, F.lit("total")).alias(by), "documents", "pages", "fields", "forms")
+                                    F.count_distinct("form").alias("forms"), F.grouping(by).alias("__all")).select(
+        F.when(F.col("__all") == 1, "total").otherwise(F.col(by)).alias(by), "documents", "pages", "fields", "forms")
 
 
 def value_type_counts(fields: DataFrame, by: str = "split") -> DataFrame:
     """Fields per value type, per split and in total."""
     typed = fields.select(by, V.value_type(F.col("value")).alias("value_type"))
-    return (typed.groupingSets([[by, "value_type"], ["value_type"]], by, "value_type").agg(F.count("*").alias("count"))
-            .select(F.coalesce(by, F.lit("total")).alias(by), "value_type", "count"))
+    return (typed.groupingSets([[by, "value_type"], ["value_type"]], by, "value_type")
+            .agg(F.count("*").alias("count"), F.grouping(by).alias("__all"))
+            .select(F.when(F.col("__all") == 1, "total").otherwise(F.col(by)).alias(by), "value_type", "count"))
 
 
 def feature_counts(fields: DataFrame, by: str = "split") -> DataFrame:

@@ -46,7 +46,8 @@ def breakdown(rows: DataFrame) -> DataFrame:
     return (rows.groupingSets([["form"], ["kind"], []], "form", "kind")
             .agg(F.count("*").alias("count"), y, F.grouping_id().alias("__g"))
             .select(F.when(F.col("__g") == 1, "form").when(F.col("__g") == 2, "kind").otherwise("total").alias("by"),
-                    F.coalesce("form", "kind", F.lit("all")).alias("name"), "count", "exact_match"))
+                    F.when(F.col("__g") == 1, F.col("form")).when(F.col("__g") == 2, F.col("kind")).otherwise("all").alias("name"),
+                    "count", "exact_match"))
 
 
 def status_counts(rows: DataFrame) -> DataFrame:

@@ -95,7 +95,8 @@ def fit_head(rows: DataFrame, trial: Trial, sizes: Mapping[str, int], prior_leas
                    OneHotEncoder(inputCol="prior_at", outputCol="prior_hot", handleInvalid="keep")]
         frequent = rows.groupBy("field_id").agg(F.count("*").alias("n")).filter(F.col("n") >= prior_least).select(
             "field_id", F.lit(True).alias("known"))
-        rows = rows.join(frequent, "field_id", "left").withColumn("prior_field", F.when(F.col("known"), F.col("field_id")).otherwise("")).drop("known")
+        # Fields without a prior are null here and unknown to the indexer later: both fall into its one bucket for such values.
+        rows = rows.join(frequent, "field_id", "left").withColumn("prior_field", F.when(F.col("known"), F.col("field_id"))).drop("known")
         parts.append("prior_hot")
     stages += [VectorAssembler(inputCols=parts, outputCol="features"), *MODES[trial.mode](trial, width)]
     return Pipeline(stages=stages).fit(vectors(rows, trial.inputs))

@@ -7,54 +7,58 @@ many tasks of bounded size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import staged, task_count
 
-#: Most rows an ordered window may hold in one task.
-ONE_TASK_ROWS = 1_000_000
-#: Depth of the binary search over split points: 2**STEPS ordered slices.
-STEPS = 7
-#: Rows of the sample the split points are read from.
-SAMPLE = 16 << STEPS
+#: Rows of an ordered slice: a table is cut into about as many slices as it has this many rows.
+SLICE_ROWS = 250_000
+#: Most slices as a power of two; the split points are one row of at most that many keys.
+MOST_STEPS = 17
 
 
-def split_points(df: DataFrame, key: Column, identity: Sequence[Column]) -> DataFrame:
-    """One row with at most ``2**STEPS - 1`` sorted split points of ``key``.
+def slice_steps(rows: int) -> int:
+    """Depth of the binary search over split points: ``2 ** steps`` slices for a table of ``rows`` rows, two at least."""
+    return min(MOST_STEPS, max(1, math.ceil(math.log2(max(1, rows) / SLICE_ROWS))))
+
+
+def split_points(df: DataFrame, key: Column, identity: Sequence[Column], steps: int) -> DataFrame:
+    """One row with at most ``2**steps - 1`` sorted split points of ``key``.
 
     The sample behind them holds the rows with the smallest hashes of
     ``identity``: a distributed top-k of fixed size, and the same rows every
     time the plan runs.
     """
     sample = (df.select(key.alias("k"), F.xxhash64(*identity).alias("h"))
-              .orderBy("h", "k").limit(SAMPLE)
+              .orderBy("h", "k").limit(16 << steps)
               .agg(F.sort_array(F.collect_list("k")).alias("s")))
-    step = F.greatest(F.lit(1), F.ceil(F.size("s") / F.lit(1 << STEPS))).cast("int")
+    step = F.greatest(F.lit(1), F.ceil(F.size("s") / F.lit(1 << steps))).cast("int")
     return sample.select("s", step.alias("step")).select(
         F.filter("s", lambda x, i: (i > 0) & (i % F.col("step") == 0)).alias("points"))
 
 
-def slice_of(points: Column, key: Column) -> Column:
+def slice_of(points: Column, key: Column, steps: int) -> Column:
     """How many split points are at most ``key`` (binary search inside the row)."""
-    widths = F.array(*[F.lit(1 << i) for i in reversed(range(STEPS))])
+    widths = F.array(*[F.lit(1 << i) for i in reversed(range(steps))])
     found = F.aggregate(widths, F.lit(0), lambda at, width: F.when(F.get(points, at + width - 1) <= key, at + width)
                         .otherwise(at))
     return F.coalesce(found, F.lit(0))
 
 
-def sliced(df: DataFrame, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
+def sliced(df: DataFrame, order: Sequence[Column], steps: int, by: Sequence[str] = ()) -> DataFrame:
     """``df`` with ``__slice``: an order-preserving cut of the rows into about equal parts."""
     key = order[0] if len(order) == 1 else F.struct(*order)
-    points = split_points(df, key, [*[F.col(c) for c in by], *order])
+    points = split_points(df, key, [*[F.col(c) for c in by], *order], steps)
     return (df.withColumn("__points", points.scalar())
-            .withColumn("__slice", slice_of(F.col("__points"), key)).drop("__points"))
+            .withColumn("__slice", slice_of(F.col("__points"), key, steps)).drop("__points"))
 
 
 def running_totals(df: DataFrame, order: Sequence[str], totals: Mapping[str, Column], by: Sequence[str] = (),
-                   descending: bool = False, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+                   descending: bool = False) -> DataFrame:
     """Inclusive running sums in the order of ``order`` (unique within ``by``).
 
     Args:
@@ -63,21 +67,15 @@ def running_totals(df: DataFrame, order: Sequence[str], totals: Mapping[str, Col
         totals: New column name -> summed expression.
         by: Independent groups; a hot group is spread over the slices too.
         descending: Accumulate from the largest key down.
-        one_task_rows: Up to this many rows in all, one plain window is used.
 
-    The rows are written once and counted. Beyond ``one_task_rows`` they are
-    cut into ordered slices: slice totals (at most ``2**STEPS`` rows per
-    group) give each slice its offset, and the sums inside a slice run in the
-    slice's own task.
+    The rows are written once, counted and cut into ordered slices: slice
+    totals (one row per slice and group) give each slice its offset, and the
+    sums inside a slice run in the slice's own task.
     """
     names = list(totals)
     sign = F.desc if descending else F.asc
     df = staged(df, "ordered")
-    if df.count() <= one_task_rows:
-        whole = (Window.partitionBy(*by).orderBy(*[sign(c) for c in order])
-                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return df.select("*", *[F.sum(totals[n]).over(whole).alias(n) for n in names])
-    cut = sliced(df, [F.col(c) for c in order], by)
+    cut = sliced(df, [F.col(c) for c in order], slice_steps(df.count()), by)
     for name in names:
         cut = cut.withColumn(f"__v_{name}", totals[name])
     keys = [*by, "__slice"]
@@ -91,20 +89,20 @@ def running_totals(df: DataFrame, order: Sequence[str], totals: Mapping[str, Col
     return joined.select(*df.columns, *[(F.col(n) + F.col(f"__o_{n}")).alias(n) for n in names])
 
 
-def numbered(df: DataFrame, order: Sequence[str], name: str, by: Sequence[str] = (),
-             one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str], name: str, by: Sequence[str] = ()) -> DataFrame:
     """Exact row numbers (from 1) in the order of ``order``, per ``by`` group, without large one-task windows."""
-    return running_totals(df, order, {name: F.lit(1).cast("bigint")}, by, one_task_rows=one_task_rows)
+    return running_totals(df, order, {name: F.lit(1).cast("bigint")}, by)
 
 
 def first_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str], count: Column | int,
-                    name: str = "rank", shards: int = 64, bound: int | None = None) -> DataFrame:
+                    name: str = "rank", bound: int | None = None) -> DataFrame:
     """The first ``count`` rows of each group with their rank, in two rounds.
 
     Round one keeps the first rows of each shard of a group, round two ranks
-    what is left: the same rows as one window, but a hot group is cut into
-    ``shards`` tasks first.
+    what is left: the same rows as one window, but a hot group is cut into as
+    many shards as there are tasks first.
     """
+    shards = task_count(df.sparkSession)
     limit = bound if bound is not None else int(count)
     shard = F.pmod(F.xxhash64(*order), F.lit(shards))
     local = Window.partitionBy(*by, "__shard").orderBy(*order)
@@ -115,7 +113,7 @@ def first_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str], coun
 
 
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, spread: Sequence[str],
-           heavy_parts: int = 512, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+           heavy_parts: int | None = None) -> DataFrame:
     """Left join to a table with one row per key when some keys are hot on the left.
 
     Args:
@@ -126,16 +124,15 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str,
         spread: Columns of ``left`` that differ within a key.
         heavy_parts: A key is hot above ``1 / heavy_parts`` of all rows, so
             fewer than ``heavy_parts`` keys are hot: the only side broadcast.
-        one_task_rows: A plain join when no key has more rows than this.
+            By default a key is hot that fills a quarter of a task.
 
     Rows of hot keys take their values from the broadcast rows and are sent
     on under a random-like second key, so no task gets a whole hot key.
     """
     values = [c for c in right.columns if c not in (*keys, weight)]
     right = staged(right, "keys")
-    hottest = right.agg(F.max(weight)).first()[0]
-    if (hottest or 0) <= one_task_rows:
-        return left.join(right.drop(weight), list(keys), "left").select(*left.columns, *values)
+    if heavy_parts is None:
+        heavy_parts = min(1 << 16, max(512, 4 * task_count(left.sparkSession)))
     total = right.agg(F.coalesce(F.sum(weight), F.lit(0))).scalar()
     marked = right.withColumn("__hot", F.col(weight) * heavy_parts > total)
     heavy = marked.filter("__hot").select(*keys, F.struct(*values).alias("__heavy"))
@@ -148,8 +145,7 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str,
                                           for v in values])
 
 
-def quantiles(df: DataFrame, value: str, points: Mapping[str, float], by: Sequence[str] = (), linear: bool = True,
-              one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def quantiles(df: DataFrame, value: str, points: Mapping[str, float], by: Sequence[str] = (), linear: bool = True) -> DataFrame:
     """Exact quantiles per group: one row per ``by`` with a column per entry of ``points``.
 
     Equal values are counted first and the counts accumulated in order, so no
@@ -158,7 +154,7 @@ def quantiles(df: DataFrame, value: str, points: Mapping[str, float], by: Sequen
     """
     counted = (df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__x"))
                .agg(F.count("*").alias("__c")))
-    placed = running_totals(counted, ["__x"], {"__end": F.col("__c")}, by, one_task_rows=one_task_rows)
+    placed = running_totals(counted, ["__x"], {"__end": F.col("__c")}, by)
     totals = placed.groupBy(*by).agg(F.sum("__c").alias("__n"))
     both = placed.join(totals, list(by)) if by else placed.withColumn("__n", totals.scalar())
 

@@ -23,16 +23,16 @@ def scorecard(requests: DataFrame, size: str = "1 hour", slide: str | None = Non
 
 def live_queue(rows: DataFrame, threshold: float, supported: DataFrame | None = None, rules: DataFrame | None = None,
                text: str = "prediction") -> DataFrame:
-    """Review queue of arriving rows under a frozen policy: stream-static joins, no state."""
+    """Review queue of arriving rows under a frozen policy: stream-static joins, no state.
+
+    An empty list of supported fields restricts nothing, as in a batch.
+    """
+    from ..operators.policy import with_support
     from ..operators.shapes import flag_rows
 
     if rules is not None:
         rows = flag_rows(rows, rules, text)
-    if supported is None:
-        rows = rows.withColumn("unknown_field", F.lit(False))
-    else:
-        known = supported.select("field_id", F.lit(True).alias("__known"))
-        rows = rows.join(known, "field_id", "left").withColumn("unknown_field", F.col("__known").isNull()).drop("__known")
+    rows = with_support(rows, supported)
     marked = rows.withColumn("mandatory", mandatory()).withColumn(
         "needs_review", F.col("mandatory") | (F.col("score") < threshold)).withColumn("reason", review_reason())
     priority = F.when(F.col("reason") == "low_correctness_confidence", 1 - F.col("score")).otherwise(1.0)

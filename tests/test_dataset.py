@@ -41,7 +41,7 @@ def test_duplicate_groups_match_a_plain_closure(spark, seed, monkeypatch):
     pages = spark.createDataFrame(pairs, "document_id string, page_hash string")
     if seed == 2:  # the path for hot pages
         attach = scale.attach
-        monkeypatch.setattr(dataset, "attach", lambda *a, **k: attach(*a, **{**k, "one_task_rows": 0, "heavy_parts": 8}))
+        monkeypatch.setattr(dataset, "attach", lambda *a, **k: attach(*a, **{**k, "heavy_parts": 8}))
     got = {r.document_id: r.group_id for r in dataset.duplicate_groups(pages).collect()}
     assert got == components(pairs)
 

@@ -19,11 +19,10 @@ def skewed(spark):
     return spark.createDataFrame(rows, "g string, id long, n long, x double").repartition(4)
 
 
-@pytest.mark.parametrize("one_task_rows", [0, 10_000])
 @pytest.mark.parametrize("by", [(), ("g",)])
 @pytest.mark.parametrize("descending", [False, True])
-def test_running_totals(skewed, one_task_rows, by, descending):
-    got = scale.running_totals(skewed, ["x", "id"], {"upto": F.col("n")}, by, descending, one_task_rows=one_task_rows)
+def test_running_totals(skewed, by, descending):
+    got = scale.running_totals(skewed, ["x", "id"], {"upto": F.col("n")}, by, descending)
     order = [F.desc("x"), F.desc("id")] if descending else ["x", "id"]
     want = skewed.withColumn("want", F.sum("n").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     both = got.join(want.select("id", "want"), "id")
@@ -31,14 +30,13 @@ def test_running_totals(skewed, one_task_rows, by, descending):
 
 
 def test_sliced_rows_are_spread(skewed):
-    sizes = [r["count"] for r in scale.sliced(skewed, [F.col("x"), F.col("id")]).groupBy("__slice").count().collect()]
+    sizes = [r["count"] for r in scale.sliced(skewed, [F.col("x"), F.col("id")], 7).groupBy("__slice").count().collect()]
     assert len(sizes) > 100 and max(sizes) < 6000 / 20
 
 
-@pytest.mark.parametrize("one_task_rows", [0, 10_000])
 @pytest.mark.parametrize("linear", [True, False])
-def test_quantiles(skewed, one_task_rows, linear):
-    got = {r.g: r for r in scale.quantiles(skewed, "x", {"a": .5, "b": .99, "c": 0.0}, ["g"], linear, one_task_rows).collect()}
+def test_quantiles(skewed, linear):
+    got = {r.g: r for r in scale.quantiles(skewed, "x", {"a": .5, "b": .99, "c": 0.0}, ["g"], linear).collect()}
     pdf = skewed.toPandas()
     for g, part in pdf.groupby("g"):
         xs = np.sort(part.x.to_numpy())
@@ -53,10 +51,9 @@ def test_first_per_group(skewed):
     assert {(r.id, r["rank"]) for r in got.collect()} == {(r.id, r.r) for r in want.collect()}
 
 
-@pytest.mark.parametrize("one_task_rows", [0, 10_000])
-def test_attach_keeps_every_row_of_hot_keys(skewed, one_task_rows):
+def test_attach_keeps_every_row_of_hot_keys(skewed):
     least = skewed.filter("g <> 'g3'").groupBy("g").agg(F.min("id").alias("m"), F.count("*").alias("w"))
-    got = scale.attach(skewed, least, ["g"], "w", ["id"], heavy_parts=8, one_task_rows=one_task_rows)
+    got = scale.attach(skewed, least, ["g"], "w", ["id"], heavy_parts=8)
     assert got.count() == 6000 and got.columns == [*skewed.columns, "m"]
     want = skewed.join(least.drop("w"), "g", "left")
     assert got.exceptAll(want.select(*got.columns)).count() == 0
