@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import policy, rows
@@ -78,6 +78,21 @@ def served_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflows.document_flags(_served(spark, sf_dir))
 
 
+@query("response_documents", f"""WITH {SERVED}, named AS (SELECT *, CASE WHEN needs_review THEN CASE WHEN status <> 'ok' OR logit IS NULL THEN 'incomplete_or_invalid'
+  WHEN shape_violation THEN 'field_shape_violation' ELSE 'low_correctness_confidence' END END AS reason, CASE WHEN usable THEN 1 - p ELSE 1.0::DOUBLE END AS urgency FROM judged)
+SELECT document_id, string_agg(field_id || '=' || status, ',' ORDER BY field_id) AS statuses, count(*) FILTER (status = 'ok' AND p IS NOT NULL) AS confidences,
+  coalesce(string_agg(field_id || '=' || reason, ',' ORDER BY urgency DESC, field_id) FILTER (needs_review), '') AS review, bool_or(needs_review) AS document_needs_review
+FROM named GROUP BY document_id""")
+def response_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def joined(entries: Column, first: str, second: str) -> Column:
+        return F.array_join(F.transform(entries, lambda e: F.concat(e[first], F.lit("="), e[second])), ",")
+
+    answers = workflows.responses(_served(spark, sf_dir))
+    scored = F.size(F.filter(F.map_values("confidence"), lambda c: c.isNotNull())).cast("bigint")
+    return answers.select("document_id", joined(F.map_entries("status"), "key", "value").alias("statuses"), scored.alias("confidences"),
+                          joined(F.col("review"), "field_id", "reason").alias("review"), "document_needs_review")
+
+
 @query("provenance_changes", """WITH s AS (SELECT n_name AS key, n_regionkey::VARCHAR AS v FROM nation), o AS (SELECT n_name AS key, CASE WHEN n_nationkey % 5 = 0 THEN 'x' ELSE n_regionkey::VARCHAR END AS v
   FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT r_name, r_regionkey::VARCHAR FROM region)
 SELECT coalesce(s.key, o.key) AS key, s.v AS stored, o.v AS offered FROM s FULL JOIN o ON s.key = o.key WHERE s.v IS DISTINCT FROM o.v""")

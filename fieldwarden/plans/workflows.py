@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import count_if, sigmoid
 from ..operators import bootstrap, calibration, cohorts, dataset, policy, review, rows, shapes
 from ..session import staged
-from ..sources.records import write_by
+from ..sources.records import read_jsonl, write_by, write_jsonl
 
 DEVELOPMENT = ("train", "dev", "calibration", "risk_validation")
 
@@ -102,6 +102,41 @@ def document_flags(served: DataFrame) -> DataFrame:
                                              F.max("needs_review").alias("document_needs_review"))
 
 
+def responses(served: DataFrame) -> DataFrame:
+    """One response per document of ``serve`` rows.
+
+    ``result`` (JSON text, null where a field has no value), ``confidence``
+    and ``status`` by field id, whether they are ``calibrated``, the ordered
+    ``review`` list (most urgent first, then by field id) and whether a person
+    must look at the document. A document's fields are one row, as in its request.
+    """
+    def by_field(value: str) -> Column:
+        return F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_id", value))))
+
+    queued = F.when(F.col("needs_review"), F.struct((-F.col("priority")).alias("urgency"), "field_id", "reason", "score"))
+    listed = F.transform(F.array_sort(F.collect_list(queued)), lambda q: F.struct(
+        q["field_id"].alias("field_id"), q["reason"].alias("reason"), q["score"].alias("score")))
+    filled = served.withColumn("value", F.when(F.col("status") == "ok", F.col("prediction")))
+    return filled.groupBy("document_id").agg(
+        by_field("value").alias("result"), by_field("score").alias("confidence"), by_field("status").alias("status"),
+        F.lit(True).alias("calibrated"), listed.alias("review"), F.max("needs_review").alias("document_needs_review"))
+
+
+PREDICTIONS = ("document_id string, form string, kind string, field_id string, status string, prediction string, target string, "
+               "text string")
+
+
+def write_predictions(predictions: DataFrame, path: str) -> None:
+    """Store prediction rows as JSON lines; columns that are not there stay out of the file."""
+    names = [c.split()[0] for c in PREDICTIONS.split(", ")]
+    write_jsonl(predictions.select(*[c for c in names if c in predictions.columns]), path)
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Stored prediction rows; what a file does not hold is null."""
+    return read_jsonl(spark, path, PREDICTIONS)
+
+
 def evaluate(predictions: DataFrame, requested: DataFrame | None = None, comparator: str = "text") -> DataFrame:
     """Headline metrics of stored predictions under a comparator, after the key and coverage guards."""
     from ..operators import extraction
