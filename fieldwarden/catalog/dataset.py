@@ -78,13 +78,13 @@ def shared_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("drop_overlapping_pages", f"""WITH {LINES_SQL}, h AS (SELECT document_id, form, sha256(line) AS page_hash FROM doc_lines)
-SELECT DISTINCT document_id FROM h WHERE form = 'en' AND document_id NOT IN
+SELECT doc_id::VARCHAR AS document_id FROM documents WHERE lang = 'en' AND doc_id::VARCHAR NOT IN
   (SELECT document_id FROM h WHERE form = 'en' AND page_hash IN (SELECT page_hash FROM h WHERE form <> 'en'))""")
 def drop_overlapping_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("document_id"), "lang",
         F.transform(F.filter(F.split("text", "\n"), lambda x: V.strip(x) != ""), lambda x: F.sha2(x, 256)).alias("image_sha256"))
-    documents = computed_once(documents.filter(F.size("image_sha256") > 0))
+    documents = computed_once(documents)
     used = documents.filter("lang <> 'en'").select(F.explode("image_sha256").alias("page_hash"))
     return dataset.drop_overlapping(documents.filter("lang = 'en'"), used).select("document_id")
 

@@ -246,15 +246,15 @@ def collapsed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LOOP_SQL = """WITH t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
-base AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN flatten(list_transform(range(80), lambda x: w[1:3])) ELSE w END AS w FROM t WHERE len(w) >= 3),
+base AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN w || flatten(list_transform(range(80), lambda x: w[1:3])) ELSE w END AS w FROM t),
 c AS (SELECT doc_id, len(w) AS n, w, p, greatest(128, 4 * p) AS need FROM base, range(1, 257) r(p) WHERE len(w) > p AND w[len(w)] = w[len(w) - p])
 SELECT base.doc_id, coalesce(bool_or(need <= n AND c.w[n - need + p + 1:n] = c.w[n - need + 1:n - p]), false) AS loop FROM base LEFT JOIN c ON c.doc_id = base.doc_id GROUP BY base.doc_id"""
 
 
 @query("loops", LOOP_SQL)
 def loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read_table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w")).filter(F.size("w") >= 3)
-    tokens = F.when(F.col("doc_id") % 3 == 0, F.flatten(F.array_repeat(F.slice("w", 1, 3), 80))).otherwise(F.col("w"))
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"))
+    tokens = F.when(F.col("doc_id") % 3 == 0, F.concat("w", F.flatten(F.array_repeat(F.slice("w", 1, 3), 80)))).otherwise(F.col("w"))
     return computed_once(documents.select("doc_id", tokens.alias("t"))).select("doc_id", K.ends_in_loop(F.col("t")).alias("loop"))
 
 
