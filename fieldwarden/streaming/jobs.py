@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.numbers import count_if, ratio
 from ..operators.policy import mandatory, review_reason
@@ -44,21 +46,64 @@ def ingested_once(rows: DataFrame, time: str = "time", late: str = "1 hour") ->
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(["document_id", "field_id"])
 
 
-def completion(rows: DataFrame, expected: DataFrame, time: str = "time", gap: str = "30 minutes",
-               late: str = "1 hour") -> DataFrame:
-    """Documents with the number of fields that arrived, once no row came for ``gap``: complete or timed out.
+def completion(rows: DataFrame, requests: DataFrame, time: str = "time", wait: str = "30 minutes", late: str = "1 hour",
+               keep: str = "365 days") -> DataFrame:
+    """One verdict per document: ``document_id, state, arrived_fields, expected_fields``.
 
-    ``expected`` is a static ``(document_id, expected_fields)`` table. Rows are
-    deduplicated first, then counted per document session; the counts are
-    combined before the state store, so a document with very many rows keeps
-    one small state. Timed-out documents are emitted exactly once.
+    ``rows`` is a stream of ``document_id, field_id`` and ``requests`` one of
+    ``document_id, expected_fields``, both with the event time. A document is
+    ``complete`` in the batch that brings its last expected field,
+    ``incomplete`` when ``wait`` after its request has passed, also without
+    any row, and ``unexpected`` when that long after its first row no request
+    came. A field counts once however often it is delivered, and not beyond
+    the deadline. Later rows of a document change nothing: a mark of the
+    verdict stays for ``keep`` after the deadline.
     """
-    once = ingested_once(rows, time, late)
-    counted = once.groupBy(F.session_window(time, gap).alias("w"), "document_id").agg(F.count("*").alias("arrived_fields"))
-    joined = counted.join(expected, "document_id", "left")
-    state = F.when(F.col("expected_fields").isNull(), "unexpected").when(
-        F.col("arrived_fields") >= F.col("expected_fields"), "complete").otherwise("incomplete")
-    return joined.select("document_id", F.col("w.start").alias("first_row"), "arrived_fields", "expected_fields", state.alias("state"))
+    arrivals = rows.select(F.col("document_id").cast("string").alias("document_id"), F.col("field_id").cast("string").alias("field_id"),
+                           F.lit(None).cast("long").alias("expected"), F.col(time).alias("time"))
+    asked = requests.select(F.col("document_id").cast("string").alias("document_id"), F.lit(None).cast("string").alias("field_id"),
+                            F.col("expected_fields").cast("long").alias("expected"), F.col(time).alias("time"))
+    update = _verdicts(*(pd.Timedelta(d).total_seconds() for d in (wait, keep)))
+    # One watermark over both: the requests may all be older than the rows.
+    events = arrivals.unionByName(asked).withColumn("at", F.col("time").cast("double"))
+    return events.withWatermark("time", late).groupBy("document_id").applyInPandasWithState(
+        update, "document_id string, state string, arrived_fields long, expected_fields long",
+        "expected long, deadline double, done boolean, fields array<string>, times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _verdicts(wait: float, keep: float):
+    """State of one document: what was asked, until when, whether it is decided, and its fields with their first times."""
+    def update(key, frames, state):
+        expected, deadline, done, fields, times = state.get if state.exists else (None, None, False, [], [])
+        timed_out = state.hasTimedOut
+        if timed_out and done:
+            state.remove()
+            return
+        seen = dict(zip(fields, times))
+        for frame in frames:
+            for field, asked, at in zip(frame["field_id"], frame["expected"], frame["at"]):
+                if not pd.isna(asked):
+                    if expected is None:
+                        expected, deadline = int(asked), at + wait
+                elif expected is None and (deadline is None or at + wait < deadline):
+                    deadline = at + wait
+                if field is not None and not done:
+                    seen[field] = min(at, seen.get(field, at))
+        arrived = sum(at <= deadline for at in seen.values())
+        verdict = None
+        if not done and expected is not None and arrived >= expected:
+            verdict, arrived = "complete", expected
+        elif timed_out:
+            verdict = "unexpected" if expected is None else "incomplete"
+        if verdict:
+            done, seen = True, {}
+            yield pd.DataFrame({"document_id": [key[0]], "state": [verdict], "arrived_fields": [arrived],
+                                "expected_fields": pd.array([expected], dtype="Int64")})
+        state.update((expected, deadline, done, list(seen), list(seen.values())))
+        until = deadline + keep if done else deadline
+        state.setTimeoutTimestamp(max(int(until * 1000), state.getCurrentWatermarkMs() + 1))
+
+    return update
 
 
 def log_follow(records: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -76,8 +121,15 @@ def sessions(requests: DataFrame, gap: str = "30 minutes", late: str = "1 hour")
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over everything there is into a Parquet table of the shared folder, and read the table."""
+    """Run a stream over everything there is into a Parquet table of the shared folder, and read the table.
+
+    The stream stays open in the sense of append mode: windows and documents
+    whose time is not over at the last watermark are in its state, not in the
+    table, and come out when more input moves the watermark.
+    """
     spark = stream.sparkSession
+    # Sessions of one user are merged inside each task before they are shuffled to its state.
+    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     path, marks = scratch_path(spark, name), scratch_path(spark, f"{name}-progress")
     query = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", marks)
              .outputMode("append").trigger(availableNow=True).start())

@@ -146,9 +146,12 @@ def test_streams_deduplicate_and_complete_documents(spark, tmp_path):
     spark.createDataFrame(rows, "document_id string, field_id string, t string").select(
         "document_id", "field_id", F.to_timestamp("t").alias("time")).coalesce(1).write.parquet(source)
     schema = spark.read.parquet(source).schema
-    expected = spark.createDataFrame([("d1", 2), ("d2", 2)], "document_id string, expected_fields int")
+    asked = str(tmp_path / "asked")
+    spark.createDataFrame([("d1", 2), ("d2", 2), ("absent", 1)], "document_id string, expected_fields int").withColumn(
+        "time", F.to_timestamp(F.lit("2024-01-01 00:00:00"))).coalesce(1).write.parquet(asked)
+    requests = spark.readStream.schema("document_id string, expected_fields int, time timestamp").parquet(asked)
     stream = spark.readStream.schema(schema).parquet(source)
-    got = {r.document_id: (r.arrived_fields, r.state) for r in jobs.run_available(jobs.completion(stream, expected), "t4").collect()}
-    assert got == {"d1": (2, "complete"), "d2": (1, "incomplete")}
+    got = {r.document_id: (r.arrived_fields, r.state) for r in jobs.run_available(jobs.completion(stream, requests), "t4").collect()}
+    assert got == {"d1": (2, "complete"), "d2": (1, "incomplete"), "absent": (0, "incomplete")}
     once = jobs.run_available(jobs.ingested_once(spark.readStream.schema(schema).parquet(source)), "t3")
     assert once.count() == 4
