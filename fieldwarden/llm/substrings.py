@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import read_table, staged
@@ -117,12 +117,11 @@ def _pick_rows(window: int):
     return rows
 
 
-def _spans(ranges: list[dict] | None, words: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and counts of window ranges, cut to the windows that the text has."""
-    start = np.array([r["start"] for r in ranges or []], np.int64)
-    count = np.array([r["count"] for r in ranges or []], np.int64)
+def _spans(ranges: list[dict] | None, words: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, counts and symbols of window ranges, cut to the windows that the text has."""
+    start, count, symbol = (np.array([r[c] for r in ranges or []], np.int64) for c in ("start", "count", "symbol"))
     count = np.minimum(count, words - window + 1 - start)
-    return start[count > 0], count[count > 0]
+    return start[count > 0], count[count > 0], symbol[count > 0]
 
 
 def _hash_rows(window: int, each: bool):
@@ -131,21 +130,28 @@ def _hash_rows(window: int, each: bool):
         for chunk in chunks(batches, (1, 2)):
             found = []
             for (doc_id, variant, ranges), first, last in zip(chunk.rows, chunk.first, chunk.last):
-                start, count = _spans(ranges, last - first, window)
+                start, count, symbol = _spans(ranges, last - first, window)
                 if each:
                     start = np.unique(np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum()))
-                    count = np.ones(len(start), np.int64)
-                found.append((np.full(len(start), doc_id), np.full(len(start), variant), start, count, start + first))
-            doc_id, variant, start, count, begin = (np.concatenate(c).astype(np.int64) for c in zip(*found))
+                    count = symbol = np.ones(len(start), np.int64)
+                found.append((np.full(len(start), doc_id), np.full(len(start), variant), start, count, symbol, start + first))
+            doc_id, variant, start, count, symbol, begin = (np.concatenate(c).astype(np.int64) for c in zip(*found))
             end = begin + count + window - 1
             hashes = [signed(run_hashes(names, begin, end)) for names in chunk.names]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (*hashes, doc_id, variant, start.astype(np.int32),
-                                                              count.astype(np.int32)))],
-                                             ["h1", "h2", "doc_id", "variant", "start", "count"])
+            columns = [*hashes, doc_id, variant.astype(np.int32), start.astype(np.int32)]
+            if not each:
+                columns += [count.astype(np.int32), symbol]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], list(_WINDOWS if each else _BLOCKS))
     return rows
 
 
-_HASHED = "h1 bigint, h2 bigint, doc_id bigint, variant bigint, start int, count int"
+_WINDOWS = {"h1": "bigint", "h2": "bigint", "doc_id": "bigint", "variant": "int", "start": "int"}
+_BLOCKS = {**_WINDOWS, "count": "int", "symbol": "bigint"}
+
+
+def _hashed(texts: DataFrame, window: int, each: bool) -> DataFrame:
+    schema = ", ".join(f"{name} {kind}" for name, kind in (_WINDOWS if each else _BLOCKS).items())
+    return staged(texts.mapInArrow(_hash_rows(window, each), schema), "windows" if each else "blocks")
 
 
 def _seen_before(hashed: DataFrame) -> DataFrame:
@@ -158,7 +164,7 @@ def _seen_before(hashed: DataFrame) -> DataFrame:
 
 def _ranges(rows: DataFrame) -> DataFrame:
     """The window ranges of each document: never more than the document has windows."""
-    return rows.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("start", "count")).alias("ranges"))
+    return rows.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("start", "count", "symbol")).alias("ranges"))
 
 
 def word_digest(text: Column) -> Column:
@@ -178,7 +184,7 @@ def _cut_rows(window: int, with_text: bool):
             found = []
             for doc_id, variant, ranges, text in zip(*(batch.column(c) for c in ("doc_id", "variant", "ranges", "text"))):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-                start, count = _spans(ranges.as_py(), len(words), window)
+                start, count, _ = _spans(ranges.as_py(), len(words), window)
                 edge = np.zeros(len(words) + 1, np.int64)
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + count + window - 1, -1)
@@ -186,17 +192,13 @@ def _cut_rows(window: int, with_text: bool):
                 kept = b" ".join(w for w, out in zip(words, gone) if not out)
                 found.append((doc_id.as_py(), variant.as_py(), int(gone.sum()), hashlib.sha256(kept).hexdigest(),
                               kept.decode("utf-8", "surrogatepass") if with_text else None))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string())
             columns = list(zip(*found)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
                                              ["doc_id", "variant", "n_removed", "kept_sha256", "kept"])
     return rows
 
 
-def _variant(digest: str) -> Column:
-    return F.xxhash64(F.col(digest))
-
-
 def cut_repeats(documents: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_removed, kept_sha256, kept``.
 
@@ -215,8 +217,9 @@ def cut_repeats(documents: DataFrame, window: int = WINDOW, with_text: bool = Fa
     2. Symbols picked by windows are counted over all documents; ranges of
        windows whose symbol another document has too are candidates.
     3. Each range is compared as one block of words. A block of an earlier
-       document is a repeat as a whole; the first document with a block, and
-       blocks at the ends of repeats, have their windows compared one by one.
+       document is a repeat as a whole. Of the others, which are the first of
+       their kind or stand at the ends of repeats, the windows are compared
+       one by one where two documents have such blocks of one symbol.
     """
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     digests = documents.select("doc_id", word_digest(F.col("text")).alias("d")).select(
@@ -230,24 +233,27 @@ def cut_repeats(documents: DataFrame, window: int = WINDOW, with_text: bool = Fa
     shared = staged(picks.groupBy("symbol").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
                     .filter("least < most").select("symbol"), "symbols")
     later = rows.join(copies, "sha256").filter(F.col("doc_id") > F.col("least")).select("doc_id", "sha256")
-    hits = picks.join(shared, "symbol").groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("ranges"))
-    firsts = rows.filter(F.col("n_words") >= window).distinct().join(later, ["doc_id", "sha256"], "left_anti")
-    wanted = staged(firsts.join(hits, "doc_id").select("doc_id", "sha256", "ranges"), "wanted")
-    texts = known.join(wanted.groupBy("doc_id").agg(F.first("ranges").alias("ranges")), "doc_id")
-    texts = texts.withColumn("sha256", word_digest(F.col("text"))["sha256"])
-    texts = staged(texts.select("doc_id", _variant("sha256").alias("variant"), "ranges", "text"), "texts")
-    blocks = staged(texts.mapInArrow(_hash_rows(window, False), _HASHED), "blocks")
-    blocks = staged(_seen_before(blocks), "blocks")
-    edges = texts.drop("ranges").join(_ranges(blocks.filter("not seen")), ["doc_id", "variant"])
-    edges = edges.select("doc_id", "variant", "ranges", "text")
-    single = staged(edges.mapInArrow(_hash_rows(window, True), _HASHED), "windows")
-    gone = blocks.filter("seen").unionByName(_seen_before(single).filter("seen"))
+    hits = picks.join(shared, "symbol").groupBy("doc_id").agg(F.collect_list(F.struct("start", "count", "symbol")).alias("ranges"))
+    firsts = rows.filter(F.col("n_words") >= window).select("doc_id", "sha256").distinct().join(later, ["doc_id", "sha256"], "left_anti")
+    # Different texts of one id get small numbers; nearly always there is one.
+    firsts = firsts.withColumn("variant", F.row_number().over(Window.partitionBy("doc_id").orderBy("sha256")))
+    wanted = staged(firsts.join(hits, "doc_id").select("doc_id", "sha256", "variant", "ranges"), "wanted")
+    texts = known.join(wanted, "doc_id").filter(word_digest(F.col("text"))["sha256"] == F.col("sha256"))
+    texts = staged(texts.select("doc_id", "variant", "ranges", "text"), "texts")
+    blocks = staged(_seen_before(_hashed(texts, window, False)), "blocks")
+    unseen = blocks.filter("not seen")
+    both = staged(unseen.groupBy("symbol").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+                  .filter("least < most").select("symbol"), "symbols")
+    edges = texts.drop("ranges").join(_ranges(unseen.join(both, "symbol")), ["doc_id", "variant"])
+    single = _hashed(edges.select("doc_id", "variant", "ranges", "text"), window, True)
+    one = [F.lit(1).alias("count"), F.lit(0).cast("bigint").alias("symbol")]
+    gone = blocks.filter("seen").unionByName(_seen_before(single).filter("seen").select("*", *one))
     cut = texts.drop("ranges").join(_ranges(gone), ["doc_id", "variant"]).select("doc_id", "variant", "ranges", "text")
-    cut = staged(cut.mapInArrow(_cut_rows(window, with_text), "doc_id bigint, variant bigint, n_removed bigint, "
-                                "kept_sha256 string, kept string").dropDuplicates(["doc_id", "variant"]), "cut")
+    cut = cut.mapInArrow(_cut_rows(window, with_text), "doc_id bigint, variant int, n_removed bigint, kept_sha256 string, kept string")
+    cut = staged(cut.dropDuplicates(["doc_id", "variant"]).join(wanted.select("doc_id", "variant", "sha256"), ["doc_id", "variant"])
+                 .drop("variant"), "cut")
     nothing = hashlib.sha256(b"").hexdigest()
-    result = (rows.withColumn("variant", _variant("sha256")).join(copies, "sha256", "left")
-              .join(cut, ["doc_id", "variant"], "left"))
+    result = rows.join(copies, "sha256", "left").join(cut, ["doc_id", "sha256"], "left")
     copied = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))
     return result.select(
         "doc_id", "n_words", F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
