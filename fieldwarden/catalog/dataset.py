@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.hashing import hash_word, seeded
-from ..operators import cohorts, dataset
+from ..operators import cohorts, dataset, fields
 from ..session import computed_once, read_table
 from . import query
 from .views import (LINES_SQL, MANIFEST_SQL, PREPARED_SQL, document_lines, part_manifest,
@@ -103,7 +103,7 @@ def flatten_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("first_fields", f"""WITH {MANIFEST_SQL} SELECT document_id, field_id FROM fields WHERE position < 3""")
 def first_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = manifest_fields(spark, sf_dir).filter("fields is not null")
-    return docs.select("document_id", F.explode(F.slice("fields", 1, 3)).alias("f")).select(
+    return docs.select("document_id", F.explode(fields.first_fields(F.col("fields"), 3)).alias("f")).select(
         "document_id", F.col("f.id").alias("field_id"))
 
 

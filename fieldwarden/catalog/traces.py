@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as K
 from ..functions.hashing import order_key
-from ..operators import extraction, features, logs
+from ..operators import extraction, features, fields, logs
 from ..operators.scale import numbered
 from ..session import computed_once, read_table
 from . import query
@@ -181,7 +181,7 @@ def packed_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("over_budget_fields", f"""WITH {BRANCHES_SQL} SELECT document_id, count(*) FILTER (target <= 10) AS kept, count(*) FILTER (target <= 10) = 0 AS rejected FROM branches GROUP BY document_id""")
 def over_budget_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = F.size(F.filter("branches", lambda b: b["target"] <= 10))
+    kept = F.size(fields.within_budget(F.col("branches"), "target", 10))
     return order_branches(spark, sf_dir).select("document_id", kept.cast("bigint").alias("kept"), (kept == 0).alias("rejected"))
 
 
@@ -205,18 +205,16 @@ def drop_longest_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("field_groups", f"""WITH {BRANCHES_SQL} SELECT document_id, (position // 4)::BIGINT AS "group", string_agg(id, ',' ORDER BY position) AS ids FROM branches GROUP BY ALL""")
 def field_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.transform("branches", lambda b: b["id"])
-    starts = F.sequence(F.lit(0), F.floor((F.size(ids) - 1) / 4).cast("int"))
-    groups = F.transform(starts, lambda g: F.struct(g.cast("bigint").alias("group"), F.array_join(F.slice(ids, g * 4 + 1, 4), ",").alias("ids")))
+    groups = F.transform(fields.grouped(F.col("branches"), 4), lambda g: F.struct(
+        g["group"].alias("group"), F.array_join(F.transform(g["fields"], lambda b: b["id"]), ",").alias("ids")))
     return order_branches(spark, sf_dir).select("document_id", F.inline(groups))
 
 
 @query("sampled_fields", f"""WITH {BRANCHES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY sha256('3:' || document_id || id)) AS r FROM branches)
 SELECT document_id, string_agg(id, ',' ORDER BY r) AS ids FROM r WHERE r <= 2 GROUP BY document_id""")
 def sampled_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = F.array_sort(F.transform("branches", lambda b: F.struct(
-        order_key(3, F.concat(F.col("document_id").cast("string"), b["id"])).alias("k"), b["id"].alias("id"))))
-    return order_branches(spark, sf_dir).select("document_id", F.array_join(F.transform(F.slice(keyed, 1, 2), lambda x: x["id"]), ",").alias("ids"))
+    drawn = fields.sampled(F.col("branches"), F.col("document_id"), 2, seed=3)
+    return order_branches(spark, sf_dir).select("document_id", F.array_join(F.transform(drawn, lambda b: b["id"]), ",").alias("ids"))
 
 
 @query("loss_weights", f"""WITH {BRANCHES_SQL} SELECT document_id, id, round(1.0::DOUBLE / sum(target) OVER (PARTITION BY document_id), 9) AS by_token,
@@ -322,3 +320,21 @@ def training_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("step"), F.col("user_id").alias("document_id"), F.col("event_type").alias("form"),
         k.alias("target_tokens"), k.alias("sequence_tokens"), F.col("value").alias("loss"))
     return rounded(logs.training_summary(log))
+
+
+@query("part_numbers", """WITH n AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS trace_index FROM lineitem)
+SELECT l_orderkey, l_linenumber, trace_index, trace_index // 1000 AS part FROM n""")
+def part_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.part_numbered(read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], 1000)
+
+
+@query("slowest_requests", f"""WITH {REQUESTS_SQL}, n AS (SELECT model, id, infer, row_number() OVER (PARTITION BY model ORDER BY infer DESC, id) AS r FROM requests WHERE infer IS NOT NULL)
+SELECT model, id, round(infer, 9) AS infer FROM n WHERE r = 1""")
+def slowest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fields.slowest(request_log(spark, sf_dir), "infer", ["model"], ["id"]))
+
+
+@query("first_shuffled", """SELECT o_orderkey FROM orders ORDER BY sha256('7:' || o_orderkey), o_orderkey LIMIT 100""")
+def first_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", order_key(7, F.col("o_orderkey")).alias("k"))
+    return fields.first_in_order(orders, ["k", "o_orderkey"], 100).select("o_orderkey")

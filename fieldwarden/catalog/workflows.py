@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import policy, rows
+from ..operators import fields, policy, rows
 from ..operators.dataset import prepare_report
 from ..plans import workflows
 from ..session import read_table
@@ -109,4 +109,4 @@ def provenance_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_of_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = prepared_documents(spark, sf_dir)
     wanted = docs.groupBy("form").agg(F.min("document_id").alias("document_id")).select("document_id")
-    return docs.join(wanted, "document_id", "left_semi").select("document_id", "split", "form")
+    return fields.located(docs, wanted).filter("found").select("document_id", "split", "form")

@@ -62,6 +62,16 @@ def score_groups(rows: DataFrame) -> DataFrame:
             .agg(F.count("*").alias("n"), count_if(~F.col("correct")).alias("errors")))
 
 
+def between(last: Column, following: Column) -> Column:
+    """A threshold that reviews ``last`` and not the following score: halfway, and above ``last`` in any case.
+
+    Halfway between neighbouring doubles is the lower one; the upper one is
+    taken then. Without a following score the threshold is above all.
+    """
+    half = (last + following) / 2
+    return F.when(following.isNull(), F.greatest(F.lit(REVIEW_ALL), last + F.abs(last) * 4e-16)).when(half > last, half).otherwise(following)
+
+
 def fit_policy(rows: DataFrame, target: float = .95, split: str = "dev") -> DataFrame:
     """Lowest threshold that catches ``target`` of the errors; ties in score stay together.
 
@@ -81,8 +91,7 @@ def fit_policy(rows: DataFrame, target: float = .95, split: str = "dev") -> Data
                                                   F.min(F.when(~reviewed, F.col("score"))).alias("next"))
     total = totals.select("errors").scalar()
     threshold = (F.when(total == 0, REVIEW_ALL).when(F.col("last").isNull(), 0.0)
-                 .when(F.col("next").isNotNull(), (F.col("last") + F.col("next")) / 2)
-                 .otherwise(F.greatest(F.lit(REVIEW_ALL), F.col("last"))))
+                 .otherwise(between(F.col("last"), F.col("next"))))
     return edge.select(threshold.alias("threshold"), F.lit(target).alias("target_error_recall"),
                        F.lit(split).alias("fitted_split"), F.lit("global").alias("mode"))
 
@@ -153,7 +162,7 @@ def _conservative_row(errors: DataFrame, keys: DataFrame, hit: float | None, tar
     bounds = _recall_bounds(errors, [] if at in (None, -math.inf) else [at], replicates, seed)
     final = bounds.agg(F.max_by("wilson", "cut").alias("wilson"), F.max_by("cluster", "cut").alias("cluster"))
     after = keys.filter(F.col("score") > (hit if met else math.inf)).agg(F.min("score")).scalar()
-    threshold = (F.lit(0.0) if hit == -math.inf else F.coalesce((F.lit(hit) + after) / 2, F.lit(REVIEW_ALL))
+    threshold = (F.lit(0.0) if hit == -math.inf else between(F.lit(hit), after)
                  ) if met else F.lit(REVIEW_ALL)
     return final.select(
         threshold.alias("threshold"), F.lit(target).alias("target_error_recall"), F.lit(split).alias("fitted_split"),

@@ -159,3 +159,11 @@ def test_more_review_never_catches_less(spark):
     df, _ = simulated(spark)
     recalls = [review.evaluate_policy(df, policy.fixed_policy(df, t)).first().error_recall for t in (.2, .4, .6, .8)]
     assert recalls == sorted(recalls)
+
+
+def test_the_threshold_is_above_the_last_reviewed_score(spark):
+    one = 0.5
+    cases = [(one, np.nextafter(one, 1)), (0.25, 0.75), (3.0, None), (0.0, None), (1.0, np.nextafter(1.0, 2))]
+    df = spark.createDataFrame([(a, None if b is None else float(b)) for a, b in cases], "a double, b double")
+    for a, b, t in df.select("a", "b", policy.between(F.col("a"), F.col("b"))).collect():
+        assert a < t and (b is None or t <= b)
