@@ -60,7 +60,6 @@ class PieceModel:
 
     def prepare(self) -> None:
         """Derive what the lattice needs from pieces and scores."""
-        self.longest = max(map(len, self.ids), default=1)
         self.byte_score = min((s for _, s in self.ids.values() if s > -1e8), default=0.0) - BYTE_PENALTY
         letters = set("".join(self.ids))
         #: Characters that stand in no piece are cuts of the lattice, as is every end of a word if no piece crosses it.
@@ -69,38 +68,45 @@ class PieceModel:
             self.units = re.compile(f"[{cuts}]|[^{cuts}]+" if cuts else "(?s:.+)")
         else:
             self.units = re.compile(f"{SPACE}+[^{SPACE}{cuts}]*|[^{SPACE}{cuts}]+" + (f"|[{cuts}]" if cuts else ""))
+        #: Every beginning of a piece: its id and score, or an empty tuple if it is none itself.
+        self.prefixes: dict[str, tuple] = {piece[:k]: () for piece in self.ids for k in range(1, len(piece))}
+        self.prefixes.update(self.ids)
         self.cache: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
 
-    def _edges(self, unit: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """Per end position: (start, score, ids) of the pieces that end there."""
-        ending: list[list] = [[] for _ in range(len(unit) + 1)]
-        find, longest, size = self.ids.get, self.longest, len(unit)
+    def _lattice(self, unit: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
+        """Per end position the pieces that end there, as (start, score, ids), and the best score up to every position."""
+        size, find = len(unit), self.prefixes.get
+        ending: list[list] = [[] for _ in range(size + 1)]
+        forward = [0.0] + [float("-inf")] * size
         for start in range(size):
-            spelled = True
-            for end in range(start + 1, min(start + longest, size) + 1):
-                found = find(unit[start:end])
-                if found is not None:
-                    spelled = spelled and end > start + 1
-                    ending[end].append((start, found[1], (found[0],)))
-            if spelled:
+            before = forward[start]
+            if unit[start] not in self.ids:
                 # A lone surrogate of the units' alphabet marks a literal SPACE.
                 raw = (SPACE if unit[start] == "\ud800" else unit[start]).encode("utf-8", "surrogatepass")
-                ending[start + 1].append((start, self.byte_score * len(raw), tuple(self.bytes[b] for b in raw)))
-        return ending
+                score = self.byte_score * len(raw)
+                ending[start + 1].append((start, score, tuple(self.bytes[b] for b in raw)))
+                forward[start + 1] = max(forward[start + 1], before + score)
+            for end in range(start + 1, size + 1):
+                found = find(unit[start:end])
+                if found is None:
+                    break
+                if found:
+                    ending[end].append((start, found[1], (found[0],)))
+                    if before + found[1] > forward[end]:
+                        forward[end] = before + found[1]
+        return ending, forward
 
     def unit_nbest(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations of one unit, best first; fewer if there are no more."""
         known = self.cache.get((unit, n))
         if known is not None:
             return known
-        ending = self._edges(unit)
-        forward = [0.0] + [-np.inf] * len(unit)
-        for end in range(1, len(unit) + 1):
-            forward[end] = max(forward[start] + score for start, score, _ in ending[end])
+        ending, forward = self._lattice(unit)
+        push, pop = heapq.heappush, heapq.heappop
         # A hypothesis is what stands behind a position: its score and a chain of pieces that shares its tail.
         found, heap, pushed = [], [(-forward[-1], 0, len(unit), 0.0, None)], 0
         while heap and len(found) < n:
-            _, _, at, behind, chain = heapq.heappop(heap)
+            _, _, at, behind, chain = pop(heap)
             if at == 0:
                 ids: list[int] = []
                 while chain is not None:
@@ -111,7 +117,7 @@ class PieceModel:
             for start, score, piece in ending[at]:
                 pushed += 1
                 total = behind + score
-                heapq.heappush(heap, (-(forward[start] + total), pushed, start, total, (piece, chain)))
+                push(heap, (-(forward[start] + total), pushed, start, total, (piece, chain)))
         if len(self.cache) >= CACHE:
             self.cache.clear()
         self.cache[unit, n] = found
@@ -128,9 +134,13 @@ class PieceModel:
         combinations. A combination among the ``n`` best departs from the best
         one only in the ``n - 1`` units whose second choice costs least.
         """
-        units = [self.unit_nbest(u, n) for u in self.split(text)]
+        parts = self.split(text)
+        # The second choice of a unit says whether more of its choices can matter.
+        units = [self.unit_nbest(u, min(n, 2)) for u in parts]
         total = sum(u[0][0] for u in units)
         open_ = heapq.nsmallest(n - 1, ((u[0][0] - u[1][0], i) for i, u in enumerate(units) if len(u) > 1))
+        for _, i in open_:
+            units[i] = self.unit_nbest(parts[i], n)
         combined: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
         for _, i in open_:
             best = units[i][0][0]
