@@ -210,7 +210,7 @@ def _link_rows(similarity: Similarity, keys: list[str]):
 
 def _compared(groups: DataFrame, texts: DataFrame, keys: list[str], similarity: Similarity) -> DataFrame:
     """Links found inside the groups ``keys, set, component, side``."""
-    rows = groups.join(texts, "set").select(*keys, "set", "component", "side", "text")
+    rows = groups.join(texts.hint("merge"), "set").select(*keys, "set", "component", "side", "text")
     rows = rows.repartition(task_count(groups.sparkSession), *keys).sortWithinPartitions(*keys)
     return rows.mapInArrow(_link_rows(similarity, keys), "a bigint, b bigint")
 
@@ -283,7 +283,8 @@ def near_duplicates(documents: DataFrame, similarity: Similarity = Similarity())
     wanted = stars.select("set").union(stars.select("top")).distinct()
     holder = staged(sets.join(wanted, "set").groupBy("set").agg(F.min("doc_id").alias("doc_id"),
                                                                 F.first("n_shingles").alias("n_shingles")), "holders")
-    known = documents.join(holder.filter("doc_id is not null").select("doc_id", "set"), "doc_id")
+    # A merge join at every size: a small run must not profit from a broadcast that a large one cannot have.
+    known = documents.join(holder.filter("doc_id is not null").select("doc_id", "set").hint("merge"), "doc_id")
     texts = staged(known.mapInArrow(_own_texts(similarity), "set bigint, text string"), "texts")
     sized = stars.join(holder.select("set", "n_shingles"), "set")
     tops = staged(sized.groupBy("top").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
