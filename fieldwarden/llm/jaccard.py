@@ -141,7 +141,7 @@ class Tree:
         With ``sides`` only pairs of different sides are compared.
         """
         found: list[tuple[int, int]] = []
-        share = similarity.percent / 100
+        percent = similarity.percent
         top = len(self.levels) - 1
         width = len(self.levels[top][0])
         stack = [(top, i, j) for i in range(width) for j in range(i, width)]
@@ -149,10 +149,11 @@ class Tree:
             level, i, j = stack.pop()
             bitmap, low, high, excess = self.levels[level]
             if i != j or level:
-                if min(high[i], high[j]) < share * max(low[i], low[j]):
+                # Whole numbers as in ``Similarity.linked``: a bound exactly at the threshold must not be rounded below it.
+                if 100 * int(min(high[i], high[j])) < percent * int(max(low[i], low[j])):
                     continue
-                most = np.bitwise_count(bitmap[i] & bitmap[j]).sum() + min(excess[i], excess[j])
-                if most * (1 + share) < share * (int(low[i]) + int(low[j])):
+                most = int(np.bitwise_count(bitmap[i] & bitmap[j]).sum()) + int(min(excess[i], excess[j]))
+                if (100 + percent) * most < percent * (int(low[i]) + int(low[j])):
                     continue
             if level:
                 if self._one_component(level, i, j):

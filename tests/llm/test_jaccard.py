@@ -100,6 +100,31 @@ def test_tree_joins_what_all_pairs_join(seed):
     assert all((tree.root(i) == tree.root(j)) == (want[i] == want[j]) for i in range(150) for j in range(150))
 
 
+@pytest.mark.parametrize("percent", [80, 85, 90])
+def test_links_exactly_at_the_threshold(percent):
+    draw = np.random.default_rng(percent)
+    ties = [(percent * n // 100, n) for n in range(1, 400) if percent * n % 100 == 0]
+    for small, large in ties:
+        whole = np.unique(draw.integers(0, 2**63, large).astype(np.uint64))
+        sets = [np.sort(draw.permutation(whole)[:small]), whole]
+        assert Tree(sets, [0, 1]).links(Similarity(3, percent)) == [(0, 1)], (small, large)
+        # The same pair below inner nodes, whose other sets are too small or too large to be linked with anything.
+        far = [np.unique(draw.integers(0, 2**63, n).astype(np.uint64)) for n in [1] * 20 + [1000] * 20]
+        tree = Tree(far[:20] + sets + far[20:], list(range(42)))
+        assert tree.root(20) != tree.root(21) and (20, 21) in tree.links(Similarity(3, percent)), (small, large)
+
+
+def test_ties_are_linked_in_the_join(spark):
+    # Nine and ten, eighteen and twenty ... distinct shingles of one word with all of the smaller set in common.
+    rows = []
+    for n in (10, 20, 30, 40, 60, 70, 80, 120):
+        words = [f"w{n}x{i}" for i in range(n)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(words[:n * 9 // 10]))]
+    got = run(spark, rows, Similarity(1, 90))
+    assert got == brute_force(rows, 1, 90)
+    assert all(component == doc_id // 2 * 2 for doc_id, _, component in got)
+
+
 def test_miss_probability():
     for percent in (80, 90):
         s = Similarity(5, percent)
