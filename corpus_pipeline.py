@@ -28,7 +28,7 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
     counted = quality.with_counts(docs.withColumn("identity", F.md5(F.coalesce("text", F.lit("")))))
     counted = staged(counted, "counted")
-    cutoffs = quality.certified_cutoffs(quality.labelled_counts(counted, labels))
+    cutoffs = quality.cutoff_table(quality.labelled_counts(counted, labels))
     return quality.judged(counted, cutoffs).filter("kept").select(*docs.columns)
 
 

@@ -18,7 +18,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 ALPHA = 0.05
 #: ... except with this probability over the draw of the holdout, for all strata and rules at once.
 DELTA = 0.05
-#: Strata with their own cutoffs: those with the most labels. Documents elsewhere are judged by the base rule alone.
+#: Strata that the comparison SQL certifies, those with the most labels. The query itself certifies every stratum.
 MAX_STRATA = 64
 #: Good labels lost that one bad label caught must outweigh, on the part of the labels that choose among certified cutoffs.
 GOOD_WEIGHT = 100
@@ -121,8 +121,8 @@ def _level(feature: str, cuts: tuple[float, ...]) -> Column:
     return len(cuts) + 1 - F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: F.expr(feature) >= cut))
 
 
-def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row: ``cutoffs``, a map from stratum to the chosen cutoff of each rule (null: the rule is off there).
+def cutoff_table(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """``stratum`` and the chosen cutoff of each rule (null: the rule is off there); strata where all are off are absent.
 
     Args:
         labelled: ``stratum, identity, good`` and the base counts; one row per
@@ -137,7 +137,8 @@ def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float =
     strata)`` and the first failure ends the walk, so no further correction
     for the number of cutoffs is due. Of the certified ones, the cutoff with
     the best count of bad minus ``GOOD_WEIGHT`` times good rejections on the
-    choosing part is taken, if that is positive.
+    choosing part is taken, if that is positive. ``strata`` are all with a
+    labelled text that passes the base rule, however many.
     """
     texts = labelled.groupBy("stratum", "identity").agg(F.max("good").alias("good"), *[
         F.first(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")])
@@ -153,9 +154,7 @@ def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float =
     grid = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(at).alias("step"), F.lit(cut).alias("cut"))
                      for rule, (_, cuts) in RULES.items() for at, cut in enumerate(cuts, 1)])
     totals = counted.groupBy("stratum", "rule").agg(F.sum("good_h").alias("n"))
-    strata = (counted.filter(F.col("rule") == next(iter(RULES))).groupBy("stratum")
-              .agg(F.sum(F.col("good_h") + F.col("good_t") + F.col("bad_t")).alias("size"))
-              .orderBy(F.desc("size"), "stratum").limit(MAX_STRATA).select("stratum"))
+    strata = counted.filter(F.col("rule") == next(iter(RULES))).select("stratum").distinct()
     number = strata.agg(F.greatest(F.count("*"), F.lit(1)).alias("n")).scalar()
     walk = strata.select("stratum", F.inline(grid))
     reached = walk.join(counted, ["stratum", "rule"]).filter(F.col("level") <= F.col("step")).groupBy(
@@ -168,16 +167,30 @@ def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float =
     worth = F.col("bad_t") - GOOD_WEIGHT * F.col("good_t")
     best = (tested.withColumn("certified", F.min("passes").over(until)).filter("certified").filter(worth > 0)
             .groupBy("stratum", "rule").agg(F.max_by("cut", F.struct(worth, -F.col("step"))).alias("cut")))
-    per = best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cut"))).alias(r) for r in RULES])
-    return per.agg(F.map_from_entries(F.collect_list(F.struct("stratum", F.struct(*RULES)))).alias("cutoffs"))
+    return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cut"))).alias(r) for r in RULES])
+
+
+def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """One row: ``cutoffs``, the ``cutoff_table`` as a map from stratum to its cutoffs."""
+    return cutoff_table(labelled, alpha, delta).agg(F.map_from_entries(F.collect_list(F.struct("stratum", F.struct(*RULES)))).alias("cutoffs"))
 
 
 def judged(documents: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Rows that hold the base counts and ``stratum``, with ``base_failed``, ``failed`` (rules broken) and ``kept``."""
-    own = F.try_element_at(cutoffs.scalar(), F.col("stratum"))
+    """Rows that hold the base counts and ``stratum``, with ``base_failed``, ``failed`` (rules broken) and ``kept``.
+
+    ``cutoffs`` is a ``cutoff_table`` or the map of ``certified_cutoffs``. It is
+    broadcast: a stratum stands in it only with the hundreds of labels that a
+    certified rule takes, and documents of a common language stay dealt out.
+    """
+    if "cutoffs" in cutoffs.columns:
+        cutoffs = cutoffs.select(F.explode("cutoffs").alias("stratum", "__own"))
+    else:
+        cutoffs = cutoffs.select("stratum", F.struct(*RULES).alias("__own"))
     broken = F.filter(F.array(*[F.when(F.expr(feature) >= F.col("__own")[rule], F.lit(rule))
                                 for rule, (feature, _) in RULES.items()]), lambda r: r.isNotNull())
-    rows = documents.withColumn("__own", own).withColumn("base_failed", base_failed())
+    rows = documents.join(F.broadcast(cutoffs.withColumnRenamed("stratum", "__stratum")),
+                          F.col("stratum") == F.col("__stratum"), "left").drop("__stratum")
+    rows = rows.withColumn("base_failed", base_failed())
     rows = rows.withColumn("failed", F.when(F.col("base_failed"), F.array(F.lit("base"))).otherwise(broken))
     return rows.withColumn("kept", F.size("failed") == 0).drop("__own")
 
@@ -260,6 +273,6 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.md5("text").alias("identity"))
     counted = staged(with_counts(documents.withColumn("identity", F.coalesce("identity", F.md5(F.lit(""))))).drop("text", "lang"),
                      "quality")
-    cutoffs = certified_cutoffs(labelled_counts(counted, read_table(spark, sf_dir, "labels").select("doc_id", "quality")))
+    cutoffs = cutoff_table(labelled_counts(counted, read_table(spark, sf_dir, "labels").select("doc_id", "quality")))
     return judged(counted, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                                            "n_repeat_words", "base_failed", "kept")

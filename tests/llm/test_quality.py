@@ -73,6 +73,24 @@ def test_cutoffs_are_certified(spark):
     assert risky == {} and few == {} and none == {}
 
 
+def test_every_stratum_is_certified(spark):
+    # More strata than the 64 with cutoffs of their own before; bad documents have symbols, good ones have not.
+    number = 70
+    text = F.md5(F.col("id").cast("string"))
+    labelled = spark.range(2000 * number).select(
+        F.concat(F.lit("s"), F.col("id") % number).alias("stratum"), text.alias("identity"),
+        (F.floor(F.col("id") / number) % 5 > 0).cast("int").alias("good")).selectExpr(
+        "*", "100L AS n_words", "500L AS word_chars", "IF(good = 0, 60L, 0L) AS n_symbols", "4L AS n_lines", "0L AS n_dup_lines",
+        "0L AS n_repeat_words")
+    want = {f"s{i}" for i in range(number)}
+    cutoffs = quality.certified_cutoffs(labelled).first()["cutoffs"]
+    assert set(cutoffs) == want and all(c["symbols"] <= 0.6 for c in cutoffs.values())
+    poor = spark.createDataFrame([(s,) for s in [*sorted(want), "unknown"]], "stratum string").selectExpr(
+        "*", "100L AS n_words", "500L AS word_chars", "60L AS n_symbols", "4L AS n_lines", "0L AS n_dup_lines", "0L AS n_repeat_words")
+    for found in (quality.certified_cutoffs(labelled), quality.cutoff_table(labelled)):
+        assert {r.stratum for r in quality.judged(poor, found).collect() if r.kept} == {"unknown"}
+
+
 def test_verdict(spark):
     texts = [(1, "en", "good word " * 3 + "and nine other quite different words stand in here"), (1, None, None), (None, "en", "%%% " * 40),
              (2, "en", " ".join(f"w{i}%" for i in range(60)))]
