@@ -1,9 +1,8 @@
-"""Embedding near-dedup by sorted projection passes.
+"""Embedding near-dedup by comparing all pairs of a label.
 
-Every pass orders the vectors of a label by the concatenated bits of random
-projections and compares each with its next neighbours. Links of all passes
-are united; inside the components found so, every link is then counted
-exactly.
+The vectors of a label are dealt into blocks and every pair of blocks is
+compared exactly. Each comparison counts the links of its vectors and names
+enough of them to connect what they connect.
 """
 
 from __future__ import annotations
@@ -21,33 +20,12 @@ from .registry import query
 
 #: Least cosine of a link.
 COSINE = 0.98
-#: Orders that are tried, and the bits of each.
-PASSES, BITS = 16, 32
-#: Neighbours behind a vector that it is compared with in each order.
-WINDOW = 48
-#: Vectors of a component that one task compares with as many others.
-BLOCK = 1024
-
-
-def _codes(passes: int):
-    """Rows ``pass, label, code, uid, vector`` of every vector and pass."""
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        for batch in batches:
-            sizes = np.array(batch.column("size"))
-            for size in np.unique(sizes):
-                part = batch.filter(pa.array(sizes == size))
-                if size not in planes:
-                    planes[size] = np.random.default_rng([20240131, int(size)]).standard_normal((int(size), passes * BITS))
-                flat = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, int(size))
-                bits = (flat @ planes[size] > 0).reshape(len(flat), passes, BITS)
-                code = bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                for p in range(passes):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(flat), p, np.int32)), part.column("label"), pa.array(sizes[sizes == size]),
-                         pa.array(code[:, p]), part.column("uid"), part.column("vector")],
-                        ["pass", "label", "size", "code", "uid", "vector"])
-    return rows
+#: Least blocks of a label of more than ``SMALL`` vectors, so that a common label is many tasks.
+SPLIT, SMALL = 4, 64
+#: Most vectors of a block.
+BLOCK = 4096
+#: Vectors of a block that are compared with the other block at a time.
+SLICE = 512
 
 
 def _unit(vectors: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
@@ -59,67 +37,54 @@ def _unit(vectors: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
     return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
 
 
-def _roots(parent: np.ndarray) -> np.ndarray:
-    while True:
-        up = parent[parent]
-        if (up == parent).all():
-            return parent
-        parent = up
-
-
-def _window_links(window: int, cosine: float):
-    """Links between neighbours of one order, as many as join what was not joined in this task yet."""
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail, group = None, None
-        for table in sorted_groups(batches, ["pass", "label", "size"]):
-            size = table.column("size")[0].as_py()
-            for begin in range(0, table.num_rows, 8192):
-                part = table.slice(begin, 8192)
-                uid, unit = part.column("uid").to_numpy(), _unit(part.column("vector"), size)
-                if begin:
-                    uid, unit = np.concatenate([tail[0], uid]), np.concatenate([tail[1], unit])
-                parent, found = np.arange(len(uid)), []
-                for step in range(1, min(window, len(uid) - 1) + 1):
-                    near = np.flatnonzero(np.einsum("ij,ij->i", unit[:-step], unit[step:]) >= cosine)
-                    parent = _roots(parent)
-                    for i in near[parent[near] != parent[near + step]]:
-                        a, b = _top(parent, i), _top(parent, i + step)
-                        if a != b:
-                            parent[max(a, b)] = min(a, b)
-                            found.append((uid[i], uid[i + step]))
-                tail = uid[-window:], unit[-window:]
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()),
-                                                  pa.array([b for _, b in found], pa.int64())], ["a", "b"])
-    return rows
-
-
-def _top(parent: np.ndarray, x: int) -> int:
-    while parent[x] != x:
-        x = parent[x]
-    return x
+def _joining(linked: np.ndarray, begin: int, columns: np.ndarray, classes: np.ndarray) -> list[tuple[int, int]]:
+    """Links between two classes of ``classes``, which are united; rows count from ``begin``, ``columns`` numbers the columns."""
+    found = []
+    for i in np.flatnonzero((linked & (classes[columns] != classes[begin:begin + len(linked), None])).any(axis=1)):
+        near = columns[linked[i]]
+        other, first = np.unique(classes[near], return_index=True)
+        own = classes[begin + i]
+        for c, k in zip(other, first):
+            if c != own:
+                found.append((begin + i, near[k]))
+        classes[np.isin(classes, other)] = own
+    return found
 
 
-def _link_counts(cosine: float):
-    """Per vector of a pair of blocks the weights linked to it on the other side."""
+def _block_links(cosine: float):
+    """Rows ``a, b, linked`` of every pair of blocks: per vector its linked weights on the other side, and joining links."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["component", "left", "right"]):
-            size = group.column("size")[0].as_py()
+        for group in sorted_groups(batches, ["label", "size", "left", "right"]):
+            side = group.column("side").to_numpy()
+            group = group.take(pa.array(np.argsort(side, kind="stable")))
+            size, rows_left = group.column("size")[0].as_py(), int((side == 0).sum())
             uid, weight = group.column("uid").to_numpy(), group.column("weight").to_numpy()
-            side, unit = group.column("side").to_numpy(), _unit(group.column("vector"), size)
-            if side.max() == 0:
-                linked = unit @ unit.T >= cosine
-                np.fill_diagonal(linked, False)
-                count = linked @ weight
-            else:
-                one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-                linked = unit[one] @ unit[two].T >= cosine
-                count = np.zeros(len(uid), np.int64)
-                count[one], count[two] = linked @ weight[two], weight[one] @ linked
-            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(count.astype(np.int64))], ["uid", "linked"])
+            unit = _unit(group.column("vector"), size)
+            alone = rows_left == len(uid)
+            if alone and group.column("left")[0].as_py() != group.column("right")[0].as_py() or not rows_left:
+                continue
+            columns = np.arange(len(uid)) if alone else np.arange(rows_left, len(uid))
+            count, classes, found = np.zeros(len(uid), np.int64), np.arange(len(uid)), []
+            for begin in range(0, rows_left, SLICE):
+                end = min(begin + SLICE, rows_left)
+                linked = unit[begin:end] @ unit[columns].T >= cosine
+                if alone:
+                    linked &= columns > np.arange(begin, end)[:, None]
+                if linked.any():
+                    count[begin:end] += linked @ weight[columns]
+                    count[columns] += weight[begin:end] @ linked
+                    found += _joining(linked, begin, columns, classes)
+            seen = np.flatnonzero(count)
+            a = np.concatenate([uid[seen], uid[[i for i, _ in found]]]) if found else uid[seen]
+            b = [None] * len(seen) + [int(uid[j]) for _, j in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([*count[seen].tolist(), *[None] * len(found)], pa.int64())],
+                ["a", "b", "linked"])
     return rows
 
 
-def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, passes: int | None = None,
+                           window: int | None = None) -> DataFrame:
     """One row per row of ``vectors`` (``vec_id, embedding, label``): ``vec_id, n_links, component_id, kept``.
 
     Vectors are compared under equal labels only. A null label or vector, an
@@ -129,10 +94,10 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, passes: i
     of their own; without an id a row is linked to equal vectors alone, has no
     component if those have no id either, and is never kept.
 
-    A link is seen if its vectors are neighbours within ``window`` in one of
-    the passes; sixteen passes see nearly all (the tests measure recall). A
-    range of an order is one task and loses its last window in that order
-    only. Components that hold a third of all rows are counted by blocks.
+    All pairs of a label are compared, so no link is missed however dense the
+    label is; the work grows with the square of its distinct vectors, the
+    copies of a vector with their number by ``BLOCK``. ``passes`` and
+    ``window`` set an earlier search by neighbours and have no effect.
     """
     value = F.col("embedding")
     usable = (F.col("label").isNotNull() & value.isNotNull() & (F.size(value) > 0)
@@ -146,24 +111,19 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, passes: i
         F.min("vec_id").alias("uid"), F.count("*").alias("weight"), F.first("label").alias("label"),
         F.first("vector").alias("vector")), "nodes")
     known = nodes.filter("uid is not null").select("uid", "label", F.size("vector").alias("size"), "vector", "weight")
-    label = known.schema["label"].dataType.simpleString()
-    coded = known.select("uid", "label", "size", "vector").mapInArrow(
-        _codes(passes), f"pass int, label {label}, size int, code bigint, uid bigint, vector array<double>")
-    order = ["pass", "label", "size", "code", "uid"]
-    near = (coded.repartitionByRange(task_count(vectors.sparkSession), *order).sortWithinPartitions(*order)
-            .mapInArrow(_window_links(window, cosine), "a bigint, b bigint"))
-    components = staged(connected_components(staged(near, "near")), "components")
-    members = staged(components.join(known, components["node"] == known["uid"]).select(
-        "component", "uid", "size", "vector", "weight"), "members")
-    sizes = staged(members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
-    dealt = members.join(sizes, "component").withColumn("own", F.expr("pmod(xxhash64(uid), blocks)").cast("int"))
+    n = F.count("*")
+    sizes = staged(known.groupBy("label", "size").agg(F.least(F.ceil(n / SMALL), F.greatest(F.lit(SPLIT), F.ceil(n / BLOCK)))
+                                                      .cast("int").alias("blocks")), "sizes")
+    dealt = known.join(sizes, ["label", "size"]).withColumn("own", F.expr("pmod(xxhash64(uid), blocks)").cast("int"))
     # A block meets itself and every other one once.
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(
         F.least("own", other).alias("left"), F.greatest("own", other).alias("right"), (F.col("own") > other).cast("int").alias("side")))
-    keys = ["component", "left", "right"]
-    spread = dealt.select("component", "uid", "size", "vector", "weight", F.inline(meets))
-    counts = (spread.repartition(task_count(vectors.sparkSession), *keys).sortWithinPartitions(*keys)
-              .mapInArrow(_link_counts(cosine), "uid bigint, linked bigint").groupBy("uid").agg(F.sum("linked").alias("linked")))
+    keys = ["label", "size", "left", "right"]
+    spread = dealt.select("label", "size", "uid", "vector", "weight", F.inline(meets))
+    near = staged(spread.repartition(task_count(vectors.sparkSession), *keys).sortWithinPartitions(*keys)
+                  .mapInArrow(_block_links(cosine), "a bigint, b bigint, linked bigint"), "near")
+    components = staged(connected_components(near.filter("b is not null").select("a", "b")), "components")
+    counts = near.filter("b is null").groupBy(F.col("a").alias("uid")).agg(F.sum("linked").alias("linked"))
     per_node = staged(nodes.select("x", "y", "uid", "weight").join(components.withColumnRenamed("node", "uid"), "uid", "left")
                       .join(counts, "uid", "left").select(
         "x", "y", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n"),

@@ -67,6 +67,26 @@ def test_recall_of_narrow_windows(spark):
     assert all(g[1] <= w[1] for g, w in zip(got, want))
 
 
+@pytest.mark.parametrize("mutual", [0.9, 0.95])
+def test_dense_label_much_larger_than_a_window(spark, mutual):
+    # Vectors around one direction, which nearly all have that cosine with each other, and isolated linked pairs.
+    draw, count, pairs = np.random.default_rng(17), 6000, 300
+    center, other = np.eye(64)[0], draw.standard_normal((count, 63))
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    inner = (0.983 - mutual) / (1 - mutual)
+    noise = other[pairs:2 * pairs] - (other[pairs:2 * pairs] * other[:pairs]).sum(axis=1, keepdims=True) * other[:pairs]
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    other[pairs:2 * pairs] = inner * other[:pairs] + math.sqrt(1 - inner**2) * noise
+    x = (math.sqrt(mutual) * center + np.pad(other, ((0, 0), (1, 0))) * math.sqrt(1 - mutual)).astype(np.float32)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    linked = np.argwhere(np.triu(unit @ unit.T >= 0.98, 1)).tolist()
+    assert {(i, i + pairs) for i in range(pairs)} <= set(map(tuple, linked))
+    n, least = np.bincount(np.ravel(linked), minlength=count), closure(range(count), linked)
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<float>, label int")
+    got = sorted(map(tuple, vectors.near_duplicate_vectors(df).collect()))
+    assert got == [(i, n[i], least[i], least[i] == i) for i in range(count)]
+
+
 def test_empty_and_repeated(spark):
     assert run(spark, []) == []
     df = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (None, [5.0, 5.0], 0)],
