@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ("toxicity", "quality", "substrings", "urls", "archives", "rollups", "pieces", "packing", "jaccard", "vectors", "resampling", "negatives")
+MODULES = ("toxicity", "quality", "substrings", "urls", "archives", "rollups", "pieces", "packing", "jaccard", "vectors", "resampling", "negatives", "maxent")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
