@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import DRAW_MODULUS, poisson_cuts
+from ..functions.hashing import DRAW_MODULUS, EXACT_MEAN
 from ..functions.numbers import REVIEW_ALL
 from ..operators import bootstrap, policy, review
 from . import query
@@ -38,23 +38,28 @@ def wilson_sql(s: str, n: str, end: str) -> str:
     return f"CASE WHEN ({n}) > 0 THEN least(1.0::DOUBLE, ({centre} + {half}) / {scale}) END"
 
 
-def weight_sql(replicate: str = "replicate") -> str:
-    drawn = f"((d_start + {replicate} * d_step) % {DRAW_MODULUS})"
-    cuts = poisson_cuts()
-    return "CASE " + " ".join(f"WHEN {drawn} < {cut} THEN {k}" for k, cut in enumerate(cuts)) + f" ELSE {len(cuts)} END"
+def seeds_sql(key: str) -> str:
+    word = "('0x' || substr(sha256('42:' || {key}), {at}, 8))::UBIGINT::BIGINT % {m} AS {name}"
+    return ", ".join(word.format(key=key, at=at, m=DRAW_MODULUS, name=name) for at, name in ((1, "s"), (9, "t"), (17, "s2"), (25, "t2")))
 
 
-def seeds_sql(key: str = "document_id") -> str:
-    word = "('0x' || substr(sha256('42:' || {key}), {at}, 8))::UBIGINT::BIGINT % {m} AS {name}"
-    return ", ".join(word.format(key=key, at=at, m=DRAW_MODULUS, name=name) for at, name in ((1, "d_start"), (9, "d_step")))
+#: Values of the Poisson distribution functions that are inverted.
+CDF = f"""cdf AS (SELECT k, list(total ORDER BY j) AS cdf FROM (SELECT k, j, sum(exp(j * ln(k) - k - lgamma(j + 1))) OVER (PARTITION BY k ORDER BY j) AS total
+  FROM range(1, {EXACT_MEAN + 1}) means(k), range(0, 300) counts(j) WHERE j <= k + 10 * sqrt(k) + 12) GROUP BY k)"""
 
 
 def drawn_sql(documents: str, sums: list[str], replicates: int = REPLICATES, by: str = "") -> str:
-    """``drawn``: weighted sums per replicate of a table with document_id and the summed columns."""
+    """``drawn``: weighted sums per replicate of a table with one row per document and the summed columns."""
     group = f"{by}, " if by else ""
-    return f"""seeded AS (SELECT *, {seeds_sql()} FROM {documents}),
-drawn AS (SELECT {group}replicate, {', '.join(f'sum({s} * ({weight_sql()}))::DOUBLE AS {s}' for s in sums)}
-  FROM seeded, range({replicates}) replicates(replicate) GROUP BY ALL)"""
+    names = ", ".join(sums)
+    u, v = (f"(({s} + replicate * {t}) % {DRAW_MODULUS} + 0.5) / {DRAW_MODULUS}::DOUBLE" for s, t in (("s", "t"), ("s2", "t2")))
+    return f"""{CDF},
+tallies AS (SELECT {group}{names}, count(*) AS k FROM {documents} GROUP BY ALL),
+seeded AS (SELECT tallies.*, cdf, {seeds_sql(f"concat_ws(',', {names})")} FROM tallies LEFT JOIN cdf ON cdf.k = tallies.k),
+uniform AS (SELECT *, {u} AS u, sqrt(-2 * ln({u})) * cos(2 * pi() * ({v})) AS z FROM seeded, range({replicates}) replicates(replicate)),
+weighted AS (SELECT *, CASE WHEN k <= {EXACT_MEAN} THEN len(list_filter(cdf, lambda c: c < u)) ELSE greatest(0, floor(
+  k + sqrt(k) * z + (z * z - 1) / 6 + (z - z * z * z) / (72 * sqrt(k)) + 0.5)) END AS w FROM uniform),
+drawn AS (SELECT {group}replicate, {', '.join(f'sum({s} * w)::DOUBLE AS {s}' for s in sums)} FROM weighted GROUP BY {group}replicate)"""
 
 
 def ends_sql(value: str, name: str) -> str:
@@ -203,27 +208,24 @@ def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(review.budgets(review_rows(spark, sf_dir)))
 
 
-@query("fit_conservative_policy", f"""WITH {ROWS},
+@query("fit_conservative_policy", f"""WITH RECURSIVE {ROWS},
 errors AS (SELECT document_id, CASE WHEN usable THEN score END AS score FROM rows WHERE NOT correct),
-seeded AS (SELECT *, {seeds_sql()} FROM errors),
-weighted AS (SELECT replicate, score, sum({weight_sql()}) AS w FROM seeded, range({REPLICATES}) replicates(replicate) GROUP BY ALL),
-keys AS (SELECT -1::DOUBLE AS cut UNION SELECT score FROM rows WHERE usable),
-totals AS (SELECT replicate, sum(w) AS total, sum(w) FILTER (score IS NULL) AS forced FROM weighted GROUP BY replicate),
-grid AS (SELECT cut, replicate, coalesce(w, 0) AS w FROM keys CROSS JOIN (SELECT replicate FROM totals)
-  LEFT JOIN weighted ON weighted.score = cut AND weighted.replicate = totals.replicate),
-recalls AS (SELECT cut, replicate, (coalesce(forced, 0) + sum(w) OVER (PARTITION BY replicate ORDER BY cut))::DOUBLE / nullif(total, 0)
-  AS recall FROM grid JOIN totals USING (replicate)),
-cluster AS (SELECT cut, quantile_cont(recall, 0.025) AS cluster FROM recalls GROUP BY cut),
-counts AS (SELECT cut, count(errors.document_id) FILTER (errors.score IS NULL OR errors.score <= cut) AS s, count(*) AS n
-  FROM keys, errors GROUP BY cut),
-state AS (SELECT cut, cluster, {wilson_sql('s', 'n', 'low')} AS wilson FROM cluster JOIN counts USING (cut)),
-chosen AS (SELECT min(cut) FILTER (least(cluster, wilson) >= 0.95) AS hit, max(cut) AS top FROM state)
-SELECT round(CASE WHEN hit IS NULL THEN {REVIEW_ALL}::DOUBLE WHEN hit = -1 THEN 0.0::DOUBLE ELSE coalesce((hit +
-  (SELECT min(score) FROM rows WHERE usable AND score > hit)) / 2, {REVIEW_ALL}::DOUBLE) END, 9) AS threshold,
-  round(state.wilson, 9) AS wilson_recall_lower_95, round(state.cluster, 9) AS document_bootstrap_recall_lower_95,
-  hit IS NOT NULL AS bound_target_met FROM chosen JOIN state ON state.cut = coalesce(hit, top)""".replace(
-    "CROSS JOIN (SELECT replicate FROM totals)", "CROSS JOIN totals").replace(
-    "SELECT cut, replicate, coalesce(w, 0) AS w", "SELECT cut, totals.replicate, coalesce(w, 0) AS w"))
+keys AS (SELECT score AS cut, row_number() OVER (ORDER BY score) AS place FROM (SELECT DISTINCT score FROM rows WHERE usable)
+  UNION ALL SELECT '-infinity'::DOUBLE, 0),
+documents AS (SELECT place, document_id, count(*) FILTER (score IS NULL OR score <= cut) AS caught, count(*) AS errors
+  FROM keys, errors GROUP BY place, document_id),
+{drawn_sql('documents', ['caught', 'errors'], by='place')},
+cluster AS (SELECT place, quantile_cont(caught / nullif(errors, 0), 0.025) AS cluster FROM drawn GROUP BY place),
+counts AS (SELECT place, sum(caught) AS s, sum(errors) AS n FROM documents GROUP BY place),
+state AS (SELECT place, cluster, {wilson_sql('s', 'n', 'low')} AS wilson FROM cluster JOIN counts USING (place)),
+search AS (SELECT 0::BIGINT AS low, (SELECT max(place) + 1 FROM keys)::BIGINT AS high UNION ALL
+  SELECT CASE WHEN least(cluster, wilson) >= 0.95 THEN low ELSE place + 1 END, CASE WHEN least(cluster, wilson) >= 0.95 THEN place ELSE high END
+  FROM search JOIN state ON place = (low + high) // 2 WHERE low < high),
+found AS (SELECT low, low <= (SELECT max(place) FROM keys) AS met FROM search WHERE low = high)
+SELECT round(CASE WHEN NOT met THEN {REVIEW_ALL}::DOUBLE WHEN low = 0 THEN 0.0::DOUBLE ELSE coalesce(((SELECT cut FROM keys WHERE place = low) +
+  (SELECT cut FROM keys WHERE place = low + 1)) / 2, {REVIEW_ALL}::DOUBLE) END, 9) AS threshold,
+  round(wilson, 9) AS wilson_recall_lower_95, round(cluster, 9) AS document_bootstrap_recall_lower_95,
+  met AS bound_target_met FROM found JOIN state ON place = least(low, (SELECT max(place) FROM keys))""")
 def fit_conservative_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = policy.fit_conservative_policy(review_rows(spark, sf_dir), replicates=REPLICATES)
     return rounded(fitted.select("threshold", "wilson_recall_lower_95", "document_bootstrap_recall_lower_95",

@@ -1,9 +1,11 @@
-"""Document bootstrap: every replicate weighs each document by a Poisson(1) count.
-
-The weight is a function of (seed, replicate, document), so a replicate is the
-same however the documents are partitioned and a lost task repeats it exactly.
-One digest per document serves all replicates, and the weighted sums are
-combined before they are shuffled: a task sends one row per replicate.
+"""Document bootstrap over tally vectors.
+
+A replicate weighs each document by a Poisson(1) count. Documents with equal
+tallies are interchangeable, and a sum of k such counts is one Poisson(k)
+count: the documents are counted per distinct tally vector in one aggregate,
+and all replicates are drawn for the vectors, however many documents there
+are. A draw is a function of (seed, vector, number of documents, replicate),
+so partitioning and repeated tasks change nothing.
 """
 
 from __future__ import annotations
@@ -13,34 +15,46 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import draw, draw_seeds, poisson_weight
+from ..functions.hashing import draw, draw_seeds, poisson_draw
 from ..functions.numbers import count_if, ratio
 from ..session import task_count
 
 QUANTILES = (0.025, 0.975)
 
 
-def replicate_sums(documents: DataFrame, key: str, sums: Mapping[str, Column], replicates: int, seed: int = 42,
+def replicate_sums(documents: DataFrame, sums: Mapping[str, Column], replicates: int, seed: int = 42,
                    by: Sequence[str] = ()) -> DataFrame:
     """Weighted sums per replicate (and ``by``): ``replicate``, then one column per entry of ``sums``.
 
     Args:
         documents: Rows already summed per document.
-        key: Document column.
-        sums: New column -> expression over a document row.
+        sums: New column -> whole-number expression over a document row, not null.
         replicates: Number of replicates.
-        seed: Changes every weight.
-        by: Further grouping of the documents, of bounded size.
+        seed: Changes every draw.
+        by: Groups of documents that are drawn apart, of bounded number.
     """
-    start, step = draw_seeds(seed, F.col(key))
-    named = documents.select(*by, start.alias("__start"), step.alias("__step"), *[e.alias(n) for n, e in sums.items()])
-    # Few bytes but many draws: cut into as many tasks as the cluster runs, whatever the size of the table.
-    named = named.repartition(task_count(documents.sparkSession), "__start", "__step")
-    drawn = (named.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-             .withColumn("__w", poisson_weight(draw(F.col("__start"), F.col("__step"), F.col("replicate")))))
+    tallies = (documents.select(*by, *[e.cast("bigint").alias(n) for n, e in sums.items()])
+               .groupBy(*by, *sums).agg(F.count("*").alias("__k")))
+    start, step, start_2, step_2 = draw_seeds(seed, F.concat_ws(",", *[F.col(n).cast("string") for n in sums]))
+    # Few rows but many draws: cut into as many tasks as the cluster runs, whatever the size of the table.
+    tallies = tallies.repartition(task_count(documents.sparkSession), *by, *sums).select(
+        "*", start.alias("__s"), step.alias("__t"), start_2.alias("__s2"), step_2.alias("__t2"))
+    at = F.col("replicate")
+    drawn = (tallies.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+             .withColumn("__u", draw(F.col("__s"), F.col("__t"), at)).withColumn("__v", draw(F.col("__s2"), F.col("__t2"), at))
+             .withColumn("__w", poisson_draw(F.col("__k"), F.col("__u"), F.col("__v"))))
     return drawn.groupBy(*by, "replicate").agg(*[F.sum(F.col(name) * F.col("__w")).alias(name) for name in sums])
 
 
+def one_per_field(rows: DataFrame, **values: Column) -> DataFrame:
+    """``document_id, field_id`` and the values; a repeated field fails the job, as it would count more than once."""
+    key = ["document_id", "field_id"]
+    repeated = F.raise_error(F.concat(F.lit("repeated field: "), "document_id", F.lit(" "), "field_id"))
+    grouped = rows.select(*key, *[v.alias(n) for n, v in values.items()]).groupBy(*key).agg(
+        F.count("*").alias("__n"), *[F.max(n).alias(n) for n in values])
+    return grouped.select(*key, *[F.when(F.col("__n") > 1, repeated).otherwise(F.col(n)).alias(n) for n in values])
+
+
 def interval(value: Column, name: str) -> list[Column]:
     """Low and high end of the 95% percentile interval; undefined replicates are left out."""
     # percentile keeps a count per distinct value; there are never more values than replicates.
@@ -59,16 +73,14 @@ def paired_delta(a: DataFrame, b: DataFrame, replicates: int = 10_000, seed: int
     if kinds is not None:
         a, b = a.filter(F.col("kind").isin(*kinds)), b.filter(F.col("kind").isin(*kinds))
     key = ["document_id", "field_id"]
-    repeated = F.raise_error(F.concat(F.lit("repeated field: "), "document_id", F.lit(" "), "field_id"))
-    left, right = (d.groupBy(*key).agg(F.max(F.col("correct").cast("int")).alias(n), F.count("*").alias("__n"))
-                   .select(*key, F.when(F.col("__n") > 1, repeated).otherwise(F.col(n)).alias(n)) for d, n in ((a, "a"), (b, "b")))
+    left, right = (one_per_field(d, **{n: F.col("correct").cast("int")}) for d, n in ((a, "a"), (b, "b")))
     pairs = left.join(right, key, "full_outer")
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     documents = pairs.groupBy("document_id").agg(
         count_if(both).alias("n"), F.coalesce(F.sum(F.when(both, F.col("a"))), F.lit(0)).alias("a"),
         F.coalesce(F.sum(F.when(both, F.col("b"))), F.lit(0)).alias("b"),
         count_if(F.col("b").isNull()).alias("only_a"), count_if(F.col("a").isNull()).alias("only_b"))
-    drawn = replicate_sums(documents, "document_id", {"d": F.col("a") - F.col("b"), "n": F.col("n")}, replicates, seed)
+    drawn = replicate_sums(documents, {"d": F.col("a") - F.col("b"), "n": F.col("n")}, replicates, seed)
     ends = drawn.agg(*interval(ratio(F.col("d"), F.col("n")), "delta"))
     points = documents.agg(
         F.sum("n").alias("fields"), count_if(F.col("n") > 0).alias("documents"),
@@ -94,7 +106,7 @@ def review_intervals(rows: DataFrame, replicates: int = 2000, seed: int = 42, by
     documents = rows.groupBy(*by, "document_id").agg(
         F.count("*").alias("n"), count_if(flag).alias("reviewed"), count_if(wrong).alias("errors"),
         count_if(flag & wrong).alias("caught"))
-    drawn = replicate_sums(documents, "document_id", {c: F.col(c) for c in ("n", "reviewed", "errors", "caught")},
+    drawn = replicate_sums(documents, {c: F.col(c) for c in ("n", "reviewed", "errors", "caught")},
                            replicates, seed, by)
     return drawn.groupBy(*by).agg(*interval(ratio(F.col("reviewed"), F.col("n")), "review_rate"),
                                   *interval(ratio(F.col("caught"), F.col("errors")), "error_recall"))
@@ -111,7 +123,7 @@ def policy_comparison(rows: DataFrame, replicates: int = 1000, seed: int = 42) -
         count_if(F.col("base_review")).alias("base"), count_if(F.col("base_review") & wrong).alias("base_caught"),
         count_if(F.col("new_review")).alias("new"), count_if(F.col("new_review") & wrong).alias("new_caught"))
     names = ("n", "errors", "base", "base_caught", "new", "new_caught")
-    drawn = replicate_sums(documents, "document_id", {c: F.col(c) for c in names}, replicates, seed)
+    drawn = replicate_sums(documents, {c: F.col(c) for c in names}, replicates, seed)
     n, errors = F.col("n"), F.col("errors")
     return drawn.agg(
         *interval(ratio(F.col("new"), n) - ratio(F.col("base"), n), "review_rate_change"),
@@ -120,15 +132,15 @@ def policy_comparison(rows: DataFrame, replicates: int = 1000, seed: int = 42) -
 
 
 def paired_systems(a: DataFrame, b: DataFrame, replicates: int = 2000, seed: int = 42) -> DataFrame:
-    """Review rate and recall of two systems (own values, own errors) on the fields both hold."""
+    """Review rate and recall of two systems (own values, own errors) on the fields both hold; repeated fields are an error."""
     key = ["document_id", "field_id"]
-    left = a.select(*key, F.col("needs_review").alias("ra"), (~F.col("correct")).alias("ea"))
-    right = b.select(*key, F.col("needs_review").alias("rb"), (~F.col("correct")).alias("eb"))
+    left = one_per_field(a, ra=F.col("needs_review"), ea=~F.col("correct"))
+    right = one_per_field(b, rb=F.col("needs_review"), eb=~F.col("correct"))
     documents = left.join(right, key).groupBy("document_id").agg(
         F.count("*").alias("n"), count_if(F.col("ra")).alias("a"), count_if(F.col("ea")).alias("a_err"),
         count_if(F.col("ra") & F.col("ea")).alias("a_hit"), count_if(F.col("rb")).alias("b"),
         count_if(F.col("eb")).alias("b_err"), count_if(F.col("rb") & F.col("eb")).alias("b_hit"))
-    drawn = replicate_sums(documents, "document_id", {c: F.col(c) for c in ("n", "a", "b")}, replicates, seed)
+    drawn = replicate_sums(documents, {c: F.col(c) for c in ("n", "a", "b")}, replicates, seed)
     ends = drawn.agg(*interval(ratio(F.col("a"), F.col("n")) - ratio(F.col("b"), F.col("n")), "review_rate_change"))
     t = {c: F.sum(c) for c in ("n", "a", "a_err", "a_hit", "b", "b_err", "b_hit")}
     points = documents.agg(

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import REVIEW_ALL, count_if, finite, wilson
+from ..functions.numbers import REVIEW_ALL, count_if, finite, ratio, wilson
 from ..session import materialize, staged
 from .bootstrap import replicate_sums
-from .scale import running_totals
+from .scale import numbered, running_totals
 
 
 def usable() -> Column:
@@ -96,80 +97,71 @@ def fit_policy(rows: DataFrame, target: float = .95, split: str = "dev") -> Data
                        F.lit(split).alias("fitted_split"), F.lit("global").alias("mode"))
 
 
+#: Steps of the threshold search that share one pass over the errors.
+SEARCH_STEPS = 4
+
+
+def _midpoints(low: int, high: int, steps: int) -> list[int]:
+    """Every point that a bisection of ``low..high`` can look at in its next ``steps`` steps."""
+    if low >= high or not steps:
+        return []
+    middle = (low + high) // 2
+    return [middle, *_midpoints(low, middle, steps - 1), *_midpoints(middle + 1, high, steps - 1)]
+
+
 def fit_conservative_policy(rows: DataFrame, target: float = .95, split: str = "risk_validation",
-                            replicates: int = 2000, seed: int = 42, fanout: int = 64) -> DataFrame:
+                            replicates: int = 2000, seed: int = 42) -> DataFrame:
     """Lowest threshold whose Wilson bound and document-bootstrap bound of error recall both reach ``target``.
 
-    Both bounds only rise with the threshold, so it is found by narrowing an
-    interval of scores: each round cuts it at ``fanout`` sampled scores and
-    sums the caught errors of every replicate per cut. A round reads the error
-    rows once; the driver sees one row of it.
+    The distinct usable scores are numbered once and the number of them that
+    must be reviewed is found by bisection. A pass over the error rows serves
+    ``SEARCH_STEPS`` steps: it tallies caught errors and errors per document
+    for every point that these can look at. The driver sees one row per point.
     """
     if split != "risk_validation":
         raise ValueError("fit on the separate risk_validation cohort, never on audit or test rows")
     errors = materialize(rows.filter(~F.col("correct")).groupBy(
         "document_id", F.when(usable(), F.col("score")).alias("score")).agg(F.count("*").alias("n")))
-    keys = materialize(rows.filter(usable()).select("score").distinct())
-    low, high = -math.inf, math.inf
-    while True:
-        inside = keys.filter((F.col("score") > low) & (F.col("score") <= high))
-        cuts = sorted(r[0] for r in inside.orderBy(F.xxhash64("score"), "score").limit(fanout).collect())
-        exact = len(cuts) < fanout
-        state = _recall_bounds(errors, cuts, replicates, seed)
-        met = (F.col("wilson") >= target) & (F.col("cluster") >= target)
-        best = state.agg(F.min(F.when(met, F.col("cut"))).alias("hit"),
-                         F.max(F.when(~met, F.col("cut"))).alias("miss"),
-                         F.max(F.when(met & (F.col("cut") == -math.inf), 1)).alias("none_needed")).first()
-        if exact or best["none_needed"]:
-            break
-        low = max(low, best["miss"] if best["miss"] is not None else low)
-        high = best["hit"] if best["hit"] is not None else high
-    hit = -math.inf if best["none_needed"] else best["hit"]
-    return _conservative_row(errors, keys, hit, target, split, replicates, seed)
-
-
-def _recall_bounds(errors: DataFrame, cuts: list[float], replicates: int, seed: int) -> DataFrame:
-    """Both lower bounds after reviewing everything up to each cut (and up to nothing: ``-inf``)."""
-    spark = errors.sparkSession
-    levels = [-math.inf, *cuts]
-    level = F.when(F.col("score").isNull(), 0)
-    for i, cut in enumerate(cuts, 1):
-        level = level.when(F.col("score") <= cut, i)
-    per_document = (errors.withColumn("level", level.otherwise(len(levels)))
-                    .groupBy("document_id", "level").agg(F.sum("n").alias("n")))
-    # One weighted sum per (replicate, level): at most replicates * (len(cuts) + 2) rows from here on.
-    weighted = replicate_sums(per_document, "document_id", {"caught": F.col("n")}, replicates, seed, by=["level"])
-    plain = per_document.groupBy("level").agg(F.sum("n").alias("n"))
-    states = spark.range(len(levels)).select(F.col("id").cast("int").alias("state"), F.get(
-        F.array(*[F.lit(x) for x in levels]), F.col("id").cast("int")).alias("cut"))
-    spread = F.explode(F.sequence(F.lit(0), F.lit(len(levels) - 1))).alias("state")
-    reached = F.col("level") <= F.col("state")
-    recall = (weighted.select("*", spread).groupBy("state", "replicate")
-              .agg((F.sum(F.when(reached, F.col("caught")).otherwise(0)) / F.nullif(F.sum("caught"), F.lit(0)))
-                   .alias("recall"))
-              .groupBy("state").agg(F.coalesce(F.expr("percentile(recall, 0.025)"), F.lit(0.0)).alias("cluster")))
-    counts = (plain.select("*", spread).groupBy("state")
-              .agg(F.sum(F.when(reached, F.col("n")).otherwise(0)).alias("caught"), F.sum("n").alias("errors")))
-    low, _ = wilson(F.col("caught"), F.col("errors"))
-    return (states.join(F.broadcast(recall), "state").join(F.broadcast(counts), "state")
-            .select("cut", F.coalesce(low, F.lit(0.0)).alias("wilson"), "cluster"))
-
-
-def _conservative_row(errors: DataFrame, keys: DataFrame, hit: float | None, target: float,
-                      split: str, replicates: int, seed: int) -> DataFrame:
-    met = hit is not None
-    at = hit if met else keys.agg(F.max("score")).first()[0]
-    bounds = _recall_bounds(errors, [] if at in (None, -math.inf) else [at], replicates, seed)
-    final = bounds.agg(F.max_by("wilson", "cut").alias("wilson"), F.max_by("cluster", "cut").alias("cluster"))
-    after = keys.filter(F.col("score") > (hit if met else math.inf)).agg(F.min("score")).scalar()
-    threshold = (F.lit(0.0) if hit == -math.inf else between(F.lit(hit), after)
-                 ) if met else F.lit(REVIEW_ALL)
-    return final.select(
+    keys = staged(numbered(rows.filter(usable()).select("score").distinct(), ["score"], "place"), "scores")
+    count = keys.count()
+    low, high = 0, count + 1
+    bounds: dict[int, tuple[float, float]] = {}
+    while low < high:
+        points = _midpoints(low, high, SEARCH_STEPS)
+        scores = dict(keys.filter(F.col("place").isin(points)).select("place", "score").collect())
+        cuts = {p: scores.get(p, -math.inf) for p in points}
+        bounds.update({r["place"]: (r["wilson"], r["cluster"]) for r in _recall_bounds(errors, cuts, replicates, seed).collect()})
+        for _ in range(SEARCH_STEPS):
+            if low < high:
+                middle = (low + high) // 2
+                low, high = (low, middle) if min(bounds[middle]) >= target else (middle + 1, high)
+    met = low <= count
+    wilson_low, cluster_low = bounds.get(min(low, count)) or next(
+        (r["wilson"], r["cluster"]) for r in _recall_bounds(errors, {count: math.inf}, replicates, seed).collect())
+    ends = {r["place"]: r["score"] for r in keys.filter(F.col("place").isin([low, low + 1])).select("place", "score").collect()}
+    following = F.lit(ends.get(low + 1)).cast("double")
+    threshold = (F.lit(0.0) if low == 0 else between(F.lit(ends[low]), following)) if met else F.lit(REVIEW_ALL)
+    return rows.sparkSession.range(1).select(
         threshold.alias("threshold"), F.lit(target).alias("target_error_recall"), F.lit(split).alias("fitted_split"),
-        F.lit("global").alias("mode"), F.coalesce("wilson", F.lit(0.0)).alias("wilson_recall_lower_95"),
-        F.coalesce("cluster", F.lit(0.0)).alias("document_bootstrap_recall_lower_95"),
-        F.lit(met).alias("bound_target_met"), F.lit(replicates).alias("bootstrap_replicates"),
-        F.lit(None if met else "review_all").cast("string").alias("fallback"))
+        F.lit("global").alias("mode"), F.lit(wilson_low).alias("wilson_recall_lower_95"),
+        F.lit(cluster_low).alias("document_bootstrap_recall_lower_95"), F.lit(met).alias("bound_target_met"),
+        F.lit(replicates).alias("bootstrap_replicates"), F.lit(None if met else "review_all").cast("string").alias("fallback"))
+
+
+def _recall_bounds(errors: DataFrame, cuts: Mapping[int, float], replicates: int, seed: int) -> DataFrame:
+    """Per cut (``place`` -> highest reviewed score) both lower bounds of error recall; 0 without errors."""
+    places = list(cuts)
+    caught = [F.sum(F.when(F.col("score").isNull() | (F.col("score") <= cuts[p]), F.col("n")).otherwise(0)) for p in places]
+    documents = errors.groupBy("document_id").agg(F.sum("n").alias("errors"), F.array(*[
+        F.struct(F.lit(p).alias("place"), c.alias("caught")) for p, c in zip(places, caught)]).alias("cuts"))
+    tall = documents.select("errors", F.inline("cuts"))
+    drawn = replicate_sums(tall, {"caught": F.col("caught"), "errors": F.col("errors")}, replicates, seed, by=["place"])
+    cluster = drawn.groupBy("place").agg(F.percentile(ratio(F.col("caught"), F.col("errors")), 0.025).alias("cluster"))
+    counts = tall.groupBy("place").agg(F.sum("caught").alias("caught"), F.sum("errors").alias("errors"))
+    low, _ = wilson(F.col("caught"), F.col("errors"))
+    every = errors.sparkSession.createDataFrame([(p,) for p in places], "place int")
+    return every.join(counts, "place", "left").join(cluster, "place", "left").select(
+        "place", F.coalesce(low, F.lit(0.0)).alias("wilson"), F.coalesce("cluster", F.lit(0.0)).alias("cluster"))
 
 
 def review_reason() -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldwarden.functions.hashing import DRAW_MODULUS, poisson_cuts
+from fieldwarden.functions.hashing import DRAW_MODULUS, EXACT_MEAN, poisson_draw
 from fieldwarden.functions.numbers import REVIEW_ALL, wilson
 from fieldwarden.operators import bootstrap, policy, review
 
@@ -70,22 +72,21 @@ def simulated(spark, documents=120, fields=10, seed=3):
     return frame(spark, rows), rows
 
 
-def weights(documents, replicates, seed=42):
-    import hashlib
+def poisson_weights(key, count, replicates, seed=42):
+    """Draws for ``count`` documents with one tally vector: how many values of the distribution function lie below."""
+    digest = hashlib.sha256(f"{seed}:{key}".encode()).hexdigest()
+    start, step, start_2, step_2 = (int(digest[i:i + 8], 16) % DRAW_MODULUS for i in (0, 8, 16, 24))
+    u, v = (((s + np.arange(replicates) * t) % DRAW_MODULUS + .5) / DRAW_MODULUS for s, t in ((start, step), (start_2, step_2)))
+    if count > EXACT_MEAN:
+        z = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
+        return np.maximum(0, np.floor(count + math.sqrt(count) * z + (z * z - 1) / 6 + (z - z**3) / (72 * math.sqrt(count)) + .5))
+    total = np.cumsum([math.exp(j * math.log(count) - count - math.lgamma(j + 1)) for j in range(count + 200)])
+    return np.searchsorted(total, u)
 
-    cuts = np.array(poisson_cuts())
-    result = {}
-    for d in documents:
-        digest = hashlib.sha256(f"{seed}:{d}".encode()).hexdigest()
-        start, step = (int(digest[i:i + 8], 16) % DRAW_MODULUS for i in (0, 8))
-        result[d] = np.searchsorted(cuts, (start + np.arange(replicates) * step) % DRAW_MODULUS, side="right")
-    return result
 
-
-def test_conservative_policy_matches_a_plain_sweep(spark):
+def test_conservative_policy_matches_a_plain_bisection(spark):
     df, rows = simulated(spark)
-    got = policy.fit_conservative_policy(df, target=.9, replicates=200, fanout=8).first()
-    w = weights({r[0] for r in rows}, 200)
+    got = policy.fit_conservative_policy(df, target=.9, replicates=200).first()
     wrong = [r for r in rows if not r[3]]
     keys = sorted({r[5] for r in rows if r[2] == "ok"})
 
@@ -93,20 +94,61 @@ def test_conservative_policy_matches_a_plain_sweep(spark):
         caught = [r for r in wrong if r[2] != "ok" or (k and r[5] <= keys[k - 1])]
         p, n = len(caught) / len(wrong), len(wrong)
         low = (p + 1.96**2 / (2 * n) - 1.96 * math.sqrt(p * (1 - p) / n + 1.96**2 / (4 * n * n))) / (1 + 1.96**2 / n)
-        ratio = sum(w[r[0]] for r in caught) / sum(w[r[0]] for r in wrong) if caught else np.zeros(200)
+        errors, hit = Counter(r[0] for r in wrong), Counter(r[0] for r in caught)
+        vectors = Counter((hit[d], errors[d]) for d in errors)
+        drawn = [(c, e, poisson_weights(f"{c},{e}", m, 200)) for (c, e), m in vectors.items()]
+        ratio = sum(c * w for c, _, w in drawn) / sum(e * w for _, e, w in drawn)
         return low, float(np.quantile(ratio, .025))
 
-    k = next(k for k in range(len(keys) + 1) if min(state(k)) >= .9)
+    k, high = 0, len(keys) + 1
+    while k < high:
+        middle = (k + high) // 2
+        k, high = (k, middle) if min(state(middle)) >= .9 else (middle + 1, high)
     assert got.threshold == pytest.approx((keys[k - 1] + keys[k]) / 2 if 0 < k < len(keys) else (0 if k == 0 else REVIEW_ALL))
     assert (got.wilson_recall_lower_95, got.document_bootstrap_recall_lower_95) == (pytest.approx(state(k)[0]), pytest.approx(state(k)[1]))
     assert got.bound_target_met
     strict = policy.fit_conservative_policy(df, target=.9999, replicates=50).first()
     assert strict.threshold == REVIEW_ALL and not strict.bound_target_met and strict.fallback == "review_all"
-
-
-def test_poisson_weights_have_mean_and_variance_one():
-    drawn = np.concatenate(list(weights([f"d{i}" for i in range(300)], 300).values()))
-    assert drawn.mean() == pytest.approx(1, abs=.02) and drawn.var() == pytest.approx(1, abs=.03)
+    perfect = policy.fit_conservative_policy(df.filter("correct"), replicates=20).first()
+    assert perfect.threshold == REVIEW_ALL and perfect.wilson_recall_lower_95 == 0
+
+
+@pytest.mark.parametrize("mean", [1, 2, 7, 64, 65, 500, 10**9])
+def test_draws_are_poisson(spark, mean):
+    drawn = spark.range(40_000).select(poisson_draw(
+        F.lit(mean), (F.xxhash64(F.lit(1), "id") % 1000003 + 1000003) % 1000003 / 1000003 + 1e-7,
+        (F.xxhash64(F.lit(2), "id") % 1000003 + 1000003) % 1000003 / 1000003).alias("w")).toPandas().w.to_numpy()
+    assert abs(drawn.mean() - mean) < 4 * math.sqrt(mean / 40_000) + .01
+    assert drawn.var() == pytest.approx(mean, rel=.04)
+    if mean < 100:
+        for j in range(int(mean + 4 * math.sqrt(mean)) + 1):
+            p = math.exp(j * math.log(mean) - mean - math.lgamma(j + 1))
+            assert abs((drawn == j).mean() - p) < 4.5 * math.sqrt(p / 40_000) + 1e-4
+
+
+def test_interval_of_tallies_equals_that_of_documents(spark):
+    # The document bootstrap with one Poisson(1) weight per document, in numpy.
+    df, rows = simulated(spark, 400)
+    got = bootstrap.review_intervals(df.withColumn("needs_review", F.col("score") < .5), 2000).first()
+    names = sorted({r[0] for r in rows})
+    at = {d: i for i, d in enumerate(names)}
+    tally = np.zeros((len(names), 2))
+    for r in rows:
+        tally[at[r[0]]] += (r[5] < .5, 1)
+    weight = np.random.default_rng(1).poisson(1, (4000, len(names)))
+    low, high = np.quantile(weight @ tally[:, 0] / (weight @ tally[:, 1]), [.025, .975])
+    assert got.review_rate_low == pytest.approx(low, abs=.003) and got.review_rate_high == pytest.approx(high, abs=.003)
+
+
+def test_repeated_fields_are_refused(spark):
+    df, _ = simulated(spark, 3)
+    flagged = df.withColumn("needs_review", F.col("score") < .5).withColumn("kind", F.lit("scalar"))
+    twice = flagged.unionByName(flagged.limit(1))
+    for left, right in ((twice, flagged), (flagged, twice)):
+        with pytest.raises(Exception, match="repeated field"):
+            bootstrap.paired_systems(left, right, 10).collect()
+        with pytest.raises(Exception, match="repeated field"):
+            bootstrap.paired_delta(left, right, 10).collect()
 
 
 def test_bootstrap_does_not_depend_on_partitioning(spark):
