@@ -51,6 +51,8 @@ CONTEXTS = ((1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1))
 BATCH = 1 << 13
 #: Rows of weights that travel as one value.
 BLOCK = 1 << 11
+#: Most input splits that one learner reads where there are many.
+SPLITS = 16
 #: Distinct words of a task before their counts are sent on.
 HELD = 1 << 20
 #: Name of what stands before a text; the end of a text is a leaf without a name.
@@ -388,10 +390,13 @@ def trained(documents: DataFrame, vocab, settings: Settings) -> np.ndarray:
     """
     spark = documents.sparkSession
     weights = np.zeros((1 << settings.bits, ARY), np.float32)
+    # Every learner sends a whole model: small input splits are read one after the other by two learners a core.
+    splits = documents.rdd.getNumPartitions()
+    learners = max(1, min(splits, max(2 * spark.sparkContext.defaultParallelism, splits // SPLITS)))
     for turn in range(settings.rounds):
         sent = spark.sparkContext.broadcast(weights)
         part = documents.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(settings.rounds)) == turn)
-        changes = part.select("text").mapInArrow(_update_rows(vocab, sent, settings), "block int, task bigint, change binary, used binary")
+        changes = part.select("text").coalesce(learners).mapInArrow(_update_rows(vocab, sent, settings), "block int, task bigint, change binary, used binary")
         mean = (changes.repartition(task_count(spark), "block").sortWithinPartitions("block", "task")
                 .mapInArrow(_averaged_rows, "block int, change binary"))
         weights = weights.copy()
