@@ -33,4 +33,4 @@ def load() -> None:
         importlib.import_module(f"{__name__}.{module}")
 
 
-MODULES: tuple[str, ...] = ("review", "extraction", "dataset", "traces", "models", "streams", "workflows", "files")
+MODULES: tuple[str, ...] = ("review", "extraction", "dataset", "traces", "models", "streams", "workflows", "files", "release")

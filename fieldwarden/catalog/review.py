@@ -48,18 +48,21 @@ CDF = f"""cdf AS (SELECT k, list(total ORDER BY j) AS cdf FROM (SELECT k, j, sum
   FROM range(1, {EXACT_MEAN + 1}) means(k), range(0, 300) counts(j) WHERE j <= k + 10 * sqrt(k) + 12) GROUP BY k)"""
 
 
-def drawn_sql(documents: str, sums: list[str], replicates: int = REPLICATES, by: str = "") -> str:
-    """``drawn``: weighted sums per replicate of a table with one row per document and the summed columns."""
+def drawn_sql(documents: str, sums: list[str], replicates: int = REPLICATES, by: str = "", tag: str = "") -> str:
+    """``drawn``: weighted sums per replicate of a table with one row per document and the summed columns.
+
+    A second use in one statement names its tables with a ``tag`` and takes the first one's ``cdf``.
+    """
     group = f"{by}, " if by else ""
     names = ", ".join(sums)
     u, v = (f"(({s} + replicate * {t}) % {DRAW_MODULUS} + 0.5) / {DRAW_MODULUS}::DOUBLE" for s, t in (("s", "t"), ("s2", "t2")))
-    return f"""{CDF},
-tallies AS (SELECT {group}{names}, count(*) AS k FROM {documents} GROUP BY ALL),
-seeded AS (SELECT tallies.*, cdf, {seeds_sql(f"concat_ws(',', {names})")} FROM tallies LEFT JOIN cdf ON cdf.k = tallies.k),
-uniform AS (SELECT *, {u} AS u, sqrt(-2 * ln({u})) * cos(2 * pi() * ({v})) AS z FROM seeded, range({replicates}) replicates(replicate)),
-weighted AS (SELECT *, CASE WHEN k <= {EXACT_MEAN} THEN len(list_filter(cdf, lambda c: c < u)) ELSE greatest(0, floor(
-  k + sqrt(k) * z + (z * z - 1) / 6 + (z - z * z * z) / (72 * sqrt(k)) + 0.5)) END AS w FROM uniform),
-drawn AS (SELECT {group}replicate, {', '.join(f'sum({s} * w)::DOUBLE AS {s}' for s in sums)} FROM weighted GROUP BY {group}replicate)"""
+    return f"""{'' if tag else CDF + ','}
+tallies{tag} AS (SELECT {group}{names}, count(*) AS k FROM {documents} GROUP BY ALL),
+seeded{tag} AS (SELECT tallies{tag}.*, cdf, {seeds_sql(f"concat_ws(',', {names})")} FROM tallies{tag} LEFT JOIN cdf ON cdf.k = tallies{tag}.k),
+uniform{tag} AS (SELECT *, {u} AS u, sqrt(-2 * ln({u})) * cos(2 * pi() * ({v})) AS z FROM seeded{tag}, range({replicates}) replicates(replicate)),
+weighted{tag} AS (SELECT *, CASE WHEN k <= {EXACT_MEAN} THEN len(list_filter(cdf, lambda c: c < u)) ELSE greatest(0, floor(
+  k + sqrt(k) * z + (z * z - 1) / 6 + (z - z * z * z) / (72 * sqrt(k)) + 0.5)) END AS w FROM uniform{tag}),
+drawn{tag} AS (SELECT {group}replicate, {', '.join(f'sum({s} * w)::DOUBLE AS {s}' for s in sums)} FROM weighted{tag} GROUP BY {group}replicate)"""
 
 
 def ends_sql(value: str, name: str) -> str:

@@ -23,7 +23,7 @@ QUANTILES = (0.025, 0.975)
 
 
 def replicate_sums(documents: DataFrame, sums: Mapping[str, Column], replicates: int, seed: int = 42,
-                   by: Sequence[str] = ()) -> DataFrame:
+                   by: Sequence[str] = (), counted: str | None = None) -> DataFrame:
     """Weighted sums per replicate (and ``by``): ``replicate``, then one column per entry of ``sums``.
 
     Args:
@@ -32,9 +32,11 @@ def replicate_sums(documents: DataFrame, sums: Mapping[str, Column], replicates:
         replicates: Number of replicates.
         seed: Changes every draw.
         by: Groups of documents that are drawn apart, of bounded number.
+        counted: Column that tells how many documents a row stands for, else one.
     """
-    tallies = (documents.select(*by, *[e.cast("bigint").alias(n) for n, e in sums.items()])
-               .groupBy(*by, *sums).agg(F.count("*").alias("__k")))
+    one = F.lit(1) if counted is None else F.col(counted)
+    tallies = (documents.select(*by, *[e.cast("bigint").alias(n) for n, e in sums.items()], one.cast("bigint").alias("__k"))
+               .groupBy(*by, *sums).agg(F.sum("__k").alias("__k")))
     start, step, start_2, step_2 = draw_seeds(seed, F.concat_ws(",", *[F.col(n).cast("string") for n in sums]))
     # Few rows but many draws: cut into as many tasks as the cluster runs, whatever the size of the table.
     tallies = tallies.repartition(task_count(documents.sparkSession), *by, *sums).select(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,57 +111,108 @@ def _midpoints(low: int, high: int, steps: int) -> list[int]:
 
 def fit_conservative_policy(rows: DataFrame, target: float = .95, split: str = "risk_validation",
                             replicates: int = 2000, seed: int = 42) -> DataFrame:
-    """Lowest threshold whose Wilson bound and document-bootstrap bound of error recall both reach ``target``.
+    """Lowest threshold whose Wilson bound and document-bootstrap bound of error recall both reach ``target``."""
+    one = rows.withColumn("family", F.lit("head"))
+    return conservative_policies(one, target, split, replicates, seed, ["head"]).drop("family")
 
-    The distinct usable scores are numbered once and the number of them that
-    must be reviewed is found by bisection. A pass over the error rows serves
-    ``SEARCH_STEPS`` steps: it tallies caught errors and errors per document
-    for every point that these can look at. The driver sees one row per point.
+
+def conservative_policies(rows: DataFrame, target: float = .95, split: str = "risk_validation", replicates: int = 2000,
+                          seed: int = 42, families: Sequence[str] | None = None) -> DataFrame:
+    """One conservative policy per ``family`` of the rows, all found in the same passes.
+
+    The distinct usable scores of a family are numbered once and the number of
+    them that must be reviewed is found by bisection. A pass over the error
+    rows serves ``SEARCH_STEPS`` steps of every family: it tallies caught
+    errors and errors per document for every point that these can look at. The
+    driver sees one row per family and point.
     """
     if split != "risk_validation":
         raise ValueError("fit on the separate risk_validation cohort, never on audit or test rows")
     errors = materialize(rows.filter(~F.col("correct")).groupBy(
-        "document_id", F.when(usable(), F.col("score")).alias("score")).agg(F.count("*").alias("n")))
-    keys = staged(numbered(rows.filter(usable()).select("score").distinct(), ["score"], "place"), "scores")
-    count = keys.count()
-    low, high = 0, count + 1
-    bounds: dict[int, tuple[float, float]] = {}
-    while low < high:
-        points = _midpoints(low, high, SEARCH_STEPS)
-        scores = dict(keys.filter(F.col("place").isin(points)).select("place", "score").collect())
-        cuts = {p: scores.get(p, -math.inf) for p in points}
-        bounds.update({r["place"]: (r["wilson"], r["cluster"]) for r in _recall_bounds(errors, cuts, replicates, seed).collect()})
-        for _ in range(SEARCH_STEPS):
-            if low < high:
-                middle = (low + high) // 2
-                low, high = (low, middle) if min(bounds[middle]) >= target else (middle + 1, high)
-    met = low <= count
-    wilson_low, cluster_low = bounds.get(min(low, count)) or next(
-        (r["wilson"], r["cluster"]) for r in _recall_bounds(errors, {count: math.inf}, replicates, seed).collect())
-    ends = {r["place"]: r["score"] for r in keys.filter(F.col("place").isin([low, low + 1])).select("place", "score").collect()}
-    following = F.lit(ends.get(low + 1)).cast("double")
-    threshold = (F.lit(0.0) if low == 0 else between(F.lit(ends[low]), following)) if met else F.lit(REVIEW_ALL)
-    return rows.sparkSession.range(1).select(
-        threshold.alias("threshold"), F.lit(target).alias("target_error_recall"), F.lit(split).alias("fitted_split"),
-        F.lit("global").alias("mode"), F.lit(wilson_low).alias("wilson_recall_lower_95"),
-        F.lit(cluster_low).alias("document_bootstrap_recall_lower_95"), F.lit(met).alias("bound_target_met"),
-        F.lit(replicates).alias("bootstrap_replicates"), F.lit(None if met else "review_all").cast("string").alias("fallback"))
-
-
-def _recall_bounds(errors: DataFrame, cuts: Mapping[int, float], replicates: int, seed: int) -> DataFrame:
-    """Per cut (``place`` -> highest reviewed score) both lower bounds of error recall; 0 without errors."""
-    places = list(cuts)
-    caught = [F.sum(F.when(F.col("score").isNull() | (F.col("score") <= cuts[p]), F.col("n")).otherwise(0)) for p in places]
-    documents = errors.groupBy("document_id").agg(F.sum("n").alias("errors"), F.array(*[
-        F.struct(F.lit(p).alias("place"), c.alias("caught")) for p, c in zip(places, caught)]).alias("cuts"))
-    tall = documents.select("errors", F.inline("cuts"))
-    drawn = replicate_sums(tall, {"caught": F.col("caught"), "errors": F.col("errors")}, replicates, seed, by=["place"])
-    cluster = drawn.groupBy("place").agg(F.percentile(ratio(F.col("caught"), F.col("errors")), 0.025).alias("cluster"))
-    counts = tall.groupBy("place").agg(F.sum("caught").alias("caught"), F.sum("errors").alias("errors"))
+        "family", "document_id", F.when(usable(), F.col("score")).alias("score")).agg(F.count("*").alias("n")))
+    keys = staged(numbered(rows.filter(usable()).select("family", "score").distinct(), ["score"], "place", ["family"]), "scores")
+    if families is None:
+        families = [r[0] for r in rows.select("family").distinct().orderBy("family").collect()]
+    counted = dict(keys.groupBy("family").agg(F.count("*")).collect())
+    count = {f: counted.get(f, 0) for f in families}
+    span = {f: (0, count[f] + 1) for f in families}
+    bounds: dict[tuple[str, int], tuple[float, float]] = {}
+    while any(low < high for low, high in span.values()):
+        points = {f: _midpoints(*span[f], SEARCH_STEPS) for f in families}
+        bounds |= _recall_bounds(errors, _scores_at(keys, points), replicates, seed)
+        for f in families:
+            low, high = span[f]
+            for _ in range(SEARCH_STEPS):
+                if low < high:
+                    middle = (low + high) // 2
+                    low, high = (low, middle) if min(bounds[f, middle]) >= target else (middle + 1, high)
+            span[f] = low, high
+    chosen = {f: low for f, (low, _) in span.items()}
+    open_ = {f: [count[f]] for f in families if (f, min(chosen[f], count[f])) not in bounds}
+    if open_:
+        bounds |= _recall_bounds(errors, {f: {p: math.inf for p in ps} for f, ps in open_.items()}, replicates, seed)
+    ends = _scores_at(keys, {f: [low, low + 1] for f, low in chosen.items()})
+    lines = []
+    for f, low in chosen.items():
+        met, (wilson_low, cluster_low) = low <= count[f], bounds[f, min(low, count[f])]
+        lines.append((f, met, low, ends[f][low] if met and low else None, ends[f].get(low + 1) if low < count[f] else None,
+                      wilson_low, cluster_low))
+    found = rows.sparkSession.createDataFrame(lines, "family string, met boolean, place long, last double, following double, wilson double, cluster double")
+    threshold = F.when(~F.col("met"), REVIEW_ALL).when(F.col("place") == 0, 0.0).otherwise(between(F.col("last"), F.col("following")))
+    return found.select(
+        "family", threshold.alias("threshold"), F.lit(target).alias("target_error_recall"), F.lit(split).alias("fitted_split"),
+        F.lit("global").alias("mode"), F.col("wilson").alias("wilson_recall_lower_95"),
+        F.col("cluster").alias("document_bootstrap_recall_lower_95"), F.col("met").alias("bound_target_met"),
+        F.lit(replicates).alias("bootstrap_replicates"), F.when(~F.col("met"), "review_all").alias("fallback"))
+
+
+def _scores_at(keys: DataFrame, places: Mapping[str, Sequence[int]]) -> dict[str, dict[int, float]]:
+    """The numbered scores of each family at the given places; what has no score reviews nothing."""
+    wanted = sorted({p for ps in places.values() for p in ps})
+    rows = keys.filter(F.col("place").isin(wanted)).select("family", "place", "score").collect()
+    known = {(r["family"], r["place"]): r["score"] for r in rows}
+    return {f: {p: known.get((f, p), -math.inf) for p in ps} for f, ps in places.items() if ps}
+
+
+def _recall_bounds(errors: DataFrame, cuts: Mapping[str, Mapping[int, float]], replicates: int, seed: int) -> dict:
+    """Per family and place (number -> highest reviewed score) both lower bounds of error recall; 0 without errors."""
+    most = max(len(c) for c in cuts.values())
+    listed = {f: [*c.items()] + [(-1, -math.inf)] * (most - len(c)) for f, c in cuts.items()}
+    table = F.create_map(*[x for f, c in listed.items() for x in (F.lit(f), F.array(*[
+        F.struct(F.lit(p).alias("place"), F.lit(float(cut)).alias("cut")) for p, cut in c]))])[F.col("family")]
+    caught = [F.sum(F.when(F.col("score").isNull() | (F.col("score") <= table[i]["cut"]), F.col("n")).otherwise(0)).alias(f"c{i}")
+              for i in range(most)]
+    documents = errors.filter(F.col("family").isin(*cuts)).groupBy("family", "document_id").agg(F.sum("n").alias("errors"), *caught)
+    tall = documents.select("family", "errors", F.inline(F.array(*[
+        F.struct(table[i]["place"].alias("place"), F.col(f"c{i}").alias("caught")) for i in range(most)]))).filter("place >= 0")
+    tall = tall.groupBy("family", "place", "caught", "errors").agg(F.count("*").alias("documents"))
+    drawn = replicate_sums(tall, {"caught": F.col("caught"), "errors": F.col("errors")}, replicates, seed, ["family", "place"], "documents")
+    cluster = drawn.groupBy("family", "place").agg(F.percentile(ratio(F.col("caught"), F.col("errors")), 0.025).alias("cluster"))
+    counts = tall.groupBy("family", "place").agg(F.sum(F.col("caught") * F.col("documents")).alias("caught"),
+                                                 F.sum(F.col("errors") * F.col("documents")).alias("errors"))
     low, _ = wilson(F.col("caught"), F.col("errors"))
-    every = errors.sparkSession.createDataFrame([(p,) for p in places], "place int")
-    return every.join(counts, "place", "left").join(cluster, "place", "left").select(
-        "place", F.coalesce(low, F.lit(0.0)).alias("wilson"), F.coalesce("cluster", F.lit(0.0)).alias("cluster"))
+    rows = counts.join(cluster, ["family", "place"]).select("family", "place", low.alias("wilson"), "cluster").collect()
+    none = {(f, p): (0.0, 0.0) for f, c in cuts.items() for p in c}
+    return none | {(r["family"], r["place"]): (r["wilson"] or 0.0, r["cluster"] or 0.0) for r in rows}
+
+
+def decided_by_family(rows: DataFrame, policies: DataFrame, supported: DataFrame | None = None) -> DataFrame:
+    """Adds ``threshold``, ``mandatory`` and ``needs_review`` under the policy of each row's ``family``.
+
+    ``supported`` names the fields of each family; a family without any is not restricted.
+    """
+    thresholds = policies.select("family", "threshold")
+    if supported is None:
+        marked = rows.withColumn("unknown_field", F.lit(False))
+    else:
+        named = supported.select("family", "field_id", F.lit(True).alias("__known"))
+        restricted = policies.select("family").join(named.select("family").distinct().withColumn("__named", F.lit(True)), "family", "left")
+        thresholds = thresholds.join(restricted, "family")
+        marked = rows.join(named, ["family", "field_id"], "left")
+    marked = marked.join(thresholds, "family")
+    if supported is not None:
+        marked = marked.withColumn("unknown_field", F.coalesce("__named", F.lit(False)) & F.col("__known").isNull()).drop("__known", "__named")
+    return marked.withColumn("mandatory", mandatory()).withColumn("needs_review", F.col("mandatory") | (F.col("score") < F.col("threshold")))
 
 
 def review_reason() -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import count_if, equal_width_bin, logistic_loss, ratio, sigmoid, wilson
+from ..session import staged
 from .bootstrap import side_by_side
 from .policy import decided, mandatory, score_groups, usable, with_support
 from .scale import running_totals
@@ -170,6 +171,43 @@ def head_report(rows: DataFrame, policy: DataFrame, supported: DataFrame | None
                         calibration_error(rows), area, aurc(rows))
 
 
+def family_reports(judged: DataFrame, by: Sequence[str], target: float = .95, bins: int = 10) -> DataFrame:
+    """Every headline metric of many heads or cohorts at once: one row per ``by``.
+
+    ``judged`` carries score, calibrated ``logit``, ``raw_logit`` and the
+    decisions of :func:`decided_by_family`. Rows are first counted per group
+    and distinct score; sweep, area and ranking work on these counts.
+    """
+    by = list(by)
+    counts = staged(judged.groupBy(*by, F.when(usable(), F.col("score")).alias("score")).agg(
+        F.count("*").alias("n"), count_if(~F.col("correct")).alias("errors")), "score_counts")
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("total"))
+    swept = running_totals(counts.filter(F.col("score").isNotNull()), ["score"], {"accepted": F.col("n"), "missed": F.col("errors")}, by,
+                           descending=True)
+    points = swept.groupBy(*by).agg(F.sum(ratio(F.col("missed"), F.col("accepted")) * F.col("n")).alias("area"),
+                                    F.max("accepted").alias("accepted"), F.max("missed").alias("missed"))
+    c = F.col
+    invalid = c("total") - F.coalesce("accepted", F.lit(0))
+    tail = F.when(invalid > 0, ratio(F.coalesce("missed", F.lit(0)) + invalid, c("total")) * invalid).otherwise(0.0)
+    areas = totals.join(points, by, "left").select(*by, ratio(F.coalesce("area", F.lit(0.0)) + tail, c("total")).alias("aurc"))
+    logits = judged.select(*by, "form", "field_id", "correct", "logit", "raw_logit")
+    p, y = sigmoid(c("logit")), c("correct").cast("double")
+    binned = (logits.filter(c("logit").isNotNull()).groupBy(*by, equal_width_bin(p, bins).alias("bin"))
+              .agg(F.count("*").alias("n"), F.sum(p).alias("p"), F.sum(y).alias("y"), F.sum((p - y) * (p - y)).alias("brier"),
+                   F.sum(logistic_loss(c("logit"), y)).alias("nll")))
+    fit = binned.groupBy(*by).agg(ratio(F.sum("brier"), F.sum("n")).alias("brier"), ratio(F.sum("nll"), F.sum("n")).alias("nll"),
+                                  ratio(F.sum(F.abs(c("p") - c("y"))), F.sum("n")).alias("ece"))
+    within = (auroc(logits, "raw_logit", [*by, "form", "field_id"]).filter((c("right") > 0) & (c("wrong") > 0))
+              .groupBy(*by).agg(F.avg("auroc").alias("within_field_auroc"), F.count("*").alias("within_field_groups")))
+    evaluation = evaluate_decisions(judged, by)
+    extra = F.greatest(F.lit(0), F.ceil(F.lit(target) * c("errors")) - (c("errors") - c("head_errors")))
+    oracle = F.coalesce(ratio(c("mandatory_review") + extra, c("fields")), F.lit(0.0)).alias("oracle_review_rate")
+    joined = evaluation.select("*", oracle)
+    for part in (areas, auroc(logits, "logit", by).select(*by, "auroc"), fit, within):
+        joined = joined.join(part, by, "left")
+    return joined
+
+
 def headline(report: DataFrame) -> DataFrame:
     """The numbers two heads are ranked by: review rate, then AURC, then AUROC."""
     return report.select("review_rate", "aurc", (-F.coalesce("auroc", F.lit(0.0))).alias("negative_auroc"))
