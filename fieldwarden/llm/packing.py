@@ -6,6 +6,7 @@ import base64
 import zlib
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -109,13 +110,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 class Slots:
     """Where the pieces of one length go, in the order of their ranks.
 
-    Run ``j`` takes the ranks from ``first[j]`` on: rank ``first[j] + r``
-    lies in sequence ``sequence[j] + r`` at ``offset[j]``.
+    Run ``j`` takes the ranks from ``first[j]`` on, ``each[j]`` to a sequence:
+    rank ``first[j] + r`` lies in sequence ``sequence[j] + r // each[j]`` at
+    ``offset[j] + r % each[j] * length``.
     """
 
     first: np.ndarray
     sequence: np.ndarray
     offset: np.ndarray
+    each: np.ndarray
 
 
 def shortest_pack_first(histogram: Mapping[int, int], capacity: int = CAPACITY) -> dict[int, Slots]:
@@ -161,16 +164,18 @@ def shortest_pack_first(histogram: Mapping[int, int], capacity: int = CAPACITY)
 
 
 def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, Slots]:
-    runs: dict[int, list[tuple[int, int, int]]] = {}
+    """Runs of slots: one per pattern and length, however often the pattern holds the length."""
+    runs: dict[int, list[tuple[int, int, int, int]]] = {}
     taken: dict[int, int] = {}
     base = 0
     for pattern, count in sorted(patterns, key=lambda p: p[0], reverse=True):
         at = 0
-        for length in pattern:
+        for length, same in groupby(pattern):
+            each = sum(1 for _ in same)
             first = taken.get(length, 0)
-            runs.setdefault(length, []).append((first, base, at))
-            taken[length] = first + count
-            at += length
+            runs.setdefault(length, []).append((first, base, at, each))
+            taken[length] = first + count * each
+            at += length * each
         base += count
     return {length: Slots(*map(np.array, zip(*found))) for length, found in runs.items()}
 
@@ -193,33 +198,38 @@ def _ranked(pieces: DataFrame) -> DataFrame:
         "__part", "__row", "__first")
 
 
+def _run_rows(histogram: Mapping[int, int], slots: Mapping[int, Slots]) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
+    """Per length the ranks of a block, and every run once per block of ranks that it reaches: two rows a run at most on average."""
+    widths, rows = [], []
+    for length, s in slots.items():
+        width = -(-histogram[length] // len(s.first))
+        widths.append((int(length), width))
+        ends = np.append(s.first[1:], histogram[length])
+        for first, end, sequence, offset, each in zip(s.first.tolist(), ends.tolist(), s.sequence.tolist(), s.offset.tolist(), s.each.tolist()):
+            rows += [(int(length), block, first, end, sequence, offset, each) for block in range(first // width, (end - 1) // width + 1)]
+    return widths, rows
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``.
 
     The driver sees the histogram alone, at most ``capacity`` rows. Pieces of
-    equal length are interchangeable; their rank chooses the slot. Sequences
+    equal length are interchangeable; their rank chooses the slot. Ranks are
+    cut into about as many blocks as a length has runs, and a piece meets the
+    runs of its block: any number of runs is found by an equal key. Sequences
     are gapless from offset 0. A table without pieces gives no rows.
     """
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slots = shortest_pack_first(histogram, capacity)
+    widths, runs = _run_rows(histogram, shortest_pack_first(histogram, capacity))
     spark = pieces.sparkSession
-    runs = [(int(length), int(first), int(sequence), int(offset)) for length, s in slots.items()
-            for first, sequence, offset in zip(s.first, s.sequence, s.offset)]
-    table = spark.createDataFrame(runs or [], "length bigint, first bigint, sequence bigint, offset bigint")
-    by_length = table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "sequence", "offset"))).alias("runs"))
-    # One row per length: at most ``capacity`` rows, so the broadcast is bounded.
-    joined = _ranked(pieces).join(F.broadcast(by_length), "length")
-    run = F.get(F.col("runs"), _last_at_most(F.col("runs"), F.col("rank")))
-    placed = joined.withColumn("__run", run)
-    return placed.select(*pieces.columns, (F.col("__run.sequence") + F.col("rank") - F.col("__run.first")).alias("sequence_id"),
-                         F.col("__run.offset").alias("offset"))
-
-
-def _last_at_most(runs: Column, rank: Column) -> Column:
-    """Index of the last run that starts at or before ``rank``: a binary search of sixteen steps inside the row."""
-    widths = F.array(*[F.lit(1 << i) for i in reversed(range(16))])
-    return F.aggregate(widths, F.lit(0), lambda at, w: F.when(
-        F.coalesce(F.get(runs, at + w)["first"] <= rank, F.lit(False)), at + w).otherwise(at))
+    # One row per length, so this broadcast is bounded; the runs are joined as they come.
+    width = spark.createDataFrame(widths, "length bigint, __width bigint")
+    table = spark.createDataFrame(runs, "length bigint, __block bigint, __first bigint, __end bigint, __sequence bigint, __offset bigint, __each bigint")
+    ranked = _ranked(pieces).join(F.broadcast(width), "length").withColumn("__block", F.expr("rank div __width"))
+    inside = (F.col("rank") >= F.col("__first")) & (F.col("rank") < F.col("__end"))
+    placed = ranked.join(table, ["length", "__block"]).filter(inside).withColumn("__r", F.col("rank") - F.col("__first"))
+    return placed.select(*pieces.columns, F.expr("__sequence + __r div __each").alias("sequence_id"),
+                         F.expr("__offset + __r % __each * length").alias("offset"))
 
 
 def default_encoder() -> Encoder:

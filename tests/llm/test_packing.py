@@ -33,7 +33,8 @@ def test_histogram(seed):
         s = slots.get(length)
         for rank in range(count):
             j = int(np.searchsorted(s.first, rank, "right")) - 1
-            sequences[s.sequence[j] + rank - s.first[j]].append((s.offset[j], length))
+            r = rank - s.first[j]
+            sequences[s.sequence[j] + r // s.each[j]].append((s.offset[j] + r % s.each[j] * length, length))
     assert sorted(sequences) == list(range(len(sequences)))
     for parts in sequences.values():
         at = 0
@@ -50,8 +51,8 @@ def test_little_padding_for_lengths_of_documents(documents):
     histogram = Counter(min(capacity, max(1, int(draw.lognormvariate(math.log(400), 1)))) for _ in range(documents))
     filled = Counter()
     for length, s in shortest_pack_first(histogram, capacity).items():
-        for first, end, sequence in zip(s.first, [*s.first[1:], histogram[length]], s.sequence):
-            filled.update({sequence + r: length for r in range(end - first)})
+        for first, end, sequence, each in zip(s.first, [*s.first[1:], histogram[length]], s.sequence, s.each):
+            filled.update({sequence + r: length * int(each) for r in range((end - first) // each)})
     assert sum(filled.values()) >= 0.99 * sum(padded(n, capacity) for n in filled.values())
 
 
@@ -63,6 +64,19 @@ def test_one_length_fills_sequences():
         shortest_pack_first({65: 1}, 64)
 
 
+def test_any_number_of_runs(spark):
+    # One document of each length above a half, and 200,000 short ones that fill their rooms one by one.
+    rows = spark.range(1025, 2048).selectExpr("id AS doc_id", "id AS length").unionByName(
+        spark.range(200_000).selectExpr("id + 5000 AS doc_id", "1L AS length")).unionByName(
+        spark.range(90_000).selectExpr("id + 500000 AS doc_id", "id % 700 + 2 AS length"))
+    pieces = rows.selectExpr("doc_id", "0L AS start", "length", "doc_id AS ids_crc32")
+    got = packing.pack(pieces).select("doc_id", "length", "sequence_id", "offset").toPandas().sort_values(["sequence_id", "offset"])
+    assert sorted(got.doc_id) == sorted(r.doc_id for r in rows.select("doc_id").toLocalIterator())
+    at = got.groupby("sequence_id").length.cumsum() - got.length
+    assert (at == got.offset).all() and (at + got.length <= 2048).all()
+    assert sorted(set(got.sequence_id)) == list(range(got.sequence_id.nunique()))
+
+
 def test_documents(spark):
     draw = random.Random(1)
     words = ["the", "éa", "  ", "\n", "12345", "naïve", "<|endoftext|>", "日本", "don't"]
