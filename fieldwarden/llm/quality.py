@@ -18,8 +18,6 @@ SPACES = r"[\x20\x09-\x0D]+"
 ALPHA = 0.05
 #: ... except with this probability over the draw of the holdout, for all strata and rules at once.
 DELTA = 0.05
-#: Strata that the comparison SQL certifies, those with the most labels. The query itself certifies every stratum.
-MAX_STRATA = 64
 #: Good labels lost that one bad label caught must outweigh, on the part of the labels that choose among certified cutoffs.
 GOOD_WEIGHT = 100
 
@@ -247,7 +245,7 @@ texts AS (SELECT stratum, identity, max(CAST(quality > 0 AS INT)) AS good, any_v
           FROM b0 JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IS NOT NULL GROUP BY stratum, identity),
 levels AS ({features}),
 grid(rule, step, cut) AS (VALUES {grid}),
-strata AS (SELECT stratum FROM texts GROUP BY 1 ORDER BY count(*) DESC, stratum LIMIT {MAX_STRATA}),
+strata AS (SELECT DISTINCT stratum FROM texts),
 tested AS (
   SELECT stratum, rule, step, cut, count(*) FILTER (good = 1 AND holdout) AS n,
          count(*) FILTER (good = 1 AND holdout AND level <= step) AS k,
