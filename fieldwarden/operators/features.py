@@ -63,6 +63,21 @@ def with_prior_index(rows: DataFrame, keys: DataFrame) -> DataFrame:
             .withColumn("prior_index", F.coalesce("prior_index", F.lit(0))))
 
 
+def masked_mean(tokens: Column, mask: Column, width: int) -> Column:
+    """Mean of the token states that carry content; ``tokens`` holds states of ``width`` numbers one after the other.
+
+    Zeros where no token carries content.
+    """
+    kept = F.filter(F.transform(mask, lambda m, t: F.when(m, t)), lambda t: t.isNotNull())
+
+    def mean(kept: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.aggregate(
+            kept, F.lit(0.0), lambda total, t: total + F.get(tokens, t * width + j).cast("double")) / F.greatest(F.size(kept), F.lit(1)))
+
+    # The list of tokens is bound once, not evaluated per number.
+    return F.element_at(F.transform(F.array(kept), mean), 1)
+
+
 def class_balance(rows: DataFrame) -> DataFrame:
     """Right and wrong rows and whether both occur."""
     return rows.agg(count_if(F.col("correct")).alias("right_rows"), count_if(~F.col("correct")).alias("wrong_rows")).withColumn(

@@ -23,7 +23,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.numbers import sigmoid
 from ..session import staged
-from . import policy, review
+from . import features, policy, review
 from .bootstrap import side_by_side
 from .cohorts import folds
 
@@ -71,7 +71,13 @@ def _perceptron(trial: Trial, size: int) -> list:
 
 
 #: Head mode -> stages after the scaled feature vector. Add an entry to plug in another mode.
-MODES: dict[str, Callable[[Trial, int], list]] = {"linear": _linear, "mlp": _perceptron}
+#: ``mean`` expects a pooled input, see ``with_pooled``.
+MODES: dict[str, Callable[[Trial, int], list]] = {"linear": _linear, "mlp": _perceptron, "mean": _perceptron}
+
+
+def with_pooled(rows: DataFrame, width: int) -> DataFrame:
+    """Rows with the input ``pooled``: the mean state of the content tokens (``tokens``, ``mask``); null without a trace."""
+    return rows.withColumn("pooled", F.when(F.col("tokens").isNotNull(), features.masked_mean(F.col("tokens"), F.col("mask"), width)))
 
 
 def vectors(rows: DataFrame, inputs: Sequence[str]) -> DataFrame:
@@ -91,11 +97,12 @@ def fit_head(rows: DataFrame, trial: Trial, sizes: Mapping[str, int], prior_leas
                StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)]
     parts, width = ["scaled"], sum(sizes[i] for i in trial.inputs)
     if trial.prior:
+        # The indexer numbers unseen values last and the encoder drops the last number: they are the level without coefficient.
         stages += [StringIndexer(inputCol="prior_field", outputCol="prior_at", handleInvalid="keep", stringOrderType="alphabetAsc"),
-                   OneHotEncoder(inputCol="prior_at", outputCol="prior_hot", handleInvalid="keep")]
+                   OneHotEncoder(inputCol="prior_at", outputCol="prior_hot", handleInvalid="error", dropLast=True)]
         frequent = rows.groupBy("field_id").agg(F.count("*").alias("n")).filter(F.col("n") >= prior_least).select(
             "field_id", F.lit(True).alias("known"))
-        # Fields without a prior are null here and unknown to the indexer later: both fall into its one bucket for such values.
+        # Fields without a prior are null here and unknown to the indexer later: both are that level, and add nothing.
         rows = rows.join(frequent, "field_id", "left").withColumn("prior_field", F.when(F.col("known"), F.col("field_id"))).drop("known")
         parts.append("prior_hot")
     stages += [VectorAssembler(inputCols=parts, outputCol="features"), *MODES[trial.mode](trial, width)]
