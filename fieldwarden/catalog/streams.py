@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read_table, scratch_path
+from ..session import read_table, scratch_path, task_count
 from ..sources import datasets, records
 from ..streaming import jobs
 from . import query
@@ -52,15 +52,20 @@ def stream_ingest_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunked_events(spark: SparkSession, sf_dir: str, chunks: int = 4) -> DataFrame:
-    """The event table as a stream of several files in the order of time, one file a batch."""
+    """The event table as a stream of ``chunks`` parts in the order of time, one part a batch.
+
+    A file source takes older files first, so the parts are written one after
+    the other, each by several tasks.
+    """
     events = read_table(spark, sf_dir, "events")
     path = scratch_path(spark, "events")
     at = F.col("ts").cast("timestamp").cast("double")
     low, high = events.select(F.min(at), F.max(at)).first()
     part = F.least(F.lit(chunks - 1), F.floor((at - low) / F.lit((high - low) / chunks + 1e-6)))
+    tasks = max(2, task_count(spark) // chunks)
     for chunk in range(chunks):
-        events.filter(part == chunk).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        events.filter(part == chunk).repartition(tasks).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", tasks).parquet(path)
 
 
 @query("stream_completion", f"""WITH {REQUESTS_SQL}, asked AS (SELECT c_custkey AS document_id, 1 + c_custkey % 3 AS expected_fields, (SELECT min(time) FROM requests) + INTERVAL 10 DAY AS deadline FROM customer),

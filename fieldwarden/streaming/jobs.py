@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.numbers import count_if, ratio
 from ..operators.policy import mandatory, review_reason
@@ -57,53 +59,96 @@ def completion(rows: DataFrame, requests: DataFrame, time: str = "time", wait: s
     any row, and ``unexpected`` when that long after its first row no request
     came. A field counts once however often it is delivered, and not beyond
     the deadline. Later rows of a document change nothing: a mark of the
-    verdict stays for ``keep`` after the deadline.
+    verdict stays for ``keep`` after the deadline. Of several requests of a
+    document the earliest of the first batch that has one counts.
     """
     arrivals = rows.select(F.col("document_id").cast("string").alias("document_id"), F.col("field_id").cast("string").alias("field_id"),
                            F.lit(None).cast("long").alias("expected"), F.col(time).alias("time"))
     asked = requests.select(F.col("document_id").cast("string").alias("document_id"), F.lit(None).cast("string").alias("field_id"),
                             F.col("expected_fields").cast("long").alias("expected"), F.col(time).alias("time"))
-    update = _verdicts(*(pd.Timedelta(d).total_seconds() for d in (wait, keep)))
     # One watermark over both: the requests may all be older than the rows.
     events = arrivals.unionByName(asked).withColumn("at", F.col("time").cast("double"))
-    return events.withWatermark("time", late).groupBy("document_id").applyInPandasWithState(
-        update, "document_id string, state string, arrived_fields long, expected_fields long",
-        "expected long, deadline double, done boolean, fields array<string>, times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def _verdicts(wait: float, keep: float):
-    """State of one document: what was asked, until when, whether it is decided, and its fields with their first times."""
-    def update(key, frames, state):
-        expected, deadline, done, fields, times = state.get if state.exists else (None, None, False, [], [])
-        timed_out = state.hasTimedOut
-        if timed_out and done:
-            state.remove()
+    processor = Verdicts(*(pd.Timedelta(d).total_seconds() for d in (wait, keep)))
+    return events.withWatermark("time", late).groupBy("document_id").transformWithStateInPandas(
+        processor, "document_id string, state string, arrived_fields long, expected_fields long", "Append", "EventTime")
+
+
+class Verdicts(StatefulProcessor):
+    """State of one document: a small record, and a map from field to its first time.
+
+    A batch reads and writes the fields it brings, not those that came before.
+    The record counts the fields that are in time, so nothing is listed but
+    once, when the request comes after fields. With the verdict the fields
+    go; the record follows when its timer is over.
+    """
+
+    def __init__(self, wait: float, keep: float):
+        self.wait, self.keep = wait, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.record = handle.getValueState("record", "expected long, deadline double, arrived long, done boolean, timer long")
+        self.fields = handle.getMapState("fields", "field_id string", "at double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        stored = self.record.get() if self.record.exists() else None
+        expected, deadline, arrived, done, timer = stored if stored is not None else (None, None, 0, False, None)
+        first: dict[str, float] = {}
+        requests: list[tuple[float, int]] = []
+        for frame in rows:
+            asked = frame[frame["expected"].notna()]
+            requests += [(float(t), int(n)) for t, n in zip(asked["at"], asked["expected"])]
+            named = frame[frame["field_id"].notna()]
+            for name, at in named.groupby("field_id")["at"].min().items():
+                first[name] = min(float(at), first.get(name, float("inf")))
+        if done:
             return
-        seen = dict(zip(fields, times))
-        for frame in frames:
-            for field, asked, at in zip(frame["field_id"], frame["expected"], frame["at"]):
-                if not pd.isna(asked):
-                    if expected is None:
-                        expected, deadline = int(asked), at + wait
-                elif expected is None and (deadline is None or at + wait < deadline):
-                    deadline = at + wait
-                if field is not None and not done:
-                    seen[field] = min(at, seen.get(field, at))
-        arrived = sum(at <= deadline for at in seen.values())
-        verdict = None
-        if not done and expected is not None and arrived >= expected:
-            verdict, arrived = "complete", expected
-        elif timed_out:
-            verdict = "unexpected" if expected is None else "incomplete"
-        if verdict:
-            done, seen = True, {}
-            yield pd.DataFrame({"document_id": [key[0]], "state": [verdict], "arrived_fields": [arrived],
-                                "expected_fields": pd.array([expected], dtype="Int64")})
-        state.update((expected, deadline, done, list(seen), list(seen.values())))
-        until = deadline + keep if done else deadline
-        state.setTimeoutTimestamp(max(int(until * 1000), state.getCurrentWatermarkMs() + 1))
-
-    return update
+        fresh = expected is None and requests
+        if fresh:
+            at, expected = min(requests)
+            deadline = at + self.wait
+        elif expected is None and first:
+            deadline = min(x for x in (deadline, min(first.values()) + self.wait) if x is not None)
+        for name, at in first.items():
+            known = self.fields.getValue((name,))[0] if self.fields.containsKey((name,)) else float("inf")
+            if at < known:
+                self.fields.updateValue((name,), (at,))
+                if expected is not None and not fresh:
+                    arrived += known > deadline >= at
+        if fresh:
+            arrived = sum(value[0] <= deadline for _, value in self.fields.iterator())
+        if expected is not None and arrived >= expected:
+            yield self._verdict(key, "complete", expected, expected, deadline, timer, timerValues)
+            return
+        timer = self._timer(timer, deadline, timerValues)
+        self.record.update((expected, deadline, arrived, False, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        expected, deadline, arrived, done, timer = self.record.get()
+        if done:
+            self.record.clear()
+            return
+        if expected is None:
+            arrived = sum(value[0] <= deadline for _, value in self.fields.iterator())
+        yield self._verdict(key, "unexpected" if expected is None else "incomplete", arrived, expected, deadline, None, timerValues)
+
+    def _timer(self, old: int | None, until: float, timerValues) -> int:
+        new = max(int(until * 1000), timerValues.getCurrentWatermarkInMs() + 1)
+        if new != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(new)
+        return new
+
+    def _verdict(self, key, state, arrived, expected, deadline, timer, timerValues) -> pd.DataFrame:
+        self.fields.clear()
+        timer = self._timer(timer, deadline + self.keep, timerValues)
+        self.record.update((expected, deadline, arrived, True, timer))
+        return pd.DataFrame({"document_id": [key[0]], "state": [state], "arrived_fields": [arrived],
+                             "expected_fields": pd.array([expected], dtype="Int64")})
+
+    def close(self) -> None:
+        pass
 
 
 def log_follow(records: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -130,6 +175,8 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     spark = stream.sparkSession
     # Sessions of one user are merged inside each task before they are shuffled to its state.
     spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    # Keyed state lives on disk beside the task, in files of the changes only.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     path, marks = scratch_path(spark, name), scratch_path(spark, f"{name}-progress")
     query = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", marks)
              .outputMode("append").trigger(availableNow=True).start())
