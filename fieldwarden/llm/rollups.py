@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read_table, scratch_path
+from ..session import read_table, scratch_path, staged
 from .registry import query
+from .sketch import of_ids
 
 _ENTRY = "doc_id bigint, source string, lang string, tokenizer string, tokens bigint, sign int"
+_COUNTED = "doc_id bigint, source string, lang string, tokenizer string, tokens bigint"
 _DELTA = "source string, lang string, tokenizer string, documents bigint, tokens bigint"
 GROUP = ("source", "lang", "tokenizer")
 
@@ -20,10 +23,12 @@ class TokenLedger:
     """Totals of documents and tokens by source, language and tokenizer version, kept by signed changes.
 
     A batch writes its signed entries (minus what a document counted before,
-    plus what it counts now) and then their sums. The batch is committed when
-    the sums are complete; a committed batch is never applied again, and one
-    that broke off is written anew. Totals are sums over committed batches
-    alone. One writer at a time.
+    plus what it counts now), then their sums, then its commit. A batch
+    without a commit counts for nothing and is written anew; a committed batch
+    is never applied again. Totals are sums over committed batches alone.
+    ``compact`` folds the entries of committed batches into a snapshot, so that
+    later batches read one row per document and not its history. One writer
+    at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -32,23 +37,31 @@ class TokenLedger:
     def _path(self, kind: str, batch: int) -> str:
         return f"{self.root}/{kind}/batch={batch}"
 
-    def _exists(self, path: str) -> bool:
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
+    def _numbers(self, kind: str) -> DataFrame:
+        """Rows of a table of marks; none before the first one."""
+        try:
+            return self.spark.read.parquet(f"{self.root}/{kind}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], "batch bigint, snapshot bigint")
 
     def committed(self, batch: int) -> bool:
-        """Whether the sums of the batch are complete."""
-        return self._exists(f"{self._path('deltas', batch)}/_SUCCESS")
+        """Whether the batch is committed."""
+        return batch in self.batches()
 
     def batches(self) -> list[int]:
         """Numbers of the committed batches."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/deltas")
-        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(folder):
-            return []
-        names = [status.getPath().getName() for status in files.listStatus(folder)]
-        found = sorted(int(name.removeprefix("batch=")) for name in names if name.startswith("batch="))
-        return [b for b in found if self.committed(b)]
+        return sorted(int(r["batch"]) for r in self._numbers("commits").select("batch").distinct().collect())
+
+    def compact(self) -> None:
+        """Write what every document counts after the committed batches as a snapshot; what it covers is written last."""
+        batches = self.batches()
+        covers = self._numbers("covers")
+        number = (covers.agg(F.max("snapshot")).first()[0] or 0) + 1
+        self.counted(batches).write.mode("overwrite").parquet(self._path("snapshots", number))
+        marks = self.spark.createDataFrame([(b, number) for b in batches], "batch bigint, snapshot bigint")
+        marks.coalesce(1).write.mode("append").parquet(f"{self.root}/covers")
 
     def _read(self, kind: str, schema: str, batches: list[int]) -> DataFrame:
         if not batches:
@@ -57,7 +70,15 @@ class TokenLedger:
 
     def counted(self, batches: list[int] | None = None) -> DataFrame:
         """What every document counts now: ``doc_id, source, lang, tokenizer, tokens``."""
-        entries = self._read("entries", _ENTRY, self.batches() if batches is None else batches)
+        wanted = set(self.batches() if batches is None else batches)
+        covers: dict[int, set[int]] = {}
+        for r in self._numbers("covers").select("snapshot", "batch").collect():
+            covers.setdefault(r["snapshot"], set()).add(r["batch"])
+        # The latest snapshot of wanted batches alone stands for their entries.
+        last = max((n for n, b in covers.items() if b <= wanted), default=None)
+        entries = self._read("entries", _ENTRY, sorted(wanted - covers.get(last, set())))
+        if last is not None:
+            entries = entries.unionByName(self._read("snapshots", _COUNTED, [last]).withColumn("sign", F.lit(1)))
         key = ("doc_id", *GROUP, "tokens")
         return entries.groupBy(*key).agg(F.sum("sign").alias("sign")).filter("sign > 0").select(*key)
 
@@ -78,6 +99,8 @@ class TokenLedger:
                   .agg(F.max(F.struct(F.coalesce("deleted", F.lit(False)).alias("deleted"), "tokenizer",
                                       F.coalesce(F.col("tokens"), F.lit(0)).cast("bigint").alias("tokens"), "source", "lang"))
                        .alias("c")).select("doc_id", "c.*"))
+        # Staged: the changes may be costly (tokenised texts) and are read three times.
+        chosen = staged(chosen, "chosen")
         before = self.counted([b for b in self.batches() if b != batch]).join(chosen.select("doc_id"), "doc_id", "left_semi")
         signed = before.withColumn("sign", F.lit(-1)).unionByName(
             chosen.filter("not deleted").drop("deleted").withColumn("sign", F.lit(1)))
@@ -86,6 +109,7 @@ class TokenLedger:
         entries = self._read("entries", _ENTRY, [batch])
         (entries.groupBy(*GROUP).agg(F.sum("sign").alias("documents"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
          .filter("documents <> 0 or tokens <> 0").write.mode("overwrite").parquet(self._path("deltas", batch)))
+        self.spark.createDataFrame([(batch,)], "batch bigint").coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
         return True
 
     def totals(self) -> DataFrame:
@@ -146,7 +170,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = labels.filter("quality = 0").select("doc_id", *[F.lit(None).cast("string").alias(c) for c in GROUP],
                                                F.lit(0).cast("bigint").alias("tokens"), F.lit(True).alias("deleted"))
     ledger.commit(2, gone)
-    toxic = documents.join(labels.filter("toxic = 1 and quality = 1").select("doc_id"), "doc_id", "left_semi")
+    ledger.compact()
+    toxic = of_ids(documents, labels.filter("toxic = 1 and quality = 1").select("doc_id"))
     again = token_counts(toxic.withColumn("tokenizer", F.lit("byte_bpe_multi_50k")), counters)
     ledger.commit(3, again.withColumn("deleted", F.lit(False)))
     ledger.commit(2, gone)

@@ -34,6 +34,9 @@ def test_batches(spark, tmp_path):
             documents[tuple(key)] += 1
             tokens[tuple(key)] += n
         want = sorted(((*k, documents[k], tokens[k]) for k in documents), key=str)
+        if batch == 2:
+            ledger.compact()
+        assert sorted(map(tuple, ledger.counted().collect()), key=str) == sorted(((d, *v) for d, v in state.items()), key=str)
         assert sorted(map(tuple, ledger.totals().collect()), key=str) == want
 
 
@@ -56,3 +59,23 @@ def test_counts(spark):
     counters = {"a": lambda: (lambda t: len(t.split())), "b": lambda: len}
     got = sorted(map(tuple, rollups.token_counts(df, counters).collect()))
     assert got == [(1, "s", "en", "a", 2), (2, None, None, "b", 0)]
+
+
+def test_the_commits_of_the_query_against_recounting(spark):
+    import public_tokenizers
+    import pyarrow.parquet as pq
+
+    folder = "/root/testdata/sf0.001"
+    got = sorted(map(tuple, rollups.op6_token_counts(spark, folder).collect()), key=str)
+    one, other = (rollups.rank_file_counter(public_tokenizers.path(f"{n}.tiktoken"))() for n in ("byte_bpe_50k", "byte_bpe_multi_50k"))
+    labels = pq.read_table(f"{folder}/labels.parquet").to_pylist()
+    poor = {r["doc_id"] for r in labels if r["quality"] == 0}
+    toxic = {r["doc_id"] for r in labels if r["toxic"] == 1 and r["quality"] == 1}
+    documents, tokens = Counter(), Counter()
+    for r in pq.read_table(f"{folder}/documents.parquet").to_pylist():
+        if r["doc_id"] not in poor or r["doc_id"] in toxic:
+            name, count = ("byte_bpe_multi_50k", other) if r["doc_id"] in toxic else ("byte_bpe_50k", one)
+            key = (r["source"], r["lang"], name)
+            documents[key] += 1
+            tokens[key] += count(r["text"] or "")
+    assert toxic and got == sorted(((*k, documents[k], tokens[k]) for k in documents), key=str)
