@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
+import types
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +28,8 @@ from .registry import query
 SPACE = "▁"
 #: Score of a byte below the worst piece: a character without a piece is spelled in bytes.
 BYTE_PENALTY = 10.0
-#: Units whose segmentations a task remembers.
-CACHE = 300_000
+#: Units of each of the two generations that a worker process remembers.
+CACHE = 250_000
 #: Segmentations of the registered query.
 BEST = 4
 
@@ -71,7 +75,16 @@ class PieceModel:
         #: Every beginning of a piece: its id and score, or an empty tuple if it is none itself.
         self.prefixes: dict[str, tuple] = {piece[:k]: () for piece in self.ids for k in range(1, len(piece))}
         self.prefixes.update(self.ids)
+        self.letters = frozenset(c for c in letters if c in self.ids)
+        self.automaton = ahocorasick.Automaton()
+        for piece, (i, score) in self.ids.items():
+            self.automaton.add_word(piece, (len(piece), score, (i,)))
+        self.automaton.make_automaton()
         self.cache: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
+        self.known: dict[str, tuple[float, float, tuple[int, ...]]] = {}
+        self.aged: dict[str, tuple[float, float, tuple[int, ...]]] = {}
+        #: Neighbours inside some piece: no piece crosses any other two characters.
+        self.inner = frozenset(piece[k:k + 2] for piece in self.ids for k in range(len(piece) - 1))
 
     def _lattice(self, unit: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
         """Per end position the pieces that end there, as (start, score, ids), and the best score up to every position."""
@@ -81,10 +94,8 @@ class PieceModel:
         for start in range(size):
             before = forward[start]
             if unit[start] not in self.ids:
-                # A lone surrogate of the units' alphabet marks a literal SPACE.
-                raw = (SPACE if unit[start] == "\ud800" else unit[start]).encode("utf-8", "surrogatepass")
-                score = self.byte_score * len(raw)
-                ending[start + 1].append((start, score, tuple(self.bytes[b] for b in raw)))
+                score, spelled = self._spelled(unit[start])
+                ending[start + 1].append((start, score, spelled))
                 forward[start + 1] = max(forward[start + 1], before + score)
             for end in range(start + 1, size + 1):
                 found = find(unit[start:end])
@@ -106,59 +117,148 @@ class PieceModel:
         # A hypothesis is what stands behind a position: its score and a chain of pieces that shares its tail.
         found, heap, pushed = [], [(-forward[-1], 0, len(unit), 0.0, None)], 0
         while heap and len(found) < n:
-            _, _, at, behind, chain = pop(heap)
+            _, _, at, behind, tail = pop(heap)
             if at == 0:
                 ids: list[int] = []
-                while chain is not None:
-                    ids += chain[0]
-                    chain = chain[1]
+                while tail is not None:
+                    ids += tail[0]
+                    tail = tail[1]
                 found.append((behind, tuple(ids)))
                 continue
             for start, score, piece in ending[at]:
                 pushed += 1
                 total = behind + score
-                push(heap, (-(forward[start] + total), pushed, start, total, (piece, chain)))
+                push(heap, (-(forward[start] + total), pushed, start, total, (piece, tail)))
         if len(self.cache) >= CACHE:
             self.cache.clear()
         self.cache[unit, n] = found
         return found
 
+    def best(self, unit: str) -> tuple[float, float, tuple[int, ...]]:
+        """Score and ids of the best segmentation of a unit, and what the second one loses on it (infinite without one).
+
+        A forward pass over all pieces that occur, in the order of their ends,
+        keeps the two best scores of every position; no hypothesis is built.
+        """
+        found = self.aged.get(unit)
+        if found is None:
+            size = len(unit)
+            # A tail that no piece reaches across (mostly punctuation) is segmented by itself, the rest may be known.
+            cut = size
+            while cut > 1 and unit[cut - 2:cut] not in self.inner:
+                cut -= 1
+            if cut < size:
+                parts = [self.known.get(u) or self.best(u) for u in (unit[:cut], *unit[cut:])]
+                found = (sum(p[0] for p in parts), min(p[1] for p in parts), tuple(i for p in parts for i in p[2]))
+            else:
+                found = self._forward(unit)
+        if len(self.known) >= CACHE:
+            # The units of the last generation that come up again are taken over.
+            self.aged, self.known = self.known, {}
+        self.known[unit] = found
+        return found
+
+    def _forward(self, unit: str) -> tuple[float, float, tuple[int, ...]]:
+        size, none = len(unit), float("-inf")
+        first, second = [0.0] + [none] * size, [none] * (size + 1)
+        via: list[tuple[int, tuple[int, ...]]] = [(0, ())] * (size + 1)
+        for last, (length, score, ids) in self.occurring(unit):
+            end = last + 1
+            start = end - length
+            total, old = first[start] + score, first[end]
+            if total > old:
+                other = second[start] + score
+                second[end] = old if old > other else other
+                first[end], via[end] = total, (start, ids)
+            elif total > second[end]:
+                second[end] = total
+        path, at = [], size
+        while at:
+            at, ids = via[at]
+            path.append(ids)
+        path.reverse()
+        return first[size], first[size] - second[size], tuple(chain.from_iterable(path))
+
+    def occurring(self, unit: str) -> Iterable[tuple[int, tuple[int, float, tuple[int, ...]]]]:
+        """All pieces inside a unit as (last position, (length, score, ids)), by their ends, the longest first."""
+        found = self.automaton.iter(unit)
+        if self.letters.issuperset(unit):
+            return found
+        return sorted([*found, *((i, (1, *self._spelled(c))) for i, c in enumerate(unit) if c not in self.letters)],
+                      key=lambda x: (x[0], -x[1][0]))
+
+    def _spelled(self, letter: str) -> tuple[float, tuple[int, ...]]:
+        """Score and ids of a character without a piece; a lone surrogate of the units' alphabet marks a literal ``SPACE``."""
+        raw = (SPACE if letter == "\ud800" else letter).encode("utf-8", "surrogatepass")
+        return self.byte_score * len(raw), tuple(self.bytes[x] for x in raw)
+
     def split(self, text: str) -> list[str]:
         """Units of a text: no piece crosses from one to the next."""
         return self.units.findall(SPACE + text.replace(SPACE, "\ud800").replace(" ", SPACE)) if text else []
 
-    def nbest(self, text: str, n: int) -> list[tuple[float, list[int]]]:
-        """The ``n`` best segmentations of a whole text as (score, ids); one empty segmentation for an empty text.
+    def choices(self, text: str, n: int) -> tuple[list[tuple[int, ...]], list[tuple[float, dict[int, tuple[int, ...]]]]]:
+        """Ids of the best segmentation unit by unit, and the ``n`` best of the whole text as (score, units that differ).
 
         Units are independent, so the best of the text are the best of all
         combinations. A combination among the ``n`` best departs from the best
-        one only in the ``n - 1`` units whose second choice costs least.
+        one only in the ``n - 1`` units whose second choice costs least: the
+        search for more choices runs in these alone.
         """
-        parts = self.split(text)
-        # The second choice of a unit says whether more of its choices can matter.
-        units = [self.unit_nbest(u, min(n, 2)) for u in parts]
-        total = sum(u[0][0] for u in units)
-        open_ = heapq.nsmallest(n - 1, ((u[0][0] - u[1][0], i) for i, u in enumerate(units) if len(u) > 1))
-        for _, i in open_:
-            units[i] = self.unit_nbest(parts[i], n)
+        parts, get, make = self.split(text), self.known.get, self.best
+        units = [get(u) or make(u) for u in parts]
+        losses = np.array([u[1] for u in units])
+        open_ = np.argsort(losses, kind="stable")[:n - 1].tolist()
+        own = {i: self.unit_nbest(parts[i], n) for i in open_ if losses[i] < np.inf}
         combined: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-        for _, i in open_:
-            best = units[i][0][0]
+        for i, found in own.items():
+            best = found[0][0]
             combined = heapq.nsmallest(n, ((loss + best - score, chosen + (((i, k),) if k else ()))
-                                           for loss, chosen in combined for k, (score, _) in enumerate(units[i])))
-        first = [u[0][1] for u in units]
-        out = []
-        for loss, chosen in combined:
-            picked = list(first)
-            for i, k in chosen:
-                picked[i] = units[i][k][1]
-            out.append((total - loss, [x for ids in picked for x in ids]))
-        return out
+                                           for loss, chosen in combined for k, (score, _) in enumerate(found)))
+        # The search may meet a tie of the best first: its choice stands in all segmentations.
+        first = [u[2] for u in units]
+        for i, found in own.items():
+            first[i] = found[0][1]
+        total = sum(u[0] for u in units)
+        return first, [(total - loss, {i: own[i][k][1] for i, k in chosen}) for loss, chosen in combined]
+
+    def nbest(self, text: str, n: int) -> list[tuple[float, list[int]]]:
+        """The ``n`` best segmentations of a whole text as (score, ids); one empty segmentation for an empty text."""
+        first, found = self.choices(text, n)
+        return [(score, [x for i, ids in enumerate(first) for x in changed.get(i, ids)]) for score, changed in found]
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of a segmentation."""
         return b"".join(map(self.decoded.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
+    def described(self, text: str, n: int) -> tuple[list[float], list[np.ndarray], bool]:
+        """Scores and ids of the ``n`` best segmentations, and whether every one of them gives the text back."""
+        first, found = self.choices(text, n)
+        best = np.fromiter(chain.from_iterable(first), "<u4")
+        ends = np.cumsum([len(u) for u in first]) if len(found) > 1 else None
+        raw, arrays, good = self.decoded, [], self.decode(best.tolist()) == text
+        for _, changed in found:
+            pieces, at = [], 0
+            for i in sorted(changed):
+                pieces += [best[at:ends[i] - len(first[i])], np.array(changed[i], "<u4")]
+                at = ends[i]
+                # The rest is the best segmentation, which is decoded as a whole.
+                good = good and b"".join(raw[x] for x in changed[i]) == b"".join(raw[x] for x in first[i])
+            arrays.append(np.concatenate([*pieces, best[at:]]) if pieces else best)
+        return [score for score, _ in found], arrays, good
+
+
+def worker_model(path: str) -> PieceModel:
+    """The model of a file, read once per worker process, so that later tasks find its segmented units again.
+
+    Functions travel by value with globals of their own; what a process
+    shares hangs in its table of modules.
+    """
+    shelf = sys.modules.setdefault("fieldwarden_worker_models", types.ModuleType("fieldwarden_worker_models"))
+    models = shelf.__dict__.setdefault("models", {})
+    if path not in models:
+        models[path] = PieceModel(path)
+    return models[path]
+
 
 _FIELDS = [("doc_id", pa.int64()), ("n_segmentations", pa.int32()), ("n_pieces", pa.int64()), ("score", pa.float64()),
            ("scores", pa.list_(pa.float64())), ("ids_crc32", pa.list_(pa.int64())), ("decodes", pa.bool_()),
@@ -173,17 +273,18 @@ def segmented(documents: DataFrame, model_path: str, n: int = BEST, with_ids: bo
     ``decodes`` (every one gives the text back) and, with ``with_ids``,
     ``ids``. Null and empty texts have one segmentation without pieces.
     Repeated rows are segmented alike; scores that tie keep the order in which
-    the search meets them, which the text alone decides.
+    the search meets them, which the text alone decides. A task holds one text
+    and its ids at a time, about 50 bytes a character. The scores of the file
+    are those of the lattice: a file trained by merging encodes its own library's
+    way by merges, not by the best sum.
     """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, out, held = PieceModel(model_path), [], 0
+        model, out, held = worker_model(model_path), [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 text = text.as_py() or ""
-                best = model.nbest(text, n)
-                arrays = [np.array(ids, "<u4") for _, ids in best]
-                out.append((doc_id, len(best), len(arrays[0]), best[0][0], [s for s, _ in best],
-                            [zlib.crc32(a.tobytes()) for a in arrays], all(model.decode(ids) == text for _, ids in best),
+                scores, arrays, good = model.described(text, n)
+                out.append((doc_id, len(scores), len(arrays[0]), scores[0], scores, [zlib.crc32(a.tobytes()) for a in arrays], good,
                             [a.astype(np.int32) for a in arrays] if with_ids else None))
                 held += len(text)
                 if held > 2_000_000:
