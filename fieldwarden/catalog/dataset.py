@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..functions.hashing import hash_word, seeded
 from ..operators import cohorts, dataset, fields
-from ..session import computed_once, read_table
+from ..plans.workflows import import_datasets
+from ..session import computed_once, read_table, scratch_path
+from ..sources.records import read_jsonl
 from . import query
 from .views import (LINES_SQL, MANIFEST_SQL, PREPARED_SQL, document_lines, part_manifest,
                     prepared_documents)
@@ -368,6 +370,26 @@ def dataset_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.dataset_sample(orders, 100)
 
 
+@query("dataset_import", f"""WITH {LINES_SQL}, h AS (SELECT document_id, form, sha256(line) AS page_hash FROM doc_lines),
+d AS (SELECT doc_id::VARCHAR AS document_id, source AS dataset, (SELECT count(*) FROM h WHERE h.document_id = doc_id::VARCHAR) AS fields,
+  doc_id::VARCHAR IN (SELECT document_id FROM h WHERE form = 'en' AND page_hash IN (SELECT page_hash FROM h WHERE form <> 'en')) AS shares
+  FROM documents WHERE lang = 'en'),
+r AS (SELECT *, row_number() OVER (PARTITION BY dataset, shares ORDER BY sha256('42:' || dataset || ':' || document_id), document_id) AS r FROM d)
+SELECT dataset, count(*) FILTER (NOT shares AND r <= 40) AS documents, coalesce(sum(fields) FILTER (NOT shares AND r <= 40), 0)::BIGINT AS fields,
+  count(*) FILTER (shares) AS dropped_overlapping_pages, count(*) FILTER (NOT shares AND r <= 40) AS in_file FROM r GROUP BY dataset""")
+def dataset_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English documents of several sources imported without those that share a line with another language."""
+    documents = computed_once(read_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("dataset"), "lang",
+        F.transform(F.filter(F.split("text", "\n"), lambda x: V.strip(x) != ""), lambda x: F.sha2(x, 256)).alias("image_sha256")))
+    used = documents.filter("lang <> 'en'").select(F.explode("image_sha256").alias("page_hash"))
+    path = scratch_path(spark, "documents")
+    own = documents.filter("lang = 'en'").drop("lang").withColumn("fields", F.col("image_sha256"))
+    report = import_datasets(own.withColumn("fields", F.coalesce("fields", F.array())), used, path, 40)
+    stored = read_jsonl(spark, path, "dataset string").groupBy("dataset").agg(F.count("*").alias("in_file"))
+    return report.join(stored, "dataset", "left").na.fill(0, ["in_file"])
+
+
 @query("documents_per_form", f"WITH {PREPARED_SQL} SELECT form, count(*) AS documents FROM docs GROUP BY form")
 def documents_per_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared_documents(spark, sf_dir).groupBy("form").agg(F.count("*").alias("documents"))

@@ -157,3 +157,20 @@ def trace_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     metadata = lines.groupBy(F.col("split").alias("cohort")).agg(F.count("*").cast("string").alias("value")).withColumn("key", F.lit("rows"))
     datasets.write_traces(lines.drop("l_quantity"), lines.filter("l_linenumber > 1").select("split", "trace_index", "l_quantity"), metadata, path)
     return datasets.read_traces(spark, path, "N").groupBy("split").agg(F.count("*").alias("rows"), F.count("l_quantity").alias("records"))
+
+
+@query("validated_traces", """SELECT l_returnflag AS split, count(*) AS rows, count(*) FILTER (l_linenumber > 1) AS traced FROM lineitem GROUP BY 1""")
+def validated_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trace cache over the order lines, numbered per cohort, read back through its checks."""
+    from ..operators.scale import numbered
+
+    lines = read_table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("split"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    traced = numbered(lines.filter("l_linenumber > 1"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "place", ["split"])
+    rows = traced.withColumn("trace_index", F.col("place") - 1).drop("place").unionByName(
+        lines.filter("l_linenumber = 1").withColumn("trace_index", F.lit(-1).cast("bigint"))).withColumn("row_split", F.col("split"))
+    path = scratch_path(spark, "traces")
+    metadata = rows.groupBy(F.col("split").alias("cohort")).agg(F.count("*").cast("string").alias("value")).withColumn("key", F.lit("rows"))
+    datasets.write_traces(rows, rows.filter("trace_index >= 0").select("split", "trace_index"), metadata, path)
+    found = [datasets.validated_traces(spark, path, s) for s in ("A", "N", "R")]
+    both = found[0].unionByName(found[1]).unionByName(found[2])
+    return both.groupBy("split").agg(F.count("*").alias("rows"), F.count(F.when(F.col("trace_index") >= 0, 1)).alias("traced"))

@@ -33,6 +33,26 @@ def write_prepared(documents: DataFrame, path: str) -> DataFrame:
     return dataset.prepare_report(documents)
 
 
+def import_datasets(documents: DataFrame, used_pages: DataFrame, path: str, per_dataset: int | None = None, seed: int = 42) -> DataFrame:
+    """Import several datasets into one documents file; returns the report per dataset.
+
+    ``documents`` have dataset, document_id, ``image_sha256`` and ``fields``.
+    A document that shares a page with ``used_pages`` is dropped; of the
+    others of a dataset at most ``per_dataset`` are drawn by a seeded shuffle.
+    The report counts the documents and fields written and the documents
+    dropped; a dataset of which nothing is left is in it.
+    """
+    documents = staged(documents, "imported")
+    kept = staged(dataset.drop_overlapping(documents, used_pages).select("dataset", "document_id", F.size("fields").alias("fields")), "fresh")
+    drawn = staged(kept if per_dataset is None else dataset.dataset_sample(kept, per_dataset, seed), "drawn")
+    write_jsonl(documents.join(drawn.select("dataset", "document_id"), ["dataset", "document_id"], "left_semi"), path)
+    read = documents.groupBy("dataset").agg(F.count("*").alias("read"))
+    fresh = kept.groupBy("dataset").agg(F.count("*").alias("fresh"))
+    written = drawn.groupBy("dataset").agg(F.count("*").alias("documents"), F.sum("fields").alias("fields"))
+    return read.join(fresh, "dataset", "left").join(written, "dataset", "left").na.fill(0, ["fresh", "documents", "fields"]).select(
+        "dataset", "documents", "fields", (F.col("read") - F.col("fresh")).alias("dropped_overlapping_pages"))
+
+
 def finalize(scored: DataFrame, target: float = .95, replicates: int = 2000, rules: DataFrame | None = None,
              family: str = "head") -> dict[str, object]:
     """Calibrate one head, fit its conservative policy and report it on dev and on the risk cohort.

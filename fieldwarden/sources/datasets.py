@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dataset import document_id, variant_kept
-from ..session import shared_dir
+from ..session import shared_dir, staged
 from .records import page_hashes, read_json, read_jsonl, read_whole_text
 
 MANIFEST = "form string, sample string, pages array<string>, fields string"
@@ -100,6 +100,37 @@ def read_traces(spark: SparkSession, path: str, split: str | None = None) -> Dat
     return joined if split is None else joined.filter(F.col("split") == split)
 
 
+def validated_traces(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """Rows of one cohort of a trace cache, copied to the shared folder in the same read that checks them.
+
+    Every row must say it belongs to ``split``, and the trace indices of rows
+    with a trace must be 0 to n - 1, each once; anything else is an error
+    before a row is used. The numbers are observed while the rows pass by: a
+    sum of hashes stands for the set of indices, and is compared with that of
+    the right ones.
+    """
+    rows = spark.read.parquet(f"{path}/rows")
+    # The folder names the cohort; what the rows say of themselves is a column of their own.
+    rows = rows.filter(F.col("split") == split)
+    named = F.col("row_split") if "row_split" in rows.columns else F.col("split")
+    traced = F.col("trace_index") >= 0
+    seen = Observation()
+    # Decimals: the sum neither overflows nor depends on the order.
+    index = F.xxhash64(F.col("trace_index").cast("bigint")).cast("decimal(20,0)")
+    observed = rows.observe(
+        seen, F.count("*").alias("rows"), F.count(F.when(~named.eqNullSafe(F.lit(split)), 1)).alias("foreign"), F.count(F.when(traced, 1)).alias("traced"),
+        F.max(F.when(traced, F.col("trace_index"))).alias("last"), F.coalesce(F.sum(F.when(traced, index)), F.lit(0)).cast("string").alias("sum"))
+    kept = staged(observed, "traces")
+    found = seen.get
+    right = spark.range(found["traced"]).agg(F.coalesce(F.sum(F.xxhash64("id").cast("decimal(20,0)")), F.lit(0)).cast("string")).first()[0]
+    problems = [name for name, wrong in (("rows of another split", found["foreign"] > 0),
+                                         ("gaps in the trace indices", (found["last"] if found["last"] is not None else -1) + 1 != found["traced"]),
+                                         ("repeated trace indices", found["sum"] != right)) if wrong]
+    if problems:
+        raise ValueError(f"{path} is no sound trace cache of {split}: {', '.join(problems)}")
+    return kept
+
+
 def from_old_layout(rows: DataFrame) -> DataFrame:
     """Columns of the old trace layout under their present names."""
     return rows.withColumnsRenamed({"feature_index": "trace_index", "end": "value", "token_stats": "stats"})

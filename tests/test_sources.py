@@ -137,3 +137,41 @@ def test_bundles_and_traces(spark, tmp_path):
     merged = sorted(r.trace_index for r in features.merged_parts(parts).collect())
     assert merged == [-1, 0, 1, 2, 3]
     assert tuple(features.trace_index_problems(parts.withColumn("split", F.lit("s")), "s").first()) == (0, 2, 0)
+
+
+def test_validated_traces(spark, tmp_path):
+    from fieldwarden.sources import datasets
+
+    def cache(name, indices, owners=None):
+        rows = [("dev", i, o) for i, o in zip(indices, owners or ["dev"] * len(indices))]
+        df = spark.createDataFrame([*rows, ("train", 0, "train")], "split string, trace_index long, row_split string")
+        datasets.write_traces(df, df.select("split", "trace_index"), spark.createDataFrame([("dev", "k", "v")], "cohort string, key string, value string"),
+                              str(tmp_path / name))
+        return datasets.validated_traces(spark, str(tmp_path / name), "dev")
+
+    assert sorted(r.trace_index for r in cache("sound", [2, 0, 1, -1, -1]).collect()) == [-1, -1, 0, 1, 2]
+    assert cache("none", [-1]).count() == 1
+    with pytest.raises(ValueError, match="gaps"):
+        cache("gap", [0, 1, 3])
+    with pytest.raises(ValueError, match="repeated"):
+        cache("twice", [0, 2, 2, 3, 4, 5, 6])
+    with pytest.raises(ValueError, match="another split"):
+        cache("foreign", [0, 1], ["dev", "train"])
+
+
+def test_import_of_several_datasets(spark, tmp_path):
+    from fieldwarden.plans.workflows import import_datasets
+    from fieldwarden.sources.records import read_jsonl
+
+    rows = [("a", "a1", ["p1", "used"], ["f"]), ("a", "a2", ["p2"], ["f", "g"]), ("a", "a3", ["p3"], []), ("b", "b1", ["used"], ["f"]), ("c", "c1", [], ["f"])]
+    df = spark.createDataFrame(rows, "dataset string, document_id string, image_sha256 array<string>, fields array<string>")
+    used = spark.createDataFrame([("used",), ("used",), ("other",)], "page_hash string")
+    got = {r.dataset: tuple(r)[1:] for r in import_datasets(df, used, str(tmp_path / "all")).collect()}
+    assert got == {"a": (2, 2, 1), "b": (0, 0, 1), "c": (1, 1, 0)}
+    assert sorted(r.document_id for r in read_jsonl(spark, str(tmp_path / "all"), df.schema).collect()) == ["a2", "a3", "c1"]
+    one = {r.dataset: r.documents for r in import_datasets(df, used, str(tmp_path / "one"), 1).collect()}
+    assert one == {"a": 1, "b": 0, "c": 1}
+    again = import_datasets(df, used, str(tmp_path / "again"), 1)
+    first, second = (sorted(r.document_id for r in read_jsonl(spark, str(tmp_path / n), df.schema).collect()) for n in ("one", "again"))
+    assert again.count() == 3 and first == second
+    assert import_datasets(df.limit(0), used, str(tmp_path / "none")).collect() == []
