@@ -57,10 +57,19 @@ def fixed_policy(rows: DataFrame, threshold: float, target: float = .95, split:
                                              F.lit(split).alias("fitted_split"), F.lit("global").alias("mode"))
 
 
-def score_groups(rows: DataFrame) -> DataFrame:
-    """One row per distinct usable score, lowest first when summed: fields and errors."""
-    return (rows.filter(usable()).groupBy("score")
-            .agg(F.count("*").alias("n"), count_if(~F.col("correct")).alias("errors")))
+def score_counts(rows: DataFrame) -> DataFrame:
+    """Fields and errors per distinct usable score, and in the row without a score those that no threshold decides; written once.
+
+    Totals, forced errors, sweep and curve all come from these counts, so the
+    rows behind them are read once.
+    """
+    return staged(rows.groupBy(F.when(usable(), F.col("score")).alias("score")).agg(
+        F.count("*").alias("n"), count_if(~F.col("correct")).alias("errors")), "score_counts")
+
+
+def score_groups(counts: DataFrame) -> DataFrame:
+    """The counts of the rows that a threshold decides."""
+    return counts.filter(F.col("score").isNotNull())
 
 
 def between(last: Column, following: Column) -> Column:
@@ -83,9 +92,10 @@ def fit_policy(rows: DataFrame, target: float = .95, split: str = "dev") -> Data
         raise ValueError("a head is compared on dev only; use fit_conservative_policy for the risk cohort")
     if not 0 < target <= 1:
         raise ValueError(f"target_error_recall must be in (0, 1], got {target}")
-    totals = rows.agg(count_if(~F.col("correct")).alias("errors"),
-                      count_if(~F.col("correct") & ~usable()).alias("forced"))
-    swept = running_totals(score_groups(rows), ["score"], {"caught": F.col("errors")})
+    counts = score_counts(rows)
+    totals = counts.agg(F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"),
+                        F.coalesce(F.sum(F.when(F.col("score").isNull(), F.col("errors"))), F.lit(0)).alias("forced"))
+    swept = running_totals(score_groups(counts), ["score"], {"caught": F.col("errors")})
     limits = totals.select((F.ceil(F.lit(target) * F.col("errors")) - F.col("forced")).alias("needed")).scalar()
     reviewed = F.col("caught") - F.col("errors") < F.col("needed")
     edge = swept.withColumn("needed", limits).agg(F.max(F.when(reviewed, F.col("score"))).alias("last"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import count_if, equal_width_bin, logistic_loss, ratio, sigmoid, wilson
 from ..session import staged
 from .bootstrap import side_by_side
-from .policy import decided, mandatory, score_groups, usable, with_support
+from .policy import decided, mandatory, score_counts, score_groups, usable, with_support
 from .scale import running_totals
 
 ACCEPTANCE = (0.5, 0.8, 0.9, 0.95)
@@ -66,8 +66,12 @@ def oracle_review_rate(rows: DataFrame, target: float = .95, supported: DataFram
 
 def review_curve(rows: DataFrame) -> DataFrame:
     """Risk-coverage curve: one row per realisable threshold, highest first when sorted."""
-    total = rows.agg(F.count("*")).scalar()
-    swept = running_totals(score_groups(rows), ["score"], {"accepted": F.col("n"), "missed": F.col("errors")},
+    return _curve(score_counts(rows))
+
+
+def _curve(counts: DataFrame) -> DataFrame:
+    total = counts.agg(F.sum("n")).scalar()
+    swept = running_totals(score_groups(counts), ["score"], {"accepted": F.col("n"), "missed": F.col("errors")},
                            descending=True)
     return (swept.withColumn("total", total)
             .select(F.col("score").alias("threshold"), "n", "accepted", "missed", "total",
@@ -77,11 +81,12 @@ def review_curve(rows: DataFrame) -> DataFrame:
 
 def aurc(rows: DataFrame) -> DataFrame:
     """Area under the risk-coverage curve; rows no threshold decides are ranked last as errors."""
-    points = review_curve(rows)
+    counts = score_counts(rows)
+    points = _curve(counts)
     t = points.agg(F.coalesce(F.sum(F.col("risk") * F.col("n")), F.lit(0.0)).alias("area"),
                    F.coalesce(F.max("accepted"), F.lit(0)).alias("accepted"),
                    F.coalesce(F.max("missed"), F.lit(0)).alias("missed"))
-    t = side_by_side(t, rows.agg(F.count("*").alias("total")))
+    t = side_by_side(t, counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")))
     invalid = F.col("total") - F.col("accepted")
     tail = F.when(invalid > 0, ratio(F.col("missed") + invalid, F.col("total")) * invalid).otherwise(0.0)
     return t.select(ratio(F.col("area") + tail, F.col("total")).alias("aurc"),
@@ -90,10 +95,12 @@ def aurc(rows: DataFrame) -> DataFrame:
 
 def budgets(rows: DataFrame, fractions: Sequence[float] = BUDGETS) -> DataFrame:
     """Errors caught when a share of the fields is reviewed: mandatory ones, then whole tie groups from the lowest score."""
-    wrong = ~F.col("correct")
-    head = rows.agg(F.count("*").alias("total"), count_if(wrong).alias("all_errors"),
-                    count_if(~usable()).alias("forced"), count_if(~usable() & wrong).alias("forced_errors"))
-    swept = running_totals(score_groups(rows), ["score"], {"upto": F.col("n")})
+    counts = score_counts(rows)
+    forced = F.col("score").isNull()
+    head = counts.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(name) for name, x in (
+        ("total", F.col("n")), ("all_errors", F.col("errors")), ("forced", F.when(forced, F.col("n"))),
+        ("forced_errors", F.when(forced, F.col("errors"))))])
+    swept = running_totals(score_groups(counts), ["score"], {"upto": F.col("n")})
     numbers = head.select(F.struct("*").alias("h")).scalar()
     swept = swept.withColumn("h", numbers)
     cap = {f: F.greatest(F.col("h.forced"), F.floor(F.col("h.total") * F.lit(float(f)))) for f in fractions}
@@ -163,8 +170,10 @@ def within_field_auroc(rows: DataFrame, score: str = "logit") -> DataFrame:
 
 
 def head_report(rows: DataFrame, policy: DataFrame, supported: DataFrame | None = None) -> DataFrame:
-    """Every headline metric of one scored cohort under a policy, in one row."""
+    """Every headline metric of one scored cohort under a policy, in one row; the rows behind it are read once."""
     target = .95
+    needed = ("document_id", "field_id", "status", "shape_violation", "correct", "score", "logit")
+    rows = staged(rows.select(*[c for c in needed if c in rows.columns]), "scored")
     area = auroc(rows).select("auroc")
     return side_by_side(policy.select("threshold"), evaluate_policy(rows, policy, supported),
                         oracle_review_rate(rows, target, supported), accuracy_brier_nll(rows).drop("count"),
