@@ -9,6 +9,7 @@ from ..functions import values as V
 from ..functions.hashing import hash_word, seeded
 from ..operators import cohorts, dataset, fields
 from ..plans.workflows import import_datasets
+from ..plans.workflows import split_datasets as split_dataset_files
 from ..session import computed_once, read_table, scratch_path
 from ..sources.records import read_jsonl
 from . import query
@@ -390,6 +391,37 @@ def dataset_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.join(stored, "dataset", "left").na.fill(0, ["in_file"])
 
 
+_NAMED = "{id} || '__v' || ({id}::BIGINT % 2 + 1)"
+_NAMED_GROUPS = GROUPS_SQL.format(pages=LINES_SQL + f""",
+pages_of AS (SELECT DISTINCT {_NAMED.format(id='document_id')} AS document_id, sha256(line) AS page_hash FROM doc_lines)""").replace(
+    "SELECT doc_id::VARCHAR AS document_id FROM documents", f"SELECT {_NAMED.format(id='doc_id')} AS document_id FROM documents")
+
+
+@query("split_datasets", _NAMED_GROUPS + f""",
+d AS (SELECT {_NAMED.format(id='doc_id')} AS document_id, lang AS dataset, doc_id % 10 = 0 AS wanted, (SELECT count(*) FROM doc_lines l WHERE l.document_id = doc_id::VARCHAR) AS pages FROM documents),
+names AS (SELECT group_id, bool_or(wanted) AS preferred FROM grouped JOIN d USING (document_id) GROUP BY group_id),
+owned AS (SELECT names.*, dataset FROM names JOIN d ON d.document_id = group_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY NOT preferred, sha256('42:' || dataset || ':' || group_id), group_id) AS r, count(*) OVER (PARTITION BY dataset) AS n FROM owned),
+cut AS (SELECT *, least(50, floor(n * 0.5))::BIGINT AS t FROM ranked),
+split AS (SELECT *, CASE WHEN r <= t THEN 'test' WHEN r <= t + least(3, (n - t) // 10) THEN 'dev' ELSE 'train' END AS split FROM cut),
+placed AS (SELECT d.document_id, split.dataset, split, pages, CASE WHEN split <> 'train' AND document_id[-1:] <> '1' THEN 'variant' WHEN split = 'train' AND pages > 12 THEN 'long' END AS dropped
+  FROM d JOIN grouped USING (document_id) JOIN split USING (group_id)),
+counts AS (SELECT dataset, {', '.join(f"count(*) FILTER (dropped IS NULL AND split = '{s}') AS {s}_documents, coalesce(sum(pages) FILTER (dropped IS NULL AND split = '{s}'), 0)::BIGINT AS {s}_fields" for s in ('train', 'dev', 'test'))},
+  count(*) FILTER (dropped = 'long') AS train_dropped_long FROM placed GROUP BY dataset)
+SELECT dataset, count(*) AS groups, count(*) FILTER (split = 'test' AND preferred) AS test_preferred, any_value(COLUMNS(counts.* EXCLUDE (dataset))), 0::BIGINT AS train_test_shared_pages
+FROM split JOIN counts USING (dataset) GROUP BY dataset""")
+def split_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of four languages as datasets, their lines as pages and fields."""
+    table = read_table(spark, sf_dir, "documents")
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: V.strip(x) != ""), lambda x: F.sha2(x, 256))
+    documents = computed_once(table.select(
+        F.concat(F.col("doc_id").cast("string"), F.lit("__v"), (F.col("doc_id") % 2 + 1).cast("string")).alias("document_id"),
+        F.col("lang").alias("dataset"), F.coalesce(lines, F.array().cast("array<string>")).alias("image_sha256"), "doc_id"))
+    documents = documents.withColumn("pages", F.col("image_sha256")).withColumn("fields", F.col("image_sha256"))
+    preferred = documents.filter("doc_id % 10 = 0").select("document_id")
+    return split_dataset_files(documents.drop("doc_id"), preferred, scratch_path(spark, "splits"), max_train_pages=12)
+
+
 @query("documents_per_form", f"WITH {PREPARED_SQL} SELECT form, count(*) AS documents FROM docs GROUP BY form")
 def documents_per_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared_documents(spark, sf_dir).groupBy("form").agg(F.count("*").alias("documents"))

@@ -53,6 +53,38 @@ def import_datasets(documents: DataFrame, used_pages: DataFrame, path: str, per_
         "dataset", "documents", "fields", (F.col("read") - F.col("fresh")).alias("dropped_overlapping_pages"))
 
 
+def split_datasets(documents: DataFrame, preferred: DataFrame, path: str, seed: int = 42, test_cap: int = 50, test_fraction: float = .5,
+                   dev_cap: int = 3, max_train_pages: int = 6) -> DataFrame:
+    """Split several datasets into train, dev and test without a page on two sides; writes the splits, returns the report.
+
+    ``documents`` have dataset, document_id, ``image_sha256``, ``pages`` and
+    ``fields``; documents that share a page are one group, which belongs to
+    the dataset of the document it is named after (its least id). Groups with
+    a document of ``preferred`` go to test first. Outside train only first
+    variants count, inside it documents of at most ``max_train_pages``. The
+    report has kept documents and fields per split, groups, preferred test
+    groups, long documents dropped and, in every row, the pages that train
+    and test still share (0 in a sound split).
+    """
+    documents = staged(documents, "documents")
+    pages = documents.select("document_id", F.explode_outer("image_sha256").alias("page_hash"))
+    grouped = staged(dataset.duplicate_groups(pages), "grouped")
+    wanted = preferred.select("document_id").distinct().withColumn("__wanted", F.lit(True))
+    names = grouped.join(wanted, "document_id", "left").groupBy("group_id").agg(F.max(F.coalesce("__wanted", F.lit(False))).alias("preferred"))
+    owner = documents.select(F.col("document_id").alias("group_id"), "dataset")
+    split = staged(dataset.quota_split(owner.join(names, "group_id"), seed, test_cap, test_fraction, dev_cap), "split")
+    placed = documents.drop("dataset").join(grouped, "document_id").join(split.select("group_id", "dataset", "split"), "group_id")
+    marked = staged(dataset.usable_in_split(placed, max_train_pages), "placed")
+    kept = marked.filter(F.col("dropped").isNull())
+    write_by(kept.drop("dropped"), path, "split")
+    hashes = kept.select("split", F.explode("image_sha256").alias("page_hash"))
+    shared = dataset.shared_pages(*[hashes.filter(F.col("split") == s).select("page_hash") for s in ("train", "test")]).agg(
+        F.count("*").alias("train_test_shared_pages"))
+    groups = split.groupBy("dataset").agg(F.count("*").alias("groups"), count_if((F.col("split") == "test") & F.col("preferred")).alias("test_preferred"))
+    report = groups.join(dataset.quota_report(marked), "dataset", "left")
+    return report.withColumn("train_test_shared_pages", shared.scalar())
+
+
 def finalize(scored: DataFrame, target: float = .95, replicates: int = 2000, rules: DataFrame | None = None,
              family: str = "head") -> dict[str, object]:
     """Calibrate one head, fit its conservative policy and report it on dev and on the risk cohort.
