@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwarden.llm import jaccard, packing, quality, substrings, toxicity
+from fieldwarden.llm import jaccard, packing, quality, sketch, substrings, toxicity
 from fieldwarden.session import read_table, staged
 
 
@@ -20,31 +20,32 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents with a toxicity score below the cutoff; the model learns from the labels of documents still there."""
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.fit(docs.select("doc_id", "text"), labels.filter(~toxicity.held_out(F.col("doc_id"))))
-    return toxicity.scored(docs, model).filter(~F.col("toxic")).select(*docs.columns)
+    return docs.filter(model.score(F.col("text")) < toxicity.CUTOFF)
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the certified cutoffs of their language."""
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    counted = quality.with_counts(docs.withColumn("identity", F.md5(F.coalesce("text", F.lit("")))))
-    counted = staged(counted, "counted")
+    # The row travels whole beside its counts, so that no column of its own is touched.
+    row = docs.select("doc_id", "lang", "text", F.md5(F.coalesce("text", F.lit(""))).alias("identity"), F.struct(*docs.columns).alias("__row"))
+    counted = staged(quality.with_counts(row).drop("text", "lang"), "counted")
     cutoffs = quality.cutoff_table(quality.labelled_counts(counted, labels))
-    return quality.judged(counted, cutoffs).filter("kept").select(*docs.columns)
+    return quality.judged(counted, cutoffs).filter("kept").select("__row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8: that with the least id.
 
-    Rows that repeat an id stand or fall together, and equal ones are kept
-    once. Rows without an id are kept. Texts without a word are no copies of
+    Rows that repeat an id stand or fall together; of those with equal texts
+    the one with the least other columns stays. Rows without an id are kept. Texts without a word are no copies of
     each other.
     """
     classes = jaccard.near_duplicates(docs.select("doc_id", "text"), jaccard.Similarity(5, 80))
     gone = classes.filter("doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
     repeated = (docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    same = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(same.select("__row.*"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,11 +57,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = substrings.cut_repeats(docs.select("doc_id", "text"), with_text=True).filter("n_removed > 0")
     cut = cut.select("doc_id", F.col("words_sha256").alias("__words"), F.col("kept").alias("__kept")).dropDuplicates(["doc_id", "__words"])
     cut = staged(cut, "kept")
-    marked = docs.withColumn("__words", substrings.word_digest(F.col("text"))["sha256"])
+    # Only documents that may have lost words meet their new texts; the others stay where they are.
+    likely = sketch.with_likely(docs, cut.select("doc_id"), "__likely")
+    marked = likely.filter("__likely").withColumn("__words", substrings.word_digest(F.col("text"))["sha256"])
     joined = marked.join(cut, ["doc_id", "__words"], "left")
     new = {"text": F.coalesce("__kept", "text"),
            "n_chars": F.when(F.col("__kept").isNotNull(), F.length("__kept")).otherwise(F.col("n_chars"))}
-    return joined.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(c)).alias(c) for c in docs.columns])
+    changed = joined.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(c)).alias(c) for c in docs.columns])
+    return likely.filter("not __likely").select(*docs.columns).unionByName(changed)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ or that are connected already, and compares the rest exactly.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from ..session import read_table, staged, task_count
 from .components import connected_components, sorted_groups
 from .registry import query
-from .words import chunks, mix, run_hashes, signed, word_names
+from .words import chunks, mix, signed, window_hashes, word_names
 
 #: Bands of every text.
 BANDS = 64
@@ -59,15 +60,13 @@ def shingles(names: np.ndarray, words: int) -> np.ndarray:
     """Sorted distinct shingles of one text's word names; the whole text as one if it is shorter; empty without words."""
     if not len(names):
         return np.zeros(0, np.uint64)
-    count = max(len(names) - words + 1, 1)
-    start = np.arange(count)
-    return np.unique(run_hashes(names, start, np.minimum(start + words, len(names))))
+    return np.unique(window_hashes(names, min(words, len(names))))
 
 
 def set_name(found: np.ndarray) -> int:
     """One 64-bit name of a set of shingles, as a Spark long."""
     total = np.array([np.bitwise_xor.reduce(mix(found)), found.sum(dtype=np.uint64), len(found)], np.uint64)
-    return int(signed(run_hashes(total, np.array([0]), np.array([3])))[0])
+    return int.from_bytes(hashlib.blake2b(total.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def band_names(found: np.ndarray, rows: int) -> np.ndarray:
@@ -81,9 +80,10 @@ def band_names(found: np.ndarray, rows: int) -> np.ndarray:
         part = low[at:at + step, None] ^ shifts
         part *= factors
         np.minimum(least, part.min(axis=0), out=least)
-    values = least.astype(np.uint64)
-    begin = np.arange(BANDS) * rows
-    return mix(run_hashes(values, begin, begin + rows) + np.arange(BANDS, dtype=np.uint64))
+    # Only candidates come from these names, so a sum with odd factors is enough to tell the minima apart.
+    factors = mix(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
+    values = (least.astype(np.uint64).reshape(BANDS, rows) * factors).sum(axis=1, dtype=np.uint64)
+    return mix(mix(values) + np.arange(BANDS, dtype=np.uint64))
 
 
 def _set_rows(similarity: Similarity):

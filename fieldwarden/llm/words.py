@@ -47,15 +47,21 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _reduced(_reduced(np.uint64(2) * (a1 * b1) + turned) + _reduced(a0 * b0))
 
 
+#: Powers of each base that a task has needed so far.
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, count: int) -> np.ndarray:
     """``base ** 0 .. base ** (count - 1)`` modulo the prime."""
-    out = np.ones(max(count, 1), np.uint64)
-    known = 1
-    while known < count:
-        more = min(known, count - known)
-        out[known:known + more] = _product(out[:more], np.uint64(pow(base, known, int(_PRIME))))
-        known += more
-    return out[:count]
+    known = _POWERS.get(base)
+    if known is None or len(known) < count:
+        known = np.ones(1 << max(10, (count - 1).bit_length()), np.uint64)
+        size = 1
+        while size < len(known):
+            known[size:2 * size] = _product(known[:size], np.uint64(pow(base, size, int(_PRIME))))
+            size *= 2
+        _POWERS[base] = known
+    return known[:count]
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -70,6 +76,15 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def window_hashes(values: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every ``size`` consecutive values, for small sizes: each value is mixed with all before it."""
+    count = max(len(values) - size + 1, 0)
+    found = np.full(count, size, np.uint64)
+    for k in range(size):
+        found = mix(found * np.uint64(0x9FB21C651E98DF25) ^ values[k:k + count])
+    return found
+
+
 def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes and where each word starts and ends."""
     data = np.frombuffer(text, np.uint8)

@@ -10,7 +10,7 @@ import corpus_pipeline
 from test_jaccard import brute_force as classes
 from test_substrings import brute_force as passages
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars int, toxic string, stratum string, kept int"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars int, toxic string, stratum string, kept int, n_words string, identity double"
 
 
 def rows(count=60):
@@ -33,7 +33,7 @@ def rows(count=60):
 
 @pytest.fixture
 def tables(spark, tmp_path):
-    df = spark.createDataFrame([(d, t, "en", "s", len(t or ""), "t", "u", 1) for d, t in rows()], SCHEMA)
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or ""), "t", "u", 1, "v", 2.5) for d, t in rows()], SCHEMA)
     labels = [(d, int(not (t or "").startswith("few")), int("nasty" in (t or ""))) for d, t in rows() if d is not None]
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     df.write.parquet(f"{tmp_path}/documents.parquet")
@@ -43,6 +43,12 @@ def tables(spark, tmp_path):
 def test_every_stage(spark, tables):
     docs, folder = tables
     stage = dict(corpus_pipeline.STAGES)
+    for name in ("toxicity", "quality_rules", "near_copies", "substring_dedup"):
+        # Columns of the input keep their names, types and values, whatever an operator calls its own.
+        out = stage[name](spark, docs, folder)
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        assert {(r.lang, r.source, r.toxic, r.stratum, r.kept, r.n_words, r.identity) for r in out.collect()} == {
+            ("en", "s", "t", "u", 1, "v", 2.5)}, name
     kept = stage["toxicity"](spark, docs, folder)
     assert kept.columns == docs.columns
     found = {(r.doc_id, r.text) for r in kept.collect()}
