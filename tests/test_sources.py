@@ -175,3 +175,28 @@ def test_import_of_several_datasets(spark, tmp_path):
     first, second = (sorted(r.document_id for r in read_jsonl(spark, str(tmp_path / n), df.schema).collect()) for n in ("one", "again"))
     assert again.count() == 3 and first == second
     assert import_datasets(df.limit(0), used, str(tmp_path / "none")).collect() == []
+
+
+def test_split_of_several_datasets(spark, tmp_path):
+    from fieldwarden.plans.workflows import split_datasets
+
+    rows = [("a", f"a{i:02d}__v1", [f"p{i}"], ["p"], ["f", "g"]) for i in range(30)]
+    # A page of another dataset's document joins the group of the least id; a second variant, a long document, one without pages.
+    rows += [("b", "b1__v1", ["p3", "q1"], ["p", "p"], ["f"]), ("b", "b2__v2", ["q2"], ["p"], ["f"]), ("b", "b3__v1", ["q3"], ["p"] * 9, ["f"]),
+             ("b", "b4__v1", [], [], ["f"]), ("b", "b5__v1", ["q5"], ["p"], ["f"])]
+    df = spark.createDataFrame(rows, "dataset string, document_id string, image_sha256 array<string>, pages array<string>, fields array<string>")
+    wanted = spark.createDataFrame([("a07__v1",), ("b5__v1",)], "document_id string")
+    report = {r.dataset: r for r in split_datasets(df, wanted, str(tmp_path / "s"), test_cap=8).collect()}
+    assert report["a"].groups == 30 and report["b"].groups == 4 and report["a"].test_preferred == 1 == report["b"].test_preferred
+    assert report["a"].train_test_shared_pages == 0
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    split = {r.document_id: r.split for r in stored.collect()}
+    assert split["a07__v1"] == "test" == split["b5__v1"]
+    # The copy of a page follows its group, with that group's dataset.
+    follower = stored.filter("document_id = 'b1__v1'").first()
+    assert (follower.dataset, follower.split) == ("a", split["a03__v1"])
+    assert split.get("b2__v2", "train") == "train" and split.get("b3__v1") != "train"
+    per = {d: sum(v == s for k, v in split.items() if k.startswith("a")) for d, s in (("test", "test"), ("dev", "dev"))}
+    assert per == {"test": 8, "dev": 2}
+    fields = sum(r.train_fields + r.dev_fields + r.test_fields for r in report.values())
+    assert fields == stored.select(F.sum(F.size("fields"))).first()[0]
