@@ -112,11 +112,12 @@ def agreement_features(candidates: DataFrame, rows: DataFrame) -> DataFrame:
     # Copies of one value are combined before they meet the row they belong to.
     counted = keyed.groupBy(*KEY, "candidate", (F.col("status") == "ok").alias("ok")).agg(F.count("*").alias("copies"))
     own = rows.withColumn("__own", canonical_text(F.coalesce("prediction", F.lit("null"))))
-    joined = own.select(*KEY, "__own").join(counted, list(KEY), "left")
+    # Sizes of derived rows are unknown to the planner, which takes them for those of the file behind them: never broadcast.
+    joined = own.select(*KEY, "__own").join(counted.hint("merge"), list(KEY), "left")
     agree = F.sum(F.when(F.col("ok") & (F.col("candidate") == F.col("__own")), F.col("copies")).otherwise(0))
     features = joined.groupBy(*KEY).agg((agree / F.sum("copies")).alias("agreement"),
                                         (F.count("candidate") / F.sum("copies")).alias("distinct_share"))
-    return rows.join(features, list(KEY))
+    return rows.join(features.hint("merge"), list(KEY))
 
 
 def agreement_distribution(rows: DataFrame) -> DataFrame:

@@ -200,3 +200,12 @@ def test_split_of_several_datasets(spark, tmp_path):
     assert per == {"test": 8, "dev": 2}
     fields = sum(r.train_fields + r.dev_fields + r.test_fields for r in report.values())
     assert fields == stored.select(F.sum(F.size("fields"))).first()[0]
+
+
+def test_exploded_rows_are_never_broadcast(spark):
+    # Range and literals have known sizes far below the broadcast limit; their exploded rows have the same to the planner.
+    own = spark.range(6).selectExpr("concat('d', id) AS document_id", "explode(array('/a', '/b')) AS field_id", "'\"x\"' AS prediction", "true AS correct")
+    drawn = own.selectExpr("document_id", "field_id", "explode(array('ok', 'ok', 'truncated')) AS status", "'\" x \"' AS value")
+    found = rows.agreement_features(drawn, own)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert {(r.agreement, r.distinct_share) for r in found.collect()} == {(2 / 3, 2 / 3)} and found.count() == 12
