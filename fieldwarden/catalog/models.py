@@ -133,7 +133,8 @@ def linear_head_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = [(n, i, float(fitted.mean[i]), float(fitted.std[i]), 2 * t.l2 * float(fitted.weights[i, k]))
            for n, (k, t) in penalty.items() for name in t.inputs for i in place[name]]
     ends = spark.createDataFrame(own, "trial string, i int, mean double, std double, pull double")
-    slopes = x.join(ends, ["trial", "i"]).groupBy("trial", "i").agg(F.avg(F.col("gap") * (F.col("x") - F.col("mean")) / F.col("std")).alias("s"),
+    # One row per trial and input, as large as the models; the rows beside them are the table times trials and inputs.
+    slopes = x.join(F.broadcast(ends), ["trial", "i"]).groupBy("trial", "i").agg(F.avg(F.col("gap") * (F.col("x") - F.col("mean")) / F.col("std")).alias("s"),
                                                                      F.first("pull").alias("pull"))
     flat = slopes.groupBy("trial").agg((F.max(F.abs(F.col("s") + F.col("pull"))) < 1e-4).alias("flat"))
     scored = per_trial(dev)

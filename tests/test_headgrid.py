@@ -118,3 +118,13 @@ def test_mean_pooling_beats_the_unpooled_head(spark):
     trials = [heads.Trial("mean", ("pooled",), steps=200, width=6, seed=1), heads.Trial("mlp", ("value",), steps=200, width=6, seed=1)]
     auroc = {r.trial: r.auroc for r in heads.score_trials(pooled, pooled, trials, {"pooled": 3, "value": 3}).collect()}
     assert auroc[trials[0].name] > .9 > auroc[trials[1].name] + .1
+
+
+def test_only_the_models_are_broadcast(spark, tmp_path):
+    from fieldwarden.catalog import models
+
+    spark.range(120).selectExpr("id AS vec_id", "cast(id % 10 AS int) AS label", "transform(sequence(0, 63), i -> cast(sin(id * 7 + i) AS float)) AS embedding"
+                                ).write.parquet(str(tmp_path / "embeddings.parquet"))
+    plan = models.linear_head_grid(spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+    joined = [line for line in plan.splitlines() if "Join" in line and "[trial" in line and ", i#" in line]
+    assert joined and all("BuildRight" in line for line in joined), joined
