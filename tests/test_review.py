@@ -209,3 +209,30 @@ def test_the_threshold_is_above_the_last_reviewed_score(spark):
     df = spark.createDataFrame([(a, None if b is None else float(b)) for a, b in cases], "a double, b double")
     for a, b, t in df.select("a", "b", policy.between(F.col("a"), F.col("b"))).collect():
         assert a < t and (b is None or t <= b)
+
+
+def document_weights(documents, replicates, seed=42):
+    """Poisson(1) weights of single documents."""
+    from fieldwarden.functions.hashing import poisson_cuts
+
+    cuts, result = np.array(poisson_cuts()), {}
+    for d in documents:
+        digest = hashlib.sha256(f"{seed}:{d}".encode()).hexdigest()
+        start, step = (int(digest[i:i + 8], 16) % DRAW_MODULUS for i in (0, 8))
+        result[d] = np.searchsorted(cuts, (start + np.arange(replicates) * step) % DRAW_MODULUS, side="right")
+    return result
+
+
+def test_every_document_is_drawn_in_every_replicate(spark):
+    df, rows = simulated(spark, 700, 4)
+    flagged = df.withColumn("needs_review", F.col("score") < .5).withColumn("half", F.col("document_id") < "d300")
+    weights = document_weights({r[0] for r in rows}, 150)
+    got = {r.half: r for r in bootstrap.review_intervals(flagged, 150, by=["half"]).collect()}
+    for half in (True, False):
+        mine = [r for r in rows if (r[0] < "d300") == half]
+        rate = sum(weights[r[0]] * (r[5] < .5) for r in mine) / sum(weights[r[0]] for r in mine)
+        caught = sum(weights[r[0]] * (r[5] < .5) for r in mine if not r[3]) / sum(weights[r[0]] for r in mine if not r[3])
+        assert (got[half].review_rate_low, got[half].review_rate_high) == tuple(pytest.approx(x) for x in np.quantile(rate, [.025, .975]))
+        assert (got[half].error_recall_low, got[half].error_recall_high) == tuple(pytest.approx(x) for x in np.quantile(caught, [.025, .975]))
+    drawn = np.concatenate([*weights.values()])
+    assert drawn.mean() == pytest.approx(1, abs=.02) and drawn.var() == pytest.approx(1, abs=.03)
