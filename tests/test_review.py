@@ -236,3 +236,21 @@ def test_every_document_is_drawn_in_every_replicate(spark):
         assert (got[half].error_recall_low, got[half].error_recall_high) == tuple(pytest.approx(x) for x in np.quantile(caught, [.025, .975]))
     drawn = np.concatenate([*weights.values()])
     assert drawn.mean() == pytest.approx(1, abs=.02) and drawn.var() == pytest.approx(1, abs=.03)
+
+
+def test_threshold_of_document_draws_is_that_of_a_plain_sweep(spark):
+    df, rows = simulated(spark)
+    got = policy.fit_conservative_policy(df, target=.9, replicates=200, by_document=True).first()
+    wrong, keys = [r for r in rows if not r[3]], sorted({r[5] for r in rows if r[2] == "ok"})
+    w = document_weights({r[0] for r in rows}, 200)
+
+    def state(k):
+        caught = [r for r in wrong if r[2] != "ok" or (k and r[5] <= keys[k - 1])]
+        p, n = len(caught) / len(wrong), len(wrong)
+        low = (p + 1.96**2 / (2 * n) - 1.96 * math.sqrt(p * (1 - p) / n + 1.96**2 / (4 * n * n))) / (1 + 1.96**2 / n)
+        ratio = sum(w[r[0]] for r in caught) / sum(w[r[0]] for r in wrong) if caught else np.zeros(200)
+        return low, float(np.quantile(ratio, .025))
+
+    k = next(k for k in range(len(keys) + 1) if min(state(k)) >= .9)
+    assert got.threshold == pytest.approx((keys[k - 1] + keys[k]) / 2)
+    assert (got.wilson_recall_lower_95, got.document_bootstrap_recall_lower_95) == tuple(pytest.approx(x) for x in state(k))
