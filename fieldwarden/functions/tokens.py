@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import JSON_SYNTAX, PIECE_SPACE, digit_class, value_kind
+from .text import JSON_SYNTAX, NON_ASCII, PIECE_SPACE, digit_class, value_kind
 
 # Per-token statistics, value kinds, and the names of a summary's columns.
 TOKEN_STATS = ("log_probability", "normalized_entropy", "probability_margin", "logit_margin", "close_log_probability")
@@ -31,11 +31,15 @@ def _total(values: Column) -> Column:
 
 def array_quantile(values: Column, q: float) -> Column:
     """Linear quantile of an array of doubles."""
-    ordered = F.array_sort(values)
     place = F.lit(q) * (F.size(values) - 1)
     low = F.floor(place).cast("int")
-    first = F.get(ordered, low)
-    return first + (F.coalesce(F.get(ordered, low + 1), first) - first) * (place - low)
+
+    def between(ordered: Column) -> Column:
+        first = F.get(ordered, low)
+        return first + (F.coalesce(F.get(ordered, low + 1), first) - first) * (place - low)
+
+    # The sorted values are bound once, not sorted per use.
+    return F.element_at(F.transform(F.array(F.sort_array(values)), between), 1)
 
 
 def summary_columns(stats: Column, close: Column, mask: Column, text: Column, kind: Column) -> dict[str, Column]:
@@ -52,17 +56,12 @@ def summary_columns(stats: Column, close: Column, mask: Column, text: Column, ki
     filled = n > 0
 
     def values_of(name: str) -> Column:
-        return F.transform(stats, lambda t: t[name])
+        return stats[name]
 
     def squares(values: Column) -> Column:
-        """Sum of squared deviations, updated value by value."""
-        def add(acc: Column, x: Column) -> Column:
-            mean = acc["mean"] + (x - acc["mean"]) / (acc["k"] + 1)
-            return F.struct(mean.alias("mean"), (acc["sum"] + (x - acc["mean"]) * (x - mean)).alias("sum"),
-                            (acc["k"] + 1).alias("k"))
-
-        start = F.struct(F.lit(0.0).alias("mean"), F.lit(0.0).alias("sum"), F.lit(0).alias("k"))
-        return F.aggregate(values, start, add, lambda acc: acc["sum"])
+        """Sum of squared deviations from the mean, which is bound once."""
+        return F.element_at(F.transform(F.array(_total(values) / n), lambda mean: F.aggregate(
+            values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))), 1)
 
     series = {s: values_of(s) for s in TOKEN_STATS}
     columns = {f"mean_{s}": F.when(filled, _total(v) / n).otherwise(0.0) for s, v in series.items()}
@@ -77,7 +76,9 @@ def summary_columns(stats: Column, close: Column, mask: Column, text: Column, ki
     columns.update({f"close_{s}": close[s] for s in TOKEN_STATS})
     columns["log1p_tokens"] = F.log1p(n)
     columns["content_share"] = F.when(F.size(mask) > 0, F.size(F.filter(mask, lambda m: m)) / F.size(mask)).otherwise(0.0)
-    digits = F.length(text) - F.length(F.regexp_replace(text, digit_class(), ""))
+    # In ASCII text the digits are 0-9; the long class is only tried on other text.
+    bare = F.when(text.rlike(NON_ASCII), F.regexp_replace(text, digit_class(), "")).otherwise(F.regexp_replace(text, "[0-9]", ""))
+    digits = F.length(text) - F.length(bare)
     columns["digit_share"] = digits / F.greatest(F.lit(1), F.length(text))
     found = value_kind(text, kind)
     columns.update({f"kind_{k}": (found == k).cast("double") for k in VALUE_KINDS})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as K
 from ..functions.numbers import count_if
+from ..session import computed_once
 from .scale import first_per_group
 
 # Signal bases and the floors of the normalisers.
@@ -19,7 +20,8 @@ VECTOR_FLOOR, STATS_FLOOR = 0.1, 0.05
 def summaries(records: DataFrame, *keep: str) -> DataFrame:
     """The 27 summary columns of every record (pieces, stats, close, text, kind)."""
     mask = K.content_mask(F.col("pieces"), F.col("kind"))
-    columns = K.summary_columns(F.col("stats"), F.col("close"), mask, F.col("text"), F.col("kind"))
+    records = computed_once(records.select(*dict.fromkeys([*keep, "stats", "close", "text", "kind"]), mask.alias("__mask")))
+    columns = K.summary_columns(F.col("stats"), F.col("close"), F.col("__mask"), F.col("text"), F.col("kind"))
     return records.select(*keep, *[c.alias(n) for n, c in columns.items()])
 
 

@@ -209,3 +209,18 @@ def test_exploded_rows_are_never_broadcast(spark):
     found = rows.agreement_features(drawn, own)
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
     assert {(r.agreement, r.distinct_share) for r in found.collect()} == {(2 / 3, 2 / 3)} and found.count() == 12
+
+
+def test_summaries_bind_what_they_share(spark):
+    stats = ", ".join(f"cast(sin(i * {k} + id) as double) AS {n}" for k, n in enumerate(
+        ("log_probability", "normalized_entropy", "probability_margin", "logit_margin", "close_log_probability"), 2))
+    records = spark.range(5).selectExpr("id", "transform(sequence(1, 9), i -> named_struct(" + ", ".join(
+        f"'{p.split(' AS ')[1]}', {p.split(' AS ')[0]}" for p in stats.split(", ")) + ")) AS stats", "array('a', ' ', 'b') AS pieces",
+        "'scalar' AS kind", "array('a1b2', '٣x1', '²', 'x', '')[id] AS text").selectExpr("*", "stats[0] AS close")
+    found = features.summaries(records, "id")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(") + plan.count("array_sort(") == 1
+    rows_ = {r.id: r for r in found.collect()}
+    x = [t.log_probability for t in records.filter("id = 3").first().stats]
+    assert abs(rows_[3].std_log_probability - (sum((a - sum(x) / 9) ** 2 for a in x) / 9) ** .5) < 1e-12
+    assert [rows_[i].digit_share for i in range(5)] == [.5, pytest.approx(2 / 3), 1.0, 0.0, 0.0]
