@@ -155,7 +155,8 @@ def _tallies(judged: DataFrame, families: Sequence[str]) -> DataFrame:
 def _baseline_tallies(judged: DataFrame, baseline: DataFrame, families: Sequence[str]) -> DataFrame:
     """The same for the fields that a baseline holds as well, with the baseline's own errors, reviews and caught errors."""
     other = bootstrap.one_per_field(baseline, b_review=F.col("needs_review"), b_error=~F.col("correct"))
-    shared = judged.join(other, ["document_id", "field_id"])
+    # To the planner derived rows are as few as those of the file behind them: never broadcast.
+    shared = judged.join(other.hint("merge"), ["document_id", "field_id"])
     own = [F.col("family") == f for f in families]
     flag, wrong, first = F.col("needs_review"), ~F.col("correct"), own[0]
     return shared.groupBy("subset", "document_id").agg(
@@ -183,7 +184,7 @@ def audit_report(judged: DataFrame, primary: str, families: Sequence[str], basel
     families = [primary, *[f for f in families if f != primary]]
     parts = judged.withColumn("subset", F.lit("all"))
     if subsets is not None:
-        parts = parts.unionByName(judged.join(subsets.select("subset", "document_id").distinct(), "document_id").select(*parts.columns))
+        parts = parts.unionByName(judged.join(subsets.select("subset", "document_id").distinct().hint("merge"), "document_id").select(*parts.columns))
     parts = staged(parts, "audit_rows")
     report = review.family_reports(parts, ["family", "subset"], target)
 
