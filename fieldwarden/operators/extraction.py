@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.numbers import count_if, ratio
-from ..functions.values import bound
+from ..functions.text import encode_json, tidy_json
 from ..session import staged
 from .bootstrap import side_by_side
 
@@ -66,9 +73,50 @@ def error_counts(rows: DataFrame) -> DataFrame:
             .orderBy(F.desc("count"), "error"))
 
 
-def _texts(array_json: Column) -> Column:
-    """Items of a JSON array as JSON texts."""
-    return F.transform(F.from_json(array_json, "array<variant>"), lambda item: F.coalesce(F.to_json(item), F.lit("null")))
+#: Pairs of a target and a prediction whose credit a task remembers: equal pairs are parsed once.
+REMEMBERED = 1 << 15
+CREDIT = ("expected", "predicted", "cells", "cells_right", "matched")
+
+
+def _credit(target: str | None, prediction: str | None) -> tuple:
+    """Counts of one array field, and the items that only the target or only the prediction holds.
+
+    A target that is no array has no counts.
+    """
+    raw = None if prediction is None else json.loads(prediction)
+    predicted = tidy_json(raw, True)
+    expected = predicted if target == prediction else "" if target is None else tidy_json(json.loads(target), True)
+    if not isinstance(expected, list):
+        return None, len(predicted), None, None, None, None, None
+    cells = right = 0
+    for at, mine in enumerate(expected):
+        theirs, given = (predicted[at], raw[at]) if at < len(predicted) else (None, None)
+        if isinstance(mine, dict):
+            cells += len(mine)
+            if isinstance(theirs, dict):
+                right += sum(1 for k, v in mine.items() if k in theirs and given[k] is not None and theirs[k] == v)
+        else:
+            cells += 1
+            right += given is not None and theirs == mine
+    if expected == predicted:
+        return len(expected), len(predicted), cells, right, len(expected), None, None
+    missed, spare = (Counter(map(encode_json, items)) for items in (expected, predicted))
+    both = missed & spare
+    return (len(expected), len(predicted), cells, right, both.total(),
+            list((missed - both).elements()), list((spare - both).elements()))
+
+
+def _credits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    credit = lru_cache(REMEMBERED)(_credit)
+    numbers, texts = pa.int32(), pa.list_(pa.string())
+    for batch in batches:
+        target, prediction = (batch.column(c).to_pylist() for c in ("t", "p"))
+        *counts, missed, spare = zip(*map(credit, target, prediction)) if target else [()] * 7
+        left = pa.array([m is not None for m in missed], pa.bool_())
+        # Only fields with items left are named: they may meet other rows of the same field.
+        keys = [pc.if_else(left, batch.column(c), pa.scalar(None, batch.column(c).type)) for c in ("document_id", "field_id")]
+        yield pa.RecordBatch.from_arrays([*keys, *[pa.array(c, numbers) for c in counts], *[pa.array(c, texts) for c in (missed, spare)]],
+                                         ["document_id", "field_id", *CREDIT, "missed", "spare"])
 
 
 def array_metrics(rows: DataFrame) -> DataFrame:
@@ -77,47 +125,25 @@ def array_metrics(rows: DataFrame) -> DataFrame:
     A prediction that is not ``ok`` counts as an empty array. Array rows match
     as a multiset of canonical texts; a target cell is right when the
     prediction has the same text at the same row and key, and never when the
-    predicted cell is null.
+    predicted cell is null. Items that match inside their row are counted
+    there; only what is left of a field meets other rows of the same field.
     """
     usable = (F.col("status") == "ok") & (T.json_type(F.col("prediction")) == "array")
-    prepared = rows.select("document_id", "field_id", F.col("target").alias("t"),
-                           F.when(F.coalesce(usable, F.lit(False)), F.col("prediction")).otherwise("[]").alias("p"))
-    prepared = staged(prepared.select("document_id", "field_id", _texts(T.text_form("t")).alias("ct"),
-                                      _texts(T.text_form("p")).alias("cp"), _texts(F.col("p")).alias("raw")), "arrays")
-
-    def right_keys(mine: Column, theirs: Column, raw: Column) -> Column:
-        return F.size(F.filter(F.map_keys(mine), lambda k: ~F.is_variant_null(F.try_element_at(raw, k)) & (
-            F.to_json(F.try_element_at(theirs, k)) == F.to_json(F.try_element_at(mine, k)))))
-
-    def as_map(text: Column) -> Column:
-        return F.from_json(F.when(text.startswith("{"), text), "map<string,variant>")
-
-    def cells(text: Column, at: Column) -> Column:
-        """(cells, right cells) of one target row; the maps are parsed once."""
-        other, raw = F.get(F.col("cp"), at), F.get(F.col("raw"), at)
-        in_object = bound(F.struct(as_map(text).alias("m"), as_map(other).alias("t"), as_map(raw).alias("r")), lambda x: F.struct(
-            F.size(F.map_keys(x["m"])).cast("bigint").alias("n"),
-            F.when(x["t"].isNotNull(), right_keys(x["m"], x["t"], x["r"])).otherwise(0).cast("bigint").alias("right")))
-        same = (raw != "null") & (other == text)
-        scalar = F.struct(F.lit(1).cast("bigint").alias("n"), F.coalesce(same.cast("bigint"), F.lit(0).cast("bigint")).alias("right"))
-        return F.when(text.startswith("{") & (other == text) & (raw == text), bound(as_map(text), lambda m: F.struct(
-            F.size(F.map_keys(m)).cast("bigint").alias("n"),
-            F.size(F.filter(F.map_values(m), lambda v: ~F.is_variant_null(v))).cast("bigint").alias("right")))).when(
-                text.startswith("{"), in_object).otherwise(scalar)
-
-    per_row = prepared.withColumn("cells", F.transform("ct", cells))
-    zero = F.lit(0).cast("bigint")
-    sums = per_row.agg(
-        F.count("*").alias("fields"), F.avg((F.size("ct") == F.size("cp")).cast("double")).alias("length_match"),
-        F.sum(F.size("ct")).alias("expected"), F.sum(F.size("cp")).alias("predicted"),
-        F.sum(F.aggregate("cells", zero, lambda a, c: a + c["n"])).alias("cells"),
-        F.sum(F.aggregate("cells", zero, lambda a, c: a + c["right"])).alias("cells_right"))
-    tagged = F.concat(F.transform("ct", lambda x: F.struct(x.alias("item"), F.lit(1).alias("t"), F.lit(0).alias("p"))),
-                      F.transform("cp", lambda x: F.struct(x.alias("item"), F.lit(0).alias("t"), F.lit(1).alias("p"))))
-    matched = (prepared.select("document_id", "field_id", F.inline(tagged))
-               .groupBy("document_id", "field_id", "item").agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
-               .agg(F.coalesce(F.sum(F.least("t", "p")), F.lit(0)).alias("matched")))
-    both = side_by_side(sums, matched)
+    given = F.when(F.coalesce(usable, F.lit(False)), F.col("prediction")).otherwise("[]")
+    pairs = rows.select("document_id", "field_id", F.col("target").alias("t"), given.alias("p"))
+    kinds = dict(pairs.dtypes)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in ("document_id", "field_id")], *[f"{n} int" for n in CREDIT],
+                        "missed array<string>", "spare array<string>"])
+    counts = staged(pairs.mapInArrow(_credits, schema), "arrays")
+    sums = counts.agg(
+        F.count("*").alias("fields"), F.avg((F.col("expected") == F.col("predicted")).cast("double")).alias("length_match"),
+        *[F.sum(n).alias(n) for n in ("expected", "predicted", "cells", "cells_right")], F.coalesce(F.sum("matched"), F.lit(0)).alias("inside"))
+    tagged = F.concat(F.transform("missed", lambda x: F.struct(x.alias("item"), F.lit(1).alias("t"), F.lit(0).alias("p"))),
+                      F.transform("spare", lambda x: F.struct(x.alias("item"), F.lit(0).alias("t"), F.lit(1).alias("p"))))
+    across = (counts.filter(F.col("missed").isNotNull()).select("document_id", "field_id", F.inline(tagged))
+              .groupBy("document_id", "field_id", "item").agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
+              .agg(F.coalesce(F.sum(F.least("t", "p")), F.lit(0)).alias("across")))
+    both = side_by_side(sums, across).withColumn("matched", F.col("inside") + F.col("across"))
     return both.select(
         "fields", "length_match", ratio(F.col("matched"), F.col("predicted")).alias("row_precision"),
         ratio(F.col("matched"), F.col("expected")).alias("row_recall"),
