@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fieldwarden.catalog import views
 from fieldwarden.operators import scale
+from fieldwarden.session import spread
 
 
 @pytest.fixture(scope="module")
@@ -57,3 +59,19 @@ def test_attach_keeps_every_row_of_hot_keys(skewed):
     assert got.count() == 6000 and got.columns == [*skewed.columns, "m"]
     want = skewed.join(least.drop("w"), "g", "left")
     assert got.exceptAll(want.select(*got.columns)).count() == 0
+
+
+def test_rows_of_a_task_do_not_grow_with_the_table(spark):
+    few = spark.range(5000).coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(few).rdd.getNumPartitions() == spread(few, 5000).rdd.getNumPartitions() == cores
+    assert spread(few, 100).rdd.getNumPartitions() == 50
+    assert spread(few.repartition(60), 100).rdd.getNumPartitions() == 60
+    assert spread(few, 100).count() == 5000
+
+
+def test_views_cut_their_tables_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(views, "TASK_ROWS", 10)
+    folder = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{folder}/orders.parquet").count()
+    assert views.review_rows(spark, folder).rdd.getNumPartitions() == -(-orders // 10)
