@@ -254,3 +254,42 @@ def test_threshold_of_document_draws_is_that_of_a_plain_sweep(spark):
     k = next(k for k in range(len(keys) + 1) if min(state(k)) >= .9)
     assert got.threshold == pytest.approx((keys[k - 1] + keys[k]) / 2)
     assert (got.wilson_recall_lower_95, got.document_bootstrap_recall_lower_95) == tuple(pytest.approx(x) for x in state(k))
+
+
+def ends(values):
+    return tuple(pytest.approx(x) for x in np.quantile(values, [.025, .975]))
+
+
+def test_comparisons_draw_every_document(spark):
+    """Many documents share their tallies; each has its own draw, as in the first round's SQL."""
+    df, rows = simulated(spark, 300, 3)
+    w = document_weights({r[0] for r in rows}, 120)
+    n = sum(w[r[0]] for r in rows)
+    errors = sum(w[r[0]] for r in rows if not r[3])
+
+    def share(cut, wrong=False):
+        return sum(w[r[0]] for r in rows if r[5] < cut and not (wrong and r[3])) / (errors if wrong else n)
+
+    both = df.withColumn("base_review", F.col("score") < .5).withColumn("new_review", F.col("score") < .6)
+    got = bootstrap.policy_comparison(both, 120).first()
+    assert (got.review_rate_change_low, got.review_rate_change_high) == ends(share(.6) - share(.5))
+    assert (got.candidate_error_recall_low, got.candidate_error_recall_high) == ends(share(.6, True))
+    a, b = (df.withColumn("needs_review", F.col("score") < cut) for cut in (.6, .4))
+    got = bootstrap.paired_systems(a, b, 120).first()
+    assert (got.review_rate_change_low, got.review_rate_change_high) == ends(share(.6) - share(.4))
+    assert (got.fields, got.documents) == (900, 300)
+
+
+def test_compared_sides_are_dealt_once_and_bounded(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "DEALT_ROWS", 100)
+    df, rows = simulated(spark, 120, 10)
+    b = df.filter("field_id <> '/f9'").unionByName(frame(spark, [("x", None, "ok", True, False, .5)]))
+    a = df.filter("field_id <> '/f0'").unionByName(frame(spark, [("x", None, "ok", True, False, .5)]))
+    sides = bootstrap.both_sides(a, b, {"x": F.col("correct")}, {"y": F.col("correct")})
+    assert sides.rdd.getNumPartitions() == 22 and sides.count() == 1202
+    assert sides._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+    assert sides.filter("in_a = 1 and in_b = 1").count() == 960
+    got = bootstrap.paired_delta(a.withColumn("kind", F.lit("scalar")), b.withColumn("kind", F.lit("scalar")), 50).first()
+    assert (got.fields, got.only_a, got.only_b) == (960, 121, 121)
+    with pytest.raises(Exception, match="repeated field"):
+        bootstrap.paired_delta(a.unionByName(a.limit(1)).withColumn("kind", F.lit("s")), b.withColumn("kind", F.lit("s")), 10).collect()
