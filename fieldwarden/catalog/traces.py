@@ -73,7 +73,7 @@ def decode_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     logits = read_table(spark, sf_dir, "embeddings").select(
         "vec_id", "label", F.transform("embedding", lambda x: x.cast("double") * 20).alias("logits"))
     stats = K.decode_statistics(F.col("logits"), F.col("label"), close=63, allowed=64)
-    return rounded(logits.select("vec_id", *[c.alias(n) for n, c in stats.items()]), 7)
+    return rounded(logits.select("vec_id", stats.alias("stats")).select("vec_id", "stats.*"), 7)
 
 
 @query("normalizers", """WITH x AS (SELECT unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS dim FROM embeddings)

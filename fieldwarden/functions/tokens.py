@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import JSON_SYNTAX, NON_ASCII, PIECE_SPACE, digit_class, value_kind
+from .values import bound
 
 # Per-token statistics, value kinds, and the names of a summary's columns.
 TOKEN_STATS = ("log_probability", "normalized_entropy", "probability_margin", "logit_margin", "close_log_probability")
@@ -97,27 +98,29 @@ def uncertain_tokens(tokens: Column, limit: int) -> Column:
     return F.transform(in_order, lambda c: c["token"])
 
 
-def decode_statistics(logits: Column, chosen: Column, close: int, allowed: int) -> dict[str, Column]:
-    """Statistics of one decoding distribution from its masked logits.
+def decode_statistics(logits: Column, chosen: Column, close: int, allowed: int) -> Column:
+    """Statistics of one decoding distribution from its masked logits, as a struct.
 
     Args:
         logits: ``array<double>``; banned entries hold a large negative number.
         chosen: Index of the chosen token.
         close: Index of the close marker.
         allowed: Number of entries that are not banned.
+
+    The sorted entries and the normaliser are bound once, not evaluated per entry.
     """
-    top = F.array_max(logits)
-    total = _total(F.transform(logits, lambda x: F.exp(x - top)))
-    log_total = top + F.log(total)
-    entropy = -_total(F.transform(logits, lambda x: F.exp(x - log_total) * (x - log_total)))
-    order = F.reverse(F.array_sort(logits))
-    first, second = F.get(order, F.lit(0)), F.get(order, F.lit(1))
-    return {
-        "log_probability": F.get(logits, chosen) - log_total,
-        "normalized_entropy": entropy / math.log(allowed),
-        "probability_margin": F.exp(first - log_total) - F.exp(second - log_total),
-        "logit_margin": first - second,
-        "close_log_probability": F.get(logits, F.lit(close)) - log_total}
+    def of_order(order: Column) -> Column:
+        top, second = F.get(order, F.lit(0)), F.get(order, F.lit(1))
+        return bound(top + F.log(_total(F.transform(logits, lambda x: F.exp(x - top)))), lambda total: of_total(top, second, total))
+
+    def of_total(top: Column, second: Column, total: Column) -> Column:
+        entropy = -F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - total) * (x - total))
+        return F.struct(
+            (F.get(logits, chosen) - total).alias("log_probability"), (entropy / math.log(allowed)).alias("normalized_entropy"),
+            (F.exp(top - total) - F.exp(second - total)).alias("probability_margin"), (top - second).alias("logit_margin"),
+            (F.get(logits, F.lit(close)) - total).alias("close_log_probability"))
+
+    return bound(F.slice(F.sort_array(logits, False), 1, 2), of_order)
 
 
 def ends_in_loop(tokens: Column, max_period: int = 256, min_span: int = 128, min_repeats: int = 4) -> Column:

@@ -155,3 +155,24 @@ def test_streams_deduplicate_and_complete_documents(spark, tmp_path):
     assert got == {"d1": (2, "complete"), "d2": (1, "incomplete"), "absent": (0, "incomplete")}
     once = jobs.run_available(jobs.ingested_once(spark.readStream.schema(schema).parquet(source)), "t3")
     assert once.count() == 4
+
+
+def test_decode_statistics_bind_their_sums(spark):
+    """Right with ties, and a long array costs its length, not the square of it."""
+    import time
+
+    from fieldwarden.functions import tokens
+
+    def stats(rows, width):
+        df = spark.createDataFrame(rows, "logits array<double>, chosen int")
+        return df.select(tokens.decode_statistics(F.col("logits"), F.col("chosen"), width - 1, width).alias("s")).select("s.*")
+
+    logits = [1.0, 3.0, 3.0, -2.0]
+    got = stats([(logits, 0)], 4).first()
+    p = np.exp(logits) / np.exp(logits).sum()
+    assert got.log_probability == pytest.approx(np.log(p[0])) and got.close_log_probability == pytest.approx(np.log(p[3]))
+    assert got.normalized_entropy == pytest.approx(-(p * np.log(p)).sum() / np.log(4))
+    assert (got.probability_margin, got.logit_margin) == (pytest.approx(0), 0)
+    started = time.time()
+    stats([(np.random.default_rng(0).normal(size=20_000).tolist(), 3)], 20_000).collect()
+    assert time.time() - started < 30
