@@ -293,3 +293,17 @@ def test_compared_sides_are_dealt_once_and_bounded(spark, monkeypatch):
     assert (got.fields, got.only_a, got.only_b) == (960, 121, 121)
     with pytest.raises(Exception, match="repeated field"):
         bootstrap.paired_delta(a.unionByName(a.limit(1)).withColumn("kind", F.lit("s")), b.withColumn("kind", F.lit("s")), 10).collect()
+
+
+def test_queues_are_computed_once(spark):
+    """The sorted queue reads written rows, and the order inside documents needs no numbering of the whole table."""
+    from fieldwarden.catalog import review as queries
+
+    folder = "/root/testdata/sf0.001"
+    queue, ordered = queries.review_queue(spark, folder), queries.review_queue_order(spark, folder)
+    # The queue has no row from the view behind it, only the written table; no joined offsets in the other.
+    assert all("/queue-" in f for f in queue.inputFiles())
+    plan = ordered._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan.split("Subquery")[0]
+    last = ordered.groupBy("document_id").agg(F.max("urgency").alias("last"), F.count_distinct("urgency").alias("n"))
+    assert last.filter("last <> n").isEmpty()
