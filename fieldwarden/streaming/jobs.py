@@ -95,12 +95,15 @@ class Verdicts(StatefulProcessor):
         expected, deadline, arrived, done, timer = stored if stored is not None else (None, None, 0, False, None)
         first: dict[str, float] = {}
         requests: list[tuple[float, int]] = []
+        # Most documents bring a few rows: plain lists cost less than frame operations.
         for frame in rows:
-            asked = frame[frame["expected"].notna()]
-            requests += [(float(t), int(n)) for t, n in zip(asked["at"], asked["expected"])]
-            named = frame[frame["field_id"].notna()]
-            for name, at in named.groupby("field_id")["at"].min().items():
-                first[name] = min(float(at), first.get(name, float("inf")))
+            for name, asked, at in zip(frame["field_id"].tolist(), frame["expected"].tolist(), frame["at"].tolist()):
+                if asked is not None and asked == asked:
+                    requests.append((float(at), int(asked)))
+                if isinstance(name, str):
+                    known = first.get(name)
+                    if known is None or known != known or at < known:
+                        first[name] = float(at)
         if done:
             return
         fresh = expected is None and requests
@@ -109,13 +112,19 @@ class Verdicts(StatefulProcessor):
             deadline = at + self.wait
         elif expected is None and first:
             deadline = min(x for x in (deadline, min(first.values()) + self.wait) if x is not None)
+        if stored is None and expected is not None:
+            # Nothing is stored of the document: what this batch completes leaves no fields behind.
+            arrived = sum(at <= deadline for at in first.values())
+            if arrived >= expected:
+                yield self._verdict(key, "complete", expected, expected, deadline, timer, timerValues)
+                return
         for name, at in first.items():
-            known = self.fields.getValue((name,))[0] if self.fields.containsKey((name,)) else float("inf")
+            known = self.fields.getValue((name,))[0] if stored is not None and self.fields.containsKey((name,)) else float("inf")
             if at < known:
                 self.fields.updateValue((name,), (at,))
                 if expected is not None and not fresh:
                     arrived += known > deadline >= at
-        if fresh:
+        if fresh and stored is not None:
             arrived = sum(value[0] <= deadline for _, value in self.fields.iterator())
         if expected is not None and arrived >= expected:
             yield self._verdict(key, "complete", expected, expected, deadline, timer, timerValues)
@@ -141,7 +150,8 @@ class Verdicts(StatefulProcessor):
         return new
 
     def _verdict(self, key, state, arrived, expected, deadline, timer, timerValues) -> pd.DataFrame:
-        self.fields.clear()
+        if self.record.exists():
+            self.fields.clear()
         timer = self._timer(timer, deadline + self.keep, timerValues)
         self.record.update((expected, deadline, arrived, True, timer))
         return pd.DataFrame({"document_id": [key[0]], "state": [state], "arrived_fields": [arrived],

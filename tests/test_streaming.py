@@ -98,3 +98,18 @@ def few_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "2")
     yield
     spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_what_completes_at_once_leaves_no_fields(spark, tmp_path):
+    rows = [[("d", "/a", t(0, 1)), ("d", "/a", t(0, 2)), ("d", "/b", t(0, 3)), ("e", "/a", t(0, 1))], [("f", "/a", t(1))]]
+    requests = stream(spark, str(tmp_path / "asked"), "document_id string, expected_fields int, time string", [[("d", 2, t(0)), ("e", 2, t(0))], [("g", 1, t(1))]])
+    arrivals = stream(spark, str(tmp_path / "rows"), "document_id string, field_id string, time string", rows)
+    marks = str(tmp_path / "marks")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    query = (jobs.completion(arrivals, requests, wait="6 hours", late="30 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+             .option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start())
+    query.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert [tuple(r) for r in out.collect()] == [("d", "complete", 2, 2)]
+    first = spark.read.format("statestore").option("path", marks).option("stateVarName", "fields").option("batchId", 0).load()
+    assert {(r.key[0], r.user_map_key[0]) for r in first.collect()} == {("e", "/a")}
