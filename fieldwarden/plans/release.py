@@ -23,6 +23,9 @@ from ..session import staged
 from ..sources.records import claim_new, files_digest
 
 POINTER = "frozen"
+#: The cohorts that a finalization reports on, and what it reads of a row.
+REPORTED = ("dev", "risk_validation")
+NEEDED = ("family", "cohort", "document_id", "form", "field_id", "status", "shape_violation", "correct", "logit")
 
 
 @dataclass(frozen=True)
@@ -87,14 +90,15 @@ def common_settings(metadata: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def with_family_scores(scored: DataFrame, calibrations: DataFrame) -> DataFrame:
     """Rows with ``raw_logit``, the calibrated ``logit`` and ``score`` of their family; null without a trace."""
-    joined = scored.withColumnRenamed("logit", "raw_logit").join(calibrations.select("family", "temperature", "bias"), "family")
+    # One row per family; without the hint all rows were dealt to as many tasks as there are families.
+    joined = scored.withColumnRenamed("logit", "raw_logit").join(F.broadcast(calibrations.select("family", "temperature", "bias")), "family")
     shifted = calibration.calibrated(F.col("raw_logit"), F.col("temperature"), F.col("bias"))
     return joined.withColumn("logit", shifted).withColumn("score", calibration.sigmoid(shifted)).drop("temperature", "bias")
 
 
 def finalize_families(scored: DataFrame, primary: str, metadata: DataFrame, keys: Sequence[str], path: str | None = None,
                       target: float = .95, replicates: int = 2000, rules: DataFrame | None = None,
-                      calibrations: Mapping[str, Mapping[str, object]] | None = None) -> DataFrame:
+                      calibrations: Mapping[str, Mapping[str, object]] | None = None, documents: DataFrame | None = None) -> DataFrame:
     """Calibrate every family, fit all conservative policies in the same passes, report and freeze them.
 
     Args:
@@ -105,6 +109,7 @@ def finalize_families(scored: DataFrame, primary: str, metadata: DataFrame, keys
         path: Folder of the release; None computes and writes nothing.
         rules: Shape rules whose violations are mandatory reviews on dev and risk rows.
         calibrations: Known calibrations by family, else they are fitted on the calibration cohort.
+        documents: ``cohort, document_id`` of all rows, when they are at hand before the rows are repeated per family.
 
     Returns one summary row per family: threshold, calibration, whether the
     bounds are met, and workload and recall on the risk and dev cohorts.
@@ -113,9 +118,11 @@ def finalize_families(scored: DataFrame, primary: str, metadata: DataFrame, keys
     if path is not None and _written(spark, f"{path}/{POINTER}"):
         raise ValueError(f"{path} is already frozen; use a new folder")
     settings = staged(common_settings(metadata, keys), "settings")
-    if not cohorts.cohort_overlaps(scored.select("cohort", "document_id").distinct()).isEmpty():
+    pairs = (scored if documents is None else documents).select("cohort", "document_id").distinct()
+    if not cohorts.cohort_overlaps(pairs).isEmpty():
         raise ValueError("cohorts share documents")
-    scored = staged(scored if rules is None else shapes.flag_rows(scored, rules), "scored")
+    used = scored.filter(F.col("cohort").isin(*REPORTED, *([] if calibrations else ["calibration"])))
+    scored = staged((used if rules is None else shapes.flag_rows(used, rules)).select(*NEEDED), "scored")
     families = [r[0] for r in scored.select("family").distinct().orderBy("family").collect()]
     if primary not in families:
         raise ValueError(f"no rows of the primary family {primary}")
@@ -124,11 +131,11 @@ def finalize_families(scored: DataFrame, primary: str, metadata: DataFrame, keys
         calibrations = {f: calibration.select_calibration(own.filter(F.col("family") == f)) for f in families}
     fitted = spark.createDataFrame([(f, str(calibrations[f]["method"]), float(calibrations[f]["temperature"]), float(calibrations[f]["bias"]))
                                     for f in families], "family string, method string, temperature double, bias double")
-    ready = staged(with_family_scores(scored.filter("cohort in ('dev', 'risk_validation')"), fitted), "ready")
+    ready = with_family_scores(scored.filter(F.col("cohort").isin(*REPORTED)), fitted)
     risk = ready.filter("cohort = 'risk_validation'")
     policies = staged(policy.conservative_policies(risk, target, replicates=replicates, families=families), "policies")
     supported = staged(risk.groupBy("family", "field_id").agg(F.count("*").alias("field_rows")), "supported")
-    judged = staged(policy.decided_by_family(ready, policies, supported), "judged")
+    judged = staged(policy.decided_by_family(ready, policies, supported).drop("threshold", "unknown_field"), "judged")
     reports = staged(review.family_reports(judged, ["family", "cohort"], target), "reports")
 
     def of(cohort: str, *names: str) -> DataFrame:

@@ -128,3 +128,38 @@ def test_the_audit_is_measured_once(spark, frozen):
     assert stored.filter("family = 'head'").count() == audit_rows.count() / 2 and {"confidence", "needs_review"} <= set(stored.columns)
     with pytest.raises(ValueError, match="already audited"):
         release.audit_once(path, audit_rows, settings, development)
+
+
+def counting(spark, table):
+    """``table`` and a counter of how many of its rows are computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def passed(x):
+        seen.add(1)
+        return x
+
+    return table.withColumn("document_id", passed("document_id")), seen
+
+
+def test_finalize_families_computes_rows_of_reported_cohorts_once(spark):
+    rows = rows_of(spark).filter("cohort <> 'audit'")
+    given = {f: {"method": "affine", "temperature": 1.5, "bias": .1} for f in ("head", "noisy")}
+    want = release.finalize_families(rows, "head", metadata(spark), KEYS, None, .9, 50, calibrations=given).collect()
+    scored, seen = counting(spark, rows)
+    got = release.finalize_families(scored, "head", metadata(spark), KEYS, None, .9, 50, calibrations=given, documents=rows).collect()
+    assert sorted(got) == sorted(want)
+    assert seen.value == rows.filter("cohort in ('dev', 'risk_validation')").count()
+    shared = rows.withColumn("cohort", F.when(F.col("document_id") == "dev3", "risk_validation").otherwise(F.col("cohort"))).unionByName(rows)
+    with pytest.raises(ValueError, match="share documents"):
+        release.finalize_families(rows, "head", metadata(spark), KEYS, calibrations=given, documents=shared)
+
+
+def test_documents_join_orders_before_their_fields(spark):
+    from fieldwarden.catalog import views
+
+    sf = "/root/testdata/sf0.001"
+    documents = views.prepared_documents(spark, sf).select("document_id", F.col("split").alias("cohort")).filter("cohort <> 'train'")
+    early = views.review_rows(spark, sf, documents=documents)
+    late = views.review_rows(spark, sf).join(documents, "document_id").select(*early.columns)
+    assert early.count() == late.count() > 0 and early.exceptAll(late).isEmpty()
