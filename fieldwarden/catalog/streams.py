@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read_table, scratch_path, task_count
+from ..session import read_table, scratch_path, staged, task_count
 from ..sources import datasets, records
 from ..streaming import jobs
 from . import query
@@ -168,6 +168,8 @@ def validated_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     traced = numbered(lines.filter("l_linenumber > 1"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "place", ["split"])
     rows = traced.withColumn("trace_index", F.col("place") - 1).drop("place").unionByName(
         lines.filter("l_linenumber = 1").withColumn("trace_index", F.lit(-1).cast("bigint"))).withColumn("row_split", F.col("split"))
+    # The rows, their records and the metadata read the numbers; they are given once.
+    rows = staged(rows, "numbered")
     path = scratch_path(spark, "traces")
     metadata = rows.groupBy(F.col("split").alias("cohort")).agg(F.count("*").cast("string").alias("value")).withColumn("key", F.lit("rows"))
     datasets.write_traces(rows, rows.filter("trace_index >= 0").select("split", "trace_index"), metadata, path)

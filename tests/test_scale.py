@@ -75,3 +75,29 @@ def test_views_cut_their_tables_by_rows(spark, monkeypatch):
     folder = "/root/testdata/sf0.001"
     orders = spark.read.parquet(f"{folder}/orders.parquet").count()
     assert views.review_rows(spark, folder).rdd.getNumPartitions() == -(-orders // 10)
+
+
+@pytest.mark.parametrize("steps", [1, 4, 7])
+def test_slices_are_counted_without_lambdas(skewed, steps):
+    cut = scale.sliced(skewed, [F.col("x"), F.col("id")], steps)
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "lambdafunction" not in plan.split("scalar-subquery")[0]
+    (points,) = scale.split_points(skewed, F.struct("x", "id"), [F.col("x"), F.col("id")], steps).first()
+    for row in cut.collect():
+        assert row["__slice"] == sum((p["x"], p["id"]) <= (row.x, row.id) for p in points)
+
+
+def test_validated_traces_are_numbered_once(spark, monkeypatch):
+    from fieldwarden.catalog import streams
+
+    sf, seen = "/root/testdata/sf0.001", spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def passed(x):
+        seen.add(1)
+        return x
+
+    monkeypatch.setattr(streams, "read_table", lambda *a: spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("l_returnflag", passed("l_returnflag")))
+    rows = streams.validated_traces(spark, sf).collect()
+    # Once as a numbered line and once as a line without a number; the filters run first.
+    assert seen.value == sum(r["rows"] for r in rows) == spark.read.parquet(f"{sf}/lineitem.parquet").count()
