@@ -52,7 +52,7 @@ def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def finalize_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = prepared_documents(spark, sf_dir).select("document_id", F.col("split").alias("cohort"))
     named = documents.withColumn("cohort", F.when(F.col("cohort") == "test", "risk_validation").otherwise(F.col("cohort")))
-    scored = review_rows(spark, sf_dir).drop("score").join(named, "document_id")
+    scored = review_rows(spark, sf_dir, documents=named).drop("score")
     return rounded(workflows.finalize(scored, replicates=500)["summary"], 6)
 
 

@@ -94,12 +94,12 @@ def finalize(scored: DataFrame, target: float = .95, replicates: int = 2000, rul
     """
     if rules is not None:
         scored = shapes.flag_rows(scored, rules)
-    scored = staged(scored, "scored")
-    overlaps = cohorts.cohort_overlaps(scored.select("cohort", "document_id"))
+    scored = staged(scored.select("cohort", "document_id", "field_id", "status", "shape_violation", "correct", "logit"), "scored")
+    overlaps = cohorts.cohort_overlaps(scored.select("cohort", "document_id").distinct())
     if not overlaps.isEmpty():
         raise ValueError("cohorts share documents")
     fitted = calibration.select_calibration(scored.filter("cohort = 'calibration'"))
-    with_scores = staged(calibration.with_scores(scored, fitted), "calibrated")
+    with_scores = staged(calibration.with_scores(scored.filter("cohort in ('dev', 'risk_validation')"), fitted), "calibrated")
     risk, dev = (with_scores.filter(F.col("cohort") == c) for c in ("risk_validation", "dev"))
     chosen = staged(policy.fit_conservative_policy(risk, target, replicates=replicates), "policy")
     supported = staged(policy.supported_fields(risk), "supported")

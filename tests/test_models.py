@@ -176,3 +176,26 @@ def test_decode_statistics_bind_their_sums(spark):
     started = time.time()
     stats([(np.random.default_rng(0).normal(size=20_000).tolist(), 3)], 20_000).collect()
     assert time.time() - started < 30
+
+
+def test_finalize_computes_rows_once_and_writes_reported_cohorts(spark, monkeypatch):
+    rng, seen, written = random.Random(3), spark.sparkContext.accumulator(0), {}
+    rows = [(f"d{i}", ("dev", "calibration", "risk_validation", "train")[i % 4], f"/f{f}", right, rng.gauss(2.0 if right else -2.0, 1))
+            for i in range(80) for f in range(4) for right in [rng.random() > .3]]
+
+    @F.udf("string")
+    def passed(x):
+        seen.add(1)
+        return x
+
+    def staged(df, name="stage"):
+        written[name] = plain(df, name)
+        return written[name]
+
+    plain = workflows.staged
+    monkeypatch.setattr(workflows, "staged", staged)
+    df = spark.createDataFrame(rows, "document_id string, cohort string, field_id string, correct boolean, logit double").select(
+        "*", F.lit("ok").alias("status"), F.lit(False).alias("shape_violation"), F.lit("long text").alias("prediction"))
+    workflows.finalize(df.withColumn("document_id", passed("document_id")), target=.8, replicates=20)["summary"].collect()
+    assert seen.value == 320 and "prediction" not in written["scored"].columns
+    assert {r[0] for r in written["calibrated"].select("cohort").distinct().collect()} == {"dev", "risk_validation"}
