@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import fields, policy, rows
 from ..operators.dataset import prepare_report
 from ..plans import workflows
-from ..session import read_table
+from ..session import read_table, staged
 from . import query
 from .dataset import GROUPS_SQL, PAGES_SQL, line_pages
 from .review import SUBSET_INTERVALS, ROWS, decided_sql, evaluation_sql, rounded
@@ -39,9 +39,10 @@ AUDIT_POLICY = "policy AS (SELECT 0.6::DOUBLE AS threshold)"
 parts AS (SELECT 'all' AS subset, * FROM decided UNION ALL SELECT form || '_audit', * FROM decided WHERE form IN ('f1', 'f2')),
 {evaluation_sql('parts', 'subset')}, {SUBSET_INTERVALS} SELECT evaluation.*, ends.* EXCLUDE (subset) FROM evaluation JOIN ends USING (subset)""")
 def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    audit_rows = review_rows(spark, sf_dir)
-    subsets = audit_rows.filter("form in ('f1', 'f2')").select(
-        F.concat("form", F.lit("_audit")).alias("subset"), "document_id").distinct()
+    # The policy's fields, the subsets and the audit read the rows; they are derived once.
+    audit_rows = staged(review_rows(spark, sf_dir).select(
+        "document_id", "form", "field_id", "status", "shape_violation", "correct", "score"), "rows")
+    subsets = audit_rows.filter("form in ('f1', 'f2')").select(F.concat("form", F.lit("_audit")).alias("subset"), "document_id")
     others = read_table(spark, sf_dir, "supplier").select(F.col("s_name").alias("document_id"))
     report = workflows.audit(audit_rows, policy.fixed_policy(audit_rows, .6), policy.supported_fields(audit_rows), others,
                              subsets, 500)

@@ -25,13 +25,22 @@ def evaluate_policy(rows: DataFrame, policy: DataFrame, supported: DataFrame | N
 
 def evaluate_decisions(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The same from rows that carry ``mandatory`` and ``needs_review``: summed per document, then over documents."""
+    return evaluate_documents(document_tallies(rows, by), by)
+
+
+def document_tallies(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per document (and ``by``) of rows with decisions: what :func:`evaluate_documents` sums up."""
     flag, wrong, head = F.col("needs_review"), ~F.col("correct"), ~F.col("mandatory")
-    documents = rows.groupBy(*by, "document_id").agg(
+    return rows.groupBy(*by, "document_id").agg(
         F.count("*").alias("n"), count_if(wrong).alias("errors"), count_if(flag).alias("reviewed"),
         count_if(flag & wrong).alias("caught"), count_if(~flag & ~wrong).alias("accepted_correct"),
         count_if(~head).alias("forced"), count_if(head & wrong).alias("head_errors"),
         count_if(head & flag).alias("head_reviewed"), count_if(head & flag & wrong).alias("head_caught"))
-    names = documents.columns[len(by) + 1:]
+
+
+def evaluate_documents(documents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Workload and error recall from :func:`document_tallies`, one row (per ``by``)."""
+    names = [c for c in documents.columns if c not in (*by, "document_id")]
     total = documents.groupBy(*by).agg(F.count("*").alias("documents"),
                                        count_if(F.col("reviewed") > 0).alias("reviewed_documents"),
                                        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])

@@ -118,18 +118,19 @@ def audit(audit_rows: DataFrame, chosen: DataFrame, supported: DataFrame, develo
 
     ``development`` names the documents of every development cohort; sharing
     one is an error. ``subsets`` is ``(subset, document_id)``; a document may
-    be in several.
+    be in several. The rows are read once, into tallies per document; subsets,
+    evaluation and draws take those.
     """
-    shared = audit_rows.select("document_id").join(development.select("document_id"), "document_id", "left_semi")
+    tallies = staged(review.document_tallies(policy.decided(audit_rows, chosen, supported)), "tallies")
+    shared = tallies.select("document_id").join(development.select("document_id"), "document_id", "left_semi")
     if not shared.isEmpty():
         raise ValueError("the audit cohort shares documents with a development cohort")
-    judged = policy.decided(audit_rows, chosen, supported).withColumn("subset", F.lit("all"))
+    judged = tallies.withColumn("subset", F.lit("all"))
     if subsets is not None:
-        part = judged.drop("subset").join(subsets.select("subset", "document_id"), "document_id")
-        judged = judged.unionByName(part)
-    judged = staged(judged.select("subset", "document_id", "correct", "mandatory", "needs_review"), "judged")
-    return review.evaluate_decisions(judged, ["subset"]).join(
-        bootstrap.review_intervals(judged, replicates, by=["subset"]), "subset")
+        judged = judged.unionByName(tallies.join(subsets.select("subset", "document_id").distinct(), "document_id"))
+    judged = staged(judged, "judged")
+    return review.evaluate_documents(judged, ["subset"]).join(
+        bootstrap.document_intervals(judged, replicates, by=["subset"]), "subset")
 
 
 def serve(decoded: DataFrame, fitted: Mapping[str, object], chosen: DataFrame, supported: DataFrame,

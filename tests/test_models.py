@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldwarden.functions import tokens as K
-from fieldwarden.operators import calibration, features, heads, logs
+from fieldwarden.operators import bootstrap, calibration, features, heads, logs, policy, review
 from fieldwarden.plans import workflows
 from fieldwarden.streaming import jobs
 
@@ -199,3 +199,25 @@ def test_finalize_computes_rows_once_and_writes_reported_cohorts(spark, monkeypa
     workflows.finalize(df.withColumn("document_id", passed("document_id")), target=.8, replicates=20)["summary"].collect()
     assert seen.value == 320 and "prediction" not in written["scored"].columns
     assert {r[0] for r in written["calibrated"].select("cohort").distinct().collect()} == {"dev", "risk_validation"}
+
+
+def test_audit_computes_rows_once(spark):
+    rng, seen = random.Random(4), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def passed(x):
+        seen.add(1)
+        return x
+
+    rows = spark.createDataFrame([(f"d{i}", f"/f{f}", rng.random() > .2, rng.random()) for i in range(60) for f in range(4)],
+                                 "document_id string, field_id string, correct boolean, score double").select(
+        "*", F.lit("ok").alias("status"), F.lit(False).alias("shape_violation"))
+    chosen, supported = policy.fixed_policy(rows, .5), policy.supported_fields(rows)
+    other = spark.createDataFrame([("x",)], "document_id string")
+    subsets = rows.filter("document_id < 'd3'").select(F.lit("some").alias("subset"), "document_id")
+    report = {r.subset: r for r in workflows.audit(rows.withColumn("document_id", passed("document_id")), chosen, supported, other, subsets, 50).collect()}
+    assert seen.value == 240
+    judged = policy.decided(rows, chosen, supported)
+    for name, part in (("all", judged), ("some", judged.filter("document_id < 'd3'"))):
+        alone = review.evaluate_decisions(part).join(bootstrap.review_intervals(part, 50)).first()
+        assert all(report[name][c] == alone[c] for c in alone.asDict())
