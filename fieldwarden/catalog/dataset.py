@@ -10,7 +10,7 @@ from ..functions.hashing import hash_word, seeded
 from ..operators import cohorts, dataset, fields
 from ..plans.workflows import import_datasets
 from ..plans.workflows import split_datasets as split_dataset_files
-from ..session import computed_once, read_table, scratch_path
+from ..session import TASK_ROWS, computed_once, read_table, scratch_path, spread
 from ..sources.records import read_jsonl
 from . import query
 from .views import (LINES_SQL, MANIFEST_SQL, PREPARED_SQL, document_lines, part_manifest,
@@ -169,7 +169,7 @@ def field_list_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('\n  - "vip" (true/false): balance over '), F.col("c_nationkey").cast("string"),
         F.lit('\n- "orders" (array of objects): Orders of '), F.col("c_custkey").cast("string"),
         F.lit('\n  - "key": Key\n- "tags" (mảng): Tags\n- "note"\n'))
-    customers = read_table(spark, sf_dir, "customer")
+    customers = spread(read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), TASK_ROWS)
     return customers.select("c_custkey", F.inline(V.requested_fields(prompt)))
 
 
@@ -181,7 +181,8 @@ def request_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(F.col("c_custkey") % 4 == 1, F.concat(F.lit('[{"id":"'), name, F.lit('","kind":"table"}]')))
             .when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("prose about "), name))
             .otherwise(F.concat(F.lit('{"'), name, F.lit('": {"a": "x", "b": ["y"]}}'))))
-    fields = computed_once(read_table(spark, sf_dir, "customer").select(V.requested_fields(spec).alias("fields")))
+    customers = spread(read_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), TASK_ROWS)
+    fields = computed_once(customers.select(V.requested_fields(spec).alias("fields")))
     return fields.groupBy(V.request_error(F.col("fields")).alias("error")).agg(F.count("*").alias("requests"))
 
 

@@ -161,3 +161,12 @@ def test_a_key_listed_twice_in_a_prompt(spark):
     got = {r.document_id: r for r in chat_fields(df).collect()}
     assert [(f["id"], f["description"], f["value"]) for f in got[1].fields] == [("/a", "last", '"1"'), ("/b", "other", '""')]
     assert got[2].fields is None and got[2].reason
+
+
+def test_field_lists_are_spread(spark):
+    from fieldwarden.catalog import dataset
+
+    for name in ("field_list_requests", "request_errors"):
+        read = getattr(dataset, name)(spark, "/root/testdata/sf0.001")
+        assert "REPARTITION_BY_NUM" in read._jdf.queryExecution().executedPlan().toString()
+    assert dataset.field_list_requests(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
