@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calibration, headgrid, heads
 from ..operators.dataset import split_of
-from ..session import read_table
+from ..session import read_table, staged
 from . import query
 from .review import rounded
 from .views import review_rows, word
@@ -32,8 +32,10 @@ SIZES = {"value": 64, "summary": 8}
 
 @query("calibration")
 def calibration_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = calibration.select_calibration(review_rows(spark, sf_dir))
-    scored = calibration.with_scores(review_rows(spark, sf_dir), chosen)
+    # Folds, logits and means read the rows; they are derived once.
+    rows = staged(review_rows(spark, sf_dir).select("document_id", "logit", "correct"), "rows")
+    chosen = calibration.select_calibration(rows)
+    scored = calibration.with_scores(rows, chosen)
     before_after = scored.filter("logit is not null").agg(F.avg("score").alias("mean_score"),
                                                           F.avg(F.col("correct").cast("double")).alias("accuracy"))
     return rounded(before_after.select(

@@ -221,3 +221,21 @@ def test_audit_computes_rows_once(spark):
     for name, part in (("all", judged), ("some", judged.filter("document_id < 'd3'"))):
         alone = review.evaluate_decisions(part).join(bootstrap.review_intervals(part, 50)).first()
         assert all(report[name][c] == alone[c] for c in alone.asDict())
+
+
+def test_calibration_query_derives_rows_once(spark, monkeypatch):
+    from fieldwarden.catalog import models
+
+    rng, seen = random.Random(5), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def passed(x):
+        seen.add(1)
+        return x
+
+    rows = spark.createDataFrame([(f"d{i}", right, rng.gauss(1.0 if right else -1.0, 1)) for i in range(80) for right in [rng.random() > .3]],
+                                 "document_id string, correct boolean, logit double")
+    want = calibration.select_calibration(rows)
+    monkeypatch.setattr(models, "review_rows", lambda *a: rows.withColumn("document_id", passed("document_id")))
+    line = models.calibration_selection(spark, "").first()
+    assert seen.value == 80 and line.method == want["method"] and line.temperature == pytest.approx(want["temperature"], abs=1e-6)
