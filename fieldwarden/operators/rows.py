@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import count_if
@@ -97,8 +97,24 @@ def paired_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     return side_by_side(shares, quantiles(both, "gap", {"gap_median": .5, "gap_p99": .99}, linear=False))
 
 
+def candidate_key(status: Column, value: Column) -> Column:
+    """What tells candidates apart: the comparison key of an ``ok`` value, else one key per status."""
+    return F.when(status == "ok", F.concat(F.lit("s"), value)).otherwise(F.concat(F.lit("<"), status, F.lit(">")))
+
+
+def agreement(own: Column, candidates: Column) -> list[Column]:
+    """``agreement`` and ``distinct_share`` of a row that carries its samples; null without samples.
+
+    ``own`` is the :func:`candidate_key` of the row's value, ``candidates`` the
+    array of those of its samples. Array functions only, no lambda and no shuffle.
+    """
+    count = F.nullif(F.size(candidates), F.lit(0))
+    return [((count - F.size(F.array_remove(candidates, own))) / count).alias("agreement"),
+            (F.size(F.array_distinct(candidates)) / count).alias("distinct_share")]
+
+
 def agreement_features(candidates: DataFrame, rows: DataFrame) -> DataFrame:
-    """Share of sampled candidates equal to a row's own value, and share of distinct candidates.
+    """The features of :func:`agreement` for candidates that stand in a table of their own.
 
     ``candidates`` have document_id, field_id, status and value (JSON text);
     every status but ``ok`` counts as one value. A row without candidates has

@@ -211,6 +211,25 @@ def test_exploded_rows_are_never_broadcast(spark):
     assert {(r.agreement, r.distinct_share) for r in found.collect()} == {(2 / 3, 2 / 3)} and found.count() == 12
 
 
+def test_agreement_of_samples_in_the_row(spark):
+    sampled = spark.createDataFrame([(1, "x", ["ok:x", "ok:x", "ok:y", "cut:x"]), (2, "x", ["cut:a", "cut:b"]), (3, "x", []), (4, "<cut>", ["ok:<cut>", "cut:"])],
+                                    "id int, own string, samples array<string>")
+    key = F.transform("samples", lambda s: rows.candidate_key(F.split_part(s, F.lit(":"), F.lit(1)), F.split_part(s, F.lit(":"), F.lit(2))))
+    found = {r.id: (r.agreement, r.distinct_share) for r in sampled.select(
+        "id", *rows.agreement(rows.candidate_key(F.lit("ok"), F.col("own")), key)).collect()}
+    # Every status but ok is one value, and not the text that is spelled like it.
+    assert found == {1: (.5, .75), 2: (0, .5), 3: (None, None), 4: (.5, 1)}
+
+
+@pytest.mark.parametrize("name", ["agreement_features", "agreement_distribution"])
+def test_samples_of_a_row_are_not_shuffled(spark, name):
+    from fieldwarden import catalog
+
+    catalog.load()
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Python" not in plan and "hashpartitioning(" not in plan
+
+
 def test_summaries_bind_what_they_share(spark):
     stats = ", ".join(f"cast(sin(i * {k} + id) as double) AS {n}" for k, n in enumerate(
         ("log_probability", "normalized_entropy", "probability_margin", "logit_margin", "close_log_probability"), 2))
