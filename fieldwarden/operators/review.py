@@ -30,12 +30,22 @@ def evaluate_decisions(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def document_tallies(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per document (and ``by``) of rows with decisions: what :func:`evaluate_documents` sums up."""
+    return field_tallies(rows, [*by, "document_id"])
+
+
+def field_tallies(rows: DataFrame, by: Sequence[str], weight: Column | None = None) -> DataFrame:
+    """The counts of an evaluation over the rows of each group; ``weight`` tells how many fields a row stands for."""
     flag, wrong, head = F.col("needs_review"), ~F.col("correct"), ~F.col("mandatory")
-    return rows.groupBy(*by, "document_id").agg(
-        F.count("*").alias("n"), count_if(wrong).alias("errors"), count_if(flag).alias("reviewed"),
-        count_if(flag & wrong).alias("caught"), count_if(~flag & ~wrong).alias("accepted_correct"),
-        count_if(~head).alias("forced"), count_if(head & wrong).alias("head_errors"),
-        count_if(head & flag).alias("head_reviewed"), count_if(head & flag & wrong).alias("head_caught"))
+    one = F.lit(1) if weight is None else weight
+
+    def counted(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, one)), F.lit(0))
+
+    return rows.groupBy(*by).agg(
+        F.sum(one).alias("n"), counted(wrong).alias("errors"), counted(flag).alias("reviewed"),
+        counted(flag & wrong).alias("caught"), counted(~flag & ~wrong).alias("accepted_correct"),
+        counted(~head).alias("forced"), counted(head & wrong).alias("head_errors"),
+        counted(head & flag).alias("head_reviewed"), counted(head & flag & wrong).alias("head_caught"))
 
 
 def evaluate_documents(documents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -44,6 +54,11 @@ def evaluate_documents(documents: DataFrame, by: Sequence[str] = ()) -> DataFram
     total = documents.groupBy(*by).agg(F.count("*").alias("documents"),
                                        count_if(F.col("reviewed") > 0).alias("reviewed_documents"),
                                        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    return evaluate_totals(total, by)
+
+
+def evaluate_totals(total: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The same from the sums of :func:`field_tallies`, ``documents`` and ``reviewed_documents`` of each group."""
     c = F.col
     accepted = c("n") - c("reviewed")
     precision = wilson(c("accepted_correct"), accepted)
@@ -162,8 +177,14 @@ def auroc(rows: DataFrame, score: str = "score", by: Sequence[str] = ()) -> Data
 
     Rows are first summed per distinct score, so only distinct scores are ranked.
     """
-    groups = (rows.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("s"))
-              .agg(count_if(F.col("correct")).alias("right"), count_if(~F.col("correct")).alias("wrong")))
+    return _areas(rows.withColumn("n", F.lit(1)), score, by)
+
+
+def _areas(counts: DataFrame, score: str, by: Sequence[str]) -> DataFrame:
+    """The same from rows that stand for ``n`` fields each."""
+    groups = (counts.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("s"))
+              .agg(*[F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).alias(name)
+                     for name, test in (("right", F.col("correct")), ("wrong", ~F.col("correct")))]))
     swept = running_totals(groups, ["s"], {"below": F.col("wrong")}, by)
     t = swept.groupBy(*by).agg(
         F.sum(F.col("right") * (F.col("below") - F.col("wrong") / 2)).alias("wins"),
@@ -189,16 +210,26 @@ def head_report(rows: DataFrame, policy: DataFrame, supported: DataFrame | None
                         calibration_error(rows), area, aurc(rows))
 
 
+def decision_counts(judged: DataFrame, by: Sequence[str]) -> DataFrame:
+    """How many fields (``n``) share group, field, decision, outcome and scores: the rows are read once, for every report."""
+    return judged.groupBy(*by, "form", "field_id", "mandatory", "needs_review", "correct", F.when(usable(), F.col("score")).alias("score"),
+                          "logit", "raw_logit").agg(F.count("*").alias("n"))
+
+
 def family_reports(judged: DataFrame, by: Sequence[str], target: float = .95, bins: int = 10) -> DataFrame:
     """Every headline metric of many heads or cohorts at once: one row per ``by``.
 
     ``judged`` carries score, calibrated ``logit``, ``raw_logit`` and the
-    decisions of :func:`decided_by_family`. Rows are first counted per group
-    and distinct score; sweep, area and ranking work on these counts.
+    decisions of :func:`decided_by_family`. Rows are first counted by
+    :func:`decision_counts`; sweep, area and ranking work on these counts.
     """
-    by = list(by)
-    counts = staged(judged.groupBy(*by, F.when(usable(), F.col("score")).alias("score")).agg(
-        F.count("*").alias("n"), count_if(~F.col("correct")).alias("errors")), "score_counts")
+    return counted_reports(staged(decision_counts(judged, by), "decision_counts"), evaluate_decisions(judged, by), by, target, bins)
+
+
+def counted_reports(fine: DataFrame, evaluation: DataFrame, by: Sequence[str], target: float = .95, bins: int = 10) -> DataFrame:
+    """The same from :func:`decision_counts` and the evaluation of each group."""
+    by, weight = list(by), F.col("n")
+    counts = fine.groupBy(*by, "score").agg(F.sum(weight).alias("n"), F.coalesce(F.sum(F.when(~F.col("correct"), weight)), F.lit(0)).alias("errors"))
     totals = counts.groupBy(*by).agg(F.sum("n").alias("total"))
     swept = running_totals(counts.filter(F.col("score").isNotNull()), ["score"], {"accepted": F.col("n"), "missed": F.col("errors")}, by,
                            descending=True)
@@ -208,20 +239,18 @@ def family_reports(judged: DataFrame, by: Sequence[str], target: float = .95, bi
     invalid = c("total") - F.coalesce("accepted", F.lit(0))
     tail = F.when(invalid > 0, ratio(F.coalesce("missed", F.lit(0)) + invalid, c("total")) * invalid).otherwise(0.0)
     areas = totals.join(points, by, "left").select(*by, ratio(F.coalesce("area", F.lit(0.0)) + tail, c("total")).alias("aurc"))
-    logits = judged.select(*by, "form", "field_id", "correct", "logit", "raw_logit")
     p, y = sigmoid(c("logit")), c("correct").cast("double")
-    binned = (logits.filter(c("logit").isNotNull()).groupBy(*by, equal_width_bin(p, bins).alias("bin"))
-              .agg(F.count("*").alias("n"), F.sum(p).alias("p"), F.sum(y).alias("y"), F.sum((p - y) * (p - y)).alias("brier"),
-                   F.sum(logistic_loss(c("logit"), y)).alias("nll")))
+    binned = (fine.filter(c("logit").isNotNull()).groupBy(*by, equal_width_bin(p, bins).alias("bin"))
+              .agg(F.sum(weight).alias("n"), F.sum(p * weight).alias("p"), F.sum(y * weight).alias("y"),
+                   F.sum((p - y) * (p - y) * weight).alias("brier"), F.sum(logistic_loss(c("logit"), y) * weight).alias("nll")))
     fit = binned.groupBy(*by).agg(ratio(F.sum("brier"), F.sum("n")).alias("brier"), ratio(F.sum("nll"), F.sum("n")).alias("nll"),
                                   ratio(F.sum(F.abs(c("p") - c("y"))), F.sum("n")).alias("ece"))
-    within = (auroc(logits, "raw_logit", [*by, "form", "field_id"]).filter((c("right") > 0) & (c("wrong") > 0))
+    within = (_areas(fine, "raw_logit", [*by, "form", "field_id"]).filter((c("right") > 0) & (c("wrong") > 0))
               .groupBy(*by).agg(F.avg("auroc").alias("within_field_auroc"), F.count("*").alias("within_field_groups")))
-    evaluation = evaluate_decisions(judged, by)
     extra = F.greatest(F.lit(0), F.ceil(F.lit(target) * c("errors")) - (c("errors") - c("head_errors")))
     oracle = F.coalesce(ratio(c("mandatory_review") + extra, c("fields")), F.lit(0.0)).alias("oracle_review_rate")
     joined = evaluation.select("*", oracle)
-    for part in (areas, auroc(logits, "logit", by).select(*by, "auroc"), fit, within):
+    for part in (areas, _areas(fine, "logit", by).select(*by, "auroc"), fit, within):
         joined = joined.join(part, by, "left")
     return joined
 

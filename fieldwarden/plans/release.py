@@ -14,12 +14,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import count_if, ratio
 from ..operators import bootstrap, calibration, cohorts, features, policy, review, rows, shapes
-from ..session import staged
+from ..session import staged, task_count
 from ..sources.records import claim_new, files_digest
 
 POINTER = "frozen"
@@ -151,25 +151,59 @@ def finalize_families(scored: DataFrame, primary: str, metadata: DataFrame, keys
     return summary
 
 
-def _tallies(judged: DataFrame, families: Sequence[str]) -> DataFrame:
-    """One row per subset and document: fields, and per family (by number) errors, reviews and caught errors."""
-    flag, wrong = F.col("needs_review"), ~F.col("correct")
-    own = [F.col("family") == f for f in families]
-    return judged.groupBy("subset", "document_id").agg(count_if(own[0]).alias("n"), *[x for i, mine in enumerate(own) for x in (
-        count_if(mine & wrong).alias(f"e{i}"), count_if(mine & flag).alias(f"r{i}"), count_if(mine & flag & wrong).alias(f"c{i}"))])
+def _members(judged: DataFrame, subsets: DataFrame | Column | None) -> DataFrame:
+    """The rows with ``subsets``, the named subsets of their document; a table of documents is joined, a column is not."""
+    if subsets is None:
+        return judged.withColumn("subsets", F.array().cast("array<string>"))
+    if isinstance(subsets, Column):
+        return judged.withColumn("subsets", F.coalesce(subsets, F.array().cast("array<string>")))
+    named = subsets.groupBy("document_id").agg(F.collect_set("subset").alias("subsets"))
+    # To the planner derived rows are as few as those of the file behind them: never broadcast.
+    joined = judged.join(named.hint("merge"), "document_id", "left")
+    return staged(joined.withColumn("subsets", F.coalesce("subsets", F.array().cast("array<string>"))), "audit_rows")
 
 
-def _baseline_tallies(judged: DataFrame, baseline: DataFrame, families: Sequence[str]) -> DataFrame:
-    """The same for the fields that a baseline holds as well, with the baseline's own errors, reviews and caught errors."""
-    other = bootstrap.one_per_field(baseline, b_review=F.col("needs_review"), b_error=~F.col("correct"))
-    # To the planner derived rows are as few as those of the file behind them: never broadcast.
-    shared = judged.join(other.hint("merge"), ["document_id", "field_id"])
-    own = [F.col("family") == f for f in families]
-    flag, wrong, first = F.col("needs_review"), ~F.col("correct"), own[0]
-    return shared.groupBy("subset", "document_id").agg(
-        count_if(first).alias("n"), count_if(first & F.col("b_error")).alias("be"), count_if(first & F.col("b_review")).alias("br"),
-        count_if(first & F.col("b_review") & F.col("b_error")).alias("bc"), *[x for i, mine in enumerate(own) for x in (
-            count_if(mine & wrong).alias(f"e{i}"), count_if(mine & flag).alias(f"r{i}"), count_if(mine & flag & wrong).alias(f"c{i}"))])
+def _tallies(marked: DataFrame, families: Sequence[str], names: Sequence[str], baseline: DataFrame | None) -> DataFrame:
+    """One row per subset and document: per family (by number) fields, errors, reviews and caught errors.
+
+    Columns that begin with ``s_`` count the fields that the baseline holds as
+    well, ``s_b*`` its own errors and reviews there. Rows and baseline are dealt
+    by document once, which serves fields and documents, without a join.
+    """
+    number = F.coalesce(*[F.when(F.col("family") == f, i) for i, f in enumerate(families)])
+    inside = [F.array_contains("subsets", name).alias(f"in{j}") for j, name in enumerate(names)]
+    rows_ = marked.select("document_id", "field_id", number.alias("side"), (~F.col("correct")).alias("wrong"),
+                          F.col("needs_review").alias("flag"), *inside)
+    if baseline is not None:
+        known = baseline.filter(F.col("document_id").isNotNull() & F.col("field_id").isNotNull())
+        other = known.select("document_id", "field_id", F.lit(-1).alias("side"), (~F.col("correct")).alias("wrong"),
+                             F.col("needs_review").alias("flag"), *[F.lit(False).alias(f"in{j}") for j in range(len(names))])
+        tasks = max(task_count(marked.sparkSession), -(-marked.count() // bootstrap.DEALT_ROWS))
+        rows_ = rows_.unionByName(other).repartition(tasks, "document_id")
+    c = F.col
+    counts = {name: count_if((c("side") == i) & test) for i in range(len(families)) for name, test in (
+        (f"n{i}", F.lit(True)), (f"e{i}", c("wrong")), (f"r{i}", c("flag")), (f"c{i}", c("wrong") & c("flag")))}
+    if baseline is not None:
+        counts |= {f"b{name}": count_if((c("side") == -1) & test) for name, test in (
+            ("n", F.lit(True)), ("e", c("wrong")), ("r", c("flag")), ("c", c("wrong") & c("flag")))}
+    within = [F.max(f"in{j}").alias(f"in{j}") for j in range(len(names))]
+    if baseline is None:
+        documents = rows_.groupBy("document_id").agg(*[x.alias(n) for n, x in counts.items()], *within)
+        shared = []
+    else:
+        fields = rows_.groupBy("document_id", "field_id").agg(*[x.alias(n) for n, x in counts.items()], *within)
+        repeated = F.raise_error(F.concat(F.lit("repeated field: "), "document_id", F.lit(" "), "field_id")).cast("bigint")
+        fields = fields.withColumn("bn", F.when(c("bn") > 1, repeated).otherwise(c("bn")))
+        own = [n for n in counts if not n.startswith("b")]
+        # Only fields of the primary family count for the baseline; it holds a field once.
+        shared = [F.sum(c("bn") * c(n)).alias(f"s_{n}") for n in own] + [F.sum(c(n) * c("n0")).alias(f"s_{n}") for n in ("be", "br", "bc")]
+        documents = fields.groupBy("document_id").agg(*[F.sum(n).alias(n) for n in own], *within, *shared)
+    lists = F.concat(F.array(F.lit("all")), *[F.when(c(f"in{j}"), F.array(F.lit(n))).otherwise(F.array().cast("array<string>"))
+                                              for j, n in enumerate(names)])
+    # Documents that only the baseline holds are none of the audit.
+    kept = documents.filter(" + ".join(f"n{i}" for i in range(len(families))) + " > 0").select(F.explode(lists).alias("subset"), *[n for n in documents.columns if n != "document_id" and not n.startswith("in")])
+    names_ = [n for n in kept.columns if n != "subset"]
+    return kept.groupBy(*kept.columns).agg(F.count("*").alias("documents")).select("subset", "documents", *names_)
 
 
 def _per_family(table: DataFrame, families: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
@@ -180,24 +214,35 @@ def _per_family(table: DataFrame, families: Sequence[str], columns: Mapping[str,
 
 
 def audit_report(judged: DataFrame, primary: str, families: Sequence[str], baseline: DataFrame | None = None,
-                 subsets: DataFrame | None = None, replicates: int = 2000, target: float = .95, seed: int = 42) -> DataFrame:
+                 subsets: DataFrame | Column | None = None, replicates: int = 2000, target: float = .95, seed: int = 42) -> DataFrame:
     """One row per family and named subset (``all`` first of them): evaluation, ranking, intervals and comparisons.
 
     ``judged`` are audit rows of :func:`policy.decided_by_family`, the same
-    fields for every family. Intervals of all families, of each against the
+    fields for every family, written before: they are read several times.
+    ``subsets`` as in :func:`audit_once`. Intervals of all families, of each against the
     primary one and of each against the baseline come from shared draws over
-    wide tallies: one pass for all families, one for the baseline's fields.
+    wide tallies of documents; only these move rows, once.
     """
     families = [primary, *[f for f in families if f != primary]]
-    parts = judged.withColumn("subset", F.lit("all"))
-    if subsets is not None:
-        parts = parts.unionByName(judged.join(subsets.select("subset", "document_id").distinct().hint("merge"), "document_id").select(*parts.columns))
-    parts = staged(parts, "audit_rows")
-    report = review.family_reports(parts, ["family", "subset"], target)
-
     numbers = range(len(families))
+    marked = _members(judged, subsets)
+    by = ["family", "subset"]
+    # Counted before they are repeated per subset.
+    fine = staged(review.decision_counts(marked, ["family", "subsets"]), "decision_counts")
+    fine = fine.withColumn("subset", F.explode(F.concat(F.array(F.lit("all")), F.array_distinct("subsets")))).drop("subsets")
+    totals_ = staged(review.field_tallies(fine, by, F.col("n")), "totals")
+    names = [r[0] for r in totals_.select("subset").distinct().filter("subset <> 'all'").orderBy("subset").collect()]
+    # Documents with equal counts are one row: what is left does not grow with the documents.
+    tallies = staged(_tallies(marked, families, names, baseline), "tallies")
+    documents = F.col("documents")
+    seen = tallies.groupBy("subset").agg(*[x for i in numbers for x in (
+        F.sum(F.when(F.col(f"n{i}") > 0, documents)).alias(f"d{i}"), F.coalesce(F.sum(F.when(F.col(f"r{i}") > 0, documents)), F.lit(0)).alias(f"v{i}"))])
+    seen = _per_family(seen, families, {"documents": "d{i}", "reviewed_documents": "v{i}"})
+    evaluation = review.evaluate_totals(totals_.join(seen, by), by)
+    report = review.counted_reports(fine, evaluation, by, target)
+
     wide = [x for i in numbers for x in (f"e{i}", f"r{i}", f"c{i}")]
-    drawn = bootstrap.replicate_sums(_tallies(parts, families), {c: F.col(c) for c in ("n", *wide)}, replicates, seed, ["subset"])
+    drawn = bootstrap.replicate_sums(tallies, {"n": F.col("n0"), **{c: F.col(c) for c in wide}}, replicates, seed, ["subset"], "documents")
     ends = []
     for i in numbers:
         n, e, r, c = (F.col(x) for x in ("n", f"e{i}", f"r{i}", f"c{i}"))
@@ -210,10 +255,9 @@ def audit_report(judged: DataFrame, primary: str, families: Sequence[str], basel
         own = own.withColumn(name, F.when(F.col("family") != primary, F.col(name)))
     report = report.join(own, ["family", "subset"], "left")
     if baseline is not None:
-        shared = staged(_baseline_tallies(parts, baseline, families), "shared")
-        names = ["n", "be", "br", "bc", *wide]
-        totals = shared.groupBy("subset").agg(*[F.sum(c).alias(c) for c in names])
-        b_drawn = bootstrap.replicate_sums(shared, {c: F.col(c) for c in ("n", "br", *[f"r{i}" for i in numbers])}, replicates, seed, ["subset"])
+        shared = tallies.filter(" + ".join(f"s_n{i}" for i in numbers) + " > 0").select("subset", "documents", F.col("s_n0").alias("n"), *[F.col(f"s_{c}").alias(c) for c in ("be", "br", "bc", *wide)])
+        totals = shared.groupBy("subset").agg(*[F.sum(F.col(c) * documents).alias(c) for c in ("n", "be", "br", "bc", *wide)])
+        b_drawn = bootstrap.replicate_sums(shared, {c: F.col(c) for c in ("n", "br", *[f"r{i}" for i in numbers])}, replicates, seed, ["subset"], "documents")
         b_ends = b_drawn.groupBy("subset").agg(*[x for i in numbers for x in bootstrap.interval(
             ratio(F.col(f"r{i}"), F.col("n")) - ratio(F.col("br"), F.col("n")), f"b{i}")])
         both = totals.join(b_ends, "subset")
@@ -230,7 +274,7 @@ def audit_report(judged: DataFrame, primary: str, families: Sequence[str], basel
 
 
 def audit_once(path: str, audit_rows: DataFrame, settings: DataFrame, development: DataFrame, baseline: DataFrame | None = None,
-               subsets: DataFrame | None = None, replicates: int = 2000, target: float = .95) -> DataFrame:
+               subsets: DataFrame | Column | None = None, replicates: int = 2000, target: float = .95) -> DataFrame:
     """Judge the audit rows of every frozen family, store the predictions by family and, last, the report; once.
 
     Args:
@@ -239,10 +283,12 @@ def audit_once(path: str, audit_rows: DataFrame, settings: DataFrame, developmen
         settings: ``(key, value)`` settings of the audit traces; they must be the frozen ones.
         development: Documents of every development cohort; sharing one is an error.
         baseline: Another system's rows (``document_id, field_id, correct, needs_review``).
-        subsets: ``(subset, document_id)``; a document may be in several.
+        subsets: ``(subset, document_id)``, or a column over the audit rows with the array of a row's subsets, the same
+            for all rows of a document; a document may be in several.
 
-    An audit that was cut off before its report starts over: predictions are
-    replaced family by family. Once the report exists, every further audit is
+    The predictions are written first and the report is that of what was
+    written. An audit that was cut off before its report starts over and
+    replaces the predictions. Once the report exists, every further audit is
     refused.
     """
     spark = audit_rows.sparkSession
@@ -255,11 +301,16 @@ def audit_once(path: str, audit_rows: DataFrame, settings: DataFrame, developmen
     if not audit_rows.select("document_id").join(development.select("document_id"), "document_id", "left_semi").isEmpty():
         raise ValueError("the audit cohort shares documents with a development cohort")
     flagged = shapes.flag_rows(audit_rows, release.parts["rules"]) if "rules" in release.parts else audit_rows
-    judged = staged(policy.decided_by_family(with_family_scores(flagged, release.parts["calibrations"]), release.parts["policies"],
-                                             release.parts["supported"]), "audited")
+    def decided(scored: DataFrame) -> DataFrame:
+        return policy.decided_by_family(scored, release.parts["policies"], release.parts["supported"])
+
     families = [r[0] for r in release.parts["policies"].select("family").orderBy("family").collect()]
+    stored = decided(with_family_scores(flagged, release.parts["calibrations"])).drop("threshold", "mandatory", "unknown_field")
+    stored = stored.withColumnRenamed("score", "confidence")
+    predictions = f"{path}/audit_predictions"
+    stored.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd").partitionBy("family").parquet(predictions)
+    kept = spark.read.schema(stored.schema).parquet(predictions)
+    judged = decided(kept.drop("needs_review").withColumnRenamed("confidence", "score"))
     report = staged(audit_report(judged, release.primary, families, baseline, subsets, replicates, target), "report")
-    stored = judged.drop("threshold", "mandatory", "unknown_field").withColumnRenamed("score", "confidence")
-    (stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("family").parquet(f"{path}/audit_predictions"))
     claim_new(report, f"{path}/audit_report")
     return spark.read.parquet(f"{path}/audit_report")
