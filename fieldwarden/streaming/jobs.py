@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -66,20 +67,28 @@ def completion(rows: DataFrame, requests: DataFrame, time: str = "time", wait: s
                            F.lit(None).cast("long").alias("expected"), F.col(time).alias("time"))
     asked = requests.select(F.col("document_id").cast("string").alias("document_id"), F.lit(None).cast("string").alias("field_id"),
                             F.col("expected_fields").cast("long").alias("expected"), F.col(time).alias("time"))
-    # One watermark over both: the requests may all be older than the rows.
+    # Copies of a delivery are one row before they travel. One watermark over both: the requests may all be older than the rows.
+    arrivals = arrivals.mapInArrow(without_copies, arrivals.schema)
     events = arrivals.unionByName(asked).withColumn("at", F.col("time").cast("double"))
     processor = Verdicts(*(pd.Timedelta(d).total_seconds() for d in (wait, keep)))
-    return events.withWatermark("time", late).groupBy("document_id").transformWithStateInPandas(
+    return events.withWatermark("time", late).groupBy("document_id").transformWithState(
         processor, "document_id string, state string, arrived_fields long, expected_fields long", "Append", "EventTime")
 
 
+def without_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct rows of every batch."""
+    for batch in batches:
+        yield from pa.Table.from_batches([batch]).group_by(batch.schema.names).aggregate([]).select(batch.schema.names).to_batches()
+
+
 class Verdicts(StatefulProcessor):
     """State of one document: a small record, and a map from field to its first time.
 
     A batch reads and writes the fields it brings, not those that came before.
     The record counts the fields that are in time, so nothing is listed but
-    once, when the request comes after fields. With the verdict the fields
-    go; the record follows when its timer is over.
+    once, when the request comes after fields; a field after a known deadline is not kept. With the verdict the fields
+    go; the record follows when its timer is over. Every access to the state
+    is a message to the JVM, so nothing is asked for twice.
     """
 
     def __init__(self, wait: float, keep: float):
@@ -90,22 +99,21 @@ class Verdicts(StatefulProcessor):
         self.record = handle.getValueState("record", "expected long, deadline double, arrived long, done boolean, timer long")
         self.fields = handle.getMapState("fields", "field_id string", "at double")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        stored = self.record.get() if self.record.exists() else None
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        stored = self.record.get()
         expected, deadline, arrived, done, timer = stored if stored is not None else (None, None, 0, False, None)
-        first: dict[str, float] = {}
-        requests: list[tuple[float, int]] = []
-        # Most documents bring a few rows: plain lists cost less than frame operations.
-        for frame in rows:
-            for name, asked, at in zip(frame["field_id"].tolist(), frame["expected"].tolist(), frame["at"].tolist()):
-                if asked is not None and asked == asked:
-                    requests.append((float(at), int(asked)))
-                if isinstance(name, str):
-                    known = first.get(name)
-                    if known is None or known != known or at < known:
-                        first[name] = float(at)
         if done:
             return
+        first: dict[str, float] = {}
+        requests: list[tuple[float, int]] = []
+        for row in rows:
+            name, asked, at = row.field_id, row.expected, float("nan") if row.at is None else row.at
+            if asked is not None:
+                requests.append((at, asked))
+            if name is not None:
+                known = first.get(name)
+                if known is None or known != known or at < known:
+                    first[name] = at
         fresh = expected is None and requests
         if fresh:
             at, expected = min(requests)
@@ -116,30 +124,34 @@ class Verdicts(StatefulProcessor):
             # Nothing is stored of the document: what this batch completes leaves no fields behind.
             arrived = sum(at <= deadline for at in first.values())
             if arrived >= expected:
-                yield self._verdict(key, "complete", expected, expected, deadline, timer, timerValues)
+                yield self._verdict(key, "complete", expected, expected, deadline, timer, timerValues, False)
                 return
         for name, at in first.items():
-            known = self.fields.getValue((name,))[0] if stored is not None and self.fields.containsKey((name,)) else float("inf")
-            if at < known:
+            found = self.fields.getValue((name,)) if stored is not None else None
+            known = found[0] if found is not None else float("inf")
+            if at < known and (expected is None or at <= deadline):
                 self.fields.updateValue((name,), (at,))
                 if expected is not None and not fresh:
                     arrived += known > deadline >= at
         if fresh and stored is not None:
             arrived = sum(value[0] <= deadline for _, value in self.fields.iterator())
+            if not arrived:
+                self.fields.clear()
         if expected is not None and arrived >= expected:
-            yield self._verdict(key, "complete", expected, expected, deadline, timer, timerValues)
+            yield self._verdict(key, "complete", expected, expected, deadline, timer, timerValues, True)
             return
         timer = self._timer(timer, deadline, timerValues)
         self.record.update((expected, deadline, arrived, False, timer))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         expected, deadline, arrived, done, timer = self.record.get()
         if done:
             self.record.clear()
             return
         if expected is None:
             arrived = sum(value[0] <= deadline for _, value in self.fields.iterator())
-        yield self._verdict(key, "unexpected" if expected is None else "incomplete", arrived, expected, deadline, None, timerValues)
+        yield self._verdict(key, "unexpected" if expected is None else "incomplete", arrived, expected, deadline, None, timerValues,
+                            expected is None or arrived > 0)
 
     def _timer(self, old: int | None, until: float, timerValues) -> int:
         new = max(int(until * 1000), timerValues.getCurrentWatermarkInMs() + 1)
@@ -149,13 +161,12 @@ class Verdicts(StatefulProcessor):
             self.handle.registerTimer(new)
         return new
 
-    def _verdict(self, key, state, arrived, expected, deadline, timer, timerValues) -> pd.DataFrame:
-        if self.record.exists():
+    def _verdict(self, key, state, arrived, expected, deadline, timer, timerValues, has_fields) -> Row:
+        if has_fields:
             self.fields.clear()
         timer = self._timer(timer, deadline + self.keep, timerValues)
         self.record.update((expected, deadline, arrived, True, timer))
-        return pd.DataFrame({"document_id": [key[0]], "state": [state], "arrived_fields": [arrived],
-                             "expected_fields": pd.array([expected], dtype="Int64")})
+        return Row(document_id=key[0], state=state, arrived_fields=arrived, expected_fields=expected)
 
     def close(self) -> None:
         pass

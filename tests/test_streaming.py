@@ -113,3 +113,25 @@ def test_what_completes_at_once_leaves_no_fields(spark, tmp_path):
     assert [tuple(r) for r in out.collect()] == [("d", "complete", 2, 2)]
     first = spark.read.format("statestore").option("path", marks).option("stateVarName", "fields").option("batchId", 0).load()
     assert {(r.key[0], r.user_map_key[0]) for r in first.collect()} == {("e", "/a")}
+
+
+def test_copies_and_fields_after_the_deadline_are_not_kept(spark, tmp_path):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist([{"d": "x", "f": f, "t": n} for f, n in (("/a", 1), ("/a", 1), (None, 1), ("/a", 2), (None, 1))])
+    (left,) = jobs.without_copies([batch])
+    assert left.schema == batch.schema and left.to_pylist() == [{"d": "x", "f": f, "t": n} for f, n in (("/a", 1), (None, 1), ("/a", 2))]
+    # "/b" comes after the deadline of its document, and never counts.
+    rows = [[("d", "/a", t(0, 1)), ("d", "/b", t(3))], [("other", "/a", t(2))], [("end", "/a", t(8))], [("last", "/a", t(9))]]
+    asked = [[("d", 3, t(0))], [("x", 1, t(2))], [("y", 1, t(8))], [("z", 1, t(9))]]
+    requests = stream(spark, str(tmp_path / "asked"), "document_id string, expected_fields int, time string", asked)
+    arrivals = stream(spark, str(tmp_path / "rows"), "document_id string, field_id string, time string", rows)
+    marks = str(tmp_path / "marks")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    query = (jobs.completion(arrivals, requests, wait="2 hours", late="4 hours").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+             .option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start())
+    query.awaitTermination()
+    kept = spark.read.format("statestore").option("path", marks).option("stateVarName", "fields").option("batchId", 0).load()
+    assert {(r.key[0], r.user_map_key[0]) for r in kept.collect()} == {("d", "/a")}
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert [tuple(r) for r in out.filter("document_id = 'd'").collect()] == [("d", "incomplete", 1, 3)]
