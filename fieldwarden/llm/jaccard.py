@@ -30,6 +30,8 @@ BANDS = 64
 MISS = 1e-11
 #: Texts, and shingles, that one task compares at a time. Larger groups are cut into such blocks.
 BLOCK, BLOCK_SHINGLES = 512, 400_000
+#: Shingles whose minimum hashes are taken at a time: few enough for the cache of a core.
+TILE = 128
 #: Bits of a token bitmap.
 BITS = 2048
 #: Texts of a leaf, and children of a node.
@@ -60,7 +62,15 @@ def shingles(names: np.ndarray, words: int) -> np.ndarray:
     """Sorted distinct shingles of one text's word names; the whole text as one if it is shorter; empty without words."""
     if not len(names):
         return np.zeros(0, np.uint64)
-    return np.unique(window_hashes(names, min(words, len(names))))
+    return distinct(window_hashes(names, min(words, len(names))))
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; for the few hundred of a text sorting costs less than ``np.unique``, which hashes them first."""
+    values = np.sort(values)
+    first = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    return values[first]
 
 
 def set_name(found: np.ndarray) -> int:
@@ -69,32 +79,53 @@ def set_name(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(total.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def band_names(found: np.ndarray, rows: int) -> np.ndarray:
-    """One name per band: the smallest values of ``rows`` hashes over the set."""
+def minimum_hashes(rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and shifts of the minimum hashes of all bands."""
+    at = np.arange(1, BANDS * rows + 1, dtype=np.uint64)
+    factors, shifts = mix(at) >> np.uint64(32), mix(at + np.uint64(1 << 40)) >> np.uint64(32)
+    return factors.astype(np.uint32) | np.uint32(1), shifts.astype(np.uint32)
+
+
+def minima(found: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """The smallest value of every minimum hash over the set."""
     low = (found >> np.uint64(32)).astype(np.uint32)
-    factors = (mix(np.arange(1, BANDS * rows + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    shifts = (mix(np.arange(1, BANDS * rows + 1, dtype=np.uint64) + np.uint64(1 << 40)) >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * rows, np.uint32(0xFFFFFFFF))
-    step = max(1, 2_000_000 // len(factors))
-    for at in range(0, len(low), step):
-        part = low[at:at + step, None] ^ shifts
+    least = np.full(len(factors), np.uint32(0xFFFFFFFF))
+    held = np.empty((min(TILE, len(low)), len(factors)), np.uint32)
+    for at in range(0, len(low), TILE):
+        some = low[at:at + TILE, None]
+        part = np.bitwise_xor(some, shifts, out=held[:len(some)])
         part *= factors
         np.minimum(least, part.min(axis=0), out=least)
+    return least
+
+
+def band_names(least: np.ndarray, rows: int) -> np.ndarray:
+    """One name per band from the minima of several sets, one set per line."""
     # Only candidates come from these names, so a sum with odd factors is enough to tell the minima apart.
     factors = mix(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
-    values = (least.astype(np.uint64).reshape(BANDS, rows) * factors).sum(axis=1, dtype=np.uint64)
+    values = (least.astype(np.uint64).reshape(-1, BANDS, rows) * factors).sum(axis=2, dtype=np.uint64)
     return mix(mix(values) + np.arange(BANDS, dtype=np.uint64))
 
 
 def _set_rows(similarity: Similarity):
+    words = similarity.words
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = minimum_hashes(similarity.rows)
         for chunk in chunks(batches, lower=True):
-            out = []
-            for (doc_id,), first, last in zip(chunk.rows, chunk.first, chunk.last):
-                found = shingles(chunk.names[0][first:last], similarity.words)
-                out.append((doc_id, len(found), set_name(found) if len(found) else None,
-                            signed(band_names(found, similarity.rows)) if len(found) else None))
-            columns = list(zip(*out))
+            # Windows are hashed for all texts of a chunk at once; those that reach into the next text belong to none.
+            names, ids = chunk.names[0], [doc_id for (doc_id,) in chunk.rows]
+            hashes = window_hashes(names, words)
+            found = [distinct(hashes[first:last - words + 1]) if last - first >= words else shingles(names[first:last], words)
+                     for first, last in zip(chunk.first, chunk.last)]
+            filled = [i for i, own in enumerate(found) if len(own)]
+            sets, bands = [None] * len(ids), [None] * len(ids)
+            for at in range(0, len(filled), BLOCK):
+                some = filled[at:at + BLOCK]
+                named = signed(band_names(np.stack([minima(found[i], *hashed) for i in some]), similarity.rows))
+                for i, own in zip(some, named):
+                    sets[i], bands[i] = set_name(found[i]), own
+            columns = (ids, [len(own) for own in found], sets, bands)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
                                              ["doc_id", "n_shingles", "set", "bands"])

@@ -6,11 +6,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fieldwarden.llm import jaccard
 from fieldwarden.llm.components import connected_components
 from fieldwarden.llm.jaccard import Similarity, Tree
+from fieldwarden.llm.words import window_hashes, word_names
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -141,3 +143,24 @@ def test_components(spark):
     assert all(want[n] == c for n, c in got.items())
     assert {n for e in edges if e[1] is not None and e[0] != e[1] for n in e} == set(got)
     assert connected_components(df.limit(0)).collect() == []
+
+
+def test_names_of_texts_side_by_side_are_those_of_each_alone():
+    similarity = jaccard.Similarity(3, 90)
+    texts = ["", None, "a", "b a", "x y z", "x y z x y z a b", "Z a b", " ".join(f"w{i % 700}" for i in range(900))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    got = pa.Table.from_batches(list(jaccard._set_rows(similarity)(iter([batch])))).to_pylist()
+    factors, shifts = jaccard.minimum_hashes(similarity.rows)
+    for line, text in zip(got, texts, strict=True):
+        (names,) = word_names((text or "").encode().lower())
+        # Windows that reach into the next text are no shingles.
+        found = np.unique(window_hashes(names, min(3, len(names)))) if len(names) else names
+        assert line["n_shingles"] == len(found) and (line["set"] is None) == (not len(found))
+        if not len(found):
+            assert line["bands"] is None
+            continue
+        # The whole set at once instead of tile by tile.
+        least = (((found >> np.uint64(32)).astype(np.uint32)[:, None] ^ shifts) * factors).min(axis=0)
+        assert line["set"] == jaccard.set_name(found)
+        assert line["bands"] == jaccard.band_names(least[None], similarity.rows)[0].view(np.int64).tolist()
+    assert len({tuple(line["bands"]) for line in got if line["bands"]}) == 6
